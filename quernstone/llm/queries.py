@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import mixing, quality, sharding
+from quernstone.llm import chat, mixing, quality, sharding, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_quality": quality.op2_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op6_chat": chat.op6_chat,
+        "op7_url_filters": urlfilter.op7_url_filters,
     }
 
 
@@ -17,4 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality": quality.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
+        "op6_chat": chat.ORACLE_SQL,
+        "op7_url_filters": urlfilter.ORACLE_SQL,
     }
