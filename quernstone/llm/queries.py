@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat, mixing, quality, sharding, urlfilter
+from quernstone.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,8 +10,13 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_quality": quality.op2_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op4_decontamination": decontam.op4_decontamination,
+        "op5_pii": pii.op5_pii,
         "op6_chat": chat.op6_chat,
         "op7_url_filters": urlfilter.op7_url_filters,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_language_id": langid.op9_language_id,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
