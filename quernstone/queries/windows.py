@@ -56,7 +56,13 @@ values("E1_price", lambda: {"price": c}, {"price": "close"})
 values("E2_constant", lambda: {"value": F.lit(2.5)}, {"value": "2.5"})
 values("E3_indicator", lambda: {"upper": I.bollinger(c, 20, 2.0)[0], "fast": I.sma(c, 10)}, {"upper": f"{sma('close', 20)} + 2 * {sd('close', 20, 'stddev_pop')}", "fast": sma("close", 10)})
 values("E4_lagged", lambda: {"value": I.lag(c, 3, I.BY_SYMBOL)}, {"value": f"lag(close, 3) {W}"})
-values("E5_scaled", lambda: {"value": c * F.lit(1.0137)}, {"value": "close * 1.0137"})
+
+
+@add("E5_scaled", f"WITH {DAILY} SELECT symbol, ts, close * 1.0137::DOUBLE AS value FROM bars")
+def scaled(spark, sf_dir):
+    return daily_bars(spark, sf_dir).select("symbol", "ts", (c * 1.0137).alias("value"))
+
+
 PCT = f"CASE WHEN count(close) {wn(50)} = 50 THEN (len(list_filter(s, lambda x: x < close)) + (len(list_filter(s, lambda x: x = close)) + 1) / 2) / 50 END"
 PCT_SRC = f"(SELECT *, list(close) {wn(50)} AS s FROM bars)"
 values("E6_percentile", lambda: {"value": I.percentile_rank(c, 50)}, {"value": PCT}, source=PCT_SRC)
