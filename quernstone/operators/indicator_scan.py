@@ -22,11 +22,12 @@ INDICATORS = {
 COLUMNS = ("high", "low", "close")
 
 
-def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """(keys, ts) and the indicators ``wanted``: output name -> (indicator, its parameters).
+def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts), the columns ``carry`` and the indicators ``wanted``: output name -> (indicator, its parameters).
 
     An indicator of several values gives columns name_value. One scan computes all.
     """
+    n = len(COLUMNS) + 1
     names = [f"{name}_{part}" if part else name for name, (kind, _) in wanted.items() for part in INDICATORS[kind][2]]
     reads = [[COLUMNS.index(c) for c in INDICATORS[kind][1]] for kind, _ in wanted.values()]
     several = [len(INDICATORS[kind][2]) > 1 for kind, _ in wanted.values()]
@@ -36,7 +37,7 @@ def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys:
             self.states = [INDICATORS[kind][0](**args) for kind, args in wanted.values()]
 
         def push(self, row: tuple) -> list[tuple]:
-            out = [row[0]]
+            out = [row[0], *row[n:]]
             for state, read, many in zip(self.states, reads, several):
                 got = state.push(*[row[1 + i] for i in read])
                 out += got if many else [got]
@@ -46,5 +47,6 @@ def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys:
             return []
 
     ts_type = bars.schema["ts"].dataType.simpleString()
-    schema = f"ts {ts_type}, " + ", ".join(f"`{n}` double" for n in names)
-    return ordered_scan(bars, list(keys), ["ts"], ["ts", *COLUMNS], Scan, schema)
+    kept = [f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in carry]
+    schema = ", ".join([f"ts {ts_type}", *kept, *[f"`{name}` double" for name in names]])
+    return ordered_scan(bars, list(keys), ["ts"], ["ts", *COLUMNS, *carry], Scan, schema)
