@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from quernstone.functions.indicators import BY_SYMBOL, bollinger, lag, percentile_rank, rolling, running
+from quernstone.functions.indicators import bollinger, lag, percentile_rank, rolling, running
 
 OPS = {
     ">": lambda a, b: a > b,
@@ -26,16 +26,16 @@ def compare(a: Column, op: str, b: Column) -> Column:
     return sure(OPS[op](a, b))
 
 
-def crossover(a: Column, b: Column, above: bool = True, w: WindowSpec = BY_SYMBOL) -> Column:
+def crossover(a: Column, b: Column, above: bool = True, w: WindowSpec | None = None) -> Column:
     pa, pb = lag(a, 1, w), lag(b, 1, w)
     return sure((pa <= pb) & (a > b) if above else (pa >= pb) & (a < b))
 
 
-def within_last(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def within_last(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return F.max(sure(c).cast("int")).over(rolling(w, n)) > 0
 
 
-def trending(c: Column, n: int, rising: bool = True, strict: bool = False, w: WindowSpec = BY_SYMBOL) -> Column:
+def trending(c: Column, n: int, rising: bool = True, strict: bool = False, w: WindowSpec | None = None) -> Column:
     """The newest against the one n bars ago; what lies between does not matter."""
     before = lag(c, n, w)
     op = (">" if strict else ">=") if rising else ("<" if strict else "<=")
@@ -55,13 +55,13 @@ def negate(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(False)).otherwise(~c)
 
 
-def regime(enter: Column, leave: Column, initial: bool = False, w: WindowSpec = BY_SYMBOL) -> Column:
+def regime(enter: Column, leave: Column, initial: bool = False, w: WindowSpec | None = None) -> Column:
     """A latch: set by ``enter``, cleared by ``leave``, which wins a tie."""
     mark = F.when(leave, F.lit(-1)).when(enter, F.lit(1))
     return F.coalesce(F.last(mark, ignorenulls=True).over(running(w)), F.lit(1 if initial else -1)) > 0
 
 
-def ratchet(c: Column, kind: str = "max", seed: float | None = None, w: WindowSpec = BY_SYMBOL) -> Column:
+def ratchet(c: Column, kind: str = "max", seed: float | None = None, w: WindowSpec | None = None) -> Column:
     """Running extremum; rows without a value have none, and a seed bounds it from the start."""
     best = (F.max if kind == "max" else F.min)(c).over(running(w))
     if seed is not None:
@@ -91,7 +91,7 @@ def iso_weekdays(ts: Column, days: list[int]) -> Column:
     return (F.weekday(ts) + 1).isin(days)
 
 
-def bollinger_state(close: Column, source: Column, state: str, n: int, k: float, squeeze_window: int = 100, quantile: float = 0.2, w: WindowSpec = BY_SYMBOL) -> Column:
+def bollinger_state(close: Column, source: Column, state: str, n: int, k: float, squeeze_window: int = 100, quantile: float = 0.2, w: WindowSpec | None = None) -> Column:
     up, _, low = bollinger(source, n, k, w)
     if state == "below_lower":
         return sure(close < low)
@@ -100,12 +100,12 @@ def bollinger_state(close: Column, source: Column, state: str, n: int, k: float,
     raise ValueError("a squeeze ranks the band width, which must be a column of its own: see squeeze()")
 
 
-def squeeze(width: Column, window: int, quantile: float, w: WindowSpec = BY_SYMBOL) -> Column:
+def squeeze(width: Column, window: int, quantile: float, w: WindowSpec | None = None) -> Column:
     """Band width among the lowest share ``quantile`` of its last ``window``."""
     return sure(percentile_rank(width, window, w) <= quantile)
 
 
-def zscore_state(z: Column, state: str, threshold: float, w: WindowSpec = BY_SYMBOL) -> Column:
+def zscore_state(z: Column, state: str, threshold: float, w: WindowSpec | None = None) -> Column:
     before = lag(z, 1, w)
     if state == "below_neg":
         return sure(z < -threshold)
@@ -114,7 +114,7 @@ def zscore_state(z: Column, state: str, threshold: float, w: WindowSpec = BY_SYM
     return sure(((before <= -threshold) & (z > before)) | ((before >= threshold) & (z < before)))
 
 
-def level_state(x: Column, state: str, level: float, w: WindowSpec = BY_SYMBOL) -> Column:
+def level_state(x: Column, state: str, level: float, w: WindowSpec | None = None) -> Column:
     """below, above, crosses_above or crosses_below a fixed level (as for RSI)."""
     if state in ("below", "above"):
         return sure(x < level if state == "below" else x > level)

@@ -12,89 +12,92 @@ import math
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("ts")
 
+def series(w: WindowSpec | None = None) -> WindowSpec:
+    """The window given, or that of a series: by symbol, in time."""
+    return w if w is not None else Window.partitionBy("symbol").orderBy("ts")
 
-def rolling(w: WindowSpec, n: int) -> WindowSpec:
-    return w.rowsBetween(-(n - 1), 0)
 
+def rolling(w: WindowSpec | None, n: int) -> WindowSpec:
+    return series(w).rowsBetween(-(n - 1), 0)
 
-def running(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, 0)
 
+def running(w: WindowSpec | None) -> WindowSpec:
+    return series(w).rowsBetween(Window.unboundedPreceding, 0)
 
-def full(c: Column, n: int, value: Column, w: WindowSpec) -> Column:
+
+def full(c: Column, n: int, value: Column, w: WindowSpec | None = None) -> Column:
     """``value`` where the last n rows all have ``c``."""
     return F.when(F.count(c).over(rolling(w, n)) == n, value)
 
 
-def lag(c: Column, n: int, w: WindowSpec) -> Column:
-    return F.lag(c, n).over(w) if n else c
+def lag(c: Column, n: int, w: WindowSpec | None = None) -> Column:
+    return F.lag(c, n).over(series(w)) if n else c
 
 
-def sma(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def sma(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return full(c, n, F.avg(c).over(rolling(w, n)), w)
 
 
-def wma(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def wma(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Weights 1..n, the newest heaviest; null while any of the n is missing."""
     total = sum(((n - k) * lag(c, k, w) for k in range(n)), F.lit(0.0))
     return total / (n * (n + 1) / 2)
 
 
-def stddev(c: Column, n: int, w: WindowSpec = BY_SYMBOL, ddof: int = 1) -> Column:
+def stddev(c: Column, n: int, w: WindowSpec | None = None, ddof: int = 1) -> Column:
     return full(c, n, (F.stddev_samp(c) if ddof else F.stddev_pop(c)).over(rolling(w, n)), w)
 
 
-def zscore(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def zscore(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return (c - sma(c, n, w)) / F.nullif(stddev(c, n, w), F.lit(0.0))
 
 
-def bollinger(c: Column, n: int, k: float, w: WindowSpec = BY_SYMBOL, ddof: int = 0) -> tuple[Column, Column, Column]:
+def bollinger(c: Column, n: int, k: float, w: WindowSpec | None = None, ddof: int = 0) -> tuple[Column, Column, Column]:
     """Upper, middle and lower band."""
     mid, sd = sma(c, n, w), stddev(c, n, w, ddof)
     return mid + k * sd, mid, mid - k * sd
 
 
-def percentile_rank(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def percentile_rank(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Average rank of the newest among the last n, over n; the least is 1/n."""
     seen = F.collect_list(c).over(rolling(w, n))
     rank = F.size(F.filter(seen, lambda v: v < c)) + (F.size(F.filter(seen, lambda v: v == c)) + 1) / 2
     return full(c, n, rank / n, w)
 
 
-def highest(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def highest(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return full(c, n, F.max(c).over(rolling(w, n)), w)
 
 
-def lowest(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def lowest(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return full(c, n, F.min(c).over(rolling(w, n)), w)
 
 
-def n_return(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def n_return(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return c / F.nullif(lag(c, n, w), F.lit(0.0)) - 1
 
 
-def log_return(c: Column, n: int = 1, w: WindowSpec = BY_SYMBOL) -> Column:
+def log_return(c: Column, n: int = 1, w: WindowSpec | None = None) -> Column:
     return F.ln(c) - F.ln(lag(c, n, w))
 
 
-def forward_label(c: Column, horizon: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def forward_label(c: Column, horizon: int, w: WindowSpec | None = None) -> Column:
     """Log return over the next ``horizon`` bars: the one function that looks ahead."""
-    return F.ln(F.lead(c, horizon).over(w)) - F.ln(c)
+    return F.ln(F.lead(c, horizon).over(series(w))) - F.ln(c)
 
 
-def realised_vol(c: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def realised_vol(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Of a column of returns."""
     return stddev(c, n, w)
 
 
-def percent_b(c: Column, n: int, k: float, w: WindowSpec = BY_SYMBOL) -> Column:
+def percent_b(c: Column, n: int, k: float, w: WindowSpec | None = None) -> Column:
     up, _, low = bollinger(c, n, k, w, ddof=1)
     return (c - low) / F.nullif(up - low, F.lit(0.0))
 
 
-def donchian_position(c: Column, high: Column, low: Column, n: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def donchian_position(c: Column, high: Column, low: Column, n: int, w: WindowSpec | None = None) -> Column:
     top, bottom = highest(high, n, w), lowest(low, n, w)
     return (c - bottom) / F.nullif(top - bottom, F.lit(0.0))
 
@@ -103,17 +106,17 @@ def cyclic(value: Column, period: int) -> tuple[Column, Column]:
     return F.sin(2 * math.pi * value / period), F.cos(2 * math.pi * value / period)
 
 
-def obv(c: Column, volume: Column, w: WindowSpec = BY_SYMBOL) -> Column:
+def obv(c: Column, volume: Column, w: WindowSpec | None = None) -> Column:
     """Running volume, negative where the close fell; a tie counts as a rise."""
     return F.sum(F.when(c < lag(c, 1, w), -volume).otherwise(volume)).over(running(w))
 
 
-def true_range(high: Column, low: Column, c: Column, w: WindowSpec = BY_SYMBOL) -> Column:
+def true_range(high: Column, low: Column, c: Column, w: WindowSpec | None = None) -> Column:
     before = lag(c, 1, w)
     return F.coalesce(F.greatest(high - low, F.abs(high - before), F.abs(low - before)), high - low)
 
 
-def stochastic(high: Column, low: Column, c: Column, k: int, w: WindowSpec = BY_SYMBOL) -> Column:
+def stochastic(high: Column, low: Column, c: Column, k: int, w: WindowSpec | None = None) -> Column:
     """Raw %K; %D is its moving average. No smoothing of %K."""
     top, bottom = highest(high, k, w), lowest(low, k, w)
     return 100 * (c - bottom) / F.nullif(top - bottom, F.lit(0.0))
@@ -161,11 +164,11 @@ def shooting_star(o: Column, h: Column, low: Column, c: Column) -> Column:
 bullish_pinbar, bearish_pinbar = hammer, shooting_star
 
 
-def bullish_engulfing(o: Column, c: Column, w: WindowSpec = BY_SYMBOL) -> Column:
+def bullish_engulfing(o: Column, c: Column, w: WindowSpec | None = None) -> Column:
     po, pc = lag(o, 1, w), lag(c, 1, w)
     return F.coalesce((pc < po) & (c > o) & (c >= po) & (o <= pc), F.lit(False))
 
 
-def bearish_engulfing(o: Column, c: Column, w: WindowSpec = BY_SYMBOL) -> Column:
+def bearish_engulfing(o: Column, c: Column, w: WindowSpec | None = None) -> Column:
     po, pc = lag(o, 1, w), lag(c, 1, w)
     return F.coalesce((pc > po) & (c < o) & (c <= po) & (o >= pc), F.lit(False))

@@ -63,16 +63,22 @@ def claimed_number(text: Column) -> Column:
 
 
 # normal distribution: Spark has neither of these, so they run on Arrow batches
-@F.pandas_udf("double")
-def norm_cdf(x: pd.Series) -> pd.Series:
-    normal = statistics.NormalDist()
-    return x.map(lambda v: None if pd.isna(v) else normal.cdf(v))
+def norm_cdf(x: Column) -> Column:
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        normal = statistics.NormalDist()
+        return x.map(lambda v: None if pd.isna(v) else normal.cdf(v))
 
+    return cdf(x)
 
-@F.pandas_udf("double")
-def norm_ppf(p: pd.Series) -> pd.Series:
-    normal = statistics.NormalDist()
-    return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else normal.inv_cdf(v))
+
+def norm_ppf(p: Column) -> Column:
+    @F.pandas_udf("double")
+    def ppf(p: pd.Series) -> pd.Series:
+        normal = statistics.NormalDist()
+        return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else normal.inv_cdf(v))
+
+    return ppf(p)
 
 
 # ladders

@@ -634,3 +634,35 @@ class Continuity:
 
     def close(self) -> list[tuple]:
         return []
+
+
+class Gaps:
+    """Alerts once when a series pauses longer than allowed, and once when it goes on."""
+
+    def __init__(self, key, seconds: float = 7200):
+        self.seconds, self.last = seconds, None
+
+    def push(self, row):
+        (micros,) = row
+        gap = None if self.last is None else micros - self.last
+        self.last = micros
+        return [(micros, gap / 1e6)] if gap is not None and gap > self.seconds * 1e6 else []
+
+    def close(self) -> list[tuple]:
+        return []
+
+
+class Latch:
+    """A regime latch and a running maximum, bar by bar."""
+
+    def __init__(self, key):
+        self.on, self.top = False, None
+
+    def push(self, row):
+        at, close, enter, leave = row
+        self.on = False if leave else True if enter else self.on
+        self.top = close if self.top is None else max(self.top, close)
+        return [(at, self.on, self.top)]
+
+    def close(self) -> list[tuple]:
+        return []

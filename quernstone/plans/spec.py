@@ -20,7 +20,6 @@ from quernstone.operators.joins import asof
 from quernstone.operators.simulators import TraderConfig, simulate
 from quernstone.sources.bars import TIMEFRAMES, resample
 
-W = I.BY_SYMBOL
 PRICES = ("open", "high", "low", "close", "volume")
 STATEFUL, GATES = ("regime_state",), ("prior_trade", "prior_signal")
 #: indicator -> parameter names of its scan, and the component meant when none is named
@@ -138,7 +137,7 @@ class Compiler:
         return F.lit(float(x["value"]))
 
     def expr_lagged(self, x):
-        return I.lag(self.expr(x["expression"]), x["bars_ago"], W)
+        return I.lag(self.expr(x["expression"]), x["bars_ago"])
 
     def expr_scaled(self, x):
         return self.expr(x["expression"]) * x["factor"]

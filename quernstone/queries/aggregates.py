@@ -11,11 +11,10 @@ from quernstone.operators import engines as G
 from quernstone.operators import metrics as M
 from quernstone.operators.metrics import downsample
 from quernstone.queries.joins import CELLS, FOLDS, cells, folds
-from quernstone.queries.registry import add, rounded, sql_rounded
+from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import BOOK, RUN, W, book, sd, sma
 from quernstone.sources.bars import DAILY, HOURLY, bin_start, daily_bars, event_bars, resample, scan
 
-c, ts = F.col("close"), F.col("ts")
 BPS = 10.0
 
 SIG = f"{DAILY}, sig AS (SELECT *, coalesce(({sma('close', 10)}) > ({sma('close', 30)}), false)::INT AS pos FROM bars)"
@@ -31,7 +30,7 @@ trades AS (SELECT *, exit_price / entry_price - 1 AS ret FROM tr)"""
 
 
 def signals(spark, sf_dir):
-    return daily_bars(spark, sf_dir).withColumn("pos", C.compare(I.sma(c, 10), ">", I.sma(c, 30)).cast("int"))
+    return daily_bars(spark, sf_dir).withColumn("pos", C.compare(I.sma(col.close, 10), ">", I.sma(col.close, 30)).cast("int"))
 
 
 def vector_run(spark, sf_dir):
@@ -53,7 +52,7 @@ GRID = "g AS (SELECT s.symbol, t.ts FROM (SELECT DISTINCT symbol FROM book) s, (
 @add("A2_tick_grid", f"WITH {BOOK}, {GRID}, l AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS ts, last(bid ORDER BY ts, event_id) AS bid FROM book GROUP BY 1, 2) SELECT symbol, ts, bid FROM g LEFT JOIN l USING (symbol, ts)")
 def a2(spark, sf_dir):
     """Last observation of each bin on a dense grid; empty bins are null."""
-    last = book(spark, sf_dir).groupBy("symbol", bin_start(ts, 3600).alias("bar")).agg(F.max_by("bid", F.struct("ts", "event_id")).alias("bid"))
+    last = book(spark, sf_dir).groupBy("symbol", bin_start(col.ts, 3600).alias("bar")).agg(F.max_by("bid", F.struct("ts", "event_id")).alias("bid"))
     span = last.groupBy().agg(F.min("bar").alias("a"), F.max("bar").alias("b"))
     grid = last.select("symbol").distinct().join(F.broadcast(span)).select("symbol", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("bar"))
     return grid.join(last, ["symbol", "bar"], "left").withColumnRenamed("bar", "ts")
@@ -69,12 +68,12 @@ def a3(spark, sf_dir):
     mid = (F.col("bid") + F.col("ask")) / 2
     b = book(spark, sf_dir).withColumn("d", F.ln(mid) - F.ln(F.lag(mid).over(w)))
     imbalance = M.safe_div(F.col("bq") - F.col("aq"), F.col("bq") + F.col("aq"))
-    return b.groupBy("symbol", bin_start(ts, 21600).alias("bar")).agg(*rounded({"spread": F.avg(F.col("ask") - F.col("bid")), "imbalance": F.avg(imbalance), "volume": F.sum("bq"), "vol": F.stddev_samp("d")})).withColumnRenamed("bar", "ts")
+    return b.groupBy("symbol", bin_start(col.ts, 21600).alias("bar")).agg(*rounded({"spread": F.avg(F.col("ask") - F.col("bid")), "imbalance": F.avg(imbalance), "volume": F.sum("bq"), "vol": F.stddev_samp("d")})).withColumnRenamed("bar", "ts")
 
 
 @add("A4_dollar_volume", f"WITH {HOURLY} SELECT symbol, ts::DATE AS day, {sql_rounded({'dollars': 'sum(close * volume)'}, 4)}, arg_max(close, ts) AS last_close FROM bars GROUP BY 1, 2")
 def a4(spark, sf_dir):
-    return event_bars(spark, sf_dir).groupBy("symbol", F.to_date("ts").alias("day")).agg(*rounded({"dollars": F.sum(c * F.col("volume"))}, 4), F.max_by("close", "ts").alias("last_close"))
+    return event_bars(spark, sf_dir).groupBy("symbol", F.to_date("ts").alias("day")).agg(*rounded({"dollars": F.sum(col.close * F.col("volume"))}, 4), F.max_by("close", "ts").alias("last_close"))
 
 
 EQ = {
@@ -159,7 +158,7 @@ def fold_returns(spark, sf_dir):
     from quernstone.operators.joins import in_windows
 
     held = in_windows(vector_run(spark, sf_dir), folds(spark), "ts", "start", "end")
-    inside = ts < F.col("start") + F.expr("INTERVAL 120 DAYS")
+    inside = col.ts < F.col("start") + F.expr("INTERVAL 120 DAYS")
     total = lambda flag: F.exp(F.sum(F.when(flag, F.ln(F.col("r") + 1)))) - 1
     return held.groupBy("symbol", "fold").agg(total(inside).alias("i"), total(~inside).alias("o"))
 
@@ -216,7 +215,7 @@ WEIGHTS = f"{SIG}, wv AS (SELECT *, CASE WHEN pos = 1 THEN least(0.2 / nullif({s
 
 
 def weights(spark, sf_dir):
-    s = signals(spark, sf_dir).withColumn("vol", I.stddev(c, 20) / c)
+    s = signals(spark, sf_dir).withColumn("vol", I.stddev(col.close, 20) / col.close)
     return G.target_weights(s, "vol", 0.2, 0.4, 1.0)
 
 
@@ -235,14 +234,14 @@ def b10(spark, sf_dir):
 
 @add("A15_weight_transitions", f"WITH {WEIGHTS}, t AS (SELECT *, coalesce(lag(w) {W}, 0) AS p FROM wt) SELECT symbol, sum((w > 0 AND p = 0)::INT)::BIGINT AS entries, sum((w > 0)::INT)::BIGINT AS held_bars FROM t GROUP BY 1")
 def a15(spark, sf_dir):
-    t = weights(spark, sf_dir).withColumn("p", F.coalesce(F.lag("w").over(I.BY_SYMBOL), F.lit(0.0)))
+    t = weights(spark, sf_dir).withColumn("p", F.coalesce(F.lag("w").over(I.series()), F.lit(0.0)))
     return t.groupBy("symbol").agg(F.sum(((F.col("w") > 0) & (F.col("p") == 0)).cast("int")).alias("entries"), F.sum((F.col("w") > 0).cast("int")).alias("held_bars"))
 
 
 @add("A16_effective_breadth", f"WITH {DAILY}, r AS (SELECT symbol, ts, ln(close) - ln(lag(close) {W}) AS r FROM bars), p AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2) SELECT count(*) AS pairs, {sql_rounded({'rho': 'avg(rho)', 'breadth': '(SELECT count(DISTINCT symbol) FROM r) / (1 + ((SELECT count(DISTINCT symbol) FROM r) - 1) * avg(rho))'})} FROM p")
 def a16(spark, sf_dir):
     """Symbols over one plus their mean pairwise correlation for each other symbol."""
-    r = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(c).alias("r"))
+    r = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(col.close).alias("r"))
     a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("r").alias("ra")), r.select(F.col("symbol").alias("b"), "ts", F.col("r").alias("rb"))
     rho = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho")).agg(F.count("*").alias("pairs"), F.avg("rho").alias("rho"))
     n = (1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2
@@ -251,7 +250,7 @@ def a16(spark, sf_dir):
 
 @add("A17_regime_split", f"WITH {VEC}, g AS (SELECT *, coalesce(close > ({sma('close', 50)}), false) AS up FROM run) SELECT symbol, up, count(*) AS bars, {sql_rounded({'ret': 'exp(sum(ln(1 + r))) - 1'})} FROM g GROUP BY 1, 2")
 def a17(spark, sf_dir):
-    g = vector_run(spark, sf_dir).withColumn("up", C.compare(c, ">", I.sma(c, 50)))
+    g = vector_run(spark, sf_dir).withColumn("up", C.compare(col.close, ">", I.sma(col.close, 50)))
     return g.groupBy("symbol", "up").agg(F.count("*").alias("bars"), *rounded({"ret": F.exp(F.sum(F.ln(F.col("r") + 1))) - 1}))
 
 
@@ -263,7 +262,7 @@ def a18(spark, sf_dir):
 @add("A19_signal_diagnostics", f"WITH {DAILY}, s AS (SELECT symbol, ({sma('close', 10)}) > ({sma('close', 30)}) AS x, row_number() {W} AS k FROM bars) SELECT symbol, count(*) FILTER (x IS NULL AND k < 30) AS warm_null, count(*) FILTER (x IS NULL AND k >= 30) AS post_null, count(*) FILTER (x) AS true_n, count(*) FILTER (NOT x) AS false_n, CASE WHEN count(*) FILTER (x) = 0 THEN 'never_true' WHEN count(*) FILTER (NOT x) = 0 THEN 'always_true' ELSE 'ok' END AS mode FROM s GROUP BY 1")
 def a19(spark, sf_dir):
     """Of the three-valued signal, before nulls become false."""
-    s = daily_bars(spark, sf_dir).select("symbol", (I.sma(c, 10) > I.sma(c, 30)).alias("x"), F.row_number().over(I.BY_SYMBOL).alias("k"))
+    s = daily_bars(spark, sf_dir).select("symbol", (I.sma(col.close, 10) > I.sma(col.close, 30)).alias("x"), F.row_number().over(I.series()).alias("k"))
     x, k = F.col("x"), F.col("k")
     counted = s.groupBy("symbol").agg(F.count_if(x.isNull() & (k < 30)).alias("warm_null"), F.count_if(x.isNull() & (k >= 30)).alias("post_null"), F.count_if(x).alias("true_n"), F.count_if(~x).alias("false_n"))
     return counted.withColumn("mode", F.when(F.col("true_n") == 0, "never_true").when(F.col("false_n") == 0, "always_true").otherwise("ok"))
@@ -335,9 +334,9 @@ def a27(spark, sf_dir):
 def a28(spark, sf_dir):
     """Gaps are reported, never filled."""
     seconds = lambda x: F.unix_micros(x.cast("timestamp")) / 1e6
-    g = daily_bars(spark, sf_dir).withColumn("gap", seconds(ts) - seconds(I.lag(ts, 1, I.BY_SYMBOL)))
+    g = daily_bars(spark, sf_dir).withColumn("gap", seconds(col.ts) - seconds(I.lag(col.ts, 1, I.series())))
     far = F.col("gap") > 129_600
-    return g.groupBy("symbol").agg(F.count("*").alias("bars"), (F.count("*") - F.count_distinct("ts")).alias("dups"), F.count_if(seconds(ts) % 86_400 != 0).alias("misaligned"), F.count_if(far).alias("gaps"), F.coalesce(F.sum(F.when(far, F.floor(F.col("gap") / 86_400) - 1)), F.lit(0)).cast("long").alias("missing"))
+    return g.groupBy("symbol").agg(F.count("*").alias("bars"), (F.count("*") - F.count_distinct("ts")).alias("dups"), F.count_if(seconds(col.ts) % 86_400 != 0).alias("misaligned"), F.count_if(far).alias("gaps"), F.coalesce(F.sum(F.when(far, F.floor(F.col("gap") / 86_400) - 1)), F.lit(0)).cast("long").alias("missing"))
 
 
 @add("A29_hour_rank", f"WITH {HOURLY}, m AS (SELECT (isodow(ts) - 1) * 24 + hour(ts) AS how, median(volume) AS typical FROM bars GROUP BY 1) SELECT how::INT AS how, typical, {sql_rounded({'pct': '(rank() OVER (ORDER BY typical) + (count(*) OVER (PARTITION BY typical) - 1) / 2) / (count(*) OVER ())'})} FROM m")
@@ -370,7 +369,7 @@ UNIVERSE = "u AS (SELECT date_trunc('month', ts)::TIMESTAMP AS month, symbol, ro
 
 
 def universe(spark, sf_dir):
-    return daily_bars(spark, sf_dir).groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), "symbol").agg(F.round(F.median(c * F.col("volume")), 6).alias("med"), F.count("*").alias("obs"))
+    return daily_bars(spark, sf_dir).groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), "symbol").agg(F.round(F.median(col.close * F.col("volume")), 6).alias("med"), F.count("*").alias("obs"))
 
 
 @add("K1_top_universe", f"WITH {DAILY}, {UNIVERSE} SELECT month, symbol, {sql_rounded({'med': 'med'}, 4)} FROM u WHERE obs >= 20 QUALIFY row_number() OVER (PARTITION BY month ORDER BY med DESC, symbol) <= 3")

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import indicators as I
 from quernstone.operators import joins as J
-from quernstone.queries.registry import add, rounded, sql_rounded
+from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import BOOK, W, book, sd, sma
 from quernstone.sources.bars import DAILY, HOURLY, ORDERS, daily_bars, event_bars, events_sql, order_bars, resample, scan
 
-c, ts = F.col("close"), F.col("ts")
 
 
 @add(
@@ -22,35 +21,35 @@ SELECT b.symbol, b.ts, {sql_rounded({'mean': 'r.mean'})} FROM bars b ASOF LEFT J
 def timeframe_align(spark, sf_dir):
     """A longer bar's value is seen only once that bar has closed."""
     hourly = event_bars(spark, sf_dir)
-    slow = resample(hourly, 14400).select("symbol", (ts + F.expr("INTERVAL 4 HOURS")).alias("done"), I.sma(c, 3).alias("mean"))
+    slow = resample(hourly, 14400).select("symbol", (col.ts + F.expr("INTERVAL 4 HOURS")).alias("done"), I.sma(col.close, 3).alias("mean"))
     return J.asof(hourly.select("symbol", "ts"), slow, ["symbol"], "ts", "done", ["mean"]).select("symbol", "ts", *rounded({"mean": F.col("mean")}))
 
 
-FUNDING = f"funding AS (SELECT symbol, ts, (close - ({sma('close', 10)})) / nullif({sd('close', 10)}, 0) AS z FROM bars WHERE dayofyear(ts) % 3 = 0)"
+FUNDING = f"funding AS (SELECT symbol, ts, (close - ({sma('close', 10)})) / nullif({sd('close', 10)}, 0) AS z FROM bars WHERE isodow(ts) IN (1, 3, 5))"
 
 
 @add("J2_funding_asof", f"WITH {ORDERS}, {FUNDING} SELECT b.symbol, b.ts, {sql_rounded({'z': 'f.z'})} FROM bars b ASOF LEFT JOIN funding f ON b.symbol = f.symbol AND b.ts >= f.ts")
 def funding_asof(spark, sf_dir):
     bars = order_bars(spark, sf_dir)
-    funding = bars.where(F.dayofyear("ts") % 3 == 0).select("symbol", "ts", I.zscore(c, 10).alias("z"))
+    funding = bars.where(F.weekday("ts").isin(0, 2, 4)).select("symbol", "ts", I.zscore(col.close, 10).alias("z"))
     return J.asof(bars.select("symbol", "ts"), funding, ["symbol"], "ts", "ts", ["z"]).select("symbol", "ts", *rounded({"z": F.col("z")}))
 
 
 @add("W26_funding_z", f"WITH {ORDERS}, {FUNDING} SELECT symbol, ts, {sql_rounded({'z': 'z'})} FROM funding")
 def funding_z(spark, sf_dir):
-    return order_bars(spark, sf_dir).where(F.dayofyear("ts") % 3 == 0).select("symbol", "ts", *rounded({"z": I.zscore(c, 10)}))
+    return order_bars(spark, sf_dir).where(F.weekday("ts").isin(0, 2, 4)).select("symbol", "ts", *rounded({"z": I.zscore(col.close, 10)}))
 
 
 @add("J3_grid_intersection", f"WITH {DAILY} SELECT a.ts, a.close AS a, b.close AS b FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'AF' AND b.symbol = 'NO'")
 def grid_intersection(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    a, b = (bars.where(F.col("symbol") == s).select("ts", c.alias(n)) for s, n in (("AF", "a"), ("NO", "b")))
+    a, b = (bars.where(F.col("symbol") == s).select("ts", col.close.alias(n)) for s, n in (("AF", "a"), ("NO", "b")))
     return a.join(b, "ts")
 
 
 @add("J4_left_reindex", f"WITH {DAILY}, o AS ({'WITH ' + ORDERS + ' SELECT * FROM bars'}) SELECT b.symbol, b.ts, b.close, o.close AS mark FROM bars b LEFT JOIN o ON o.ts = b.ts AND o.symbol = '1-URGENT'")
 def left_reindex(spark, sf_dir):
-    mark = order_bars(spark, sf_dir).where(F.col("symbol") == "1-URGENT").select("ts", c.alias("mark"))
+    mark = order_bars(spark, sf_dir).where(F.col("symbol") == "1-URGENT").select("ts", col.close.alias("mark"))
     return daily_bars(spark, sf_dir).select("symbol", "ts", "close").join(mark, "ts", "left")
 
 
@@ -75,14 +74,14 @@ MEMBERS = "members AS (SELECT symbol, date_trunc('month', ts)::TIMESTAMP AS mont
 def universe_membership(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     month = F.date_trunc("month", "ts").cast("timestamp_ntz")
-    members = bars.groupBy("symbol", month.alias("month")).agg((F.sum(c * F.col("volume")) > 100_000).alias("member"))
+    members = bars.groupBy("symbol", month.alias("month")).agg((F.sum(col.close * F.col("volume")) > 100_000).alias("member"))
     return J.asof(bars.select("symbol", "ts"), members, ["symbol"], "ts", "month", ["member"])
 
 
 @add("J7_strict_past_asof", f"WITH {DAILY}, r AS (SELECT symbol, ts, close > ({sma('close', 20)}) AS up FROM bars) SELECT b.symbol, b.ts, r.up FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts > r.ts")
 def strict_past_asof(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    state = bars.select("symbol", "ts", (c > I.sma(c, 20)).alias("up"))
+    state = bars.select("symbol", "ts", (col.close > I.sma(col.close, 20)).alias("up"))
     return J.asof(bars.select("symbol", "ts"), state, ["symbol"], "ts", "ts", ["up"], strict=True)
 
 
@@ -93,17 +92,19 @@ def hour_of_week(spark, sf_dir):
     return bars.join(F.broadcast(typical), "how").select("symbol", "ts", "how", "typical")
 
 
-@add("J9_book_at_trade", f"WITH {BOOK}, t AS (SELECT event_id AS trade_id, symbol, ts FROM book WHERE event_id % 10 = 0), q AS (SELECT * FROM book WHERE event_id % 10 <> 0) SELECT trade_id, bid, ask FROM t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.ts >= q.ts")
+@add("J9_book_at_trade", f"WITH {BOOK}, q AS (SELECT symbol, ts, last(bid ORDER BY event_id) AS bid, last(ask ORDER BY event_id) AS ask FROM book GROUP BY 1, 2) SELECT t.event_id AS trade_id, q.bid, q.ask FROM book t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.ts > q.ts")
 def book_at_trade(spark, sf_dir):
+    """The book just before each trade; updates of one instant count as the last of them."""
     b = book(spark, sf_dir)
-    trades = b.where("event_id % 10 = 0").select(F.col("event_id").alias("trade_id"), "symbol", "ts")
-    return J.asof(trades, b.where("event_id % 10 <> 0"), ["symbol"], "ts", "ts", ["bid", "ask"]).select("trade_id", "bid", "ask")
+    quotes = b.groupBy("symbol", "ts").agg(F.max_by("bid", "event_id").alias("bid"), F.max_by("ask", "event_id").alias("ask"))
+    trades = b.select(F.col("event_id").alias("trade_id"), "symbol", "ts")
+    return J.asof(trades, quotes, ["symbol"], "ts", "ts", ["bid", "ask"], strict=True).select("trade_id", "bid", "ask")
 
 
-@add("J10_trade_through", f"WITH {BOOK} SELECT l.event_id, min(r.ts) AS hit_ts FROM book l LEFT JOIN book r ON l.symbol = r.symbol AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 3600 SECOND AND r.ask <= l.bid WHERE l.event_id % 5 = 0 GROUP BY l.event_id")
+@add("J10_trade_through", f"WITH {BOOK} SELECT l.event_id, min(r.ts) AS hit_ts FROM book l LEFT JOIN book r ON l.symbol = r.symbol AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 3600 SECOND AND r.ask <= l.bid GROUP BY l.event_id")
 def trade_through(spark, sf_dir):
     b = book(spark, sf_dir)
-    orders = b.where("event_id % 5 = 0").select("event_id", "symbol", F.col("ts").alias("placed"), F.col("bid").alias("limit_px"))
+    orders = b.select("event_id", "symbol", F.col("ts").alias("placed"), F.col("bid").alias("limit_px"))
     quotes = b.select("symbol", "ts", "ask")
     return J.within(orders, quotes, ["symbol"], "placed", "ts", 3600, F.col("ask") <= F.col("limit_px"), F.col("ts"), "hit_ts", "event_id").select("event_id", "hit_ts")
 
@@ -173,11 +174,11 @@ def exists(spark, sf_dir):
     return scan(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
 
 
-POS = "pos AS (SELECT symbol || '-' || strftime(ts, '%Y%m%d') AS id, symbol, ts AS entry_ts, close * 0.9::DOUBLE AS stop, close FROM bars WHERE day(ts) = 1 AND month(ts) % 6 = 1)"
+POS = "pos AS (SELECT symbol || '-' || strftime(ts, '%Y%m%d') AS id, symbol, ts AS entry_ts, close * 0.9::DOUBLE AS stop, close FROM bars WHERE day(ts) = 1 AND month(ts) IN (1, 7))"
 
 
 def positions(bars):
-    return bars.where((F.dayofmonth("ts") == 1) & (F.month("ts") % 6 == 1)).select(F.concat("symbol", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("id"), "symbol", ts.alias("entry_ts"), (c * 0.9).alias("stop"), "close")
+    return bars.where((F.dayofmonth("ts") == 1) & F.month("ts").isin(1, 7)).select(F.concat("symbol", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("id"), "symbol", col.ts.alias("entry_ts"), (col.close * 0.9).alias("stop"), "close")
 
 
 @add("J19_first_stop_breach", f"WITH {DAILY}, {POS} SELECT id, min(b.ts) AS breach_ts, {sql_rounded({'breach_low': 'arg_min(b.low, b.ts)'})} FROM pos LEFT JOIN bars b ON b.symbol = pos.symbol AND b.ts >= entry_ts AND b.low <= stop GROUP BY id")
@@ -240,8 +241,8 @@ def markouts(spark, sf_dir):
     """Move of the mid after 1 and 3 steps of the grid."""
     from quernstone.sources.bars import bin_start
 
-    mid = book(spark, sf_dir).groupBy("symbol", bin_start(ts, 3600).alias("bar")).agg(F.max_by((F.col("bid") + F.col("ask")) / 2, F.struct("ts", "event_id")).alias("mid")).withColumnRenamed("bar", "ts")
-    return mid.select("symbol", "ts", *rounded({f"after_{n}": F.lead("mid", n).over(I.BY_SYMBOL) - F.col("mid") for n in (1, 3)}))
+    mid = book(spark, sf_dir).groupBy("symbol", bin_start(col.ts, 3600).alias("bar")).agg(F.max_by((F.col("bid") + F.col("ask")) / 2, F.struct("ts", "event_id")).alias("mid")).withColumnRenamed("bar", "ts")
+    return mid.select("symbol", "ts", *rounded({f"after_{n}": F.lead("mid", n).over(I.series()) - F.col("mid") for n in (1, 3)}))
 
 
 @add("W27_latest_per_key", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -250,10 +251,11 @@ def latest_per_key(spark, sf_dir):
 
 
 # U: set operations
-@add("U1_union_keep_first", "SELECT key, src, price FROM (SELECT o_orderkey AS key, 0 AS src, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1, -o_totalprice FROM orders WHERE o_orderkey % 3 = 0) QUALIFY row_number() OVER (PARTITION BY key ORDER BY src) = 1")
+@add("U1_union_keep_first", "SELECT key, src, price FROM (SELECT o_orderkey AS key, 0 AS src, o_totalprice AS price FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT o_orderkey, 1, -o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'P')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY src) = 1")
 def union_keep_first(spark, sf_dir):
-    o = scan(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]).withColumnsRenamed({"o_orderkey": "key", "o_totalprice": "price"})
-    both = o.where("key % 2 = 0").withColumn("src", F.lit(0)).unionByName(o.where("key % 3 = 0").select("key", (-F.col("price")).alias("price"), F.lit(1).alias("src")))
+    o = scan(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus"]).withColumnsRenamed({"o_orderkey": "key", "o_totalprice": "price"})
+    first = o.where("o_orderstatus IN ('F', 'O')").select("key", "price", F.lit(0).alias("src"))
+    both = first.unionByName(o.where("o_orderstatus IN ('O', 'P')").select("key", (-F.col("price")).alias("price"), F.lit(1).alias("src")))
     return both.groupBy("key").agg(F.min_by(F.struct("src", "price"), "src").alias("r")).select("key", "r.src", "r.price")
 
 

@@ -13,6 +13,16 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+class _Columns:
+    """``col.close`` is the column close, made when asked for: modules must load without a session."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+col = _Columns()
+
+
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register the function below as query ``name``."""
 

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import scalars as S
 from quernstone.operators import joins as J
-from quernstone.queries.registry import add, rounded, sql_rounded
+from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.sources import store
 from quernstone.sources.bars import DAILY, HOURLY, ORDERS, daily_bars, event_bars, order_bars, resample, scan
 
-c, ts = F.col("close"), F.col("ts")
 
 
 @add("S_math", f"SELECT o_orderkey, {sql_rounded({'a': 'ln(o_totalprice)', 'b': 'sqrt(o_totalprice)', 'c': 'exp(-o_totalprice / 1e6)', 'd': 'sign(o_totalprice - 1e5) * abs(o_totalprice - 1e5)', 'e': 'sin(2 * pi() * (o_orderkey % 24) / 24)', 'f': 'least(greatest(o_totalprice / 111111.7, 0.5), 2)'})} FROM orders")
@@ -49,7 +48,7 @@ def s_tier(spark, sf_dir):
 
 @add("S_calendar", "SELECT event_id, time_bucket(INTERVAL 4 HOUR, ts)::TIMESTAMP AS open_ts, (time_bucket(INTERVAL 4 HOUR, ts) + INTERVAL 4 HOUR)::TIMESTAMP AS close_ts, date_trunc('week', ts)::TIMESTAMP AS week, hour(ts)::INT AS h, (isodow(ts) - 1)::INT AS wd FROM events")
 def s_calendar(spark, sf_dir):
-    return scan(spark, sf_dir, "events").select("event_id", S.floor_to(ts, "4h").alias("open_ts"), S.next_close(ts, "4h").alias("close_ts"), S.week_start(ts).alias("week"), F.hour("ts").alias("h"), F.weekday("ts").alias("wd"))
+    return scan(spark, sf_dir, "events").select("event_id", S.floor_to(col.ts, "4h").alias("open_ts"), S.next_close(col.ts, "4h").alias("close_ts"), S.week_start(col.ts).alias("week"), F.hour("ts").alias("h"), F.weekday("ts").alias("wd"))
 
 
 @add("S_string", f"SELECT doc_id, {sql_rounded({'n': chr(39).join(['CASE WHEN regexp_extract(text, ', '(-?[0-9]+(?:[.][0-9]+)?)', ', 1) = ', '', ' THEN NULL WHEN regexp_extract(text, ', '(-?[0-9]+(?:[.][0-9]+)?)[ ]?(%)?', ', 2) = ', '%', ' THEN regexp_extract(text, ', '(-?[0-9]+(?:[.][0-9]+)?)', ', 1)::DOUBLE / 100 ELSE regexp_extract(text, ', '(-?[0-9]+(?:[.][0-9]+)?)', ', 1)::DOUBLE END'])}, 4)}, lower(source) LIKE '%1%' AS one FROM documents")
@@ -81,9 +80,9 @@ def s_classification(spark, sf_dir):
 
 @add("S_delta", f"WITH {DAILY}, x AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) SELECT symbol, ts, {sql_rounded({'amount': 'close - p', 'pct': '(close - p) / nullif(p, 0)'})}, CASE WHEN close - p > 0 THEN 'up' WHEN close - p < 0 THEN 'down' ELSE 'flat' END AS tone FROM x")
 def s_delta(spark, sf_dir):
-    from quernstone.functions.indicators import BY_SYMBOL
+    from quernstone.functions.indicators import series
 
-    d, p, tone = S.change(c, F.lag("close").over(BY_SYMBOL))
+    d, p, tone = S.change(col.close, F.lag("close").over(series()))
     return daily_bars(spark, sf_dir).select("symbol", "ts", *rounded({"amount": d, "pct": p}), tone.alias("tone"))
 
 
@@ -95,10 +94,10 @@ def src1(spark, sf_dir):
     return store.span(cache.where("symbol = 'AF'"), "1997-01-01", "1999-01-01")
 
 
-@add("SRC2_landing_dedupe", "SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS h, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, ts FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0)) GROUP BY 1, 2")
+@add("SRC2_landing_dedupe", "SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS h, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, ts FROM (SELECT * FROM events UNION ALL SELECT * FROM events)) GROUP BY 1, 2")
 def src2(spark, sf_dir):
     e = scan(spark, sf_dir, "events")
-    landed = e.unionByName(e.where("event_id % 3 = 0")).dropDuplicates(["event_id", "event_type", "ts"])
+    landed = e.unionByName(e).dropDuplicates(["event_id", "event_type", "ts"])
     return landed.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count("*").alias("n"))
 
 
@@ -123,9 +122,9 @@ def src6(spark, sf_dir):
     return store.manifest(daily_bars(spark, sf_dir), ["symbol"]).drop("fingerprint")
 
 
-@add("SRC7_rows_to_frame", "SELECT event_type, (epoch_ms(ts) // 60000 * 60000) AS ts_ms, make_timestamp(epoch_ms(ts) // 60000 * 60000 * 1000) AS ts, min(event_id) AS event_id FROM events GROUP BY ALL")
+@add("SRC7_rows_to_frame", "SELECT event_type, (epoch_us(ts) // 60000000 * 60000) AS ts_ms, make_timestamp(epoch_us(ts) // 60000000 * 60000000) AS ts, min(event_id) AS event_id FROM events GROUP BY ALL")
 def src7(spark, sf_dir):
-    minute = F.floor(F.unix_micros(ts.cast("timestamp")) / 60_000_000).cast("long") * 60_000
+    minute = F.floor(F.unix_micros(col.ts.cast("timestamp")) / 60_000_000).cast("long") * 60_000
     raw = scan(spark, sf_dir, "events").select("event_type", minute.alias("ts_ms"), "event_id")
     return store.from_epoch_ms(raw, ["event_type"], "event_id").select("event_type", "ts_ms", "ts", "event_id")
 
@@ -140,7 +139,7 @@ def src8(spark, sf_dir):
 @add("SRC9_pair_loader", f"WITH {DAILY} SELECT a.ts, a.open AS a_open, a.close AS a_close, b.open AS b_open, b.close AS b_close FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'AO' AND b.symbol = 'RO'")
 def src9(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    leg = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("open").alias(f"{n}_open"), c.alias(f"{n}_close"))
+    leg = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("open").alias(f"{n}_open"), col.close.alias(f"{n}_close"))
     return leg("AO", "a").join(leg("RO", "b"), "ts")
 
 
@@ -154,7 +153,7 @@ def src10(spark, sf_dir):
 
 @add("SRC11_stamp_rounding", "SELECT event_id, date_trunc('hour', ts + INTERVAL 30 MINUTE)::TIMESTAMP AS stamp FROM events")
 def src11(spark, sf_dir):
-    return scan(spark, sf_dir, "events").select("event_id", F.date_trunc("hour", ts + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("stamp"))
+    return scan(spark, sf_dir, "events").select("event_id", F.date_trunc("hour", col.ts + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("stamp"))
 
 
 @add("SRC12_asset_class", "SELECT s AS symbol, CASE WHEN s IN ('EUR/USD') THEN 'forex' WHEN contains(s, '/') THEN 'crypto' ELSE 'equity' END AS asset FROM (VALUES ('EUR/USD'), ('BTC/USDT'), ('AAPL')) v(s)")
@@ -194,7 +193,7 @@ def src17(spark, sf_dir):
 def src18(spark, sf_dir):
     """Upsert as union and newest by key."""
     o = scan(spark, sf_dir, "orders")
-    newest = J.latest(o.where("o_orderkey % 2 = 0").unionByName(o.where("o_orderkey % 2 = 1")), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    newest = J.latest(o.unionByName(o), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
     return newest.select("o_custkey", F.col("o_orderkey").alias("last_order")).join(o.groupBy("o_custkey").agg(F.count("*").alias("orders")), "o_custkey")
 
 
@@ -220,10 +219,10 @@ def f12(spark, sf_dir):
     return scan(spark, sf_dir, "documents", ["doc_id", "text"]).where(F.length(F.trim("text")) >= 200).select("doc_id")
 
 
-@add("SRC22_row_chain", "SELECT 'lineitem' AS tbl, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 20) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey < 20 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey < 20")
+@add("SRC22_row_chain", "SELECT 'lineitem' AS tbl, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'")
 def src22(spark, sf_dir):
     """The rows that hang on some customers, level by level."""
-    cu = scan(spark, sf_dir, "customer").where("c_custkey < 20")
+    cu = scan(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     o = scan(spark, sf_dir, "orders").join(cu, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     l = scan(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     count = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("tbl"), "n")

@@ -14,11 +14,10 @@ from quernstone.operators.sequential import ordered_scan
 from quernstone.plans import spec as P
 from quernstone.queries.aggregates import SIG, TRADES, signals, vector_run, vector_trades
 from quernstone.queries.joins import book
-from quernstone.queries.registry import add, rounded, sql_rounded
+from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import RUN, W, sma
 from quernstone.sources.bars import DAILY, daily_bars, event_bars, scan
 
-c, ts = F.col("close"), F.col("ts")
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
@@ -103,7 +102,7 @@ def sp12(spark, sf_dir):
 @add("E8_per_trade_ratchet", f"WITH {TRADES}, r AS (SELECT *, sum(entered::INT) {RUN} AS trade FROM run) SELECT symbol, ts, max(high) OVER (PARTITION BY symbol, trade ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top FROM r WHERE held = 1")
 def e8(spark, sf_dir):
     """Running extremum since the trade's entry."""
-    run = vector_run(spark, sf_dir).withColumn("trade", F.sum(F.col("entered").cast("int")).over(I.running(I.BY_SYMBOL))).where("held = 1")
+    run = vector_run(spark, sf_dir).withColumn("trade", F.sum(F.col("entered").cast("int")).over(I.running(I.series()))).where("held = 1")
     return run.select("symbol", "ts", F.max("high").over(I.running(Window.partitionBy("symbol", "trade").orderBy("ts"))).alias("top"))
 
 
@@ -118,7 +117,7 @@ def b4(spark, sf_dir):
 @add("B8_funding_cashflow", f"WITH {DAILY} SELECT symbol, ts, -(volume / 10) * close * ((day(ts) % 5 - 2) / 1e4::DOUBLE) AS flow FROM bars")
 def b8(spark, sf_dir):
     rate = (F.dayofmonth("ts") % 5 - 2) / F.lit(1e4)
-    return daily_bars(spark, sf_dir).select("symbol", "ts", (-(F.col("volume") / 10) * c * rate).alias("flow"))
+    return daily_bars(spark, sf_dir).select("symbol", "ts", (-(F.col("volume") / 10) * col.close * rate).alias("flow"))
 
 
 def perp_shown(df):
@@ -126,14 +125,14 @@ def perp_shown(df):
 
 
 def funded(bars):
-    """A funding rate every third day, and a mark at the close."""
-    return bars.withColumn("mark", c).withColumn("funding", F.when(F.dayofyear("ts") % 3 == 0, (F.dayofmonth("ts") % 7 - 3) / 1e4))
+    """A funding rate on three days a week, and a mark at the close."""
+    return bars.withColumn("mark", col.close).withColumn("funding", F.when(F.weekday("ts").isin(0, 2, 4), (F.dayofmonth("ts") % 7 - 3) / 1e4))
 
 
 @add("B5_perp_pair")
 def b5(spark, sf_dir):
     bars = funded(daily_bars(spark, sf_dir))
-    leg = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("open").alias(f"{n}o"), c.alias(f"{n}c"), F.col("mark").alias(f"{n}m"), F.col("funding").alias(f"{n}f"))
+    leg = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("open").alias(f"{n}o"), col.close.alias(f"{n}c"), F.col("mark").alias(f"{n}m"), F.col("funding").alias(f"{n}f"))
     pair = leg("AF", "a").join(leg("NO", "b"), "ts").withColumn("symbol", F.lit("AF/NO"))
     pair = pair.withColumn("z", I.zscore(F.ln("ac") - F.ln("bc"), 20))
     return perp_shown(ordered_scan(pair, ["symbol"], ["ts"], ["ts", "ao", "ac", "am", "af", "bo", "bc", "bm", "bf", "z"], lambda k: S.PairTrader(entry=1.5), S.PERP_TRADES))
@@ -164,14 +163,14 @@ def b11(spark, sf_dir):
 @add("B12_trend_state")
 def b12(spark, sf_dir):
     x = with_indicators(daily_bars(spark, sf_dir), {"fast": ("ema", {"n": 20}), "slow": ("ema", {"n": 50}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
-    x = x.withColumn("top", I.highest(F.col("high"), 20)).withColumn("breakout", F.lag("top").over(I.BY_SYMBOL)).withColumn("member", F.col("volume") > 20)
+    x = x.withColumn("top", I.highest(F.col("high"), 20)).withColumn("breakout", F.lag("top").over(I.series())).withColumn("member", F.col("volume") > 20)
     return ordered_scan(x, ["symbol"], ["ts"], ["ts", "close", "fast", "slow", "breakout", "atr", "member"], lambda k: S.TrendState(), "ts timestamp_ntz, inside int")
 
 
 @add("B14_edge_gate")
 def b14(spark, sf_dir):
     x = with_indicators(daily_bars(spark, sf_dir), {"rsi": ("rsi", {"n": 14}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV).where("rsi IS NOT NULL")
-    x = x.withColumn("p", 0.3 + F.col("rsi") / 250).withColumn("edge", (2 * F.col("p") - 1) * F.col("atr") / c * 1e4).withColumn("ev", F.col("edge") - 20 - 5)
+    x = x.withColumn("p", 0.3 + F.col("rsi") / 250).withColumn("edge", (2 * F.col("p") - 1) * F.col("atr") / col.close * 1e4).withColumn("ev", F.col("edge") - 20 - 5)
     return ordered_scan(x, ["symbol"], ["ts"], ["ts", "close", "p", "edge", "ev", "atr"], lambda k: S.EdgeGate(), "ts timestamp_ntz, action string, reason string, inside int")
 
 
@@ -204,7 +203,7 @@ def w23(spark, sf_dir):
 @add("W22_spread_estimate", f"WITH {DAILY}, e AS (SELECT symbol, ts, ln(close) AS c, (ln(high) + ln(low)) / 2 AS eta FROM bars), q AS (SELECT *, greatest((lag(c) {W} - lag(eta) {W}) * (lag(c) {W} - eta), 0) AS v FROM e) SELECT symbol, ts, {sql_rounded({'bps': 'CASE WHEN count(v) OVER w >= 30 THEN sqrt(4 * avg(v) OVER w) * 1e4 END'}, 4)} FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING)")
 def w22(spark, sf_dir):
     """Close-high-low spread, each term moved one bar back so that nothing looks ahead."""
-    w = I.BY_SYMBOL
+    w = I.series()
     e = daily_bars(spark, sf_dir).select("symbol", "ts", F.ln("close").alias("c"), ((F.ln("high") + F.ln("low")) / 2).alias("eta"))
     pc, pe = F.lag("c").over(w), F.lag("eta").over(w)
     e = e.withColumn("v", F.when(pc.isNotNull(), F.greatest((pc - pe) * (pc - F.col("eta")), F.lit(0.0))).otherwise(0.0))
@@ -215,7 +214,7 @@ def w22(spark, sf_dir):
 @add("B16_taker")
 def b16(spark, sf_dir):
     """The strongest tenth of the events, far enough apart, each priced at the ask then and the bid an hour later."""
-    b = book(spark, sf_dir).withColumn("micros", F.unix_micros(ts.cast("timestamp"))).withColumn("score", F.col("bq") - F.col("aq"))
+    b = book(spark, sf_dir).withColumn("micros", F.unix_micros(col.ts.cast("timestamp"))).withColumn("score", F.col("bq") - F.col("aq"))
     gate = b.agg(F.percentile(F.abs("score"), F.lit(0.9)).alias("q"))
     strong = b.join(F.broadcast(gate)).where(F.abs("score") >= F.col("q"))
     taken = ordered_scan(strong, ["symbol"], ["ts", "event_id"], ["micros", "event_id", "ask"], lambda k: S.Cooldown(600, 20), "micros long, event_id long, entry double")
@@ -226,7 +225,7 @@ def b16(spark, sf_dir):
 
 @add("K4_cooldown")
 def k4(spark, sf_dir):
-    e = scan(spark, sf_dir, "events").withColumn("micros", F.unix_micros(ts.cast("timestamp")))
+    e = scan(spark, sf_dir, "events").withColumn("micros", F.unix_micros(col.ts.cast("timestamp")))
     return ordered_scan(e, ["event_type"], ["ts", "event_id"], ["micros", "event_id"], lambda k: S.Cooldown(1800, 30), "micros long, event_id long")
 
 
@@ -241,10 +240,10 @@ def b17(spark, sf_dir):
 def x10(spark, sf_dir):
     """The research features of each bar in one table: windows over one scan."""
     x = with_indicators(event_bars(spark, sf_dir), {"ema": ("ema", {"n": 20, "warm": False}), "rsi": ("rsi", {"n": 14, "research": True}), "atr": ("research_atr", {"n": 14}), "macd": ("macd", {})}, carry=OHLCV)
-    x = x.withColumn("r", I.log_return(c))
-    cols = {f"ret_{n}": I.log_return(c, n) for n in (1, 3, 6, 12, 24)}
+    x = x.withColumn("r", I.log_return(col.close))
+    cols = {f"ret_{n}": I.log_return(col.close, n) for n in (1, 3, 6, 12, 24)}
     cols |= {f"vol_{n}": I.realised_vol(F.col("r"), n) for n in (24, 72)}
-    cols |= {"ema_gap": c / F.col("ema") - 1, "rsi": F.col("rsi"), "atr_pct": F.col("atr") / c, "macd": F.col("macd_histogram")}
-    cols |= {"percent_b": I.percent_b(c, 20, 2.0), "donchian": I.donchian_position(c, F.col("high"), F.col("low"), 20), "volume_z": I.zscore(F.col("volume"), 20)}
+    cols |= {"ema_gap": col.close / F.col("ema") - 1, "rsi": F.col("rsi"), "atr_pct": F.col("atr") / col.close, "macd": F.col("macd_histogram")}
+    cols |= {"percent_b": I.percent_b(col.close, 20, 2.0), "donchian": I.donchian_position(col.close, F.col("high"), F.col("low"), 20), "volume_z": I.zscore(F.col("volume"), 20)}
     cols |= dict(zip(("hour_sin", "hour_cos"), I.cyclic(F.hour("ts"), 24))) | dict(zip(("day_sin", "day_cos"), I.cyclic(F.weekday("ts"), 7)))
     return x.select("symbol", "ts", *rounded(cols))

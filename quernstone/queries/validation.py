@@ -12,11 +12,10 @@ from quernstone.operators import joins as J
 from quernstone.plans import validation as V
 from quernstone.queries.aggregates import BPS, SIG, TRADES, WEIGHTS, vector_run, vector_trades, weights
 from quernstone.queries.joins import CELLS, FOLDS, cells, folds
-from quernstone.queries.registry import add, rounded, sql_rounded
+from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import W, sma
 from quernstone.sources.bars import DAILY, daily_bars, scan
 
-c, ts = F.col("close"), F.col("ts")
 
 
 def engine_sql(src: str, keys: str, prefix: str = "z") -> str:
@@ -37,7 +36,7 @@ def v1(spark, sf_dir):
     """Each window on its own: indicators start anew in it."""
     w = Window.partitionBy("fold", "symbol").orderBy("ts")
     held = J.in_windows(daily_bars(spark, sf_dir), folds(spark), "ts", "start", "end")
-    run = G.vector_backtest(held.withColumn("pos", C.compare(I.sma(c, 5, w), ">", I.sma(c, 20, w)).cast("int")), BPS, keys=("fold", "symbol"))
+    run = G.vector_backtest(held.withColumn("pos", C.compare(I.sma(col.close, 5, w), ">", I.sma(col.close, 20, w)).cast("int")), BPS, keys=("fold", "symbol"))
     return V.run_return(run, ["fold", "symbol"]).select("fold", "symbol", *rounded({"total": F.col("total")}))
 
 
@@ -52,7 +51,7 @@ def f11(spark, sf_dir):
 def f9(spark, sf_dir):
     f = V.folds(spark, "1996-01-01", 365, 30, 30, 30, 12)
     held = J.in_windows(daily_bars(spark, sf_dir).select("symbol", "ts"), f, "ts", "train_start", "test_end")
-    part = lambda a, b: F.count_if((ts >= F.col(a)) & (ts < F.col(b)))
+    part = lambda a, b: F.count_if((col.ts >= F.col(a)) & (col.ts < F.col(b)))
     return held.groupBy("fold", "symbol").agg(part("train_start", "train_end").alias("train"), part("val_start", "val_end").alias("val"), part("test_start", "test_end").alias("test"))
 
 
@@ -85,7 +84,7 @@ MA = {n: f"m{n}" for n in (5, 10, 20, 30, 40)}
 @add("V3_grid_execution", f"WITH {DAILY}, {GRID}, ma AS (SELECT symbol, ts, open, {', '.join(f'{sma(chr(99) + chr(108) + chr(111) + chr(115) + chr(101), n)} AS m{n}' for n in MA)} FROM bars), s AS (SELECT fast, slow, symbol, ts, open, coalesce(CASE fast WHEN 5 THEN m5 ELSE m10 END > CASE slow WHEN 20 THEN m20 WHEN 30 THEN m30 ELSE m40 END, false)::INT AS pos FROM ma, grid), {engine_sql('s', 'fast, slow, symbol')} SELECT fast, slow, symbol, {sql_rounded({'total': 'exp(sum(ln(1 + r))) - 1'})} FROM zr GROUP BY 1, 2, 3")
 def v3(spark, sf_dir):
     """Every average once, then all cells side by side."""
-    ma = daily_bars(spark, sf_dir).select("symbol", "ts", "open", *[I.sma(c, n).alias(m) for n, m in MA.items()])
+    ma = daily_bars(spark, sf_dir).select("symbol", "ts", "open", *[I.sma(col.close, n).alias(m) for n, m in MA.items()])
     grid = spark.createDataFrame([(f, s) for f in (5, 10) for s in (20, 30, 40)], "fast int, slow int")
     fast = F.when(F.col("fast") == 5, F.col("m5")).otherwise(F.col("m10"))
     slow = F.when(F.col("slow") == 20, F.col("m20")).when(F.col("slow") == 30, F.col("m30")).otherwise(F.col("m40"))
@@ -105,7 +104,7 @@ pp AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY sim, symbol ORDER BY ts)
 def v4(spark, sf_dir):
     paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, 4))
     w = Window.partitionBy("sim", "symbol").orderBy("ts")
-    run = G.vector_backtest(paths.withColumn("pos", C.compare(I.sma(c, 10, w), ">", I.sma(c, 30, w)).cast("int")), BPS, keys=("sim", "symbol"))
+    run = G.vector_backtest(paths.withColumn("pos", C.compare(I.sma(col.close, 10, w), ">", I.sma(col.close, 30, w)).cast("int")), BPS, keys=("sim", "symbol"))
     return run.groupBy("sim", "symbol").agg(*rounded({"log_total": F.sum(F.ln(F.col("r") + 1))}, 4))
 
 
@@ -164,7 +163,7 @@ def v11(spark, sf_dir):
 def v12(spark, sf_dir):
     """As many entries as the strategy had, at random bars, held ten bars."""
     n = vector_trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
-    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.BY_SYMBOL).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, 4))
+    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, 4))
     order = Window.partitionBy("sim", "symbol").orderBy(V.draw(F.col("sim"), F.col("symbol"), F.date_format("ts", "yyyy-MM-dd")), "ts")
     drawn = e.withColumn("k", F.row_number().over(order)).join(n, "symbol").where("k <= n")
     return drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), *rounded({"mean": F.avg(F.col("exit_open") / F.col("open") - 1)}, 5))
@@ -219,7 +218,7 @@ OLS = f"o AS (SELECT symbol, ts, ln(close) - ln(lag(close) {W}) AS x, ln(lead(cl
 @add("V17_predictability", f"WITH {DAILY}, {OLS}, b AS (SELECT symbol, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM o WHERE train GROUP BY 1), t AS (SELECT symbol, y, a + b * x AS p FROM o JOIN b USING (symbol) WHERE NOT train AND x IS NOT NULL AND y IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY y) AS ry, rank() OVER (PARTITION BY symbol ORDER BY p) AS rp FROM t) SELECT symbol, {sql_rounded({'r2': '1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*))', 'ic': 'corr(ry, rp)'}, 4)} FROM k GROUP BY 1")
 def v17(spark, sf_dir):
     """Next return on the last one: fitted on the first 70%, judged on the rest."""
-    x = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(c).alias("x"), I.forward_label(c, 1).alias("y"), (F.percent_rank().over(I.BY_SYMBOL) < 0.7).alias("train"))
+    x = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(col.close).alias("x"), I.forward_label(col.close, 1).alias("y"), (F.percent_rank().over(I.series()) < 0.7).alias("train"))
     fit = x.where("train").groupBy("symbol").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     t = x.where("NOT train AND x IS NOT NULL AND y IS NOT NULL").join(fit, "symbol").withColumn("p", F.col("a") + F.col("b") * F.col("x"))
     t = t.withColumn("ry", F.rank().over(Window.partitionBy("symbol").orderBy("y"))).withColumn("rp", F.rank().over(Window.partitionBy("symbol").orderBy("p")))
@@ -239,13 +238,13 @@ def v9(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    x = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(c).alias("r1"), I.log_return(c, 5).alias("r5"), I.zscore(c, 20).alias("z"), (I.forward_label(c, 1) > 0).cast("double").alias("label")).dropna()
+    x = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(col.close).alias("r1"), I.log_return(col.close, 5).alias("r5"), I.zscore(col.close, 20).alias("z"), (I.forward_label(col.close, 1) > 0).cast("double").alias("label")).dropna()
     x = VectorAssembler(inputCols=["r1", "r5", "z"], outputCol="features").transform(x)
     f = V.folds(spark, "1996-01-01", 365, 30, 90, 365, 3)
     out = None
     for row in f.collect():  # the folds of a plan
-        train = x.where((ts >= F.lit(row["train_start"])) & (ts < F.lit(row["train_end"])))
-        test = x.where((ts >= F.lit(row["test_start"])) & (ts < F.lit(row["test_end"])))
+        train = x.where((col.ts >= F.lit(row["train_start"])) & (col.ts < F.lit(row["train_end"])))
+        test = x.where((col.ts >= F.lit(row["test_start"])) & (col.ts < F.lit(row["test_end"])))
         got = LogisticRegression(maxIter=20, regParam=0.01).fit(train).transform(test).groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
         got = got.select(F.lit(row["fold"]).alias("fold"), "symbol", "n", *rounded({"accuracy": F.col("accuracy")}, 4))
         out = got if out is None else out.unionByName(got)
@@ -254,5 +253,5 @@ def v9(spark, sf_dir):
 
 @add("F10_dataset_rows", f"WITH {DAILY} SELECT symbol, count(*) AS n FROM (SELECT symbol, {sma('close', 20)} AS m, ln(lead(close, 5) {W}) - ln(close) AS y FROM bars) WHERE m IS NOT NULL AND y IS NOT NULL GROUP BY 1")
 def f10(spark, sf_dir):
-    x = daily_bars(spark, sf_dir).select("symbol", I.sma(c, 20).alias("m"), I.forward_label(c, 5).alias("y"))
+    x = daily_bars(spark, sf_dir).select("symbol", I.sma(col.close, 20).alias("m"), I.forward_label(col.close, 5).alias("y"))
     return x.dropna().groupBy("symbol").agg(F.count("*").alias("n"))
