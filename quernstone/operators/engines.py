@@ -51,7 +51,8 @@ def portfolio_backtest(weights: DataFrame, per_side_bps: float) -> DataFrame:
 
 def target_weights(signals: DataFrame, vol: str, target_vol: float, cap: float, gross_cap: float) -> DataFrame:
     """Volatility-targeted weights of symbols in position, each capped, scaled down where a time's sum passes the gross cap."""
-    raw = F.when(F.col("pos") == 1, F.least(F.lit(target_vol) / F.nullif(F.col(vol), F.lit(0.0)), F.lit(cap))).otherwise(F.lit(0.0))
-    out = signals.withColumn("w", F.coalesce(raw, F.lit(0.0)))
+    known = F.nullif(F.col(vol), F.lit(0.0)).isNotNull()  # least() would pass over a missing one
+    raw = F.when((F.col("pos") == 1) & known, F.least(F.lit(target_vol) / F.nullif(F.col(vol), F.lit(0.0)), F.lit(cap))).otherwise(F.lit(0.0))
+    out = signals.withColumn("w", raw)
     total = F.sum("w").over(Window.partitionBy("ts"))
     return out.withColumn("w", F.when(total > gross_cap, F.col("w") * gross_cap / total).otherwise(F.col("w")))

@@ -211,7 +211,7 @@ def a14(spark, sf_dir):
     return M.monthly_profit_factor(vector_run(spark, sf_dir)).select("symbol", "months", *rounded({"profit_factor": F.col("profit_factor")}))
 
 
-WEIGHTS = f"{SIG}, wv AS (SELECT *, CASE WHEN pos = 1 THEN least(0.2 / nullif({sd('close', 20)}, 0) * close, 0.4) ELSE 0 END AS w0 FROM sig), w1 AS (SELECT symbol, ts, open, coalesce(w0, 0)::DOUBLE AS w0 FROM wv), wt AS (SELECT *, CASE WHEN sum(w0) OVER (PARTITION BY ts) > 1 THEN w0 / sum(w0) OVER (PARTITION BY ts) ELSE w0 END AS w FROM w1)"
+WEIGHTS = f"{SIG}, wv AS (SELECT *, CASE WHEN pos = 1 AND nullif({sd('close', 20)}, 0) IS NOT NULL THEN least(0.2 / nullif({sd('close', 20)}, 0) * close, 0.4) ELSE 0 END AS w0 FROM sig), w1 AS (SELECT symbol, ts, open, coalesce(w0, 0)::DOUBLE AS w0 FROM wv), wt AS (SELECT *, CASE WHEN sum(w0) OVER (PARTITION BY ts) > 1 THEN w0 / sum(w0) OVER (PARTITION BY ts) ELSE w0 END AS w FROM w1)"
 
 
 def weights(spark, sf_dir):

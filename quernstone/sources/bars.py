@@ -27,10 +27,24 @@ def bin_start(ts: Column, seconds: int) -> Column:
     return F.timestamp_micros(F.floor(micros / (seconds * 1_000_000)).cast("long") * (seconds * 1_000_000)).cast("timestamp_ntz")
 
 
-def ticks_to_bars(ticks: DataFrame, seconds: int, order: list[str]) -> DataFrame:
-    """Bars of (symbol, ts, price, volume) ticks; ``order`` breaks ties of ts. One shuffle, combined before it."""
-    first = F.struct(F.col("ts"), *order)
-    binned = ticks.withColumn("_bin", bin_start(F.col("ts"), seconds)).withColumn("_at", first)
+def packed(ts: Column, seconds: int, order: list[tuple[str, int]]) -> Column:
+    """Place inside the bin, then ``order`` columns of so many digits each, as one number.
+
+    A number can be kept in place while rows are hashed together; a struct would have Spark
+    sort all ticks before it combines them. The order must tell ticks of one instant apart.
+    """
+    digits = len(str(seconds * 1_000_000)) + sum(n for _, n in order)
+    if digits > 38:
+        raise ValueError(f"the order takes {digits} digits; a decimal holds 38")
+    out = (F.unix_micros(ts.cast("timestamp")) % (seconds * 1_000_000)).cast("decimal(38,0)")
+    for name, n in order:
+        out = (out * F.lit(10**n).cast("decimal(38,0)") + F.col(name)).cast("decimal(38,0)")
+    return out
+
+
+def ticks_to_bars(ticks: DataFrame, seconds: int, order: list[tuple[str, int]]) -> DataFrame:
+    """Bars of (symbol, ts, price, volume) ticks; ``order`` (column, digits) breaks ties of ts. One shuffle, combined before it."""
+    binned = ticks.withColumn("_bin", bin_start(F.col("ts"), seconds)).withColumn("_at", packed(F.col("ts"), seconds, order))
     return (
         binned.groupBy("symbol", F.col("_bin").alias("bar"))
         .agg(
@@ -67,9 +81,9 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("volume"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_linenumber", "l_partkey",
     )
-    return ticks_to_bars(ticks, TIMEFRAMES["1d"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"])
+    return ticks_to_bars(ticks, TIMEFRAMES["1d"], [("l_orderkey", 13), ("l_linenumber", 1), ("l_partkey", 12)])
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,20 +91,20 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = scan(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), "o_orderkey"
     )
-    return ticks_to_bars(ticks, TIMEFRAMES["1d"], ["o_orderkey", "price"])
+    return ticks_to_bars(ticks, TIMEFRAMES["1d"], [("o_orderkey", 18)])
 
 
 def event_bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
     """Intraday bars of events: a symbol for each event type."""
     ticks = scan(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("volume"), "event_id")
-    return ticks_to_bars(ticks, TIMEFRAMES[timeframe], ["event_id"])
+    return ticks_to_bars(ticks, TIMEFRAMES[timeframe], [("event_id", 18)])
 
 
 # The same bars in SQL, for the oracle.
 DAILY = """bars AS (SELECT l_returnflag || l_linestatus AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts,
-  first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS open,
+  first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS open,
   max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-  last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS close,
+  last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS close,
   sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 ORDERS = """bars AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS ts,
   first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
