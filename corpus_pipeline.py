@@ -9,6 +9,8 @@ from quernstone.llm import decontam, mixing, sharding, simhash, toxicity
 from quernstone.llm.common import n_words, table, written
 
 SHARDS = 16
+#: Differing bits of fingerprints of distinct words up to which documents are near copies.
+NEAR_BITS = 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the least id."""
-    return simhash.dedup(docs)
+    """One document of each SimHash group stays, that of the least id.
+
+    Texts alike in 0.8 of their five-word shingles differ in about 10 of 64 bits if the
+    fingerprint is of these shingles, more than shards can search. Of distinct words it is
+    ``NEAR_BITS`` or fewer, while texts that share a passage only lie beyond.
+    """
+    return simhash.dedup(docs, shingle=1, radius=NEAR_BITS, repeats=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """SimHash near-dedup with BK-trees.
 
 A text's fingerprint has bit b set if most of its shingle hashes have. Two fingerprints link
-if they differ in at most ``radius`` bits. Of four blocks of 16 bits two differing bits leave
-two untouched, so each distinct fingerprint goes to the six shards named by a pair of
-blocks and their 32 bits, and any link lies in one of these. Each shard is a BK-tree:
-a node's children are keyed by their Hamming distance to it, and a query follows only the
-edges within the radius of its own distance. All trees of a batch are built and searched
-together, level by level, with array operations.
-
-A shard gives a link to the root of each local group, never all its pairs; groups are
-joined across shards by star contraction on written tables. Copies meet as one fingerprint
-before any of this.
+if they differ in at most ``radius`` bits. The bits are cut into ``radius + SPARE`` blocks, of
+which that many differing bits leave ``SPARE`` untouched; so each distinct fingerprint goes to
+the shards named by ``SPARE`` of its blocks and their bits, and any link lies in one of
+these. Each shard is a BK-tree: a node's children are keyed by their Hamming distance to it,
+and a query follows only the edges within the radius of its own distance. All trees of a
+batch are built and searched together, level by level, with array operations.
+
+A shard gives a link to the root of each local group, never all its pairs, and a search
+leaves out subtrees whose nodes have all joined the query's own group, so a large group of
+near copies is not compared pair by pair. Groups are joined across shards by star
+contraction on written tables. Copies meet as one fingerprint before any of this.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import free_name, table, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-BLOCKS, BLOCK_BITS = 4, 16
+#: Blocks that a link surely leaves untouched; with more of them shards are smaller and more in number.
+SPARE = 2
+#: First fingerprints of each shard that are searched before all others, so that large groups meet early.
+LEADERS = 16
 #: Shingles hashed at once, and (query, node) pairs followed at once.
 SLICE_SHINGLES, SLICE_PAIRS = 500_000, 2_000_000
 
@@ -34,8 +38,11 @@ SLICE_SHINGLES, SLICE_PAIRS = 500_000, 2_000_000
 SPREAD = np.array([sum(1 << (8 * k) for k in range(8) if v >> k & 1) for v in range(256)], dtype=np.uint64)
 
 
-def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
-    """XXH64 of each run of n words, A-Z lower-cased and joined by blanks; of all words if there are fewer."""
+def shingle_hashes(text: str | None, n: int = SHINGLE, repeats: bool = True) -> list[int]:
+    """XXH64 of each run of n words, A-Z lower-cased and joined by blanks; of all words if there are fewer.
+
+    Without ``repeats`` equal runs count once.
+    """
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -45,24 +52,23 @@ def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
     joined = b" ".join(words)
     ends = [*itertools.accumulate(len(w) + 1 for w in words)]
     starts = [0, *ends[: len(words) - n]]
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[n - 1 :])]
+    runs = (joined[a : b - 1] for a, b in zip(starts, ends[n - 1 :]))
+    return [digest(r, SEED) for r in (runs if repeats else set(runs))]
 
 
-def fingerprints(texts: list[str | None], n: int = SHINGLE) -> np.ndarray:
+def fingerprints(texts: list[str | None], n: int = SHINGLE, repeats: bool = True) -> np.ndarray:
     """Fingerprints as unsigned 64-bit numbers; zero for texts without words."""
     out = np.zeros(len(texts), dtype=np.uint64)
     batch: list[tuple[int, int]] = []
     hashes: list[int] = []
     for i, text in enumerate(texts):
-        got = shingle_hashes(text, n)
+        got = shingle_hashes(text, n, repeats)
         if got:
             batch.append((i, len(got)))
             hashes += got
         if batch and (len(hashes) >= SLICE_SHINGLES or i == len(texts) - 1):
             out[[b[0] for b in batch]] = _majorities(np.array(hashes, dtype=np.uint64), np.array([b[1] for b in batch]))
             batch, hashes = [], []
-    if batch:
-        out[[b[0] for b in batch]] = _majorities(np.array(hashes, dtype=np.uint64), np.array([b[1] for b in batch]))
     return out
 
 
@@ -84,18 +90,21 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: Column, n: int = SHINGLE) -> Column:
+def fingerprint(text: Column, n: int = SHINGLE, repeats: bool = True) -> Column:
     """The fingerprint as a signed long with the same 64 bits. A null text counts as empty."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints([t if isinstance(t, str) else None for t in texts], n).view(np.int64))
+        return pd.Series(fingerprints([t if isinstance(t, str) else None for t in texts], n, repeats).view(np.int64))
 
     return of(text)
 
 
 class Forest:
-    """One BK-tree for each run of equal shard numbers. Fingerprints of a shard are distinct."""
+    """One BK-tree for each run of equal shard numbers. Fingerprints of a shard are distinct.
+
+    The first of a shard is its root, and each node comes before its children.
+    """
 
     def __init__(self, prints: np.ndarray, shard: np.ndarray):
         self.prints = prints
@@ -111,14 +120,30 @@ class Forest:
             kids.append(child)
             node[waiting] = child[back]
             waiting = np.delete(waiting, first)
+        #: Parents and children of each depth.
+        self.depths = [(k // 65, c) for k, c in zip(keys, kids)]
         keys = np.concatenate(keys) if keys else np.array([], dtype=np.int64)
         kids = np.concatenate(kids) if kids else np.array([], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.kids = keys[order], kids[order]
 
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) at most ``radius`` bits apart, level by level, without a query itself."""
+    def common(self, label: np.ndarray) -> np.ndarray:
+        """For each node the label that its whole subtree has, or -1."""
+        low, high = label.copy(), label.copy()
+        for parent, child in reversed(self.depths):
+            np.minimum.at(low, parent, low[child])
+            np.maximum.at(high, parent, high[child])
+        return np.where(low == high, low, -1)
+
+    def within(self, queries: np.ndarray, radius: int, label: np.ndarray, earlier: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) at most ``radius`` bits apart, level by level, without a query itself.
+
+        Subtrees all of the query's own label are left out; with ``earlier`` so are nodes
+        behind the query.
+        """
+        common = self.common(label)
         q, node = queries, self.root[queries]
+        q, node = (x[common[node] != label[q]] for x in (q, node))
         while q.size:
             d = np.bitwise_count(self.prints[q] ^ self.prints[node]).astype(np.int64)
             near = (d <= radius) & (q != node)
@@ -127,23 +152,38 @@ class Forest:
             n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right") - low
             at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             q, node = np.repeat(q, n), self.kids[at]
+            go = common[node] != label[q]
+            if earlier:
+                go &= node < q
+            q, node = q[go], node[go]
 
 
 def local_roots(prints: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the place of the first one of its group, by links inside its shard."""
+    """For each fingerprint the place of the first one of its group, by links inside its shard.
+
+    Each shard's leaders look at all of it; all others, a growing share at a time, look
+    only at those before them, and by then most of a large group has met.
+    """
     label = np.arange(len(prints))
     forest = Forest(prints, shard)
-    size = np.bincount(np.cumsum(np.append(True, shard[1:] != shard[:-1])) - 1)
-    work = np.cumsum(np.repeat(size, size))
-    cuts = [0, *np.searchsorted(work, np.arange(SLICE_PAIRS, work[-1], SLICE_PAIRS)).tolist(), len(prints)]
-    for a, b in zip(cuts, cuts[1:]):
-        for x, y in forest.within(np.arange(a, b), radius):
-            while (apart := label[x] != label[y]).any():
-                x, y = x[apart], y[apart]
-                lx, ly = label[x], label[y]
-                np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
-                while (up := label[label] != label).any():
-                    label[up] = label[label[up]]
+    new = np.append(True, shard[1:] != shard[:-1])
+    size = np.bincount(np.cumsum(new) - 1)
+    rank = np.arange(len(prints)) - np.repeat(np.flatnonzero(new), size)
+    turn = np.zeros(len(prints), dtype=np.int64)
+    turn[rank >= LEADERS] = 1 + np.log2(rank[rank >= LEADERS] // LEADERS).astype(np.int64)
+    of = np.repeat(size, size)
+    for t in range(int(turn.max()) + 1):
+        own = np.flatnonzero(turn == t)
+        work = np.cumsum(of[own])
+        cuts = [0, *np.searchsorted(work, np.arange(SLICE_PAIRS, work[-1], SLICE_PAIRS)).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:]):
+            for x, y in forest.within(own[a:b], radius, label.copy(), t > 0) if a < b else ():
+                while (apart := label[x] != label[y]).any():
+                    x, y = x[apart], y[apart]
+                    lx, ly = label[x], label[y]
+                    np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+                    while (up := label[label] != label).any():
+                        label[up] = label[label[up]]
     return label
 
 
@@ -179,29 +219,35 @@ def shard_links(radius: int):
     return run
 
 
-def shard_keys(fp: Column) -> Column:
-    """The six shard numbers of a fingerprint: 32 bits of two blocks, and which two."""
-    block = [F.shiftrightunsigned(fp, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    pairs = list(itertools.combinations(range(BLOCKS), 2))
-    return F.array(*[F.lit(k).cast("long") * (1 << 2 * BLOCK_BITS) + block[i] * (1 << BLOCK_BITS) + block[j] for k, (i, j) in enumerate(pairs)])
+def shard_keys(fp: Column, radius: int = RADIUS) -> Column:
+    """The shard numbers of a fingerprint: the bits of ``SPARE`` blocks, and which blocks."""
+    cuts = [64 * i // (radius + SPARE) for i in range(radius + SPARE + 1)]
+    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
+    keys = []
+    for k, chosen in enumerate(itertools.combinations(range(radius + SPARE), SPARE)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, cuts[i + 1] - cuts[i]) + block[i]
+        keys.append(key)
+    return F.array(*keys)
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """(fp, root) for each node of the graph: root is the least node of its component.
 
     Alternates large stars (larger neighbours move to the least neighbour) and small stars
-    (smaller ones do) until nothing moves. Every step is two windows over written edges.
+    (smaller ones do) until nothing moves. A node's least neighbour is summed before the
+    shuffle and joined back, so a hub of many edges can be split.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
-        by = Window.partitionBy("u")
-        return pairs.withColumn("m", F.least("u", F.min("v").over(by)))
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
     edges = edges.select(F.greatest("fp", "root").alias("u"), F.least("fp", "root").alias("v")).distinct()
     edges, told = written(edges, "sim-edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "sim-stars")
         small = least(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "sim-edges")
@@ -216,10 +262,10 @@ def groups(prints: DataFrame, id_col: str, fp: str, radius: int = RADIUS) -> Dat
 
     ``component`` is the least id of all rows that links reach, null ids left aside.
     """
-    if not 0 <= radius <= BLOCKS - 2:
-        raise ValueError(f"shards of two blocks find links of up to {BLOCKS - 2} bits, not {radius}")
+    if not 0 <= radius <= 32 - SPARE:
+        raise ValueError(f"a radius of 0 to {32 - SPARE} bits is what shards of untouched blocks serve, not {radius}")
     one = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least"), F.count("*").alias("rows")), "sim-prints")
-    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"))).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
     links = dealt.select("shard", "fp").mapInPandas(shard_links(radius), "fp long, root long")
     joined = contract(links)
     rooted = one.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -228,7 +274,7 @@ def groups(prints: DataFrame, id_col: str, fp: str, radius: int = RADIUS) -> Dat
     return rooted.join(least.where("group_rows > 1"), "root").select("fp", "root", "component")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, repeats: bool = True) -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``.
 
     Texts without words have fingerprint zero and link like any other. Rows of one
@@ -236,18 +282,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component. An empty table gives an empty one.
     """
     fp = free_name(docs, "_fp")
-    prints = written(docs.select(F.col(id_col), fingerprint(F.col(text_col), shingle).alias(fp)), "sim-docs")
+    prints = written(docs.select(F.col(id_col), fingerprint(F.col(text_col), shingle, repeats).alias(fp)), "sim-docs")
     found = groups(prints, id_col, fp, radius)
     return prints.join(found, prints[fp] == found["fp"], "left").select(F.col(id_col), prints[fp].alias("fp"), F.coalesce("component", F.col(id_col)).alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, repeats: bool = True) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the least id, then of the least row tag.
 
     Rows are tagged as they are written, so of rows that agree in everything one stays too.
     """
     fp, tag = free_name(docs, "_fp"), free_name(docs, "_tag")
-    tagged = written(docs.withColumn(fp, fingerprint(F.col(text_col), shingle)).withColumn(tag, F.monotonically_increasing_id()), "sim-tagged")
+    tagged = written(docs.withColumn(fp, fingerprint(F.col(text_col), shingle, repeats)).withColumn(tag, F.monotonically_increasing_id()), "sim-tagged")
     prints = tagged.select(F.col(id_col), F.col(fp), F.col(tag))
     found = groups(prints, id_col, fp, radius)
     grouped = prints.join(found, prints[fp] == found["fp"]).select(prints[tag], found["root"], prints[id_col].alias("id"))
