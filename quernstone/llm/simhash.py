@@ -270,8 +270,9 @@ def groups(prints: DataFrame, id_col: str, fp: str, radius: int = RADIUS) -> Dat
     joined = contract(links)
     rooted = one.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # the root itself has no edge of its own; what no edge names is its own group
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("rows").alias("group_rows"))
-    return rooted.join(least.where("group_rows > 1"), "root").select("fp", "root", "component")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("rows").alias("group_rows")).where("group_rows > 1")
+    # written, so that the join below has a shuffle of its own whose large groups Spark can split
+    return rooted.join(written(least, "sim-groups"), "root").select("fp", "root", "component")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, repeats: bool = True) -> DataFrame:
