@@ -99,12 +99,14 @@ def mix(docs: DataFrame, size: Column, source_col: str = "source", id_col: str =
     )
     plan = plan.select(F.col("s").cast(docs.schema[source_col].dataType).alias(source_col), "source_size", "target", "whole", "need")
     cut = thresholds(narrow, source_col, "size", h, plan.where("source_size > 0"))
-    plan = plan.join(F.broadcast(cut), plan[source_col].eqNullSafe(cut["_s"]), "left").select(
-        plan[source_col].alias("_source"), "source_size", "target", "whole", "need", "head", "with_last"
-    )
-    joined = sized.join(F.broadcast(plan), sized[source_col].eqNullSafe(F.col("_source")), "left")
-    more = (F.col("need") > 0) & ((F.col(h) < F.col("head")) | (F.col("with_last") & (F.col(h) == F.col("head"))))
-    return joined.withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).drop(h, "_source", "whole", "need", "head", "with_last")
+    found = free_name(docs, "_mix_plan")
+    plan = plan.join(F.broadcast(cut), plan[source_col].eqNullSafe(cut["_s"]), "left")
+    plan = plan.select(F.struct(plan[source_col].alias("source"), "source_size", "target", "whole", "need", "head", "with_last").alias(found))
+    joined = sized.join(F.broadcast(plan), sized[source_col].eqNullSafe(F.col(found)["source"]), "left")
+    p = F.col(found)
+    more = (p["need"] > 0) & ((F.col(h) < p["head"]) | (p["with_last"] & (F.col(h) == p["head"])))
+    copies = p["whole"] + F.coalesce(more, F.lit(False)).cast("int")
+    return joined.withColumns({"source_size": p["source_size"], "target": p["target"], "copies": copies}).drop(h, found)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

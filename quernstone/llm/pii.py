@@ -169,7 +169,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     Whole texts are searched, whatever their length; rows are independent, repeated
     rows give equal results, and columns named like an added one are replaced.
     """
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in FACTS]
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in FACTS]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} long" for c in FACTS[:4]] + ["base_sha256 string", "spans string"])
     place = kept.index(text_col) if text_col in kept else len(kept)
     columns = kept if text_col in kept else [*kept, text_col]

@@ -81,18 +81,20 @@ def permuted(number: Column, n: int, seed: int) -> Column:
 def number_rows(docs: DataFrame, id_col: str = "doc_id", ties: list[Column] | None = None, out: str = "row_number") -> tuple[DataFrame, int]:
     """``docs`` with a gapless global row number from 0, and the number of rows.
 
-    Rows are numbered by the md5 of their id and ``ties``, then by these
-    themselves. Rows that agree in all of them take neighbouring numbers.
+    Rows are numbered by the md5 of their id and ``ties`` (by default a hash of the whole
+    row, so that rows of one id spread over the runs), then by these themselves. Rows that
+    agree in all of them take neighbouring numbers.
     """
+    ties = ties or [F.xxhash64(*docs.columns)]
     key, run = free_name(docs, "_row_md5"), free_name(docs, "_row_run")
-    told = F.concat_ws("|", F.lit("row"), F.col(id_col).cast("string"), *[c.cast("string") for c in ties or []])
+    told = F.concat_ws("|", F.lit("row"), F.col(id_col).cast("string"), *[c.cast("string") for c in ties])
     keyed = docs.withColumn(key, F.md5(told.cast("binary"))).withColumn(run, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
     counts = dict(keyed.groupBy(run).count().collect())  # at most RUNS rows
     starts, total = [], 0
     for i in range(RUNS):
         starts.append(total)
         total += counts.get(i, 0)
-    order = Window.partitionBy(run).orderBy(key, id_col, *(ties or []))
+    order = Window.partitionBy(run).orderBy(key, id_col, *ties)
     start = F.element_at(F.lit(starts).cast("array<long>"), F.col(run) + 1)
     return keyed.withColumn(out, start + F.row_number().over(order) - 1).drop(key, run), total
 
