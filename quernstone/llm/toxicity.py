@@ -239,7 +239,8 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text, toxic in zip(part.iloc[:, 0], part.iloc[:, 1]):
                 (pos if toxic else neg).update(terms_of(text))
             terms = list(pos | neg)
-            yield pd.DataFrame({"term": terms, "pos": [pos[t] for t in terms], "neg": [neg[t] for t in terms]})
+            if terms:
+                yield pd.DataFrame({"term": terms, "pos": [pos[t] for t in terms], "neg": [neg[t] for t in terms]})
 
 
 def sampled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:

@@ -1,0 +1,66 @@
+import hashlib
+import re
+
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+
+from quernstone.llm import pii
+from tests.llm.cases import ODD, clashing, none, odd
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, got):
+    digits = [int(c) for c in got if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in got.split("."))
+    if kind == "card":
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+        return 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def brute(text):
+    return {k: [m.span() for m in re.finditer(p, text) if valid(k, m.group())] for k, p in PATTERNS.items()}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aZ019@@..-+ ()%_:/é"), max_size=60))
+@example("a@b@c.d x@a.b@c.d 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +49 (30) 123456")
+@example("4111111111111111 999.1.1.1 0001.2.3.4 +1234567")
+def test_base_kinds_against_patterns(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in PATTERNS} == brute(text)
+
+
+def test_query_against_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.op5_pii(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        base = brute(docs[r["doc_id"]])
+        told = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in base[k])
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest() and r["spans"].startswith(told)
+        assert [r["n_" + k] for k in PATTERNS] == [len(base[k]) for k in PATTERNS]
+
+
+def test_what_the_method_adds():
+    found = pii.find('see https://a.example/x?y=1. IBAN DE89370400440532013000, account no 12345678, token = "abcdef0123456789abcd"')
+    assert [len(found[k]) for k in pii.MORE_KINDS] == [1, 1, 1, 1]
+
+
+def test_long_digit_runs_are_linear():
+    assert pii.find("1" * 200_000 + "@" * 200_000)["email"] == []
+
+
+def test_odd_rows(spark):
+    assert pii.detect(odd(spark)).count() == len(ODD)
+    assert pii.detect(none(spark)).collect() == []
+    rows = pii.detect(clashing(spark, "n_email", "Spans", "other")).collect()
+    assert {r["other"] for r in rows} == {"kept other"} and all(isinstance(r["n_email"], int) for r in rows)
