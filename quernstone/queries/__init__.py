@@ -6,7 +6,7 @@ import importlib
 
 from quernstone.queries.registry import QUERIES, SQL
 
-MODULES = ("windows", "joins", "aggregates", "recurrences", "scalars", "simulators", "validation", "ledger", "streams")
+MODULES = ("windows", "joins", "aggregates", "recurrences", "scalars", "simulators", "validation", "ledger", "streams", "supporting")
 
 for _name in MODULES:
     importlib.import_module(f"quernstone.queries.{_name}")
