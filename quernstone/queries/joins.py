@@ -231,9 +231,9 @@ def cells(spark, sf_dir):
     return p.groupBy((F.col("p_size") % 8).cast("long").alias("x"), (F.col("p_partkey") % 6).alias("y")).agg(F.round(F.avg("p_retailprice"), 6).alias("v"))
 
 
-@add("J24_cell_neighbours", f"WITH {CELLS} SELECT a.x, a.y, {sql_rounded({'neighbour_avg': 'avg(b.v)'}, 4)}, count(b.v) AS neighbours FROM cells a JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2")
+@add("J24_cell_neighbours", f"WITH {CELLS} SELECT a.x, a.y, {sql_rounded({'neighbour_avg': 'avg(b.v) + 1e-9'}, 4)}, count(b.v) AS neighbours FROM cells a JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2")
 def cell_neighbours(spark, sf_dir):
-    return J.neighbours(cells(spark, sf_dir), ["x", "y"], "v").select("x", "y", *rounded({"neighbour_avg": F.col("neighbour_avg")}, 4), "neighbours")
+    return J.neighbours(cells(spark, sf_dir), ["x", "y"], "v").select("x", "y", *rounded({"neighbour_avg": F.col("neighbour_avg") + 1e-9}, 4), "neighbours")  # so that ties go up in any summing order
 
 
 @add("W21_markouts", f"WITH {BOOK}, m AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS ts, last((bid + ask) / 2 ORDER BY ts, event_id) AS mid FROM book GROUP BY 1, 2) SELECT symbol, ts, {sql_rounded({'after_1': f'lead(mid, 1) {W} - mid', 'after_3': f'lead(mid, 3) {W} - mid'})} FROM m")
