@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontam, mixing, sharding, simhash, toxicity
+from quernstone.llm import decontam, mixing, neardup, sharding, toxicity
 from quernstone.llm.common import n_words, table, written
 
 SHARDS = 16
-#: Differing bits of fingerprints of distinct words up to which documents are near copies.
+#: Differing bits of fingerprints of distinct words up to which half of the shingles make a near copy.
 NEAR_BITS = 6
 
 
@@ -20,13 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the least id.
+    """One document of each group of near copies stays, that of the least id.
 
-    Texts alike in 0.8 of their five-word shingles differ in about 10 of 64 bits if the
-    fingerprint is of these shingles, more than shards can search. Of distinct words it is
-    ``NEAR_BITS`` or fewer, while texts that share a passage only lie beyond.
+    Candidates are texts with distinct words within ``NEAR_BITS`` and texts that meet in a
+    MinHash band; only links verified on the five-word shingles of both texts delete a row.
     """
-    return simhash.dedup(docs, shingle=1, radius=NEAR_BITS, repeats=False)
+    return neardup.dedup(docs, NEAR_BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,17 +257,21 @@ def contract(edges: DataFrame) -> DataFrame:
         told = now
 
 
+def linked(one: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``one`` that have a link."""
+    if not 0 <= radius <= 32 - SPARE:
+        raise ValueError(f"a radius of 0 to {32 - SPARE} bits is what shards of untouched blocks serve, not {radius}")
+    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    return contract(dealt.select("shard", "fp").mapInPandas(shard_links(radius), "fp long, root long"))
+
+
 def groups(prints: DataFrame, id_col: str, fp: str, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component) of every fingerprint that more than one row has or that has a link.
 
     ``component`` is the least id of all rows that links reach, null ids left aside.
     """
-    if not 0 <= radius <= 32 - SPARE:
-        raise ValueError(f"a radius of 0 to {32 - SPARE} bits is what shards of untouched blocks serve, not {radius}")
     one = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least"), F.count("*").alias("rows")), "sim-prints")
-    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
-    links = dealt.select("shard", "fp").mapInPandas(shard_links(radius), "fp long, root long")
-    joined = contract(links)
+    joined = linked(one, radius)
     rooted = one.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # the root itself has no edge of its own; what no edge names is its own group
     least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("rows").alias("group_rows")).where("group_rows > 1")
