@@ -43,6 +43,14 @@ def test_inserted_and_dropped_runs_are_caught(spark):
     assert left(spark, [t for p in pairs for t in p]) == [*range(0, 300, 2)]
 
 
+def test_near_prints_of_other_texts_stay(spark):
+    """Texts of the same words in another order have one fingerprint and no common shingle."""
+    words = [f"w{i}" for i in range(60)]
+    other = words[::-1]
+    assert bits(" ".join(words), " ".join(other)) == 0
+    assert left(spark, [" ".join(words), " ".join(other), " ".join([*words, "w0"]), " ".join(words).upper()]) == [0, 1]
+
+
 def test_large_buckets_against_all_pairs(spark, monkeypatch):
     """Two families around one passage share buckets: neither is lost behind the other's first text."""
     monkeypatch.setattr(neardup, "SMALL", 2)
