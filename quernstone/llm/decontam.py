@@ -8,7 +8,8 @@ that never leaves its band.
 
 Letters are compared in lower case and white space as blanks. The benchmark goes to the
 tasks in blocks of bounded size, one after the other, so what is broadcast does not grow
-with it. Items are cut into segments, so a long item is found by any of its parts.
+with it. Items are cut into long segments, which allow for edits anywhere, and into short
+overlapping ones, of which any quotation of ``SHORT + STEP - 1`` characters holds one whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ EDIT_SHARE = 0.08
 MIN_CHARS = 40
 #: Characters of a segment; a longer item is cut into overlapping ones.
 SEGMENT = 240
+#: Characters of a short segment, and the step from one to the next.
+SHORT, STEP = 60, 20
 #: Step from band to band; a band is this and the edit budget wide.
 BAND = 16
 #: Characters of benchmark text that one pass broadcasts.
@@ -73,14 +76,19 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 def segments_of(item_id, text: str | None) -> list[tuple]:
-    """(item, place in the item, codes) of each segment; whole items up to ``SEGMENT`` characters."""
+    """(item, place in the item, codes) of each segment: the long ones, then the short ones.
+
+    Long ones are whole items up to ``SEGMENT`` characters; so are short ones up to ``SHORT``.
+    """
     whole = codes(text or "")
     if len(whole) < MIN_CHARS:
         return []
-    if len(whole) <= SEGMENT:
-        return [(item_id, 0, whole)]
-    starts = [*range(0, len(whole) - SEGMENT, SEGMENT // 2), len(whole) - SEGMENT]
-    return [(item_id, s, whole[s : s + SEGMENT]) for s in starts]
+    spans = [(s, size) for size, step in ((SEGMENT, SEGMENT // 2), (SHORT, STEP)) for s in _starts(len(whole), size, step)]
+    return [(item_id, s, whole[s : s + size]) for s, size in dict.fromkeys((s, min(size, len(whole))) for s, size in spans)]
+
+
+def _starts(length: int, size: int, step: int) -> list[int]:
+    return [*range(0, length - size, step), max(0, length - size)]
 
 
 class Index:
@@ -134,11 +142,15 @@ class Index:
             order = np.lexsort(rows[::-1])
             rows = rows[:, order]
             new = np.flatnonzero(np.append(True, (np.diff(rows) != 0).any(axis=0))) if rows.shape[1] else np.array([], dtype=int)
-            for i, c in zip(new, np.diff(np.append(new, rows.shape[1]))):
+            runs = np.diff(np.append(new, rows.shape[1]))
+            if len(cuts) == 2:
+                enough = runs >= self.need[rows[1, new]]
+                new, runs = new[enough], runs[enough]
+            for i, c in zip(new, runs):
                 if len(cuts) > 2:  # a band may go on in the next slice
                     k = (int(rows[0, i]), int(rows[1, i]), int(rows[2, i]))
                     counts[k] = counts.get(k, 0) + int(c)
-                elif c >= self.need[rows[1, i]]:
+                else:
                     counts[int(rows[0, i]), int(rows[1, i]), int(rows[2, i])] = int(c)
         return [k for k, c in counts.items() if c >= self.need[k[1]]]
 

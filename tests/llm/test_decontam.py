@@ -88,3 +88,21 @@ def test_odd_rows(spark):
     assert decontam.decontaminate(none(spark), bench).collect() == [] and decontam.matches(none(spark), bench).collect() == []
     rows = decontam.decontaminate(clashing(spark, "_contaminated", "item_id", "start"), bench).collect()
     assert {r["_contaminated"] for r in rows} == {"kept _contaminated"}
+
+
+def test_quotations_at_any_place(spark):
+    """Any quotation of SHORT + STEP - 1 characters is found, from short and long items alike; so is a whole item with edits."""
+    draw = random.Random(17)
+    say = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    least = decontam.SHORT + decontam.STEP - 1
+    items = [(i, say(n)) for i, n in enumerate([95, 150, 233, 240, 241, 400, 900, 1501])]
+    texts = []
+    for _ in range(150):
+        _, item = draw.choice(items)
+        n = draw.randrange(least, min(len(item), 360) + 1)
+        at = draw.randrange(len(item) - n + 1)
+        texts.append((len(texts), say(draw.randrange(80)) + item[at : at + n].upper() + say(draw.randrange(80))))
+    texts.append((len(texts), say(40) + items[2][1][:200] + say(40)))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.decontaminate(docs, bench).collect() == []
+    assert {r["doc_id"] for r in decontam.matches(docs, bench).collect()} == {i for i, _ in texts}
