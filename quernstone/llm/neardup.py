@@ -176,7 +176,8 @@ def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: s
     """(fp, root) of every key that is linked with another; ``fp`` is the key."""
     rows = tagged.select(F.col(key).alias("key"), F.col(fp).alias("fp"), F.col(own_bands).alias("bands"), F.col(tag).alias("tag"))
     one = written(rows.groupBy("key").agg(F.min_by(F.struct("fp", "bands", "tag"), "tag").alias("r")).select("key", "r.*"), "near-keys")
-    close = simhash.linked(one.select("fp").distinct(), radius).toDF("fp", "close")
+    prints = written(one.select("fp").distinct(), "near-prints")
+    close = simhash.linked(prints, radius).toDF("fp", "close")
     by_print = one.join(close, "fp", "left").select("key", F.xxhash64(F.lit("print"), F.coalesce("close", "fp")).alias("bucket"))
     dealt = written(one.select("key", F.explode("bands").alias("bucket")).unionByName(by_print), "near-dealt")
     size = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")

@@ -1,12 +1,14 @@
 """SimHash near-dedup with BK-trees.
 
 A text's fingerprint has bit b set if most of its shingle hashes have. Two fingerprints link
-if they differ in at most ``radius`` bits. The bits are cut into ``radius + SPARE`` blocks, of
-which that many differing bits leave ``SPARE`` untouched; so each distinct fingerprint goes to
-the shards named by ``SPARE`` of its blocks and their bits, and any link lies in one of
-these. Each shard is a BK-tree: a node's children are keyed by their Hamming distance to it,
-and a query follows only the edges within the radius of its own distance. All trees of a
-batch are built and searched together, level by level, with array operations.
+if they differ in at most ``radius`` bits. The bits are cut into ``radius + spare`` blocks, of
+which that many differing bits leave ``spare`` untouched; so each distinct fingerprint goes to
+the shards named by ``spare`` of its blocks and their bits, and any link lies in one of
+these. The more fingerprints, the more blocks are left untouched (``spare_for``): trees stay
+small, and links are the same. Each shard is a BK-tree: a node's children are keyed by their
+Hamming distance to it, and a query follows only the edges within the radius of its own
+distance. All trees of a batch are built and searched together, level by level, with array
+operations.
 
 A shard gives a link to the root of each local group, never all its pairs, and a search
 leaves out subtrees whose nodes have all joined the query's own group, so a large group of
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import free_name, table, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Blocks that a link surely leaves untouched; with more of them shards are smaller and more in number.
-SPARE = 2
+#: Fingerprints that a tree may be expected to hold; what is left untouched is chosen so that shards stay below it.
+TREE = 4096
+#: Edges of a node from one in so many of all edges on: such nodes are no more than this, and are joined apart.
+HUBS = 1000
 #: First fingerprints of each shard that are searched before all others, so that large groups meet early.
 LEADERS = 16
 #: Shingles hashed at once, and (query, node) pairs followed at once.
@@ -219,49 +223,66 @@ def shard_links(radius: int):
     return run
 
 
-def shard_keys(fp: Column, radius: int = RADIUS) -> Column:
-    """The shard numbers of a fingerprint: the bits of ``SPARE`` blocks, and which blocks."""
-    cuts = [64 * i // (radius + SPARE) for i in range(radius + SPARE + 1)]
+def spare_for(n: int, radius: int) -> int:
+    """Blocks to leave untouched so that shards of n evenly spread fingerprints stay below ``TREE``; two at least."""
+    spare = 2
+    while radius + spare < 32 and n >> (64 * spare // (radius + spare)) > TREE:
+        spare += 1
+    return spare
+
+
+def shard_keys(fp: Column, radius: int = RADIUS, spare: int = 2) -> Column:
+    """The shard numbers of a fingerprint: the bits of ``spare`` blocks hashed with which blocks they are."""
+    cuts = [64 * i // (radius + spare) for i in range(radius + spare + 1)]
     block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    keys = []
-    for k, chosen in enumerate(itertools.combinations(range(radius + SPARE), SPARE)):
-        key = F.lit(k).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, cuts[i + 1] - cuts[i]) + block[i]
-        keys.append(key)
-    return F.array(*keys)
+    return F.array(*[F.xxhash64(F.lit(k), *[block[i] for i in chosen]) for k, chosen in enumerate(itertools.combinations(range(radius + spare), spare))])
+
+
+def least_neighbours(pairs: DataFrame, edges: int) -> DataFrame:
+    """(u, v, m): each pair with the least of u and all its neighbours.
+
+    A node with more than ``edges / HUBS`` of the pairs is a hub. There are at most ``HUBS``
+    of these, so they are broadcast and their pairs stay where they are; all other nodes
+    are joined by shuffle, and none of them fills a task.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # combined before the shuffle
+    bound = max(edges // HUBS, 1)
+    hubs = F.broadcast(low.where(F.col("n") > bound).select("u", "m"))
+    hot = pairs.join(hubs, "u").select("u", "v", "m")
+    rest = pairs.join(hubs, "u", "left_anti").join(low.where(F.col("n") <= bound).select("u", "m"), "u").select("u", "v", "m")
+    return hot.unionByName(rest).withColumn("m", F.least("u", "m"))
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """(fp, root) for each node of the graph: root is the least node of its component.
 
     Alternates large stars (larger neighbours move to the least neighbour) and small stars
-    (smaller ones do) until nothing moves. A node's least neighbour is summed before the
-    shuffle and joined back, so a hub of many edges can be split.
+    (smaller ones do) until nothing moves. Only counts and sums of edges reach the driver.
     """
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
-
-    edges = edges.select(F.greatest("fp", "root").alias("u"), F.least("fp", "root").alias("v")).distinct()
-    edges, told = written(edges, "sim-edges"), None
-    while True:
+    measure = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = edges.select(F.greatest("fp", "root").alias("u"), F.least("fp", "root").alias("v")).where("u <> v").distinct()
+    edges = written(edges, "sim-edges")
+    told = measure(edges)
+    while told[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "sim-stars")
-        small = least(large)
+        large = least_neighbours(both, 2 * told[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "sim-stars")
+        small = least_neighbours(large, told[0])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "sim-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = measure(edges)
         if now == told:
-            return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            break
         told = now
+    return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
 def linked(one: DataFrame, radius: int) -> DataFrame:
     """(fp, root) of the distinct fingerprints of ``one`` that have a link."""
-    if not 0 <= radius <= 32 - SPARE:
-        raise ValueError(f"a radius of 0 to {32 - SPARE} bits is what shards of untouched blocks serve, not {radius}")
-    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    if not 0 <= radius <= 30:
+        raise ValueError(f"a radius of 0 to 30 bits is what shards of untouched blocks serve, not {radius}")
+    spare = spare_for(one.count(), radius)
+    dealt = one.select("fp", F.explode(shard_keys(F.col("fp"), radius, spare)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
     return contract(dealt.select("shard", "fp").mapInPandas(shard_links(radius), "fp long, root long"))
 
 
