@@ -8,26 +8,32 @@ that never leaves its band.
 
 Letters are compared in lower case and white space as blanks. The benchmark goes to the
 tasks in blocks of bounded size, one after the other, so what is broadcast does not grow
-with it. Items are cut into long segments, which allow for edits anywhere, and into short
-overlapping ones, of which any quotation of ``SHORT + STEP - 1`` characters holds one whole.
+with it. If it takes more than one block, a bitmap of all its q-grams picks, in one pass,
+the documents that can hold anything at all; the blocks then read only these. Items are cut
+into long segments, which allow for edits anywhere, and into short overlapping ones, of
+which any quotation of ``SHORT + STEP - 1`` characters holds one whole. Items under
+``WHOLE`` characters, which edits can't tell from chance, are sought verbatim as whole words.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quernstone.llm.common import free_name, table
+from quernstone.llm.common import free_name, table, written
 
 Q = 10
 #: Edits allowed, as a share of a segment's characters.
 EDIT_SHARE = 0.08
-#: Items of fewer characters are too short to tell a copy from chance; they are matched by none.
-MIN_CHARS = 40
+#: Items of fewer characters are matched verbatim only, and as whole words.
+WHOLE = 40
 #: Characters of a segment; a longer item is cut into overlapping ones.
 SEGMENT = 240
 #: Characters of a short segment, and the step from one to the next.
@@ -38,6 +44,8 @@ BAND = 16
 BLOCK_CHARS = 2_000_000
 #: Characters of documents, and shared q-grams, handled at once.
 SLICE_CHARS, SLICE_PAIRS = 1_000_000, 1_000_000
+#: Most bits, as a power of two, of the bitmap that is broadcast for a benchmark of several blocks: 64 MB.
+MOST_BITS = 29
 _BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,30 +86,55 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 def segments_of(item_id, text: str | None) -> list[tuple]:
     """(item, place in the item, codes) of each segment: the long ones, then the short ones.
 
-    Long ones are whole items up to ``SEGMENT`` characters; so are short ones up to ``SHORT``.
+    Long ones are whole items up to ``SEGMENT`` characters; so are short ones up to
+    ``SHORT``. An item under ``WHOLE`` characters is one segment, without blanks around it.
     """
     whole = codes(text or "")
-    if len(whole) < MIN_CHARS:
-        return []
+    if len(whole) < WHOLE:
+        own = np.flatnonzero(whole != 32)
+        return [(item_id, int(own[0]), whole[own[0] : own[-1] + 1])] if own.size else []
     spans = [(s, size) for size, step in ((SEGMENT, SEGMENT // 2), (SHORT, STEP)) for s in _starts(len(whole), size, step)]
     return [(item_id, s, whole[s : s + size]) for s, size in dict.fromkeys((s, min(size, len(whole))) for s, size in spans)]
 
 
+def text_of(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _starts(length: int, size: int, step: int) -> list[int]:
     return [*range(0, length - size, step), max(0, length - size)]
 
 
+def _whole_words(plain: list[str]):
+    """An automaton of the segments under ``WHOLE`` characters, each with the numbers of its segments; None without any."""
+    import ahocorasick
+
+    numbers: dict[str, list[int]] = {}
+    for i, t in enumerate(plain):
+        if len(t) < WHOLE:
+            numbers.setdefault(t, []).append(i)
+    found = ahocorasick.Automaton()
+    for t, own in numbers.items():
+        found.add_word(t, (len(t), own))
+    if numbers:
+        found.make_automaton()
+    return found if numbers else None
+
+
 class Index:
     """The q-grams of one block of segments: a bitmap to reject by, and sorted postings."""
 
     def __init__(self, segments: list[tuple], edit_share: float):
         self.segments = segments
+        #: Bytes of each segment, to look for plain copies first.
+        self.plain = [text_of(s[2]) for s in segments]
+        self.words = _whole_words(self.plain)
         self.lengths = np.array([len(s[2]) for s in segments], dtype=np.int64)
         self.budget = np.minimum((self.lengths * edit_share).astype(np.int64), (self.lengths - Q) // Q)
         #: At least a budget wide, so that a band and its overlap hold every diagonal of a match.
         self.band = max(BAND, int(self.budget.max()) + 1)
         self.need = self.lengths - Q + 1 - self.budget * Q
-        grams = [gram_hashes(s[2]) for s in segments]
+        grams = [gram_hashes(s[2]) if len(s[2]) >= WHOLE else np.array([], dtype=np.uint64) for s in segments]
         h = np.concatenate(grams)
         owner = np.repeat(np.arange(len(segments)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams])
@@ -111,12 +144,12 @@ class Index:
         self.first = np.append(first, len(h)).astype(np.int64)
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[self.keys >> np.uint64(64 - _BITS)] = True
-        #: Bytes of each segment, to look for plain copies first.
-        self.plain = [s[2].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for s in segments]
 
     def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text whose q-gram the block has, and the place of that q-gram among the keys."""
         at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITS)])
+        if not at.size:
+            return at, at
         key = np.searchsorted(self.keys, h[at])
         key[key == len(self.keys)] = 0
         real = self.keys[key] == h[at]
@@ -189,108 +222,187 @@ def align(pattern: np.ndarray, text: np.ndarray, first: int, last: int, most: in
 
 
 def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, segment, start, end, edits) of the best match of each segment in each text."""
+    """(text, segment, start, end, edits) of each match; matches of one segment in one text don't overlap."""
     out: list[tuple[int, int, int, int, int]] = []
+    for batch in _slices(texts):
+        out += _search_slice(texts, batch, index)
+    return out
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[int]]:
+    """The places of the texts that aren't empty, so many that their characters fill a slice."""
     batch: list[int] = []
     size = 0
     for i, t in enumerate(texts):
-        if t and len(t) >= MIN_CHARS // 2:
+        if t:
             batch.append(i)
             size += len(t)
-        if batch and (size >= SLICE_CHARS or i == len(texts) - 1):
-            out += _search_slice(texts, batch, index)
-            batch, size = [], 0
+            if size >= SLICE_CHARS:
+                yield batch
+                batch, size = [], 0
     if batch:
-        out += _search_slice(texts, batch, index)
-    return out
+        yield batch
 
 
-def _search_slice(texts: list, batch: list[int], index: Index) -> list[tuple[int, int, int, int, int]]:
+def _codes_of(texts: list, batch: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts of a slice as codes, with a mark between them; where each begins; how long it is."""
     low = [folded(texts[i]) for i in batch]
-    joined = "\x00".join(low)
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    c = np.frombuffer("\x00".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     c = np.where((c >= 9) & (c <= 13), np.uint32(32), c)
     sizes = np.array([len(t) for t in low], dtype=np.int64)
-    start = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
-    at, key = index.shared(gram_hashes(c))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, seg, band in index.bands(at, key, start):
-        if best.get((doc, seg), (0, 0, 1))[2] == 0:
-            continue
+    return c, np.concatenate(([0], np.cumsum(sizes[:-1] + 1))), sizes
+
+
+def _search_slice(texts: list, batch: list[int], index: Index) -> list[tuple[int, int, int, int, int]]:
+    c, start, sizes = _codes_of(texts, batch)
+    found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+    for doc, seg, band in index.bands(*index.shared(gram_hashes(c)), start):
         text = c[start[doc] : start[doc] + sizes[doc]]
-        pattern = index.segments[seg][2]
+        pattern, plain = index.segments[seg][2], index.plain[seg]
         first = band * index.band - SEGMENT
         last = first + index.band + int(index.budget[seg])
         a, b = max(0, first), min(len(text), last + len(pattern))
-        found = text[a:b].tobytes().decode("utf-32-le", "surrogatepass").find(index.plain[seg])
-        got = (a + found, a + found + len(pattern), 0) if found >= 0 else align(pattern, text, first, last, int(index.budget[seg]))
-        if got and ((doc, seg) not in best or got[2] < best[doc, seg][2]):
-            best[doc, seg] = got
-    return [(batch[d], s, *span) for (d, s), span in best.items()]
+        window = text_of(text[a:b])
+        at = window.find(plain)
+        got = found.setdefault((doc, seg), set())
+        if at < 0 and (near := align(pattern, text, first, last, int(index.budget[seg]))):
+            got.add((near[2], near[0], near[1]))
+        while at >= 0:
+            got.add((0, a + at, a + at + len(plain)))
+            at = window.find(plain, at + len(plain))
+    if index.words is not None:
+        for doc in range(len(batch)):
+            text = text_of(c[start[doc] : start[doc] + sizes[doc]])
+            for last, (size, segs) in index.words.iter(text):
+                first = last + 1 - size
+                if not (_joined(text, first) or _joined(text, last + 1)):
+                    for seg in segs:
+                        found.setdefault((doc, seg), set()).add((0, first, last + 1))
+    out = []
+    for (doc, seg), spans in found.items():
+        kept: list[tuple[int, int]] = []
+        for edits, a, b in sorted(spans):  # the nearest first
+            if all(b <= x or y <= a for x, y in kept):
+                kept.append((a, b))
+                out.append((batch[doc], seg, a, b, edits))
+    return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    """The benchmark's segments in blocks of bounded size, row by row, never all at once."""
+def _joined(text: str, at: int) -> bool:
+    """Whether a word goes on from the place before ``at`` to it."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
+def segments(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple]:
+    """The benchmark's segments, row by row, never all at once."""
     rows = benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator(prefetchPartitions=False)
-    block, size = [], 0
     for item, text in rows:
-        for seg in segments_of(item, text):
-            block.append(seg)
-            size += len(seg[2])
-            if size >= block_chars:
-                yield block
-                block, size = [], 0
+        yield from segments_of(item, text)
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
+    """The benchmark's segments in blocks of bounded size."""
+    block, size = [], 0
+    for seg in segments(benchmark, item_col, text_col):
+        block.append(seg)
+        size += len(seg[2])
+        if size >= block_chars:
+            yield block
+            block, size = [], 0
     if block:
         yield block
 
 
+def may_hold(benchmark: DataFrame, item_col: str, text_col: str, edit_share: float):
+    """A user function that is false only for texts without any match, from a bitmap of all q-grams of the benchmark.
+
+    Segments without q-grams of their own leave every text in question.
+    """
+    n = sum(len(s[2]) for s in segments(benchmark, item_col, text_col))
+    bits = min(MOST_BITS, max(_BITS, int(n).bit_length() + 4))
+    marked, least = np.zeros(1 << (bits - 3), dtype=np.uint8), None
+    for _, _, c in segments(benchmark, item_col, text_col):
+        own = len(c) - Q + 1 - min(int(len(c) * edit_share), (len(c) - Q) // Q) * Q if len(c) >= WHOLE else 0
+        least = own if least is None else min(least, own)
+        at = gram_hashes(c) >> np.uint64(64 - bits) if own else np.array([], dtype=np.uint64)
+        np.bitwise_or.at(marked, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    shipped = benchmark.sparkSession.sparkContext.broadcast((marked, bits, least or 0))
+
+    @F.pandas_udf("boolean")
+    def may(texts: pd.Series) -> pd.Series:
+        marked, bits, least = shipped.value
+        told = [t if isinstance(t, str) else None for t in texts]
+        out = np.zeros(len(told), dtype=bool)
+        for batch in _slices(told):
+            c, start, _ = _codes_of(told, batch)
+            at = gram_hashes(c) >> np.uint64(64 - bits)
+            hit = marked[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            ends = np.minimum(np.append(start[1:], len(c)), len(hit))
+            out[batch] = sums[ends] - sums[np.minimum(start, len(hit))] >= least
+        return pd.Series(out)
+
+    return may
+
+
+def _matched(docs: DataFrame, id_col: str, text_col: str, block: list[tuple], item_type, names: list[str], schema: str, edit_share: float) -> DataFrame:
+    """The matches of one block; ids stay in Arrow, which keeps them as they are."""
+    shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shipped.value, edit_share)
+        for batch in batches:
+            hits = search(batch.column(1).to_pylist(), index)
+            if hits:
+                found = [batch.column(0).take(pa.array([h[0] for h in hits])), pa.array([index.segments[h[1]][0] for h in hits], type=item_type)]
+                found += [pa.array([h[i] for h in hits], type=pa.int64()) for i in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays(found, names=names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, item_id, start, end, edits) for each benchmark segment found in each document.
+    """(id, item_id, start, end, edits) for each place where a benchmark segment is found in a document.
 
-    Ends are exclusive code points of the whole text. Documents without a match have no
-    row; null and empty texts match nothing, and neither do items under ``MIN_CHARS``
-    characters. Repeated documents and items each give their own rows. An empty
+    Ends are exclusive code points of the whole text, however long. Documents without a
+    match have no row; null and empty texts match nothing, and neither do null and blank
+    items. Repeated documents and items each give their own rows, ids of any type and size
+    stay as they are, and other columns are left aside, whatever they are called. An empty
     benchmark or table gives an empty result.
     """
     spark = docs.sparkSession
-    id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, start long, end long, edits long"
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, item_col, item_text, block_chars):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            index = Index(shipped.value, edit_share)
-            for batch in batches:
-                ids, texts = batch.iloc[:, 0], batch.iloc[:, 1]
-                hits = search([t if isinstance(t, str) else None for t in texts], index)
-                if hits:
-                    rows = [h[0] for h in hits]
-                    yield pd.DataFrame(
-                        {
-                            id_col: ids.iloc[rows].to_numpy(),
-                            item_col: [index.segments[h[1]][0] for h in hits],
-                            "start": [h[2] for h in hits],
-                            "end": [h[3] for h in hits],
-                            "edits": [h[4] for h in hits],
-                        }
-                    )
-
-        out = out.unionByName(docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, schema))
-    return out
+    id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    names = ["id", "item", "start", "end", "edits"]
+    schema = f"id {id_type.simpleString()}, item {item_type.simpleString()}, start long, end long, edits long"
+    out, texts = spark.createDataFrame([], schema), docs.select(F.col(id_col), F.col(text_col))
+    todo = blocks(benchmark, item_col, item_text, block_chars)
+    ready = [b for b in (next(todo, None), next(todo, None)) if b]
+    if len(ready) > 1:
+        texts = written(texts.where(may_hold(benchmark, item_col, item_text, edit_share)(F.col(text_col))), "bench-candidates")
+    for block in itertools.chain(ready, todo):
+        out = out.unionByName(_matched(texts, id_col, text_col, block, to_arrow_type(item_type), names, schema, edit_share))
+    return out.toDF(id_col, item_col, "start", "end", "edits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", item_col: str = "item_id", edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS, flag: str = "contaminated") -> DataFrame:
     """``docs`` with a boolean ``flag`` that tells which texts hold a benchmark segment.
 
-    The verdict is a function of the text alone, so repeated rows and repeated or null
-    ids need no care, and no row is shuffled.
+    The verdict is a function of the text alone, so repeated rows and repeated or null ids
+    need no care. One block flags rows where they stand; of several, each looks at the
+    documents in question only, which are told apart by a row tag.
     """
-    out = docs.withColumn(flag, F.lit(False))
-    for block in blocks(benchmark, item_col, item_text, block_chars):
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.withColumn(flag, F.col(flag) | _holds(shipped, edit_share)(F.col(text_col)))
-    return out
+    todo = blocks(benchmark, item_col, item_text, block_chars)
+    first, second = next(todo, None), next(todo, None)
+    if first is None:
+        return docs.withColumn(flag, F.lit(False))
+    if second is None:
+        return docs.withColumn(flag, _holds(docs.sparkSession.sparkContext.broadcast(first), edit_share)(F.col(text_col)))
+    tag, may = free_name(docs, "_bench_tag"), free_name(docs, "_bench_may")
+    tagged = docs.drop(flag).withColumn(may, may_hold(benchmark, item_col, item_text, edit_share)(F.col(text_col))).withColumn(tag, F.monotonically_increasing_id())
+    tagged = written(tagged, "bench-tagged")
+    found = matches(tagged.where(may), benchmark, tag, text_col, item_col, item_text, edit_share, block_chars).select(tag).distinct()
+    found = written(found, "bench-found").withColumn(flag, F.lit(True))
+    return tagged.join(found, tag, "left").withColumn(flag, F.coalesce(flag, F.lit(False))).select(*[c for c in docs.columns if c != flag], flag)
 
 
 def _holds(shipped, edit_share: float):
