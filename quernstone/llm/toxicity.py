@@ -1,12 +1,13 @@
 """Toxicity by Levenshtein automata over a lexicon trie, weighed by context.
 
 The lexicon is learned from labelled rows: words, and stems (beginnings of words), that
-toxic documents hold far more often than others, each with its log odds as weight. A
-Levenshtein automaton of each term is intersected with the lexicon's trie, and the product
-is made deterministic once on the driver, so a worker follows one table for all words of
-a batch and finds misspelled terms too. The window around a match tells quotation (quote
-marks, words of reporting) from abuse (direct address) and scales its weight. A logistic
-model over a document's matches gives the score.
+toxic documents hold far more often than others, each with its log odds as weight. Of a
+stem and the words it begins only the more general stays, so the terms are few. Words that
+many toxic documents share may be misspelled: the Levenshtein automaton of each is
+intersected with the lexicon's trie, and the product is made deterministic once on the
+driver, so a worker follows one table for all words of a batch. The window around a match
+tells quotation (quote marks, words of reporting) from abuse (direct address) and scales
+its weight. A logistic model over a document's matches gives the score.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from quernstone.llm.common import free_name, id_hash, table
 
 #: Labelled rows, about, that the model learns from; a share by hash of the id if there are more.
 SAMPLE = 8000
-#: Most terms of the lexicon, and the least log odds of one.
-TERMS, LEAST_ODDS = 400, 2.0
-#: Shortest word and stem, longest stem, and the length from which a word may be misspelled.
-WORD, STEM, LONG_STEM, FUZZY = 4, 5, 8, 5
+#: Least log odds of a term, and least of them in standard errors.
+LEAST_ODDS, LEAST_SURE = 2.0, 2.5
+#: Shortest word and stem, and longest stem.
+WORD, STEM, LONG_STEM = 4, 5, 8
+#: Lengths from which a word may have one misspelling and two, and the share of toxic rows that must hold it as it is.
+FUZZY, FUZZIER, COMMON = 5, 9, 0.02
+#: What a misspelled match counts of a plain one.
+MISSPELLED = 0.8
 #: A term's misspellings count only if fewer clean sample documents than this share hold one.
 STRAY = 0.002
 SLICE_CHARS = 2_000_000
@@ -41,11 +46,11 @@ ADDRESS = frozenset("you your du dich dein tu toi vous ton eres usted tú".split
 
 @dataclass
 class Lexicon:
-    """Terms with their weights, and the product automaton as tables."""
+    """Terms with their weights and the edits each may have, and the product automaton as tables."""
 
     terms: list[str]
     weights: list[float]
-    fuzzy: list[bool]
+    edits: list[int]
     classes: np.ndarray = field(default=None)
     step: np.ndarray = field(default=None)
     at_end: np.ndarray = field(default=None)
@@ -60,7 +65,7 @@ class Lexicon:
         """
         kids: list[dict[str, int]] = [{}]
         own: list[list[int]] = [[]]
-        may: list[int] = [0]
+        may: list[int] = [0]  # the most edits of a term at or below the node
         for t, term in enumerate(self.terms):
             node, path = 0, [0]
             for c in term.rstrip("*"):
@@ -72,31 +77,31 @@ class Lexicon:
                 node = kids[node][c]
                 path.append(node)
             own[node].append(t)
-            if self.fuzzy[t]:
-                for n in path:
-                    may[n] = 1
+            for n in path:
+                may[n] = max(may[n], self.edits[t])
         letters = sorted({c for k in kids for c in k})
-        self.classes = np.zeros(65536, dtype=np.uint8)
-        for p in range(65536):
-            if chr(p).isalnum():
-                self.classes[p] = 1
-        for i, c in enumerate(letters):
-            if ord(c) < 65536:
-                self.classes[ord(c)] = 2 + i
+        self.classes = np.zeros(0x110000, dtype=np.uint16)
+        self.classes[[p for p in range(0x110000) if chr(p).isalnum()]] = 1
+        self.classes[[ord(c) for c in letters]] = np.arange(2, 2 + len(letters))
 
         def close(states: set[tuple[int, int]]) -> frozenset:
-            out = set(states)  # a letter of the term is missing in the word
-            out |= {(k, 1) for n, e in states if e == 0 and may[n] for k in kids[n].values() if may[k]}
-            return frozenset(x for x in out if x[1] == 0 or ((x[0], 0) not in out and may[x[0]]))
+            least: dict[int, int] = {}
+            todo = list(states)
+            while todo:
+                n, e = todo.pop()
+                if e <= may[n] and e < least.get(n, e + 1):
+                    least[n] = e
+                    todo += [(k, e + 1) for k in kids[n].values()]  # a letter of the term is missing in the word
+            return frozenset(least.items())
 
         def follow(states: frozenset, c: str | None) -> frozenset:
             out = set()
             for n, e in states:
                 if c is not None and c in kids[n]:
                     out.add((kids[n][c], e))
-                if e == 0 and may[n]:
-                    out.add((n, 1))  # a letter too many
-                    out |= {(k, 1) for x, k in kids[n].items() if x != c and may[k]}  # another letter
+                if e < may[n]:
+                    out.add((n, e + 1))  # a letter too many
+                    out |= {(k, e + 1) for x, k in kids[n].items() if x != c}  # another letter
             return close(out)
 
         start = close({(0, 0)})
@@ -104,7 +109,7 @@ class Lexicon:
         place = {c: 2 + i for i, c in enumerate(letters)}
 
         def best(states: frozenset, stem: bool) -> int:
-            hits = [(self.weights[t] * (0.8 if e else 1), t * 2 + e) for n, e in states for t in own[n] if self.terms[t].endswith("*") == stem and (e == 0 or self.fuzzy[t])]
+            hits = [(self.value(t * 2 + (e > 0)), t * 2 + (e > 0)) for n, e in states for t in own[n] if self.terms[t].endswith("*") == stem and e <= self.edits[t]]
             return max(hits)[1] if hits else -1
 
         while queue:
@@ -112,7 +117,7 @@ class Lexicon:
             rest = follow(states, None)
             row = [0] * (2 + len(letters))
             special = {c for n, _ in states for c in kids[n]}
-            for c in [None, *special]:
+            for c in [None, *sorted(special)]:
                 to = rest if c is None else follow(states, c)
                 if to not in number:
                     number[to] = len(number)
@@ -129,7 +134,7 @@ class Lexicon:
         return self
 
     def value(self, hit: int) -> float:
-        return self.weights[hit >> 1] * (0.8 if hit & 1 else 1.0)
+        return self.weights[hit >> 1] * (MISSPELLED if hit & 1 else 1.0)
 
 
 def words_of(text: str) -> list[str]:
@@ -153,7 +158,7 @@ def scan(texts: list[str | None], lexicon: Lexicon) -> Iterator[tuple[int, int,
 def _scan_slice(texts: list, batch: list[int], lx: Lexicon) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     low = [(texts[i] or "").lower() for i in batch]
     c = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    k = np.where(c < 65536, lx.classes[np.minimum(c, 65535)], np.uint8(0))
+    k = lx.classes[c]
     letter = np.concatenate(([0], (k > 0).view(np.int8), [0]))
     edge = np.diff(letter)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -253,10 +258,39 @@ def sampled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text
     return docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(few), id_col).select(text_col, "toxic")
 
 
+def edits_of(term: str) -> int:
+    """Misspellings that a term may have by its length; stems have none."""
+    return 0 if term.endswith("*") else (len(term) >= FUZZY) + (len(term) >= FUZZIER)
+
+
+def general(found: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """Of (term, toxic rows, log odds) those that no other says as well.
+
+    A stem that little but one word begins gives way to that word; a word or stem gives way
+    to a shorter stem that is as telling.
+    """
+    rows = {t: n for t, n, _ in found}
+    longer: dict[str, int] = {}
+    for t, n, _ in found:
+        for k in range(STEM, min(LONG_STEM, len(t.rstrip("*")) - 1) + 1):
+            if not t.endswith("*"):
+                longer[t[:k] + "*"] = max(longer.get(t[:k] + "*", 0), n)
+    kept: dict[str, float] = {}
+    for t, n, odds in sorted(found, key=lambda r: (len(r[0].rstrip("*")), r[0])):
+        word = t.rstrip("*")
+        if t.endswith("*") and rows[t] <= 1.25 * longer.get(t, 0):
+            continue
+        if any(kept.get(word[:k] + "*", -math.inf) >= odds - 0.5 for k in range(STEM, len(word) + (not t.endswith("*")))):
+            continue
+        kept[t] = odds
+    return [r for r in found if r[0] in kept]
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Lexicon and model from a bounded sample of labelled rows; the sample is all that is bounded.
 
-    Without any toxic or any clean row nothing can be learned and every score is 0.
+    Null texts, ids and labels teach nothing; rows of an id that has several labels count
+    for each. Without any toxic or any clean row nothing can be learned and every score is 0.
     """
     rows = sampled(docs, labels, learn_where, id_col, text_col, label_col, sample).cache()
     sizes = dict(rows.groupBy("toxic").count().collect())
@@ -265,13 +299,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_where: Column, id_col: str =
         rows.unpersist()
         return Model(Lexicon([], [], []).build(), [-30.0, 0, 0, 0, 0])
     counted = rows.mapInPandas(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (bad - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (good - F.col("neg") + 0.5))
+    parts = [F.col("pos") + 0.5, bad - F.col("pos") + 0.5, F.col("neg") + 0.5, good - F.col("neg") + 0.5]
+    odds = F.log(parts[0] / parts[1]) - F.log(parts[2] / parts[3])
     least = max(3, math.ceil(bad * 0.004))
-    top = counted.where(F.col("pos") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = top.orderBy((F.col("pos") * F.col("odds")).desc(), "term").limit(TERMS).collect()
-    terms, weights = [r["term"] for r in top], [r["odds"] for r in top]
-    fuzzy = [not t.endswith("*") and len(t) >= FUZZY for t in terms]
-    lexicon = Lexicon(terms, weights, fuzzy).build()
+    telling = counted.where(F.col("pos") >= least).withColumn("odds", odds).withColumn("error", F.sqrt(sum((1 / p for p in parts), F.lit(0.0))))
+    telling = telling.where((F.col("odds") >= LEAST_ODDS) & (F.col("odds") >= LEAST_SURE * F.col("error")))
+    top = general([(r["term"], r["pos"], r["odds"]) for r in telling.orderBy("term").collect()])  # of the sample, so bounded with it
+    terms, weights = [t for t, _, _ in top], [w for _, _, w in top]
+    edits = [edits_of(t) if n >= COMMON * bad else 0 for t, n, _ in top]
+    lexicon = Lexicon(terms, weights, edits).build()
     shipped = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,16 +326,20 @@ def learn(docs: DataFrame, labels: DataFrame, learn_where: Column, id_col: str =
     seen = rows.mapInPandas(look, "toxic int, stray array<int>, x array<double>, sure array<double>").collect()
     rows.unpersist()
     strays = Counter(t for r in seen if not r["toxic"] for t in r["stray"])
-    trusted = [f and strays[t] <= STRAY * good for t, f in enumerate(fuzzy)]
+    trusted = [e if strays[t] <= STRAY * good else 0 for t, e in enumerate(edits)]
     x = np.array([r["x"] if all(trusted[t] for t in r["stray"]) else r["sure"] for r in seen])
     w = logistic(x, np.array([r["toxic"] for r in seen], dtype=float))
-    if trusted != fuzzy:
+    if trusted != edits:
         lexicon = Lexicon(terms, weights, trusted).build()
     return Model(lexicon, [float(v) for v in w])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """The toxicity of each whole text, 0 to 1. A null text counts as empty. Rows are independent."""
+    """The toxicity of each whole text, however long, 0 to 1. A null text counts as empty.
+
+    Rows are independent: repeated ones get equal scores, an empty table none. Only the
+    text is read, whatever other columns are called.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
