@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Fixed value: what ends a word (space and \t \n \v \f \r), as the operators' contracts have it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Equal rows that are dealt out together.
+CHUNK = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +58,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def equal_rows(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Rows, and the column with their number from 0 among those that agree in all others: these are counted, and dealt out again in chunks."""
+    count, part, number = (free_name(rows, n) for n in ("_equal_count", "_equal_part", "_equal_number"))
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias(count))
+    chunks = counted.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long")))).repartition(part)
+    return chunks.withColumn(number, F.explode(F.sequence(F.col(part), F.least(F.col(part) + CHUNK, F.col(count)) - 1))).drop(count, part), number

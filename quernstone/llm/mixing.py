@@ -4,8 +4,11 @@ Every document has a hash; a source's share is the documents whose hash lies
 below that source's threshold, so a larger budget's mix contains a smaller
 one's. Thresholds come from histograms: words are summed by source and the
 first bits of the hash, the bucket in which the running sum passes the budget is
-found, and only that bucket is summed again by the next bits. Nothing is sorted
-but the sums of one level, at most 4096 a source.
+found, and only that bucket's rows are summed again by the next bits. Nothing is
+sorted but the sums of one level, at most 4096 a source.
+
+The hash is the id's; rows of one id are told apart by a hash of the whole row, and rows
+that agree in everything by their number: of these so many are taken as the target wants.
 
 A target above the source's size takes whole copies first and a share of one
 more copy by threshold.
@@ -16,97 +19,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import free_name, id_hash, n_words, table, written
-
-#: Hex digits of the hash that one level of the histogram tells apart, and levels.
-DIGITS, LEVELS = 3, 3
-
+from quernstone.llm.common import equal_rows, free_name, id_hash, n_words, table, written
 
-def fill(sizes: list[int], weights: list[int], total: float, most: float) -> list[float]:
-    """Targets in proportion to weights that sum to total, none above ``most`` times its size.
-
-    What a full source can't take is shared by weight among the others, until
-    no target is above its bound. If all are full the rest is not given out.
-    """
-    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in full:
-            targets[i] = float(most * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in full]
-    return targets
+#: Hex digits of the hash that one level of the histogram tells apart; levels of the id's hash, and of the row's.
+DIGITS, ID_LEVELS, ROW_LEVELS = 3, 3, 5
 
 
-def recipe(sizes: DataFrame, source_col: str, size_col: str, weights: tuple[int, ...], budget: float, most: float) -> list[tuple]:
-    """(source, size, target) of each source in code point order, null last.
+def targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, most: float) -> DataFrame:
+    """(source, source_size) -> these, target, ``whole`` copies and ``need``, the words to take beyond these.
 
-    The one thing collected: a row for each source, which is the recipe itself.
+    Sources weigh ``weights`` in turn by the code points of their names, null last, and share
+    ``budget`` times all words in proportion. What a source can't take, ``most`` times its
+    size being full, is shared by weight among the others: sources are full in order of
+    size by weight, so prefix sums tell which. All windows run over a row for each source.
     """
-    found = [(r[0], int(r[1] or 0)) for r in sizes.groupBy(source_col).agg(F.sum(size_col)).collect()]
-    found.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    goal = budget * sum(n for _, n in found)
-    targets = fill([n for _, n in found], [weights[i % len(weights)] for i in range(len(found))], goal, most)
-    return [(s, n, t) for (s, n), t in zip(found, targets)]
-
-
-def thresholds(sized: DataFrame, source_col: str, size_col: str, hash_col: str, plan: DataFrame) -> DataFrame:
-    """The threshold of each source: documents whose first hash digits are below it are taken once more.
-
-    ``plan`` has a row for each source: the source, and ``need``, the words to take beyond
-    whole copies. Each level keeps the digits found so far (``head``) and the words still
-    to take inside that bucket; the last level takes the bucket itself if that is nearer.
+    name = F.col("source").cast("string")
+    order = [name.isNull(), name]
+    turn = F.element_at(F.lit(list(weights)), (F.row_number().over(Window.orderBy(*order)) - 1) % len(weights) + 1).cast("double")
+    everything = Window.partitionBy()
+    by_level = Window.orderBy(F.col("source_size") / F.col("w"), *order)
+    size = F.col("source_size")
+    x = sizes.withColumn("w", turn).withColumn("goal", F.lit(float(budget)) * F.sum(size).over(everything).cast("double"))
+    x = x.withColumn("below", F.coalesce(F.sum(most * size).over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    x = x.withColumn("open_w", F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
+    fits = (F.col("goal") - F.col("below")) * F.col("w") / F.col("open_w") <= most * size
+    edge = F.min(F.when(fits, size / F.col("w"))).over(everything)
+    x = x.withColumn("edge", edge)
+    full = F.col("edge").isNull() | (size / F.col("w") < F.col("edge"))
+    x = x.withColumn("taken", F.coalesce(F.sum(F.when(full, most * size)).over(everything), F.lit(0.0))).withColumn("rest_w", F.sum(F.when(~full, F.col("w"))).over(everything))
+    target = F.when(full, most * size).otherwise((F.col("goal") - F.col("taken")) * F.col("w") / F.col("rest_w"))
+    whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
+    out = x.withColumn("target", target).withColumn("whole", whole)
+    return out.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * size).alias("need"))
+
+
+def same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, size, h) rows and the plan -> (source, head, left, n, k): the threshold of each source.
+
+    Rows whose hash is below ``head`` are taken once more; of the ``n`` words of the ``k`` rows
+    whose hash begins with it, ``left`` are still wanted. Each level keeps the digits found so
+    far and the words still to take inside that bucket; only rows in it are looked at again,
+    until there is one, or rows that agree in everything.
     """
-    same = lambda a, b: a.eqNullSafe(b)
-    at = plan.select(F.col(source_col).alias("_s"), F.lit("").alias("head"), F.col("need"))
-    for level in range(LEVELS):
-        inside = sized.join(F.broadcast(at), same(sized[source_col], F.col("_s")) & F.col(hash_col).startswith(F.col("head")))
-        bins = inside.groupBy("_s", F.substring(hash_col, 1 + level * DIGITS, DIGITS).alias("digits")).agg(
-            F.sum(size_col).alias("n"), F.first("head").alias("head"), F.first("need").alias("need")
-        )
-        upto = Window.partitionBy("_s").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)
-        summed = bins.withColumn("upto", F.sum("n").over(upto))
-        # the first bucket whose running sum passes what is needed; without one all of the bucket is taken
-        met = summed.where(F.col("upto") > F.col("need")).groupBy("_s").agg(F.min(F.struct("digits", "n", "upto", "head", "need")).alias("b"))
-        at = met.select("_s", F.concat("b.head", "b.digits").alias("head"), (F.col("b.need") - (F.col("b.upto") - F.col("b.n"))).alias("need"), F.col("b.n").alias("n"))
+    at = plan.select(F.col("source").alias("s"), F.lit("").alias("head"), F.col("need").alias("left"))
+    rows = sized
+    for level in range(ID_LEVELS + ROW_LEVELS):
+        inside = rows.join(at, same(rows["source"], at["s"]) & F.col("h").startswith(F.col("head"))).select(rows["source"], "size", "h", "head", "left")
+        if level:
+            rows = inside = written(inside, "mix-bucket")  # a 4096th of the rows above it, unless ids repeat
+            rows = rows.drop("head", "left")
+        bins = inside.groupBy("source", F.substring("h", 1 + level * DIGITS, DIGITS).alias("digits")).agg(F.sum("size").alias("n"), F.count("*").alias("k"), F.first("head").alias("head"), F.first("left").alias("left"))
+        upto = Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)
+        # the first bucket whose running sum passes what is wanted; without one all of the bucket is taken
+        met = bins.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("digits", "n", "k", "upto", "head", "left")).alias("b"))
+        at = met.select(F.col("source").alias("s"), F.concat("b.head", "b.digits").alias("head"), (F.col("b.left") - (F.col("b.upto") - F.col("b.n"))).alias("left"), "b.n", "b.k")
         at = written(at, "mix-level")  # a row for each source
-    return at.select("_s", "head", (F.col("n") - F.col("need") < F.col("need")).alias("with_last"))
+        if at.where("k > 1").isEmpty():
+            break
+    return at.withColumnRenamed("s", "source")
 
 
 def mix(docs: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` with size, source_size, target and ``copies``, the times the mix takes each row.
 
-    Sources weigh ``weights`` in turn by code point (null last) and share
-    ``budget`` times all sizes; none is asked for more than ``most`` times its
-    size. Rows of one id are taken together, so repeated rows stay repeated.
-    A source without words has target 0 and is left out. Reruns agree: the
-    hash is the id's. Columns named like an added one are replaced.
+    Sources, of any type, weigh ``weights`` in turn by code point (null last) and share
+    ``budget`` times all sizes; none is asked for more than ``most`` times its size. A source
+    without words has target 0 and is left out. Rows of one id, or without any, may be
+    taken apart; of rows that agree in everything so many are taken once more as come
+    nearest the target. Reruns agree, and texts of any length and an empty table are
+    mixed like others. Columns named like an added one are replaced.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("size", size).drop("source_size", "target", "copies")
-    h = free_name(docs, "_mix_hash")
-    sized = docs.withColumn(h, F.substring(id_hash(id_col, "mix"), 1, DIGITS * LEVELS))
-    narrow = written(sized.select(source_col, "size", h), "mix-sizes")
-    rows = recipe(narrow, source_col, "size", weights, budget, most)
-    whole = [int(t // n) if n else 0 for _, n, t in rows]
-    plan = spark.createDataFrame(
-        [(s, n, t, k, t - k * n) for (s, n, t), k in zip(rows, whole)], "s string, source_size long, target double, whole int, need double"
-    )
-    plan = plan.select(F.col("s").cast(docs.schema[source_col].dataType).alias(source_col), "source_size", "target", "whole", "need")
-    cut = thresholds(narrow, source_col, "size", h, plan.where("source_size > 0"))
-    found = free_name(docs, "_mix_plan")
-    plan = plan.join(F.broadcast(cut), plan[source_col].eqNullSafe(cut["_s"]), "left")
-    plan = plan.select(F.struct(plan[source_col].alias("source"), "source_size", "target", "whole", "need", "head", "with_last").alias(found))
-    joined = sized.join(F.broadcast(plan), sized[source_col].eqNullSafe(F.col(found)["source"]), "left")
+    docs = docs.withColumn("size", size.cast("long")).drop("source_size", "target", "copies")
+    h, found = free_name(docs, "_mix_hash"), free_name(docs, "_mix_plan")
+    row = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), 16, "0")
+    full_hash = F.concat(F.substring(id_hash(id_col, "mix"), 1, DIGITS * ID_LEVELS), F.substring(F.lower(row), 1, DIGITS * ROW_LEVELS))
+    sized = docs.withColumn(h, full_hash)
+    narrow = written(sized.select(F.col(source_col).alias("source"), "size", F.col(h).alias("h")), "mix-sizes")
+    sizes = narrow.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
+    plan = written(targets(sizes, weights, budget, most), "mix-targets")
+    cut = thresholds(narrow, plan.where("source_size > 0"))
+    both = plan.join(cut, same(plan["source"], cut["source"]), "left")
+    # a table of its own: Spark knows its size, and broadcasts it if it is small or else joins by shuffle
+    recipe = written(both.select(plan["source"], "source_size", "target", "whole", "need", "head", "left", "n", "k"), "mix-plan")
+    ties = not recipe.where("k > 1").isEmpty()
+    recipe = recipe.select(F.struct(*recipe.columns).alias(found))
+    joined = sized.join(recipe, same(sized[source_col], F.col(found)["source"]), "left")
     p = F.col(found)
-    more = (p["need"] > 0) & ((F.col(h) < p["head"]) | (p["with_last"] & (F.col(h) == p["head"])))
-    copies = p["whole"] + F.coalesce(more, F.lit(False)).cast("int")
-    return joined.withColumns({"source_size": p["source_size"], "target": p["target"], "copies": copies}).drop(h, found)
+    at_edge = F.col(h).startswith(p["head"])
+    alone = at_edge & (p["n"] - p["left"] < p["left"])
+    more = (p["need"] > 0) & (p["head"].isNull() | (F.col(h) < p["head"]) | alone)
+    told = lambda df, copies, *more: df.withColumns({"source_size": p["source_size"], "target": p["target"], "copies": p["whole"] + copies.cast("int")}).select(*[f"`{c}`" for c in docs.columns], "source_size", "target", "copies", *more)
+    if not ties:
+        return told(joined, F.coalesce(more, F.lit(False)))
+    tied = F.coalesce(at_edge & (p["need"] > 0) & (p["k"] > 1), F.lit(False))
+    wanted = free_name(docs, "_mix_wanted")
+    rest = told(joined.where(tied).withColumn(wanted, F.round(p["left"] / F.nullif(F.col("size"), F.lit(0)))), F.lit(0), wanted)
+    rest, number = equal_rows(rest)
+    rest = rest.withColumn("copies", F.col("copies") + F.coalesce(F.col(number) < F.col(wanted), F.lit(False)).cast("int")).drop(wanted, number)
+    return told(joined.where(~tied), F.coalesce(more, F.lit(False))).unionByName(rest)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

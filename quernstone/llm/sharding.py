@@ -9,7 +9,9 @@ row, and slots have no gaps.
 Row numbers follow the md5 of the id and what breaks its ties. Its first three hex digits cut that order
 into 4096 runs; runs are numbered side by side and offset by the counts of the
 runs before them, so no task ever sorts more than a few runs and what the
-driver collects is 4096 counts, however many rows there are.
+driver collects is 4096 counts, however many rows there are. Rows that agree in everything
+would all lie in one run: where that makes a run large they are counted, numbered behind
+the run's other rows and dealt out again in chunks.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import free_name, table
+from quernstone.llm.common import equal_rows, free_name, table
 
 #: Runs of the md5 order: three hex digits.
 RUNS = 4096
+#: A run is large if it has so many times the mean of all runs, and so many rows.
+LARGE, LEAST_LARGE = 4, 10_000
 ROUNDS = 6
 #: Fixed value: the prime 2**31 - 1, modulus of the round function.
 PRIME = 2_147_483_647
@@ -78,38 +82,55 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return position(number)
 
 
-def number_rows(docs: DataFrame, id_col: str = "doc_id", ties: list[Column] | None = None, out: str = "row_number") -> tuple[DataFrame, int]:
+def number_rows(docs: DataFrame, id_col: str = "doc_id", out: str = "row_number") -> tuple[DataFrame, int]:
     """``docs`` with a gapless global row number from 0, and the number of rows.
 
-    Rows are numbered by the md5 of their id and ``ties`` (by default a hash of the whole
-    row, so that rows of one id spread over the runs), then by these themselves. Rows that
-    agree in all of them take neighbouring numbers.
+    Rows are numbered by the md5 of their id and a hash of the whole row, so that rows of
+    one id spread over the runs, then by these themselves. Rows that agree in everything
+    take neighbouring numbers.
     """
-    ties = ties or [F.xxhash64(*docs.columns)]
-    key, run = free_name(docs, "_row_md5"), free_name(docs, "_row_run")
-    told = F.concat_ws("|", F.lit("row"), F.col(id_col).cast("string"), *[c.cast("string") for c in ties])
-    keyed = docs.withColumn(key, F.md5(told.cast("binary"))).withColumn(run, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
+    key, run, row = free_name(docs, "_row_md5"), free_name(docs, "_row_run"), free_name(docs, "_row_hash")
+    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = keyed.withColumn(key, F.md5(F.concat_ws("|", F.lit("row"), F.col(id_col).cast("string"), F.col(row).cast("string")).cast("binary")))
+    keyed = keyed.withColumn(run, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
     counts = dict(keyed.groupBy(run).count().collect())  # at most RUNS rows
-    starts, total = [], 0
+    total = sum(counts.values())
+    bound = max(LEAST_LARGE, LARGE * total // RUNS)
+    large = [r for r, n in counts.items() if n > bound]
+    # in large runs, keys that fill half of the bound: no more than 2 * total / bound, so at most RUNS / 2
+    repeated = dict(keyed.where(F.col(run).isin(large)).groupBy(key).count().where(F.col("count") > bound // 2).collect()) if large else {}
+    starts, behind, at = [], {}, 0
     for i in range(RUNS):
-        starts.append(total)
-        total += counts.get(i, 0)
-    order = Window.partitionBy(run).orderBy(key, id_col, *ties)
+        starts.append(at)
+        own = sorted(k for k in repeated if int(k[:3], 16) == i)
+        at += counts.get(i, 0) - sum(repeated[k] for k in own)
+        for k in own:
+            behind[k] = at
+            at += repeated[k]
+    order = Window.partitionBy(run).orderBy(key, id_col, row)
     start = F.element_at(F.lit(starts).cast("array<long>"), F.col(run) + 1)
-    return keyed.withColumn(out, start + F.row_number().over(order) - 1).drop(key, run), total
-
-
-def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", ties: list[Column] | None = None, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+    single = keyed.where(~F.col(key).isin([*repeated])) if repeated else keyed
+    numbered = single.withColumn(out, start + F.row_number().over(order) - 1).drop(key, run, row)
+    if not repeated:
+        return numbered, total
+    # distinct rows of one key are a collision of the row hash, but would be told apart here
+    equal, number = equal_rows(keyed.where(F.col(key).isin([*repeated])))
+    first = F.create_map(*[x for k, v in behind.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    several = equal.withColumn(out, F.element_at(first, F.col(key)) + F.col(number)).drop(key, run, row, number)
+    return numbered.unionByName(several), total
+
+
+def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """Deal the rows of ``docs`` into shards whose sizes differ by one at most.
 
     Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
-    An empty table gives an empty table. Null ids are numbered first among
-    equal hashes like any other value; repeated rows each get their own slot;
-    columns already named like an added one are replaced.
+    An empty table gives an empty table. A null id is one like others; repeated rows each
+    get their own slot, and which of them gets which makes no difference; texts of any
+    length count by their hash; columns already named like an added one are replaced.
     """
     docs = docs.drop(shard_col, slot_col)
     number, position = free_name(docs, "_number"), free_name(docs, "_position")
-    numbered, n = number_rows(docs, id_col, ties, number)
+    numbered, n = number_rows(docs, id_col, number)
     placed = numbered.withColumn(position, permuted(F.col(number), n, seed))
     return (
         placed.withColumn(shard_col, (F.col(position) % shards).cast("int"))
@@ -123,6 +144,6 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     facts = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    return shard(facts, 16, ties=[F.col("text_crc32"), F.col("size")]).select(
+    return shard(facts, 16).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernstone.llm import mixing, toxicity
+from quernstone.llm import toxicity
 from quernstone.llm.common import written
-from tests.llm.cases import none
+from tests.llm.cases import clashing, none
+from tests.llm.test_mixing import fill
 from tests.llm.test_sharding import held
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_simhash import brute_print
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"\w+")
@@ -44,10 +45,32 @@ def test_toxic_documents_go(spark, stages):
     assert ids(stages[1]) == sorted(kept) and len(kept) < len(rows)
 
 
+def five(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def test_one_of_each_near_group_stays(stages):
+    """Links by the five-word shingles of every two texts that share one: 0.8 of them, or 0.5 if the fingerprints of their words are near."""
     rows = sorted((r["doc_id"], r["text"]) for r in stages[1].collect())
-    label = brute_components([brute_print(t, 1, False) for _, t in rows], corpus_pipeline.NEAR_BITS)
-    assert ids(stages[2]) == [rows[i][0] for i in sorted(set(label))]
+    own, prints, at = [five(t) for _, t in rows], [brute_print(t, 1, False) for _, t in rows], {}
+    for i, s in enumerate(own):
+        for g in s or {()}:
+            at.setdefault(g, []).append(i)
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in {(a, b) for x in at.values() for a in x for b in x if a < b}:
+        both = len(own[a] & own[b])
+        share = both / (len(own[a]) + len(own[b]) - both) if own[a] else 1.0
+        if share >= 0.8 or (share >= 0.5 and (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.NEAR_BITS):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    assert ids(stages[2]) == [rows[i][0] for i in range(len(rows)) if root(i) == i]
 
 
 def test_near_copies_are_caught(stages):
@@ -74,7 +97,7 @@ def test_sources_meet_their_targets(stages):
     words = lambda df: {r[0]: r[1] for r in df.groupBy("source").agg(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")))).collect()}
     before, after = words(stages[3]), words(stages[4])
     order = sorted(before, key=lambda s: (s is None, s or ""))
-    targets = mixing.fill([before[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(before.values()), 2.0)
+    targets = fill([before[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(before.values()), 2.0)
     longest = stages[3].agg(F.max(F.length("text"))).first()[0]
     assert all(abs(after.get(s, 0) - t) <= longest for s, t in zip(order, targets))
     assert max(r["count"] for r in stages[4].groupBy("doc_id").count().collect()) <= 2
@@ -91,6 +114,18 @@ def test_run_is_the_stages(spark, stages):
     assert told(corpus_pipeline.run(spark, SF)) == told(stages[5])
 
 
+def test_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, and columns called like those of the operators, through all stages."""
+    names = ("copies", "size", "_toxicity", "_contaminated", "_tag", "component", "start")
+    docs = clashing(spark, *names)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, written(stage(spark, docs, SF), "test-odd")
+        assert docs.columns == before.columns + ["shard", "slot"] * (i == 4)
+    rows = docs.collect()
+    assert rows and all(r[n] == f"kept {n}" for r in rows for n in names)
+    held(rows, corpus_pipeline.SHARDS)
+
+
 def test_empty_table(spark):
     docs = none(spark)
     for _, stage in corpus_pipeline.STAGES:

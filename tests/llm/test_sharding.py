@@ -1,9 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quernstone.llm import sharding
+from quernstone.llm import common, sharding
 from tests.llm.cases import ODD, clashing, none, odd
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +37,7 @@ def test_query_keeps_its_law_and_reruns_agree(spark):
     held(rows, 16)
     assert sorted(r["doc_id"] for r in rows) == sorted(docs)
     assert all(r["size"] == len((docs[r["doc_id"]] or "").encode()) + 1 and r["law"] == "rows" and r["grown_shard"] is None for r in rows)
+    assert all(r["text_crc32"] == zlib.crc32((docs[r["doc_id"]] or "").encode()) for r in rows)
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source")
     where = lambda d: {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(d, 5).collect()}
     assert where(df) == where(df.repartition(13))
@@ -51,3 +54,25 @@ def test_empty_and_clashing(spark):
     assert sharding.shard(none(spark), 4).collect() == []
     out = sharding.shard(clashing(spark, "_row_md5", "_row_run", "_number", "_position", "shard"), 4)
     assert out.columns.count("shard") == 1 and {r["_number"] for r in out.collect()} == {"kept _number"}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_places_are_those_of_the_row_numbers(spark, monkeypatch, large):
+    """Shard and slot of each row are what ``locate`` computes from its number; numbers have no gap, also where rows repeat."""
+    if large:
+        monkeypatch.setattr(sharding, "LEAST_LARGE", 20)
+        monkeypatch.setattr(common, "CHUNK", 7)
+    rows = [(None, "x")] * 500 + [(5, "y")] * 90 + [(i, str(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, v string").repartition(6)
+    numbered, n = sharding.number_rows(df)
+    got = numbered.collect()
+    assert n == len(rows) and sorted(r["row_number"] for r in got) == list(range(n))
+    assert sorted((str(r["doc_id"]), r["v"]) for r in got) == sorted((str(a), b) for a, b in rows)
+    own = {(r["doc_id"], r["v"]): r["row_number"] for r in got if r["doc_id"] not in (None, 5)}
+    dealt = sharding.shard(df, 16).collect()
+    held(dealt, 16)
+    for r in dealt:
+        if (r["doc_id"], r["v"]) in own:
+            assert (r["shard"], r["slot"]) == sharding.locate(own[r["doc_id"], r["v"]], n, 16)
+    same = sharding.shard(df.repartition(3), 16).collect()
+    assert sorted(map(str, same)) == sorted(map(str, dealt))
