@@ -34,15 +34,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times (0, 1 or 2) as the mix takes it."""
-    mixed = mixing.mix(docs, n_words(F.col("text")))
+    """Each document as many times (0, 1 or 2) as the mix takes it.
+
+    A null text has no words; a null source is one like others; repeated and tied rows are
+    taken apart, so many as come nearest the target; an empty table stays empty. Columns
+    called like the mix's own keep their values.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, own))
+    mixed = mixing.mix(docs.toDF(*own), n_words(F.col(names["text"])), names["source"], names["doc_id"])
     repeated = mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select(*own).toDF(*docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot, shuffled reproducibly over 16 shards."""
-    return sharding.shard(docs, SHARDS, ties=[F.crc32(F.coalesce("text", F.lit("")).cast("binary"))])
+    """Documents with shard and slot, shuffled reproducibly over 16 shards.
+
+    Null ids and texts are values like others; each of repeated rows gets a slot of its own;
+    an empty table stays empty. Columns called shard or slot are replaced.
+    """
+    return sharding.shard(docs, SHARDS)
 
 
 STAGES = [
