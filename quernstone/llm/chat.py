@@ -12,7 +12,7 @@ control string can come from a text, and ``unescape`` gives the text back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import table
@@ -69,48 +69,39 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     that is no text, in order. Messages go by turn, null turns first; rows of one turn go
     by role, then content. Null roles and texts are empty; a null conversation id is a
     conversation like others; parts of unknown type become placeholders without tokens.
-    Other columns are dropped. A conversation is one value of the result, so its
-    messages meet in one task; no two conversations have to.
+    Other columns are dropped, whatever they are called; texts may be of any length; an
+    empty table gives an empty one. A conversation is one value of the result, so its
+    messages meet in one task; no two conversations have to. Places and numbers are running
+    sums over its messages, so the work grows with their number, not with its square.
     """
     parts = F.col(parts_col) if parts_col else text_part(F.col(text_col))
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), parts.alias("parts"))
     rows = rows.withColumn("parts", as_parts(F.coalesce("parts", F.array().cast(rows.schema["parts"].dataType)), rows.schema["parts"].dataType))
-    chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
-    files = lambda ps: F.filter(ps, lambda p: ~p["type"].eqNullSafe("text"))
-    chats = chats.withColumn("files", F.flatten(F.transform("turns", lambda t: files(t["parts"]))))
-    # how many attachments stand before each message
-    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
-    step = lambda a, t: F.struct((a["n"] + F.size(files(t["parts"]))).alias("n"), F.concat(a["before"], F.array(a["n"])).alias("before"))
-    counted = F.when(F.size("files") > 0, F.aggregate("turns", none, step)["before"])
-    chats = chats.withColumn("before", counted)
-
-    def content(t: Column, i: Column) -> Column:
-        own = t["parts"]
-        first = F.coalesce(F.get(F.col("before"), i), F.lit(0))
-        number = lambda k: first + F.size(F.filter(own, lambda p, j: (j < k) & ~p["type"].eqNullSafe("text")))
-        said = lambda p, k: F.when(p["type"] == "text", escape(p["text"])).otherwise(
-            F.concat(F.lit("<|"), escape(F.coalesce(p["type"], F.lit("part"))), F.lit(":"), number(k).cast("string"), F.lit("|>"))
-        )
-        return F.array_join(F.transform(own, said), "")
-
-    chats = chats.withColumn("said", F.transform("turns", lambda t, i: F.struct(escape(t["role"]).alias("role"), t["role"].isin(*train_roles).alias("loss"), content(t, i).alias("content"))))
-    head = lambda s: F.concat(F.lit(TURN), s["role"], F.lit(SAYS))
-    chats = chats.withColumn("formatted", F.array_join(F.transform("said", lambda s: F.concat(head(s), s["content"], F.lit(OVER))), ""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def spans(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + F.length(head(s))
-        end = begin + F.length(s["content"])
-        more = F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + len(OVER)).alias("at"), more.alias("spans"))
-
-    attached = F.transform("files", lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    rows = rows.withColumn("files", F.filter("parts", lambda p: ~p["type"].eqNullSafe("text")))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # attachments that stand before this message
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("first", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))
+
+    def said(p: Column, k: Column) -> Column:
+        number = F.col("first") + F.size(F.filter("parts", lambda q, j: (j < k) & ~q["type"].eqNullSafe("text")))
+        mark = F.concat(F.lit("<|"), escape(F.coalesce(p["type"], F.lit("part"))), F.lit(":"), number.cast("string"), F.lit("|>"))
+        return F.when(p["type"] == "text", escape(p["text"])).otherwise(mark)
+
+    content = F.when(F.size("files") == 0, F.array_join(F.transform("parts", lambda p: escape(p["text"])), "")).otherwise(F.array_join(F.transform("parts", said), ""))
+    rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))).withColumn("content", content)
+    rows = rows.withColumn("size", F.length("head") + F.length("content") + len(OVER))
+    rows = rows.withColumn("start", (F.coalesce(F.sum("size").over(before), F.lit(0)) + F.length("head")).cast("int"))
+    span = F.when(F.col("role").isin(*train_roles), F.struct("start", (F.col("start") + F.length("content")).alias("end")))
+    attached = F.transform("files", lambda p, i: F.struct((F.col("first") + i).cast("int").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    told = rows.select("conv", F.struct("place", F.concat("head", "content", F.lit(OVER)).alias("text"), span.alias("span"), attached.alias("files")).alias("m"))
+    chats = told.groupBy("conv").agg(F.sort_array(F.collect_list("m")).alias("turns"))
     return chats.select(
         F.col("conv").alias(conv_col),
         F.size("turns").cast("long").alias("n_turns"),
-        "formatted",
-        F.aggregate("said", start, spans)["spans"].alias("loss_mask"),
-        attached.alias("attachments"),
+        F.array_join("turns.text", "").alias("formatted"),
+        F.array_compact("turns.span").alias("loss_mask"),
+        F.flatten("turns.files").alias("attachments"),
     )
 
 

@@ -102,11 +102,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.withColumns(
         {
-            # the partition's number is never negative: being not deterministic, it keeps Spark from copying a
-            # later filter below these columns, where each would be computed again for each mention
-            "n_words": F.when(F.spark_partition_id() >= 0, count(F.size(parts))),
+            "n_words": count(F.size(parts)),
             "word_chars": count(F.length(F.array_join(parts, ""))),
-            "n_symbols": count(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))),
+            "n_symbols": count(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))),
             "n_lines": count(F.size(lines)),
             "n_dup_lines": count(F.size(lines) - F.size(F.array_distinct(lines))),
             "n_repeat_words": count(covered_words(F.col(starts))),
@@ -140,8 +138,10 @@ def judge(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...
     """``docs`` with counts, ``base_failed``, ``failed`` (names of the rules broken) and ``kept``.
 
     A null or empty text has no words and fails the base. Each row is judged by
-    itself: repeated rows get equal verdicts, an empty table gives an empty
-    one, and columns named like an added one are replaced.
+    itself, on its whole text of any length: repeated rows get equal verdicts, an
+    empty table gives an empty one, and columns named like an added one are replaced.
+    Spark computes a column that a filter names once more for the filter, so write the
+    verdicts before filtering by several of them.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines", "base_failed", "failed", "kept"]
     counted = measured(docs.drop(*[c for c in added if c != text_col]), text_col)
