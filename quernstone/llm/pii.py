@@ -185,7 +185,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             spans["secret"].append(got.span())
             done["secret"] = got.end()
     keys, taken, upto = spans["secret"], {a for a, _ in spans["iban"]}, 0
-    for last, (anchor, length) in low.iter(text.translate(ASCII_LOWER)):
+    lower = text.lower()
+    for last, (anchor, length) in low.iter(lower if len(lower) == len(text) else text.translate(ASCII_LOWER)):
         at, end = last - length + 1, last + 1
         if anchor == "account":
             if at < done["account"] or word_before(text, at) or text[end : end + 1].isalnum():
