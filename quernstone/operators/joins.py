@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.chunked import first_at_or_below
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False) -> DataFrame:
     """``left`` with ``values`` of the latest right row of its keys at or before (``strict``: before) its time.
@@ -25,19 +27,20 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     return carried.select("_left.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, seconds: int, matches: Column, found: Column, name: str, left_id: str) -> DataFrame:
-    """``left`` with the least ``found`` among right rows of its keys in [time, time + seconds] that match.
+def within(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, seconds: int, value: str, bound: str, name: str, left_id: str) -> DataFrame:
+    """``left`` with ``name``, the first time in [time, time + seconds] at which the ``value`` of a right row of its keys is at most ``bound``.
 
-    Time is cut into bins of that length; a left row looks into its own bin and the next, so
-    the join is on equal keys however long the tables are.
+    The first such row at all is looked up in a tree of minima; it counts if it comes in time.
     """
-    bin_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
-    l = left.withColumn("_bin", F.explode(F.array(bin_of(left_ts), bin_of(left_ts) + 1)))
-    r = right.withColumn("_bin", bin_of(right_ts))
-    gap = F.unix_micros(F.col(right_ts).cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
-    hits = l.join(r, [*keys, "_bin"]).where((gap >= 0) & (gap <= seconds * 1_000_000) & matches)
-    first = hits.groupBy(left_id).agg(F.min(found).alias(name))
-    return left.join(first, left_id, "left")
+    first = first_at_or_below(left, right, keys, left_id, left_ts, bound, right_ts, value, day_of("_t"))
+    both = left.join(first.select(left_id, "hit_ts"), left_id, "left")
+    gap = F.unix_micros(F.col("hit_ts").cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
+    return both.withColumn(name, F.when(gap <= seconds * 1_000_000, F.col("hit_ts"))).drop("hit_ts")
+
+
+def day_of(ts: str) -> Column:
+    """The day of a time as a number, by which series are cut into chunks."""
+    return F.unix_date(F.to_date(ts))
 
 
 def in_windows(rows: DataFrame, windows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
@@ -58,11 +61,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def first_breach(positions: DataFrame, bars: DataFrame, position_id: str) -> DataFrame:
     """Positions (symbol, entry_ts, stop) with the earliest bar from entry on whose low touches the stop."""
-    hit = positions.join(bars.select("symbol", F.col("ts").alias("breach_ts"), F.col("low").alias("breach_low")), "symbol").where(
-        (F.col("breach_ts") >= F.col("entry_ts")) & (F.col("breach_low") <= F.col("stop"))
-    )
-    first = hit.groupBy(position_id).agg(F.min("breach_ts").alias("breach_ts"), F.min_by("breach_low", "breach_ts").alias("breach_low"))
-    return positions.join(first, position_id, "left")
+    first = first_at_or_below(positions, bars, ["symbol"], position_id, "entry_ts", "stop", "ts", "low", F.floor(day_of("_t") / 365))
+    return positions.join(first.withColumnsRenamed({"hit_ts": "breach_ts", "hit_value": "breach_low"}), position_id, "left")
 
 
 def neighbours(cells: DataFrame, axes: list[str], value: str) -> DataFrame:

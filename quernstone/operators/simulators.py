@@ -20,7 +20,7 @@ BREAKEVEN = 1e-9
 
 @dataclass(frozen=True)
 class TraderConfig:
-    """What a long-only strategy trades by; ``gate`` is ("trade" or "signal", predicate, n, negated)."""
+    """What a strategy of one side (1 long, -1 short) trades by; ``gate`` is ("trade" or "signal", predicate, n, negated)."""
 
     cash: float = 10_000.0
     fee: float = 0.001
@@ -30,6 +30,7 @@ class TraderConfig:
     target: tuple[str, float] | None = None
     max_bars: int | None = None
     gate: tuple | None = None
+    side: int = 1
 
 
 @dataclass
@@ -74,7 +75,7 @@ class Past:
 
 
 class BarTrader:
-    """One long position at a time, next-open fills, stop before target, trailing stops, gates on the past.
+    """One position at a time, next-open fills, stop before target, trailing stops, gates on the past.
 
     A signal that a gate turns down goes on as a shadow position; its outcome is known
     once the shadow closes, so nothing looks ahead.
@@ -93,7 +94,8 @@ class BarTrader:
         if rule is None:
             return None
         kind, v = rule
-        return {"percent": fill * (1 - abs(v)), "trailing_percent": fill * (1 - abs(v)), "atr": fill - v * atr, "trailing_atr": fill - v * atr, "price": v}[kind]
+        share, gap = fill * (1 - self.c.side * abs(v)), fill - self.c.side * v * atr
+        return {"percent": share, "trailing_percent": share, "atr": gap, "trailing_atr": gap, "price": v}[kind]
 
     def _aim(self, fill: float, stop: float | None, atr: float) -> float | None:
         if self.c.target is None:
@@ -101,11 +103,11 @@ class BarTrader:
         kind, v = self.c.target
         if kind == "r":
             return fill + v * (fill - stop) if stop is not None else None
-        return {"percent": fill * (1 + v), "atr": fill + v * atr, "price": v}[kind]
+        return {"percent": fill * (1 + self.c.side * v), "atr": fill + self.c.side * v * atr, "price": v}[kind]
 
     def _open(self, pending: tuple, ts, raw_fill: float, size: float | None = None) -> Open | None:
         signal, signal_ts, atr = pending
-        fill = raw_fill * (1 + self.c.slip)
+        fill = raw_fill * (1 + self.c.side * self.c.slip)
         stop = self._level(self.c.stop, fill, atr)
         if size is None:
             each = fill * (1 + self.c.fee)
@@ -123,27 +125,30 @@ class BarTrader:
         return Open(signal, signal_ts, ts, fill, size, stop, self._aim(fill, stop, atr), fill)
 
     def _inside(self, p: Open, o: float, h: float, low: float) -> tuple[float, str] | None:
-        if p.stop is not None and low <= p.stop:
-            return min(o, p.stop), "stop_loss"
-        if p.target is not None and h >= p.target:
-            return max(o, p.target), "take_profit"
+        up, down = (h, low) if self.c.side > 0 else (-low, -h)  # a short position sees prices upside down
+        of = lambda x: self.c.side * x
+        if p.stop is not None and down <= of(p.stop):
+            return of(min(of(o), of(p.stop))), "stop_loss"
+        if p.target is not None and up >= of(p.target):
+            return of(max(of(o), of(p.target))), "take_profit"
         return None
 
-    def _trail(self, p: Open, h: float, atr: float) -> None:
-        p.anchor = max(p.anchor, h)
+    def _trail(self, p: Open, h: float, low: float, atr: float) -> None:
+        nearer = max if self.c.side > 0 else min
+        p.anchor = nearer(p.anchor, h if self.c.side > 0 else low)
         if self.c.stop is not None and self.c.stop[0].startswith("trailing"):
-            kind, v = self.c.stop
-            p.stop = max(p.stop, p.anchor * (1 - abs(v)) if kind == "trailing_percent" else p.anchor - v * atr)
+            p.stop = nearer(p.stop, self._level(self.c.stop, p.anchor, atr))
 
     def _leave(self, p: Open, ts, px: float, reason: str) -> tuple:
-        fill = px * (1 - self.c.slip)
-        paid, got = p.size * p.fill * (1 + self.c.fee), p.size * fill * (1 - self.c.fee)
-        return p.signal_ts, p.fill_ts, ts, p.fill, fill, p.size, got - paid, (got - paid) / paid, reason
+        fill = px * (1 - self.c.side * self.c.slip)
+        first, last = (p.size * x * (1 + s * self.c.fee) for x, s in ((p.fill, self.c.side), (fill, -self.c.side)))
+        gain = self.c.side * (last - first)
+        return p.signal_ts, p.fill_ts, ts, p.fill, fill, p.size, gain, gain / first, reason
 
     def _settle(self, ts, px: float, reason: str) -> tuple:
         p, self.position = self.position, None
         trade = self._leave(p, ts, px, reason)
-        self.cash += p.size * trade[4] * (1 - self.c.fee)
+        self.cash += self.c.side * p.size * trade[4] * (1 - self.c.side * self.c.fee)
         self.past.returns.append(trade[7])
         self.past.exits.append(self.bar)
         self._resolve(p.signal, trade[7])
@@ -167,7 +172,7 @@ class BarTrader:
             pending, self.entry = self.entry, None
             self.position = self._open(pending, ts, o)
             if self.position is not None:
-                self.cash -= self.position.size * self.position.fill * (1 + self.c.fee)
+                self.cash -= self.c.side * self.position.size * self.position.fill * (1 + self.c.side * self.c.fee)
         elif self.position is not None and self.position.leaving:
             trades.append(self._settle(ts, o, "signal"))
         if self.position is not None:
@@ -175,9 +180,9 @@ class BarTrader:
             if hit:
                 trades.append(self._settle(ts, *hit))
             else:
-                self._trail(self.position, h, atr)
+                self._trail(self.position, h, low, atr)
         self._walk_shadows(ts, o, h, low, bool(leave), atr)
-        value = self.cash + (self.position.size * c if self.position is not None else 0.0)
+        value = self.cash + (self.c.side * self.position.size * c if self.position is not None else 0.0)
         if self.position is None and self.entry is None and raw:
             gate = self.c.gate
             passed = gate is None or gate[3] != (self.past.trade_gate(gate[1], gate[2], self.bar) if gate[0] == "trade" else self.past.signal_gate(gate[1], self.bar))
@@ -201,7 +206,7 @@ class BarTrader:
             if done:
                 self._resolve(s.signal, self._leave(s, ts, *done)[7])
                 continue
-            self._trail(s, h, atr)
+            self._trail(s, h, low, atr)
             s.leaving = self._wants_out(s, leave)
             still.append(s)
         self.shadows = still

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.indicators import running
-from quernstone.operators.joins import asof
+from quernstone.operators import chunked
 
 
 def fills(orders: DataFrame, slip_bps: float, fee_bps: float) -> DataFrame:
@@ -20,16 +19,16 @@ def fills(orders: DataFrame, slip_bps: float, fee_bps: float) -> DataFrame:
 
 
 def snapshots(flows: DataFrame, start: float, keys: tuple[str, ...]) -> DataFrame:
-    """Cash flows over time -> equity, its peak and drawdown at each."""
-    w = running(Window.partitionBy(*keys).orderBy("ts", "id"))
-    eq = flows.withColumn("equity", start + F.sum("flow").over(w))
-    eq = eq.withColumn("peak", F.greatest(F.lit(start), F.max("equity").over(w)))
-    return eq.withColumn("drawdown", 1 - F.col("equity") / F.col("peak"))
+    """Cash flows over time -> equity, its peak and drawdown at each. Series are walked a month at a time, side by side."""
+    month, order = (F.year("ts") * 12 + F.month("ts")), ["ts", "id"]
+    eq = chunked.running_sum(flows.withColumn("_month", month), list(keys), "_month", order, F.col("flow"), "_cash").withColumn("equity", start + F.col("_cash"))
+    eq = chunked.running_max(eq, list(keys), "_month", order, "equity", "_top").withColumn("peak", F.greatest(F.lit(start), "_top"))
+    return eq.withColumn("drawdown", 1 - F.col("equity") / F.col("peak")).drop("_month", "_cash", "_top")
 
 
 def window_pnl(curve: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     """Each snapshot against the last one at or before its anchor time."""
-    marked = asof(anchors, curve.select(*keys, "ts", F.col("equity").alias("anchor_equity")), keys, "anchor", "ts", ["anchor_equity"])
+    marked = chunked.asof(anchors, curve.select(*keys, "ts", F.col("equity").alias("anchor_equity")), keys, "anchor", "ts", ["anchor_equity"], F.year("_t") * 12 + F.month("_t"))
     return marked.withColumn("pnl", F.col("equity") / F.col("anchor_equity") - 1)
 
 

@@ -76,6 +76,14 @@ def circular_shift(weights: DataFrame, sims: DataFrame) -> DataFrame:
     return x.select("symbol", "ts", "open", "k").join(moved, ["symbol", "k"])
 
 
+def block_permuted(labels: DataFrame, sims: DataFrame, block: int) -> DataFrame:
+    """(sim, symbol, k, y): labels (symbol, k, y) with blocks of so many in a row put in a random order, for each simulation."""
+    cut = labels.select("symbol", "k", "y", F.floor(F.col("k") / block).alias("block")).join(sims)
+    cut = cut.withColumn("d", draw(F.col("sim"), F.col("symbol"), F.col("block")))
+    order = Window.partitionBy("sim", "symbol").orderBy("d", "block", "k")
+    return cut.select("sim", "symbol", "y", (F.row_number().over(order) - 1).alias("k"))
+
+
 def expected_max_sharpe(trials: Column) -> Column:
     """Of that many trials without any skill, in units of their spread."""
     n = trials.cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import indicators as I
+from quernstone.operators import chunked
 from quernstone.operators import joins as J
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import BOOK, W, book, sd, sma
@@ -98,7 +99,7 @@ def book_at_trade(spark, sf_dir):
     b = book(spark, sf_dir)
     quotes = b.groupBy("symbol", "ts").agg(F.max_by("bid", "event_id").alias("bid"), F.max_by("ask", "event_id").alias("ask"))
     trades = b.select(F.col("event_id").alias("trade_id"), "symbol", "ts")
-    return J.asof(trades, quotes, ["symbol"], "ts", "ts", ["bid", "ask"], strict=True).select("trade_id", "bid", "ask")
+    return chunked.asof(trades, quotes, ["symbol"], "ts", "ts", ["bid", "ask"], J.day_of("_t"), strict=True).select("trade_id", "bid", "ask")
 
 
 @add("J10_trade_through", f"WITH {BOOK} SELECT l.event_id, min(r.ts) AS hit_ts FROM book l LEFT JOIN book r ON l.symbol = r.symbol AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 3600 SECOND AND r.ask <= l.bid GROUP BY l.event_id")
@@ -106,7 +107,7 @@ def trade_through(spark, sf_dir):
     b = book(spark, sf_dir)
     orders = b.select("event_id", "symbol", F.col("ts").alias("placed"), F.col("bid").alias("limit_px"))
     quotes = b.select("symbol", "ts", "ask")
-    return J.within(orders, quotes, ["symbol"], "placed", "ts", 3600, F.col("ask") <= F.col("limit_px"), F.col("ts"), "hit_ts", "event_id").select("event_id", "hit_ts")
+    return J.within(orders, quotes, ["symbol"], "placed", "ts", 3600, "ask", "limit_px", "through", "event_id").select("event_id", F.col("through").alias("hit_ts"))
 
 
 LEDGER = "lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"

@@ -16,7 +16,7 @@ from quernstone.queries.aggregates import SIG, TRADES, signals, vector_run, vect
 from quernstone.queries.joins import book
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import RUN, W, sma
-from quernstone.sources.bars import DAILY, daily_bars, event_bars, scan
+from quernstone.sources.bars import DAILY, HOURLY, daily_bars, event_bars, scan
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -70,20 +70,66 @@ def d9(spark, sf_dir):
     return P.signals(GOLDEN, daily_bars(spark, sf_dir))[0].select("symbol", "ts", "entry", "leave")
 
 
-@add(
-    "B1_signal_engine",
-    f"""WITH {DAILY}, g AS (SELECT *, coalesce(lag(f) {W} <= lag(s) {W} AND f > s, false) AS x, coalesce(lag(f) {W} >= lag(s) {W} AND f < s, false) AS y,
+def engine_trades(side: int = 1, fee: float = 0.001, slip: float = 0.0005) -> str:
+    """The trades of GOLDEN in SQL: next-open fills, costs on both sides, what is open at the end valued at the last close."""
+    ins, outs = f"(1 + {side} * {slip}::DOUBLE)", f"(1 - {side} * {slip}::DOUBLE)"
+    paid, got = f"entry_price * (1 + {side} * {fee}::DOUBLE)", f"exit_price * (1 - {side} * {fee}::DOUBLE)"
+    return f"""WITH {DAILY}, g AS (SELECT *, coalesce(lag(f) {W} <= lag(s) {W} AND f > s, false) AS x, coalesce(lag(f) {W} >= lag(s) {W} AND f < s, false) AS y,
   lead(open) {W} AS nopen, lead(ts) {W} AS nts FROM {X}), l AS (SELECT symbol, max(ts) AS lts, arg_max(close, ts) AS lc FROM bars GROUP BY 1),
 y AS (SELECT symbol, ts, nopen, nts FROM g WHERE y AND nts IS NOT NULL),
 t AS (SELECT g.symbol, g.ts AS entry_ts, g.nts AS fill_ts, min(y.ts) AS yts FROM g LEFT JOIN y ON y.symbol = g.symbol AND y.ts > g.ts WHERE g.x AND g.nts IS NOT NULL GROUP BY 1, 2, 3),
-p AS (SELECT t.symbol, t.entry_ts, t.fill_ts, coalesce(y.nts, lts) AS exit_ts, (SELECT any_value(nopen) FROM g WHERE g.symbol = t.symbol AND g.ts = t.entry_ts) * 1.0005::DOUBLE AS entry_price,
-  coalesce(y.nopen, lc) * 0.9995::DOUBLE AS exit_price, CASE WHEN y.nts IS NULL THEN 'end_of_data' ELSE 'signal' END AS reason FROM t JOIN l USING (symbol) LEFT JOIN y ON y.symbol = t.symbol AND y.ts = t.yts)
-SELECT symbol, entry_ts, fill_ts, exit_ts, reason, {sql_rounded({'ret': 'exit_price * 0.999 / (entry_price * 1.001) - 1'}, 5)} FROM p""",
-)
+p AS (SELECT t.symbol, t.entry_ts, t.fill_ts, coalesce(y.nts, lts) AS exit_ts, (SELECT any_value(nopen) FROM g WHERE g.symbol = t.symbol AND g.ts = t.entry_ts) * {ins} AS entry_price,
+  coalesce(y.nopen, lc) * {outs} AS exit_price, CASE WHEN y.nts IS NULL THEN 'end_of_data' ELSE 'signal' END AS reason FROM t JOIN l USING (symbol) LEFT JOIN y ON y.symbol = t.symbol AND y.ts = t.yts)
+SELECT symbol, entry_ts, fill_ts, exit_ts, reason, {sql_rounded({'ret': f'{side} * ({got} - {paid}) / ({paid})'}, 5)} FROM p"""
+
+
+def golden_trades(spark, sf_dir, document, **kw):
+    found = P.backtest(document, daily_bars(spark, sf_dir), **kw)
+    return found.select("symbol", "entry_ts", "fill_ts", "exit_ts", "reason", *rounded({"ret": F.col("ret")}, 5))
+
+
+@add("B1_signal_engine", engine_trades())
 def b1(spark, sf_dir):
     """A document's signals simulated, against its trades written out in SQL."""
-    found = P.backtest(GOLDEN, daily_bars(spark, sf_dir))
-    return found.select("symbol", "entry_ts", "fill_ts", "exit_ts", "reason", *rounded({"ret": F.col("ret")}, 5))
+    return golden_trades(spark, sf_dir, GOLDEN)
+
+
+@add("B1_short_document", engine_trades(side=-1))
+def b1_short(spark, sf_dir):
+    """The same document sold short: it gains where prices fall, and pays costs on both sides all the same.
+
+    It sells a small quantity each time, as these prices jump and a short sale can lose far more than it brings in.
+    """
+    return golden_trades(spark, sf_dir, GOLDEN | {"direction": "short", "position_sizing": {"mode": "fixed_quantity", "quantity": 0.0001}})
+
+
+@add("B1_stated_costs", engine_trades(fee=0.002, slip=0.001))
+def b1_costs(spark, sf_dir):
+    """The document traded at the costs that it states itself."""
+    return golden_trades(spark, sf_dir, GOLDEN | {"costs": {"commission_pct": 0.002, "slippage_pct": 0.001}}, stated_costs=True)
+
+
+@add("SP15_venue_costs", engine_trades(fee=0.0026, slip=0.0008))
+def sp15(spark, sf_dir):
+    """Costs resolved from the venue's table; what the document states is its author's assumption only."""
+    document = GOLDEN | {"instrument": {"symbol": "BTC/USDT", "exchange": "kraken"}, "costs": {"commission_pct": 0.01}}
+    return golden_trades(spark, sf_dir, document, fees={("kraken", "BTC/USDT"): (0.0026, 0.0008)})
+
+
+@add("F7_entry_order", engine_trades())
+def f7(spark, sf_dir):
+    """A limit entry fills at the next open like a market one."""
+    return golden_trades(spark, sf_dir, GOLDEN | {"entry": GOLDEN["entry"] | {"order_type": "limit", "limit_offset_pct": -0.001}})
+
+
+VWAP = GOLDEN | {"entry": {"condition": {"type": "crossover", "series": PRICE, "threshold": ind("vwap", session_anchored=True), "direction": "above"}}}
+
+
+@add("E3_vwap_document", f"""WITH {HOURLY}, v AS (SELECT *, sum((high + low + close) / 3 * volume) OVER d / nullif(sum(volume) OVER d, 0) AS v FROM bars WINDOW d AS (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, ts, coalesce(lag(close) {W} <= lag(v) {W} AND close > v, false) AS entry FROM v""")
+def e3_vwap(spark, sf_dir):
+    """The session's volume-weighted price as an indicator of a document."""
+    return P.signals(VWAP | {"primary_timeframe": "1h"}, event_bars(spark, sf_dir))[0].select("symbol", "ts", "entry")
 
 
 @add("F8_exit_rules", f"WITH {DAILY} SELECT symbol, ts, coalesce(lag(f) {W} >= lag(s) {W} AND f < s, false) OR isodow(ts) = 5 AS leave FROM {X}")
@@ -92,11 +138,29 @@ def f8(spark, sf_dir):
     return P.signals(spec, daily_bars(spark, sf_dir))[0].select("symbol", "ts", "leave")
 
 
-@add("SP12_spec_checks", "SELECT * FROM (VALUES ('golden', 1, 31, ''), ('stopped', 1, 21, ''), ('regime', 2, 31, ''), ('gated', 3, 31, ''), ('no_stop', 1, 31, 'risk_based_without_stop'), ('old', 2, 31, 'stateful_needs_v2')) v(name, tier, warm_up, errors)")
+def documents(spark, sf_dir):
+    """A document for each part: two averages and a stop whose numbers are the part's, some beyond what is allowed."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    average = lambda n: F.concat(F.lit('{"kind":"indicator","name":"sma","params":{"period":'), n.cast("string"), F.lit("}}"))
+    condition = lambda side: F.concat(F.lit('{"type":"crossover","series":'), average(size * 12), F.lit(',"threshold":'), average(size % 7 + 1), F.lit(f',"direction":"{side}"}}'))
+    stop = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(',{"type":"stop_loss","method":{"kind":"percent","value":'), (k % 30 / 100 + 0.01).cast("decimal(4,2)").cast("string"), F.lit("}}")))
+    sizing = F.when(k % 5 == 0, ',"position_sizing":{"mode":"risk_based","risk_percent":0.01}').otherwise("")
+    text = F.concat(
+        F.lit('{"schema_version":"'), F.when(k % 2 == 0, "2.0").otherwise("1.0"), F.lit('","primary_timeframe":"1d","direction":"'), F.when(k % 11 == 0, "sideways").otherwise("short"),
+        F.lit('","entry":{"condition":{"type":"regime_state","enter_when":'), condition("above"), F.lit(',"exit_when":'), condition("below"),
+        F.lit('},"order_type":"market"},"exit":{"exits":[{"type":"time","max_bars_held":5}'), stop, F.lit("]}"), sizing, F.lit("}"),
+    )
+    return scan(spark, sf_dir, "part").select("p_partkey", F.when(k % 17 == 0, "no document").otherwise(text).alias("document"))
+
+
+@add("SP12_spec_checks", """SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 THEN 2 END AS tier, CASE WHEN p_partkey % 17 <> 0 THEN 1 + greatest(p_size * 12, p_size % 7 + 1) END AS warm_up,
+CASE WHEN p_partkey % 17 = 0 THEN 'not_json' ELSE array_to_string(list_concat(list_concat(
+ CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 = 0 THEN ['risk_based_requires_stop_loss'] ELSE [] END, CASE WHEN p_partkey % 11 = 0 THEN ['direction_unknown'] ELSE [] END),
+ list_concat(CASE WHEN p_partkey % 2 = 1 THEN ['stateful_requires_schema_v2'] ELSE [] END,
+ [x FOR x IN ['indicator_param_out_of_bounds', 'indicator_param_out_of_bounds', 'indicator_param_out_of_bounds', 'indicator_param_out_of_bounds']][1:2 * ((p_size * 12 > 500)::INT + (p_size % 7 = 0)::INT)])), ',') END AS errors FROM part""")
 def sp12(spark, sf_dir):
-    """Tier, warm-up and errors of documents: a walk over each document on the driver."""
-    told = {"golden": GOLDEN, "stopped": STOPPED, "regime": REGIME, "gated": GATED, "no_stop": GOLDEN | {"position_sizing": {"mode": "risk_based", "risk_percent": 0.01}}, "old": REGIME | {"schema_version": "1.0"}}
-    return spark.createDataFrame([(k, P.tier(s), P.warm_up(s), ",".join(P.errors(s))) for k, s in told.items()], "name string, tier int, warm_up int, errors string")
+    """Tier, warm-up and errors of documents that are rows."""
+    return P.checked(documents(spark, sf_dir), "document").select("p_partkey", "tier", "warm_up", "errors")
 
 
 @add("E8_per_trade_ratchet", f"WITH {TRADES}, r AS (SELECT *, sum(entered::INT) {RUN} AS trade FROM run) SELECT symbol, ts, max(high) OVER (PARTITION BY symbol, trade ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top FROM r WHERE held = 1")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
+from quernstone.operators import chunked
 from quernstone.operators import engines as G
 from quernstone.operators import joins as J
 from quernstone.plans import validation as V
@@ -66,15 +67,19 @@ def v10(spark, sf_dir):
     return J.in_windows(daily_bars(spark, sf_dir).select("symbol", "ts"), f, "ts", "test_start", "test_end").groupBy("symbol", "ts").agg(F.min("fold").alias("fold"))
 
 
-@add("V2_sweep_axes", "SELECT * FROM (VALUES ('period', 10.0, '[8.0, 9.0, 10.0, 11.0, 12.0]'), ('period', 30.0, '[24.0, 27.0, 30.0, 33.0, 36.0]')) v(axis, base, points)")
+@add("V2_sweep_axes", """WITH d AS (SELECT p_partkey, p_size * 12 AS a, p_size % 7 + 1 AS b, (p_partkey % 30 / 100.0 + 0.01)::DOUBLE AS s FROM part WHERE p_partkey % 17 <> 0),
+x AS (SELECT p_partkey, 'indicator_period' AS axis, a::DOUBLE AS base, CASE WHEN a = b THEN 4 ELSE 2 END AS places FROM d UNION ALL SELECT p_partkey, 'indicator_period', b::DOUBLE, 2 FROM d WHERE a <> b
+ UNION ALL SELECT p_partkey, 'stop_loss_pct', round(s, 6), 1 FROM d WHERE p_partkey % 3 <> 0),
+y AS (SELECT *, CASE axis WHEN 'stop_loss_pct' THEN [greatest(0.02, base * 0.5), greatest(0.02, base * 0.75), base, least(0.2, base * 1.25), least(0.2, base * 1.75)]
+ ELSE [greatest(5.0, round_even(base * 0.5, 0)), greatest(5.0, round_even(base * 0.75, 0)), base, round_even(base * 1.25, 0), round_even(base * 1.75, 0)] END::DOUBLE[] AS pts FROM x)
+SELECT DISTINCT p_partkey, axis, base, places::BIGINT AS places, round(unnest(pts), 6) AS point FROM y""")
 def v2(spark, sf_dir):
-    """Parameters of a document by (kind, value), and the neighbourhood each is tried in: a walk on the driver."""
-    from quernstone.plans.spec import nodes
-    from quernstone.queries.simulators import GOLDEN
+    """What a sweep varies in documents that are rows, and the neighbourhood each value is tried in."""
+    from quernstone.plans.spec import sweep_axes
+    from quernstone.queries.simulators import documents
 
-    found = sorted({("period", float(x["params"]["period"])) for x in nodes(GOLDEN) if x.get("kind") == "indicator"})
-    points = [(k, v, str([round(v * m, 4) for m in (0.8, 0.9, 1.0, 1.1, 1.2)])) for k, v in found]
-    return spark.createDataFrame(points, "axis string, base double, points string")
+    axes = sweep_axes(documents(spark, sf_dir).where("p_partkey % 17 <> 0"), "p_partkey", "document")
+    return axes.select("p_partkey", "axis", "base", "places", F.explode("points").alias("point"))
 
 
 GRID = "grid AS (SELECT f.i AS fast, s.i AS slow FROM (VALUES (5), (10)) f(i), (VALUES (20), (30), (40)) s(i))"
@@ -169,17 +174,51 @@ def v12(spark, sf_dir):
     return drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), *rounded({"mean": F.avg(F.col("exit_open") / F.col("open") - 1)}, 5))
 
 
-AUC = "(sum(rk) FILTER (y = 1) - n1 * (n1 + 1) / 2) / (n1 * n0)"
+def auc_of(counts: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """(keys, auc) of (keys, s, n, n1): rows of each score, and those among them that came true; ranks of ties are averaged.
+
+    Scores are summed before they are ranked, and ranked range by range of ``width``.
+    """
+    x = chunked.running_sum(counts.withColumn("_range", F.floor(F.col("s") / width)), keys, "_range", ["s"], F.col("n"), "_upto")
+    rank = F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2
+    t = x.groupBy(*keys).agg(F.sum(rank * F.col("n1")).alias("sr"), F.sum("n1").cast("double").alias("n1"), F.sum(F.col("n") - F.col("n1")).cast("double").alias("n0"))
+    n1, n0 = F.col("n1"), F.col("n0")
+    return t.withColumn("auc", (F.col("sr") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0)))
 
 
 @add("V13_auc", f"WITH x AS (SELECT l_returnflag AS g, l_extendedprice AS s, (l_discount > 0.05)::INT AS y FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2 AS rk FROM x), t AS (SELECT g, sum(rk) FILTER (y = 1) AS sr, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM r GROUP BY 1) SELECT g, {sql_rounded({'auc': '(sr - n1 * (n1 + 1) / 2) / (n1 * n0)'})} FROM t")
 def v13(spark, sf_dir):
     """Area under the curve from average ranks."""
     x = scan(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("s"), (F.col("l_discount") > 0.05).cast("int").alias("y"))
-    rank = F.rank().over(Window.partitionBy("g").orderBy("s")) + (F.count("*").over(Window.partitionBy("g", "s")) - 1) / 2
-    t = x.withColumn("rk", rank).groupBy("g").agg(F.sum(F.when(F.col("y") == 1, F.col("rk"))).alias("sr"), F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    return t.select("g", *rounded({"auc": (F.col("sr") - n1 * (n1 + 1) / 2) / (n1 * n0)}))
+    counts = x.groupBy("g", "s").agg(F.count("*").alias("n"), F.sum("y").alias("n1"))
+    return auc_of(counts, ["g"], 100.0).select("g", *rounded({"auc": F.col("auc")}))
+
+
+#: Bars of a block of labels that stays together.
+LABEL_BLOCK = 168
+LABELS = f"lb AS (SELECT symbol, ts, ln(close) - ln(lag(close, 5) {W}) AS s, (ln(lead(close) {W}) > ln(close))::INT AS y FROM bars), ok AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM lb WHERE s IS NOT NULL AND y IS NOT NULL)"
+
+
+@add("V13_label_null", f"""WITH {DAILY}, {LABELS}, sims AS (SELECT i AS sim FROM range(20) t(i)), blocks AS (SELECT DISTINCT symbol, k // {LABEL_BLOCK} AS block FROM ok),
+ord AS (SELECT sim, symbol, block, ('0x' || substr(md5(sim || '-' || symbol || '-' || block), 1, 8))::BIGINT AS d FROM blocks, sims),
+moved AS (SELECT sim, o.symbol, o.y, row_number() OVER (PARTITION BY sim, o.symbol ORDER BY d, block, k) - 1 AS k FROM ok o JOIN ord ON ord.symbol = o.symbol AND block = k // {LABEL_BLOCK}),
+j AS (SELECT m.sim, o.symbol, o.s, m.y FROM ok o JOIN moved m USING (symbol, k) UNION ALL SELECT -1, symbol, s, y FROM ok),
+r AS (SELECT *, rank() OVER (PARTITION BY sim, symbol ORDER BY s) + (count(*) OVER (PARTITION BY sim, symbol, s) - 1) / 2 AS rk FROM j),
+t AS (SELECT sim, symbol, sum(rk) FILTER (y = 1) AS sr, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM r GROUP BY 1, 2),
+a AS (SELECT sim, symbol, (sr - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc FROM t)
+SELECT a.symbol, {sql_rounded({'auc': 'any_value(o.auc)', 'null_mean': 'avg(a.auc)'})}, (1 + count(*) FILTER (round(a.auc, 9) >= round(o.auc, 9)))::DOUBLE / (1 + count(*)) AS p_value FROM a JOIN a o ON o.symbol = a.symbol AND o.sim = -1 WHERE a.sim >= 0 GROUP BY 1""")
+def v13_null(spark, sf_dir):
+    """Is a score's area under the curve more than chance? Labels are moved in whole weeks of bars, which keeps their runs."""
+    w = I.series()
+    x = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(col.close, 5).alias("s"), (F.ln(F.lead("close").over(w)) > F.ln("close")).cast("int").alias("y"))
+    x = x.where("s IS NOT NULL AND y IS NOT NULL").withColumn("k", F.row_number().over(w) - 1)
+    moved = V.block_permuted(x, V.simulations(spark, 20), LABEL_BLOCK)
+    both = x.select("symbol", "k", "s").join(moved, ["symbol", "k"]).unionByName(x.select("symbol", "k", "s", F.lit(-1).cast("long").alias("sim"), "y"))
+    each = auc_of(both.groupBy("sim", "symbol", "s").agg(F.count("*").alias("n"), F.sum("y").alias("n1")), ["sim", "symbol"], 0.5)
+    real = each.where("sim = -1").select("symbol", F.col("auc").alias("real"))
+    drawn = each.where("sim >= 0").join(real, "symbol")
+    above = F.count_if(F.round("auc", 9) >= F.round("real", 9))
+    return drawn.groupBy("symbol").agg(*rounded({"auc": F.first("real"), "null_mean": F.avg("auc")}), ((1 + above) / (1 + F.count("*"))).alias("p_value"))
 
 
 @add("V14_circular_shift_null", f"WITH {WEIGHTS}, k AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM wt), sims AS (SELECT i AS sim FROM range(4) t(i)), m AS (SELECT sim, symbol, (k + {hex_draw('sim || chr(45) || symbol')} % n) % n AS k, w FROM k, sims), j AS (SELECT m.sim, k.symbol, k.ts, k.open, m.w FROM k JOIN m USING (symbol, k)), a AS (SELECT *, coalesce(lag(w) OVER q, 0) AS a, coalesce(lead(open) OVER q / open - 1, 0) AS mv FROM j WINDOW q AS (PARTITION BY sim, symbol ORDER BY ts)) SELECT sim, {sql_rounded({'gross': 'sum(a * mv)'}, 4)} FROM a GROUP BY 1")

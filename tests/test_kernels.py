@@ -178,12 +178,12 @@ def test_stepper_agrees_with_batch(spark):
 
 
 @pytest.mark.parametrize("spec, code", [
-    (GOLDEN | {"position_sizing": {"mode": "risk_based", "risk_percent": 0.01}}, "risk_based_without_stop"),
-    (GOLDEN | {"exit": {"exits": [{"type": "take_profit", "method": {"kind": "r_multiple", "r": 2}}]}}, "r_multiple_without_stop"),
-    (GOLDEN | {"filter_timeframe": "1h"}, "filter_timeframe_too_low"),
-    (REGIME | {"schema_version": "1.0"}, "stateful_needs_v2"),
+    (GOLDEN | {"position_sizing": {"mode": "risk_based", "risk_percent": 0.01}}, "risk_based_requires_stop_loss"),
+    (GOLDEN | {"exit": {"exits": [{"type": "take_profit", "method": {"kind": "r_multiple", "r": 2}}]}}, "r_multiple_requires_stop_loss"),
+    (GOLDEN | {"filter_timeframe": "1h"}, "filter_tf_must_be_higher"),
+    (REGIME | {"schema_version": "1.0"}, "stateful_requires_schema_v2"),
     (GOLDEN | {"entry": {"condition": {"type": "rising", "series": {"kind": "price", "field": "close"}, "lookback": 5000}}}, "out_of_bounds:lookback"),
-    (GOLDEN | {"entry": {"condition": {"type": "compare", "op": ">", "left": {"kind": "price", "field": "close"}, "right": {"kind": "ratchet", "source": {"kind": "ratchet", "source": {"kind": "price", "field": "high"}}}}}}, "nested_ratchet"),
+    (GOLDEN | {"entry": {"condition": {"type": "compare", "op": ">", "left": {"kind": "price", "field": "close"}, "right": {"kind": "ratchet", "source": {"kind": "ratchet", "source": {"kind": "price", "field": "high"}}}}}}, "ratchet_nested_unsupported"),
 ])
 def test_documents_that_are_wrong(spark, spec, code):
     assert code in P.errors(spec)
@@ -245,3 +245,113 @@ def test_scan_keys_start_anew(spark):
 
     got = sorted(tuple(r) for r in ordered_scan(df, ["k"], ["t"], ["x"], Count, "n int, x int").collect())
     assert got == [("a", -2, 0), ("a", 1, 5), ("a", 2, 6), ("b", -1, 0), ("b", 1, 7)]
+
+
+CLOSE, LONG = {"kind": "price", "field": "close"}, {"schema_version": "1.0", "primary_timeframe": "1d", "direction": "long"}
+
+
+def indicator(name, component=None, **params):
+    return {"kind": "indicator", "name": name, "params": params} | ({"component": component} if component else {})
+
+
+def above(left, right, kind="compare", **more):
+    return {"type": kind, **({"left": left, "op": ">", "right": right} if kind == "compare" else {"series": left, "threshold": right, "direction": "above"}), **more}
+
+
+def document(condition, exits, **more):
+    return LONG | {"entry": {"condition": condition, "order_type": "market"}, "exit": {"exits": exits}} | more
+
+
+STOP = {"type": "stop_loss", "method": {"kind": "percent", "value": 0.05}}
+ATR_STOP = {"type": "stop_loss", "method": {"kind": "atr_multiple", "atr_period": 14, "mult": 1.5}}
+TOP = {"kind": "lagged", "expression": indicator("highest", period=20, source="high"), "bars_ago": 1}
+LATCH = {"type": "regime_state", "enter_when": above(CLOSE, indicator("ema", period=50), "crossover"), "exit_when": above(CLOSE, indicator("ema", period=50), "crossover", direction="below"), "initial": False}
+GOOD = {
+    "cross": document(above(indicator("sma", period=5), indicator("sma", period=20), "crossover"), [{"type": "condition", "condition": above(indicator("sma", period=5), indicator("sma", period=20), "crossover", direction="below")}], position_sizing={"mode": "fixed_percent_equity", "percent": 1.0}),
+    "rsi": document(above(indicator("rsi", period=14), {"kind": "constant", "value": 30}, "crossover", direction="below"), [{"type": "condition", "condition": above(indicator("rsi", period=14), {"kind": "constant", "value": 70}, "crossover")}, STOP]),
+    "breakout": document({"type": "and", "conditions": [above(CLOSE, TOP), above({"kind": "price", "field": "volume"}, indicator("volume_sma", period=20))]}, [ATR_STOP, {"type": "take_profit", "method": {"kind": "r_multiple", "r": 2}}], position_sizing={"mode": "risk_based", "risk_percent": 0.01}),
+    "slower": document({"type": "and", "conditions": [{"type": "rising", "series": indicator("ema", period=50), "lookback": 5, "strict": False, "timeframe": "4h"}, {"type": "within_last_n_bars", "n": 3, "condition": above(indicator("ema", period=20), {"kind": "price", "field": "low"})}, {"type": "candle_pattern", "pattern": "bullish_engulfing"}]}, [ATR_STOP], primary_timeframe="1h", filter_timeframe="4h"),
+    "bands": document(above(CLOSE, indicator("bollinger", "upper", period=20, std_dev=2.0)), [{"type": "stop_loss", "method": {"kind": "trailing_percent", "value": 0.02}}, {"type": "time", "max_bars_held": 48}], position_sizing={"mode": "fixed_quantity", "quantity": 0.5}),
+    "short": document(above(indicator("ema", period=50), indicator("ema", period=20)), [{"type": "condition", "condition": above(indicator("ema", period=20), indicator("ema", period=50), "crossover")}, ATR_STOP], direction="short", position_sizing={"mode": "risk_based", "risk_percent": 0.015}),
+    "limit": document(above(indicator("macd", "hist", fast=12, slow=26, signal=9), {"kind": "constant", "value": 0}, "crossover"), [STOP, {"type": "take_profit", "method": {"kind": "percent", "value": 0.06}}], filters=[{"type": "session", "hours_utc": [0, 21]}, {"type": "weekday", "days": [1, 2, 3, 4, 5]}]) ,
+    "vwap": document({"type": "and", "conditions": [above(indicator("vwap", session_anchored=True), CLOSE), {"type": "not", "condition": above({"kind": "scaled", "expression": indicator("volume_sma", period=20), "factor": 0.5}, {"kind": "price", "field": "volume"})}]}, [STOP, {"type": "condition", "condition": above(CLOSE, indicator("vwap", session_anchored=True), op=">=")}]),
+    "latch": document({"type": "and", "conditions": [LATCH, above(indicator("ema", period=20), indicator("ema", period=50), "crossover")]}, [ATR_STOP], schema_version="2.0"),
+    "turtle": document({"type": "and", "conditions": [above(CLOSE, TOP), {"type": "not", "condition": {"type": "prior_signal", "predicate": "last_would_have_won"}}]}, [{"type": "stop_loss", "method": {"kind": "atr_multiple", "atr_period": 14, "mult": 2}}, {"type": "condition", "condition": above({"kind": "lagged", "expression": indicator("lowest", period=10, source="low"), "bars_ago": 1}, CLOSE)}], schema_version="2.0", position_sizing={"mode": "fixed_percent_equity", "percent": 0.5}),
+    "nulls": document(above(indicator("sma", period=5, source=None, fast=None), indicator("sma", period=20), "crossover", timeframe=None), [STOP], costs={"slippage_pct": 0.0005, "commission_pct": 0.001}, filters=[], name=None),
+}
+GOOD["limit"]["entry"] |= {"order_type": "limit", "limit_offset_pct": -0.001}
+RATCHET = {"kind": "ratchet", "source": CLOSE, "extremum": "max", "reset": "never"}
+BAD = {
+    "r_multiple_requires_stop_loss": document(above(CLOSE, indicator("sma", period=20)), [{"type": "take_profit", "method": {"kind": "r_multiple", "r": 2}}]),
+    "risk_based_requires_stop_loss": document(above(CLOSE, indicator("sma", period=20)), [{"type": "take_profit", "method": {"kind": "percent", "value": 0.05}}], position_sizing={"mode": "risk_based", "risk_percent": 0.01}),
+    "filter_tf_must_be_higher": document(above(CLOSE, indicator("sma", period=20)), [STOP], primary_timeframe="4h", filter_timeframe="15m"),
+    "indicator_param_out_of_bounds": document(above(indicator("rsi", period=1), {"kind": "constant", "value": 30}, "crossover"), [STOP]),
+    "stateful_requires_schema_v2": document(LATCH, [STOP]),
+    "ratchet_nested_unsupported": document(above(CLOSE, RATCHET | {"source": RATCHET}), [STOP], schema_version="2.0"),
+    "per_trade_ratchet_not_supported": document(above(CLOSE, TOP), [{"type": "condition", "condition": above({"kind": "scaled", "expression": RATCHET | {"reset": "per_trade"}, "factor": 0.9}, CLOSE)}], schema_version="2.0"),
+    "direction_unknown": GOOD["cross"] | {"direction": "both"},
+    "costs_out_of_bounds": GOOD["cross"] | {"costs": {"commission_pct": 0.2}},
+    "legs_not_supported": GOOD["cross"] | {"legs": [{"symbol": "A"}]},
+    "limit_offset_required": GOOD["cross"] | {"entry": GOOD["cross"]["entry"] | {"order_type": "limit"}},
+    "limit_offset_forbidden": GOOD["cross"] | {"entry": GOOD["cross"]["entry"] | {"limit_offset_pct": 0.001}},
+    "indicator_component_required": document(above(indicator("macd", fast=12, slow=26, signal=9), CLOSE), [STOP]),
+    "indicator_param_missing": document(above(indicator("supertrend", "value", atr_period=10), CLOSE), [STOP]),
+    "indicator_param_unknown": document(above(indicator("keltner", "upper", period=20, atr_period=10, multiplier=2.0, mult=2.0), CLOSE), [STOP]),
+    "macd_slow_must_exceed_fast": document(above(indicator("macd", "line", fast=26, slow=12, signal=9), CLOSE), [STOP]),
+    "indicator_unknown": document(above(indicator("ichimoku", period=9), CLOSE), [STOP]),
+}
+
+
+@pytest.mark.parametrize("name", GOOD)
+def test_documents_of_every_shape_run(spark, name):
+    from quernstone.sources.bars import daily_bars, event_bars
+
+    assert P.errors(GOOD[name]) == []
+    bars = (event_bars if GOOD[name]["primary_timeframe"] == "1h" else daily_bars)(spark, SF)
+    rows = P.backtest(GOOD[name], bars).collect()
+    assert all(math.isfinite(r["ret"]) for r in rows)
+
+
+@pytest.mark.parametrize("code", BAD)
+def test_unsupported_documents_are_rejected(code):
+    assert code in P.errors(BAD[code])
+    with pytest.raises(ValueError, match=code):
+        P.signals(BAD[code], None)
+
+
+def test_a_short_position_mirrors_a_long_one():
+    """Stops lie above, targets below; it gains where prices fall."""
+    enter = (day(0), 100, 100, 100, 100, True, False, None)
+    c = S.TraderConfig(fee=0, slip=0, side=-1, stop=("percent", 0.1), target=("percent", 0.2))
+    (hit,) = drive(S.BarTrader(c), [enter, (day(1), 100, 105, 95, 100, False, False, None), (day(2), 100, 112, 79, 100, False, False, None)])
+    assert hit[8] == "stop_loss" and hit[4] == pytest.approx(110) and hit[7] == pytest.approx(-0.1)
+    (won,) = drive(S.BarTrader(c), [enter, (day(1), 100, 105, 95, 100, False, False, None), (day(2), 90, 91, 75, 80, False, False, None)])
+    assert won[8] == "take_profit" and won[4] == pytest.approx(80) and won[7] == pytest.approx(0.2)
+    trail = S.TraderConfig(fee=0, slip=0, side=-1, stop=("trailing_percent", 0.1))
+    (t,) = drive(S.BarTrader(trail), [enter, (day(1), 100, 101, 50, 60, False, False, None), (day(2), 54, 56, 52, 53, False, False, None)])
+    assert t[8] == "stop_loss" and t[4] == pytest.approx(55)
+    costs = S.TraderConfig(cash=1000.0, fee=0.01, slip=0.0, side=-1)
+    (paid,) = drive(S.BarTrader(costs), [enter, (day(1), 100, 100, 100, 100, False, True, None), (day(2), 50, 50, 50, 50, False, False, None)])
+    assert paid[6] == pytest.approx(paid[5] * (100 * 0.99 - 50 * 1.01))
+    equity = drive(S.BarTrader(costs, equity=True), [enter, (day(1), 100, 100, 100, 100, False, True, None), (day(2), 50, 50, 50, 50, False, False, None)])
+    assert equity[-1][1] == pytest.approx(1000 + paid[6])
+
+
+def test_scans_keep_values_as_they_are(spark):
+    """Large numbers beside a null, and a null key, which is one series."""
+    big = 2**53 + 1
+
+    class Count:
+        def __init__(self, key):
+            self.n = 0
+
+        def push(self, row):
+            self.n += 1
+            return [(self.n, row[0])]
+
+        def close(self):
+            return []
+
+    df = spark.createDataFrame([(None, i, big + i if i % 2 else None) for i in range(5)] + [(big, i, big) for i in range(4)], "k long, at long, v long").coalesce(1)
+    rows = ordered_scan(df, ["k"], ["at"], ["v"], Count, "n int, v long").collect()
+    assert sorted((str(r["k"]), r["n"], str(r["v"])) for r in rows) == sorted([("None", i + 1, str(big + i if i % 2 else None)) for i in range(5)] + [(str(big), i + 1, str(big)) for i in range(4)])
