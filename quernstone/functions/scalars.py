@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import statistics
+import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,23 +62,74 @@ def claimed_number(text: Column) -> Column:
     return F.when(number == "", F.lit(None)).when(suffix == "%", x / 100).otherwise(x)
 
 
-# normal distribution: Spark has neither of these, so they run on Arrow batches
+# normal distribution: Spark has neither of these; rational functions of published coefficients, as columns
+# Numerator and denominator of the lower tail divided by exp(-x*x/2), highest power first.
+TAIL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+# Numerator and denominator of the inverse in the middle and in the tails, highest power first.
+MIDDLE_TOP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+MIDDLE_BOTTOM = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+END_TOP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+END_BOTTOM = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+END = 0.02425
+
+
+def polynomial(x: Column, powers: tuple[float, ...]) -> Column:
+    out = F.lit(powers[0])
+    for c in powers[1:]:
+        out = out * x + c
+    return out
+
+
+def let(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)`` with x computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def norm_cdf(x: Column) -> Column:
-    @F.pandas_udf("double")
-    def cdf(x: pd.Series) -> pd.Series:
-        normal = statistics.NormalDist()
-        return x.map(lambda v: None if pd.isna(v) else normal.cdf(v))
+    def tail(a: Column) -> Column:
+        near = polynomial(a, TAIL_TOP) / polynomial(a, TAIL_BOTTOM)
+        far = 1 / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / (2 * math.pi) ** 0.5
+        return F.when(a > 37, 0.0).otherwise(F.exp(-a * a / 2) * F.when(a < 7.07106781186547, near).otherwise(far))
 
-    return cdf(x)
+    return let(x, lambda v: let(tail(F.abs(v)), lambda t: F.when(v > 0, 1 - t).otherwise(t)))
 
 
 def norm_ppf(p: Column) -> Column:
-    @F.pandas_udf("double")
-    def ppf(p: pd.Series) -> pd.Series:
-        normal = statistics.NormalDist()
-        return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else normal.inv_cdf(v))
+    """Null outside of (0, 1). One step of Halley's method after the rational guess."""
+    end = lambda t: polynomial(t, END_TOP) / polynomial(t, END_BOTTOM)
+    middle = lambda q: q * let(q * q, lambda r: polynomial(r, MIDDLE_TOP) / polynomial(r, MIDDLE_BOTTOM))
+
+    def guess(p: Column) -> Column:
+        least = F.least(p, 1 - p)
+        tail = let(F.sqrt(-2 * F.ln(least)), end)
+        return F.when(p < END, tail).when(p > 1 - END, -tail).otherwise(let(p - 0.5, middle))
+
+    def better(p: Column, x: Column) -> Column:
+        return let((norm_cdf(x) - p) * (2 * math.pi) ** 0.5 * F.exp(x * x / 2), lambda off: x - off / (1 + x * off / 2))
+
+    return let(p, lambda v: F.when((v > 0) & (v < 1), let(guess(v), lambda x: better(v, x))))
+
+
+def polynomial_sql(x: str, powers: tuple[float, ...]) -> str:
+    out = f"{powers[0]!r}::DOUBLE"
+    for c in powers[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def norm_cdf_sql(x: str) -> str:
+    """The same as DuckDB SQL, for arguments within seven deviations."""
+    tail = f"exp(-({x}) * ({x}) / 2) * {polynomial_sql(f'abs({x})', TAIL_TOP)} / {polynomial_sql(f'abs({x})', TAIL_BOTTOM)}"
+    return f"CASE WHEN ({x}) > 0 THEN 1 - {tail} ELSE {tail} END"
+
 
-    return ppf(p)
+def norm_ppf_sql(p: str) -> str:
+    """The guess of the inverse as DuckDB SQL; it is right to nine digits."""
+    q, t = f"(({p}) - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    middle = f"{q} * {polynomial_sql(f'({q} * {q})', MIDDLE_TOP)} / {polynomial_sql(f'({q} * {q})', MIDDLE_BOTTOM)}"
+    end = f"{polynomial_sql(t, END_TOP)} / {polynomial_sql(t, END_BOTTOM)}"
+    return f"CASE WHEN ({p}) < {END} THEN {end} WHEN ({p}) > {1 - END} THEN -({end}) ELSE {middle} END"
 
 
 # ladders

@@ -642,7 +642,7 @@ class Continuity:
 
 
 class Gaps:
-    """Alerts once when a series pauses longer than allowed, and once when it goes on."""
+    """Tells when a series that paused longer than allowed goes on, and how long it paused."""
 
     def __init__(self, key, seconds: float = 7200):
         self.seconds, self.last = seconds, None

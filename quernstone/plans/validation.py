@@ -6,6 +6,8 @@ depend on how rows lie on machines, and SQL can repeat it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +88,8 @@ def block_permuted(labels: DataFrame, sims: DataFrame, block: int) -> DataFrame:
 
 def expected_max_sharpe(trials: Column) -> Column:
     """Of that many trials without any skill, in units of their spread."""
-    n = trials.cast("double")
-    tail = lambda p: S.norm_ppf(p)
-    return F.when(n < 2, F.lit(0.0)).otherwise((1 - EULER_GAMMA) * tail(1 - 1 / n) + EULER_GAMMA * tail(1 - F.exp(F.lit(-1.0)) / n))
+    best = lambda n: (1 - EULER_GAMMA) * S.norm_ppf(1 - 1 / n) + EULER_GAMMA * S.norm_ppf(1 - F.exp(F.lit(-1.0)) / n)
+    return S.let(trials.cast("double"), lambda n: F.when(n < 2, F.lit(0.0)).otherwise(best(n)))
 
 
 def deflated_sharpe(sharpe: Column, trials: Column, n: Column, skew: Column, kurtosis: Column, spread: float = 1.0) -> Column:
@@ -160,3 +161,37 @@ def backtest_cells(bars: DataFrame, cells: DataFrame, axes: list[str], signal, p
     """Every cell's vector run: bars times cells, one job. ``signal`` gives the 0/1 position from the cell's columns."""
     both = bars.join(F.broadcast(cells)).withColumn("pos", signal)
     return G.vector_backtest(both, per_side_bps, keys=(*axes, "symbol"))
+
+
+def ridge_report(rows: DataFrame, features: list[str], target: str, order: str, alpha: float = 1.0, share: float = 0.7) -> DataFrame:
+    """(symbol, n_train, n_test, r2_train, r2_test, ic): a ridge regression for each symbol on its first ``share`` of rows.
+
+    Features are standardised by the training rows. Sums of products are one aggregate; the
+    small system of a symbol is solved row by row, so no task holds a symbol's rows.
+    """
+    own, w = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy(order)
+    cut = rows.withColumn("train", F.row_number().over(w) <= F.floor(F.count("*").over(own) * share))
+    means = [F.avg(c).alias(f"m_{c}") for c in features] + [F.stddev_pop(c).alias(f"s_{c}") for c in features]
+    known = cut.where("train").groupBy("symbol").agg(*means, F.avg(target).alias("mean_y"))
+    z = cut.join(known, "symbol").select(
+        "symbol", "train", F.col(target).alias("y"), "mean_y",
+        F.array(*[(F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in features]).alias("z"),
+    )
+    k = len(features)
+    at = lambda i: F.get("z", F.lit(i))
+    sums = [F.sum(at(i) * at(j)) for i in range(k) for j in range(k)] + [F.sum(at(i) * (F.col("y") - F.col("mean_y"))) for i in range(k)]
+
+    @F.pandas_udf("array<double>")
+    def solved(moments: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.solve(np.array(m[: k * k]).reshape(k, k) + alpha * np.eye(k), m[k * k :]).tolist() for m in moments], dtype=object)
+
+    fit = z.where("train").groupBy("symbol").agg(F.array(*sums).alias("moments")).select("symbol", solved("moments").alias("b"))
+    told = z.join(fit, "symbol").withColumn("p", F.col("mean_y") + F.aggregate(F.zip_with("z", "b", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    ranked = Window.partitionBy("symbol", "train")
+    middle = lambda c: F.rank().over(ranked.orderBy(c)) + (F.count("*").over(Window.partitionBy("symbol", "train", c)) - 1) / 2
+    told = told.withColumn("ry", middle("y")).withColumn("rp", middle("p"))
+    side = told.groupBy("symbol", "train").agg(
+        F.count("*").alias("n"), (1 - F.sum((F.col("y") - F.col("p")) ** 2) / F.nullif(F.var_pop("y") * F.count("*"), F.lit(0.0))).alias("r2"), F.corr("ry", "rp").alias("ic")
+    )
+    of = lambda c, train: F.max(F.when(F.col("train") == train, F.col(c)))
+    return side.groupBy("symbol").agg(of("n", True).alias("n_train"), of("n", False).alias("n_test"), of("r2", True).alias("r2_train"), of("r2", False).alias("r2_test"), of("ic", False).alias("ic"))

@@ -21,7 +21,7 @@ def s_math(spark, sf_dir):
     return scan(spark, sf_dir, "orders").select("o_orderkey", *rounded(cols))
 
 
-@add("S_normal")
+@add("S_normal", f"SELECT c_custkey, {sql_rounded({'cdf': S.norm_cdf_sql('(c_acctbal / 5000)'), 'ppf': S.norm_ppf_sql('((c_custkey % 97 + 1) / 99.0::DOUBLE)')})} FROM customer")
 def s_normal(spark, sf_dir):
     p = (F.col("c_custkey") % 97 + 1) / 99
     return scan(spark, sf_dir, "customer").select("c_custkey", *rounded({"cdf": S.norm_cdf(F.col("c_acctbal") / 5000), "ppf": S.norm_ppf(p)}))

@@ -247,7 +247,13 @@ def b15(spark, sf_dir):
 HOW = "(SELECT *, isodow(ts) * 24 + hour(ts) AS how FROM bars)"
 
 
-@add("W23_matched_percentile")
+MATCHED = """x AS (SELECT symbol, ts, high - low AS spread, (isodow(ts) - 1) * 24 + hour(ts) AS how FROM bars),
+h AS (SELECT a.symbol, a.ts, count(*) AS n, count(*) FILTER (b.spread < a.spread) + 0.5 * count(*) FILTER (b.spread = a.spread) AS every,
+  count(*) FILTER (b.how = a.how) AS m, count(*) FILTER (b.how = a.how AND b.spread < a.spread) + 0.5 * count(*) FILTER (b.how = a.how AND b.spread = a.spread) AS own
+  FROM x a JOIN x b ON a.symbol = b.symbol AND b.ts BETWEEN a.ts - INTERVAL 30 DAY AND a.ts GROUP BY 1, 2)"""
+
+
+@add("W23_matched_percentile", f"WITH {HOURLY}, {MATCHED} SELECT symbol, ts, {sql_rounded({'pct': 'CASE WHEN m < 8 THEN every / n ELSE own / m END'})} FROM h")
 def w23(spark, sf_dir):
     """Mid-rank of the newest spread among the last 30 days' of its hour of the week; all hours where these are fewer than 8."""
     x = event_bars(spark, sf_dir).select("symbol", "ts", (F.col("high") - F.col("low")).alias("spread"), (F.weekday("ts") * 24 + F.hour("ts")).alias("how"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import conditions as C
@@ -65,6 +66,21 @@ def st4(spark, sf_dir):
     return out.select("symbol", "micros", *rounded({"gap_s": F.col("gap_s")}, 3))
 
 
+@add("ST4_failure_streak", """WITH x AS (SELECT event_id, user_id, ts, event_type = 'error' AS bad, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+y AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM x),
+z AS (SELECT *, lag(streak, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM y)
+SELECT event_id, user_id, CASE WHEN bad THEN 'alert' ELSE 'recovered' END AS told FROM z WHERE (bad AND streak = 2) OR (NOT bad AND before >= 2)""")
+def st4_streak(spark, sf_dir):
+    """A source that fails twice in a row is told of once, however long it goes on failing, and once more when it recovers."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = scan(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("bad"))
+    e = e.withColumn("run", F.sum((~F.col("bad")).cast("int")).over(I.running(w)))
+    e = e.withColumn("streak", F.sum(F.col("bad").cast("int")).over(I.running(Window.partitionBy("user_id", "run").orderBy("ts", "event_id"))))
+    e = e.withColumn("before", F.lag("streak", 1, 0).over(w))
+    told = F.when(F.col("bad") & (F.col("streak") == 2), "alert").when(~F.col("bad") & (F.col("before") >= 2), "recovered")
+    return e.withColumn("told", told).where("told IS NOT NULL").select("event_id", "user_id", "told")
+
+
 def crossed(spark, sf_dir):
     c = F.col("close")
     b = daily_bars(spark, sf_dir).withColumn("f", I.sma(c, 10)).withColumn("s", I.sma(c, 30))
@@ -131,8 +147,8 @@ def st8(spark, sf_dir):
 @add("ST9_hourly_rotation", "SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def st9(spark, sf_dir):
     """Ticks in folders by symbol and hour; the manifest counts them."""
-    t = ticks(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    out = E.drain(t, "rotated", ["symbol", "day"])
+    t = ticks(spark, sf_dir).withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH"))
+    out = E.drain(t.repartition(16, "symbol", "hour"), "rotated", ["symbol", "hour"]).drop("hour")
     return out.groupBy("symbol", bin_start(F.col("ts"), 3600).alias("hour")).agg(F.count("*").alias("n"))
 
 

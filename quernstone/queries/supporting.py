@@ -11,6 +11,7 @@ from quernstone.plans import validation as V
 from quernstone.queries.aggregates import BPS, TRADES, vector_run
 from quernstone.queries.joins import POS, positions
 from quernstone.queries.registry import add, col, rounded, sql_rounded
+from quernstone.queries.validation import MOMENTS, deflated_sql
 from quernstone.sources.bars import DAILY, daily_bars, scan
 
 
@@ -25,7 +26,7 @@ def k10(spark, sf_dir):
     )
 
 
-@add("V21_dsr_recount")
+@add("V21_dsr_recount", f"WITH {MOMENTS}, y AS (SELECT *, m / sd * sqrt(252::DOUBLE) AS sr, round_even(greatest(n / 252.0::DOUBLE, 2), 0) AS yr FROM mo), z AS (SELECT *, {deflated_sql('sr', 20, 'n', 1.0)} AS x, {deflated_sql('sr', 20, 'yr', 1.0)} AS y FROM y) SELECT symbol, n, yr::BIGINT AS years, {sql_rounded({'before': 'x', 'after': 'y', 'delta': 'y - x'})} FROM z")
 def v21(spark, sf_dir):
     """Deflated Sharpe of stored runs, counted anew by years instead of bars."""
     run = vector_run(spark, sf_dir).groupBy("symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sr"), F.count("*").alias("n"), F.skewness("r").alias("g"), (F.kurtosis("r") + 3).alias("k"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
+from quernstone.functions import scalars as S
 from quernstone.operators import chunked
 from quernstone.operators import engines as G
 from quernstone.operators import joins as J
 from quernstone.plans import validation as V
-from quernstone.queries.aggregates import BPS, SIG, TRADES, WEIGHTS, vector_run, vector_trades, weights
-from quernstone.queries.joins import CELLS, FOLDS, cells, folds
+from quernstone.queries.aggregates import BPS, PORT, SIG, TRADES, WEIGHTS, signals, vector_run, vector_trades, weights
+from quernstone.queries.joins import CELLS, FOLDS, MEMBERS, book, cells, folds
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import W, sma
 from quernstone.sources.bars import DAILY, daily_bars, scan
@@ -97,9 +100,13 @@ def v3(spark, sf_dir):
     return V.run_return(run, ["fast", "slow", "symbol"]).select("fast", "slow", "symbol", *rounded({"total": F.col("total")}))
 
 
+#: Simulations: of the bootstrap by days, of the permutation nulls, and of the nulls that draw entries and shifts.
+RESAMPLES, PERMUTATIONS, DRAWS = 1000, 100, 200
+
+
 def perm_sql(joint: bool) -> str:
     key = "sim || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S')" if joint else "sim || '-' || symbol || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S')"
-    return f"""pr AS (SELECT symbol, ts, close, ln(close) - ln(lag(close) {W}) AS r, row_number() {W} AS k, first_value(close) {W} AS c0 FROM bars), sims AS (SELECT i AS sim FROM range(4) t(i)),
+    return f"""pr AS (SELECT symbol, ts, close, ln(close) - ln(lag(close) {W}) AS r, row_number() {W} AS k, first_value(close) {W} AS c0 FROM bars), sims AS (SELECT i AS sim FROM range({PERMUTATIONS}) t(i)),
 sh AS (SELECT sim, symbol, r, row_number() OVER (PARTITION BY sim, symbol ORDER BY ('0x' || substr(md5({key}), 1, 8))::BIGINT, ts) + 1 AS k FROM pr, sims WHERE r IS NOT NULL),
 pth AS (SELECT sim, pr.symbol, pr.ts, c0 * exp(sum(coalesce(sh.r, 0)) OVER (PARTITION BY sim, pr.symbol ORDER BY pr.ts ROWS UNBOUNDED PRECEDING)) AS close FROM pr JOIN sims ON true LEFT JOIN sh USING (sim, symbol, k)),
 pp AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY sim, symbol ORDER BY ts), close) AS open FROM pth)"""
@@ -107,7 +114,7 @@ pp AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY sim, symbol ORDER BY ts)
 
 @add("V4_permutation_null", f"WITH {DAILY}, {perm_sql(False)}, s AS (SELECT *, coalesce(({fsma(10, 'sim, symbol')}) > ({fsma(30, 'sim, symbol')}), false)::INT AS pos FROM pp), {engine_sql('s', 'sim, symbol')} SELECT sim, symbol, {sql_rounded({'log_total': 'sum(ln(1 + r))'}, 4)} FROM zr GROUP BY 1, 2")
 def v4(spark, sf_dir):
-    paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, 4))
+    paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, PERMUTATIONS))
     w = Window.partitionBy("sim", "symbol").orderBy("ts")
     run = G.vector_backtest(paths.withColumn("pos", C.compare(I.sma(col.close, 10, w), ">", I.sma(col.close, 30, w)).cast("int")), BPS, keys=("sim", "symbol"))
     return run.groupBy("sim", "symbol").agg(*rounded({"log_total": F.sum(F.ln(F.col("r") + 1))}, 4))
@@ -115,11 +122,23 @@ def v4(spark, sf_dir):
 
 @add("V5_joint_permutation", f"WITH {DAILY}, {perm_sql(True)} SELECT sim, symbol, {sql_rounded({'end': 'arg_max(ln(close), ts)', 'mid': 'avg(ln(close))'}, 4)} FROM pp GROUP BY 1, 2".replace("AS end", 'AS "end"'))
 def v5(spark, sf_dir):
-    paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, 4), joint=True)
+    paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, PERMUTATIONS), joint=True)
     return paths.groupBy("sim", "symbol").agg(*rounded({"end": F.max_by(F.ln("close"), "ts"), "mid": F.avg(F.ln("close"))}, 4))
 
 
-@add("V6_deflated_sharpe")
+MOMENTS = f"{SIG}, {engine_sql('sig', 'symbol')}, c AS (SELECT symbol, r, avg(r) OVER (PARTITION BY symbol) AS m FROM zr), mo AS (SELECT symbol, any_value(m) AS m, count(*) AS n, stddev_samp(r) AS sd, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS g, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS k FROM c GROUP BY 1)"
+
+
+def deflated_sql(sr: str, trials: int, n: str, spread: float) -> str:
+    """Deflated Sharpe of the moments above; the best of that many trials without skill is a number of its own."""
+    from statistics import NormalDist
+
+    best = (1 - V.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / trials) + V.EULER_GAMMA * NormalDist().inv_cdf(1 - math.exp(-1) / trials)
+    z = f"(({sr} - {spread * best!r}::DOUBLE) * sqrt({n} - 1) / sqrt(greatest(1 - g * {sr} + (k - 1) / 4 * {sr} * {sr}, 1e-9)))"
+    return S.norm_cdf_sql(z)
+
+
+@add("V6_deflated_sharpe", f"WITH {MOMENTS} SELECT symbol, {sql_rounded({'dsr': deflated_sql('(m / sd)', 20, 'n', 0.02)})} FROM mo")
 def v6(spark, sf_dir):
     run = vector_run(spark, sf_dir).groupBy("symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sr"), F.count("*").alias("n"), F.skewness("r").alias("g"), (F.kurtosis("r") + 3).alias("k"))
     return run.select("symbol", *rounded({"dsr": V.deflated_sharpe(F.col("sr"), F.lit(20), F.col("n"), F.col("g"), F.col("k"), spread=0.02)}))
@@ -159,16 +178,16 @@ def hex_draw(x: str) -> str:
     return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
-@add("V11_block_bootstrap", f"WITH {TRADES}, dd AS (SELECT exit_ts::DATE AS day, sum(ln(1 + ret)) AS r FROM trades GROUP BY 1), dn AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM dd), sims AS (SELECT i AS sim FROM range(8) t(i)), dr AS (SELECT sim, {hex_draw('sim || chr(45) || k')} % n AS k FROM dn, sims) SELECT sim, {sql_rounded({'log_total': 'sum(r)'}, 5)} FROM dr JOIN dn USING (k) GROUP BY 1")
+@add("V11_block_bootstrap", f"WITH {TRADES}, dd AS (SELECT exit_ts::DATE AS day, sum(ln(1 + ret)) AS r FROM trades GROUP BY 1), dn AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM dd), sims AS (SELECT i AS sim FROM range({RESAMPLES}) t(i)), dr AS (SELECT sim, {hex_draw('sim || chr(45) || k')} % n AS k FROM dn, sims) SELECT sim, {sql_rounded({'log_total': 'sum(r)'}, 5)} FROM dr JOIN dn USING (k) GROUP BY 1")
 def v11(spark, sf_dir):
-    return V.block_bootstrap(vector_trades(spark, sf_dir), V.simulations(spark, 8)).select("sim", *rounded({"log_total": F.ln("total")}, 5))
+    return V.block_bootstrap(vector_trades(spark, sf_dir), V.simulations(spark, RESAMPLES)).select("sim", *rounded({"log_total": F.ln("total")}, 5))
 
 
-@add("V12_random_entries", f"WITH {TRADES}, n AS (SELECT symbol, count(*) AS n FROM trades GROUP BY 1), sims AS (SELECT i AS sim FROM range(4) t(i)), e AS (SELECT sim, symbol, ts, open, lead(open, 10) {W} AS exit_open, {hex_draw('sim || chr(45) || symbol || chr(45) || strftime(ts, chr(37) || chr(89) || chr(45) || chr(37) || chr(109) || chr(45) || chr(37) || chr(100))')} AS d FROM bars, sims".replace(f"lead(open, 10) {W}", "lead(open, 10) OVER (PARTITION BY sim, symbol ORDER BY ts)") + f"), q AS (SELECT *, row_number() OVER (PARTITION BY sim, symbol ORDER BY d, ts) AS k FROM e WHERE exit_open IS NOT NULL) SELECT sim, symbol, count(*) AS trades, {sql_rounded({'mean': 'avg(exit_open / open - 1)'}, 5)} FROM q JOIN n USING (symbol) WHERE k <= n GROUP BY 1, 2")
+@add("V12_random_entries", f"WITH {TRADES}, n AS (SELECT symbol, count(*) AS n FROM trades GROUP BY 1), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), e AS (SELECT sim, symbol, ts, open, lead(open, 10) {W} AS exit_open, {hex_draw('sim || chr(45) || symbol || chr(45) || strftime(ts, chr(37) || chr(89) || chr(45) || chr(37) || chr(109) || chr(45) || chr(37) || chr(100))')} AS d FROM bars, sims".replace(f"lead(open, 10) {W}", "lead(open, 10) OVER (PARTITION BY sim, symbol ORDER BY ts)") + f"), q AS (SELECT *, row_number() OVER (PARTITION BY sim, symbol ORDER BY d, ts) AS k FROM e WHERE exit_open IS NOT NULL) SELECT sim, symbol, count(*) AS trades, {sql_rounded({'mean': 'avg(exit_open / open - 1)'}, 5)} FROM q JOIN n USING (symbol) WHERE k <= n GROUP BY 1, 2")
 def v12(spark, sf_dir):
     """As many entries as the strategy had, at random bars, held ten bars."""
     n = vector_trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
-    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, 4))
+    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, DRAWS))
     order = Window.partitionBy("sim", "symbol").orderBy(V.draw(F.col("sim"), F.col("symbol"), F.date_format("ts", "yyyy-MM-dd")), "ts")
     drawn = e.withColumn("k", F.row_number().over(order)).join(n, "symbol").where("k <= n")
     return drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), *rounded({"mean": F.avg(F.col("exit_open") / F.col("open") - 1)}, 5))
@@ -221,9 +240,9 @@ def v13_null(spark, sf_dir):
     return drawn.groupBy("symbol").agg(*rounded({"auc": F.first("real"), "null_mean": F.avg("auc")}), ((1 + above) / (1 + F.count("*"))).alias("p_value"))
 
 
-@add("V14_circular_shift_null", f"WITH {WEIGHTS}, k AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM wt), sims AS (SELECT i AS sim FROM range(4) t(i)), m AS (SELECT sim, symbol, (k + {hex_draw('sim || chr(45) || symbol')} % n) % n AS k, w FROM k, sims), j AS (SELECT m.sim, k.symbol, k.ts, k.open, m.w FROM k JOIN m USING (symbol, k)), a AS (SELECT *, coalesce(lag(w) OVER q, 0) AS a, coalesce(lead(open) OVER q / open - 1, 0) AS mv FROM j WINDOW q AS (PARTITION BY sim, symbol ORDER BY ts)) SELECT sim, {sql_rounded({'gross': 'sum(a * mv)'}, 4)} FROM a GROUP BY 1")
+@add("V14_circular_shift_null", f"WITH {WEIGHTS}, k AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM wt), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), m AS (SELECT sim, symbol, (k + {hex_draw('sim || chr(45) || symbol')} % n) % n AS k, w FROM k, sims), j AS (SELECT m.sim, k.symbol, k.ts, k.open, m.w FROM k JOIN m USING (symbol, k)), a AS (SELECT *, coalesce(lag(w) OVER q, 0) AS a, coalesce(lead(open) OVER q / open - 1, 0) AS mv FROM j WINDOW q AS (PARTITION BY sim, symbol ORDER BY ts)) SELECT sim, {sql_rounded({'gross': 'sum(a * mv)'}, 4)} FROM a GROUP BY 1")
 def v14(spark, sf_dir):
-    x = V.circular_shift(weights(spark, sf_dir).select("symbol", "ts", "open", "w"), V.simulations(spark, 4))
+    x = V.circular_shift(weights(spark, sf_dir).select("symbol", "ts", "open", "w"), V.simulations(spark, DRAWS))
     w = Window.partitionBy("sim", "symbol").orderBy("ts")
     a = x.withColumn("a", F.coalesce(F.lag("w").over(w), F.lit(0.0))).withColumn("mv", F.coalesce(F.lead("open").over(w) / F.col("open") - 1, F.lit(0.0)))
     return a.groupBy("sim").agg(*rounded({"gross": F.sum(F.col("a") * F.col("mv"))}, 4))
@@ -294,3 +313,69 @@ def v9(spark, sf_dir):
 def f10(spark, sf_dir):
     x = daily_bars(spark, sf_dir).select("symbol", I.sma(col.close, 20).alias("m"), I.forward_label(col.close, 5).alias("y"))
     return x.dropna().groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+UP = f"{DAILY}, sig AS (SELECT *, coalesce(1 / (1 + exp(-20 * (ln(close) - ln(lag(close, 5) {W})))) >= 0.5, false)::INT AS pos FROM bars)"
+
+
+@add("B17_naive_sign", f"WITH {UP}, {engine_sql('sig', 'symbol')} SELECT symbol, {sql_rounded({'log_total': 'sum(ln(1 + r))'}, 4)} FROM zr GROUP BY 1")
+def b17_naive(spark, sf_dir):
+    """In whenever the chance of a rise is a half or more, whatever it costs: what a gate saves shows against this."""
+    chance = 1 / (1 + F.exp(-20 * I.log_return(col.close, 5)))
+    run = G.vector_backtest(daily_bars(spark, sf_dir).withColumn("pos", C.sure(chance >= 0.5).cast("int")), BPS)
+    return run.groupBy("symbol").agg(*rounded({"log_total": F.sum(F.ln(F.col("r") + 1))}, 4))
+
+
+PORTFOLIO = PORT[len(WEIGHTS) :]
+EQUAL = f"""{DAILY}, mf AS (SELECT date_trunc('month', ts) AS m, min(ts) AS f FROM bars GROUP BY 1), nl AS (SELECT m, count(*) AS n FROM bars JOIN mf ON ts = f GROUP BY 1),
+wt AS (SELECT b.symbol, b.ts, b.open, CASE WHEN x.symbol IS NOT NULL THEN 1.0::DOUBLE / n ELSE 0 END AS w FROM bars b JOIN mf ON date_trunc('month', b.ts) = m JOIN nl USING (m) LEFT JOIN bars x ON x.symbol = b.symbol AND x.ts = f)"""
+
+
+@add("B17_equal_weight", f"WITH {EQUAL}{PORTFOLIO} SELECT ts, {sql_rounded({'r': 'gross - cost'})} FROM port")
+def b17_equal(spark, sf_dir):
+    """Equal parts of what is listed on a month's first day, held for the month."""
+    bars = daily_bars(spark, sf_dir).withColumn("month", F.date_trunc("month", "ts"))
+    first = bars.groupBy("month").agg(F.min("ts").alias("first"))  # a row for each month
+    listed = bars.select("symbol", "month", "ts").join(first, "month").where(col.ts == F.col("first")).select("symbol", "month")
+    share = listed.groupBy("month").agg((F.lit(1.0) / F.count("*")).alias("share"))
+    held = bars.join(listed.withColumn("in", F.lit(True)), ["symbol", "month"], "left").join(share, "month")
+    return G.portfolio_backtest(held.withColumn("w", F.when(F.col("in"), F.col("share")).otherwise(0.0)), BPS).select("ts", *rounded({"r": F.col("r")}))
+
+
+MEMBER_SIG = "sigm AS (SELECT s.* REPLACE (CASE WHEN m.member THEN s.pos ELSE 0 END AS pos) FROM sig s ASOF LEFT JOIN members m ON s.symbol = m.symbol AND s.ts >= m.month)"
+CELL = f"{SIG}, {MEMBERS}, {MEMBER_SIG}, {WEIGHTS[len(SIG) + 2:].replace('FROM sig)', 'FROM sigm)')}{PORTFOLIO}"
+
+
+@add("SP6_trend_cell", f"WITH {CELL}, {FOLDS} SELECT fold, count(*) AS days, {sql_rounded({'total': 'sum(gross - cost)', 'cost': 'sum(cost)'}, 5)} FROM port JOIN folds ON ts >= start AND ts < \"end\" GROUP BY 1")
+def sp6_cell(spark, sf_dir):
+    """A trend cell: the month's universe carried forward, signals of its members, weights, the portfolio's run, cut into windows."""
+    bars = signals(spark, sf_dir)
+    month = F.date_trunc("month", "ts").cast("timestamp_ntz")
+    members = bars.groupBy("symbol", month.alias("month")).agg((F.sum(col.close * F.col("volume")) > 100_000).alias("member"))
+    inside = J.asof(bars, members, ["symbol"], "ts", "month", ["member"]).withColumn("pos", F.when(F.col("member"), F.col("pos")).otherwise(0))
+    sized = G.target_weights(inside.withColumn("vol", I.stddev(col.close, 20) / col.close), "vol", 0.2, 0.4, 1.0)
+    run = J.in_windows(G.portfolio_backtest(sized, BPS), folds(spark), "ts", "start", "end")
+    return run.groupBy("fold").agg(F.count("*").alias("days"), *rounded({"total": F.sum("r"), "cost": F.sum("cost")}, 5))
+
+
+FEATURES = ["spread_bps", "imbalance", "flow", "updates", "vol"]
+
+
+def micro_matrix(spark, sf_dir):
+    """Five features of the book for each hour, and the log return of the mid over the next."""
+    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
+    mid = (F.col("bid") + F.col("ask")) / 2
+    b = book(spark, sf_dir).withColumn("mid", mid).withColumn("d", F.ln(mid) - F.ln(F.lag(mid).over(w)))
+    flow = (F.col("bq") - F.col("aq")) / F.nullif(F.col("bq") + F.col("aq"), F.lit(0.0))
+    hours = b.groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
+        (F.avg((F.col("ask") - F.col("bid")) / F.col("mid")) * 1e4).alias("spread_bps"), F.avg(flow).alias("imbalance"), F.sum(F.signum(F.col("bq") - F.col("aq"))).alias("flow"),
+        F.count("*").cast("double").alias("updates"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("vol"), F.max_by("mid", F.struct("ts", "event_id")).alias("last"),
+    )
+    n = Window.partitionBy("symbol").orderBy("bar")
+    return hours.withColumn("y", F.ln(F.lead("last").over(n)) - F.ln("last")).dropna().drop("last")
+
+
+@add("V17_ridge")
+def v17_ridge(spark, sf_dir):
+    """The next hour's return by ridge regression on the book: fitted on the first 70%, standardised by them, judged on the rest."""
+    return V.ridge_report(micro_matrix(spark, sf_dir), FEATURES, "y", "bar").select("symbol", "n_train", "n_test", *rounded({k: F.col(k) for k in ("r2_train", "r2_test", "ic")}, 6))

@@ -44,8 +44,8 @@ def first_write_wins(rows: DataFrame, keys: list[str], delay: str) -> DataFrame:
 def stream_scan(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable, schema: str) -> DataFrame:
     """``ordered_scan`` over a stream; the kernel's state is pickled into the state store between batches.
 
-    Rows of a batch are walked in order; rows older than the last one walked are ignored, so
-    a candle that comes twice acts once.
+    Rows of a batch are walked in order, ties too; rows not newer than the last one of
+    earlier batches are ignored, so a candle that comes again later acts once.
     """
     key_schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     names = [*keys, *[p.strip().split(" ")[0].strip("`") for p in schema.split(",")]]
@@ -53,9 +53,9 @@ def stream_scan(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own, last = pickle.loads(state.get[0]) if state.exists else (kernel(key), None)
         batch = pd.concat(list(batches)).sort_values(order, kind="stable")
-        out = []
+        out, done = [], last
         for at, row in zip(zip(*[batch[c].tolist() for c in order]), zip(*[batch[c].tolist() for c in columns])):
-            if last is not None and at <= last:
+            if done is not None and at <= done:
                 continue
             last = at
             out += [(*key, *x) for x in own.push(row)]
