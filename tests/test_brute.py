@@ -164,3 +164,54 @@ def test_chunks_change_nothing(spark, monkeypatch):
         for r in chunked.asof(points, quotes, ["k"], "at", "ts", ["v"], day_of("_t"), strict).collect():
             before = [t for k, t in known if k == r["k"] and (t < r["at"] if strict else t <= r["at"])]
             assert r["v"] == (known[r["k"], max(before)] if before else None)
+
+
+def pooled(x, y):
+    """Isotonic values by pooling neighbours that fall, at the sorted ``x``."""
+    order = np.argsort(x)
+    pools = []
+    for v in y[order]:
+        pools.append([v, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]])
+    return x[order], np.concatenate([np.full(n, v) for v, n in pools])
+
+
+def test_fold_fit(spark):
+    """Newton's method, pooled neighbours, all pairs and a plain median, against a fold's fit."""
+    from pyspark.sql import functions as F
+
+    from quernstone.plans import validation as V
+
+    draw = np.random.default_rng(8)
+    n = 900
+    x = draw.normal(size=(n, 2)) * [3.0, 0.2]
+    r = (0.4 * x[:, 0] - 4 * x[:, 1] + draw.normal(size=n) * 2) / 100
+    implied = np.where(np.arange(n) % 9 == 0, 0.0, 50 + 100 * draw.random(n))
+    day = [dt.datetime(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    rows = [("s", t, *map(float, a), None if i == 3 else float(b), float(c)) for i, (t, a, b, c) in enumerate(zip(day, x, r, implied))]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, a double, b double, r double, implied double")
+    plan = V.folds(spark, "2020-01-01", 500, 200, 100, 400, 2, purge_h=48)
+    got = V.fit_folds(df, plan, ["a", "b"], least=(300, 100, 100)).orderBy("ts").collect()
+    assert {g["fold"] for g in got} == {0} and [g["ts"] for g in got] == day[700:800]  # the second fold has no whole test span
+
+    train = np.array([i for i in range(498) if i != 3])
+    y = (r > 0).astype(float)
+    scale = x[train].std(axis=0, ddof=1)
+    z = np.c_[x / scale, np.ones(n)]
+    w, own = np.zeros(3), np.diag([1.0, 1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z[train] @ w))
+        w -= np.linalg.solve((z[train].T * (p * (1 - p))) @ z[train] + own, z[train].T @ (p - y[train]) + own @ w)
+    raw = 1 / (1 + np.exp(-z @ w))
+    val, test = slice(500, 700), slice(700, 800)
+    up, down = raw[val][y[val] == 1], raw[val][y[val] == 0]
+    auc = ((up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()) / (len(up) * len(down))
+    k = np.median((abs(r[val]) * 1e4 / np.where(implied[val] > 0, implied[val], 1))[implied[val] > 0])
+    assert abs(got[0]["val_auc"] - auc) < 1e-3 and abs(got[0]["k"] - k) < 1e-9
+    assert np.abs(np.array([g["p_up"] for g in got]) - np.interp(raw[test], *pooled(raw[val], y[val]))).mean() < 2e-3
+
+    trees = V.fit_folds(df, plan, ["a", "b"], "boosted", least=(300, 100, 100), trees=5).collect()
+    assert len(trees) == 100 and trees[0]["val_auc"] > 0.7 and all(0 <= g["p_up"] <= 1 for g in trees) and trees[0]["k"] == got[0]["k"]
+    assert V.fit_folds(df.limit(0), plan, ["a", "b"]).collect() == [] and V.fit_folds(df.withColumn("r", F.lit(0.5)), plan, ["a", "b"], least=(300, 100, 100)).collect() == []
