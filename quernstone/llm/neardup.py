@@ -50,8 +50,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def near(a: np.ndarray, b: np.ndarray, bits: int, radius: int) -> bool:
-    return similarity(a, b) >= (SHARED if bits <= radius else ALIKE)
+def near(a: np.ndarray, b: np.ndarray, bits: int, radius: int, shared: float) -> bool:
+    return similarity(a, b) >= (shared if bits <= radius else ALIKE)
 
 
 def minhashes(sets: list[np.ndarray], k: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def candidates(text: Column) -> Column:
     return of(text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, radius: int, shared: float) -> DataFrame:
     """(fp, root), the keys of those pairs (a, b) that are near."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +113,7 @@ def verified(pairs: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
                 for key, text in ((a, x), (b, y)):
                     if key not in known:
                         known[key] = shingles(text)
-                ok.append(near(known[a], known[b], bits, radius))
+                ok.append(near(known[a], known[b], bits, radius, shared))
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]].set_axis(["fp", "root"], axis=1)
 
     one, other = texts.toDF("a", "f", "x"), texts.toDF("b", "g", "y")
@@ -121,7 +121,7 @@ def verified(pairs: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
     return both.select("a", "b", "x", "y", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("bits")).mapInPandas(run, "fp long, root long")
 
 
-def cell_links(cell: pd.DataFrame, radius: int) -> tuple[list[int], list[int]]:
+def cell_links(cell: pd.DataFrame, radius: int, shared: float) -> tuple[list[int], list[int]]:
     """Links across the groups of a cell; with two blocks those of one with the other. Pairs that have met are left out."""
     keys, fp, block = cell["key"].to_numpy(), cell["fp"].to_numpy().view(np.uint64), cell["block"].to_numpy()
     sets = [shingles(t) for t in cell["text"]]
@@ -131,19 +131,19 @@ def cell_links(cell: pd.DataFrame, radius: int) -> tuple[list[int], list[int]]:
     out: tuple[list[int], list[int]] = ([], [])
     for i in range(len(keys) - 1):
         bits = np.bitwise_count(fp[i + 1 :] ^ fp[i])
-        least = (np.where(bits <= radius, SHARED, ALIKE) - SLACK) * SKETCH
+        least = (np.where(bits <= radius, shared, ALIKE) - SLACK) * SKETCH
         maybe = (label[i + 1 :] != label[i]) & ((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least)
         if two:
             maybe &= block[i + 1 :] != block[i]
         for j in (np.flatnonzero(maybe) + i + 1).tolist():
-            if label[j] != label[i] and near(sets[i], sets[j], int(bits[j - i - 1]), radius):
+            if label[j] != label[i] and near(sets[i], sets[j], int(bits[j - i - 1]), radius, shared):
                 out[0].append(int(keys[j]))
                 out[1].append(int(keys[i]))
                 label[label == label[j]] = label[i]
     return out
 
 
-def cells(radius: int):
+def cells(radius: int, shared: float):
     """For mapInPandas over rows sorted by (bucket, low, high): the links of each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,7 @@ def cells(radius: int):
         def links(rows: pd.DataFrame) -> pd.DataFrame:
             found: tuple[list[int], list[int]] = ([], [])
             for _, cell in rows.groupby(["bucket", "low", "high"], sort=False):
-                for to, more in zip(found, cell_links(cell, radius)):
+                for to, more in zip(found, cell_links(cell, radius, shared)):
                     to += more
             return pd.DataFrame({"fp": np.array(found[0], dtype=np.int64), "root": np.array(found[1], dtype=np.int64)})
 
@@ -172,7 +172,7 @@ def cells(radius: int):
     return run
 
 
-def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: str, tag: str, radius: int) -> DataFrame:
+def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: str, tag: str, radius: int, shared: float) -> DataFrame:
     """(fp, root) of every key that is linked with another; ``fp`` is the key."""
     rows = tagged.select(F.col(key).alias("key"), F.col(fp).alias("fp"), F.col(own_bands).alias("bands"), F.col(tag).alias("tag"))
     one = written(rows.groupBy("key").agg(F.min_by(F.struct("fp", "bands", "tag"), "tag").alias("r")).select("key", "r.*"), "near-keys")
@@ -190,7 +190,7 @@ def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: s
     few = members.where(F.col("n") <= SMALL)
     pairs = few.select("bucket", F.col("key").alias("a")).join(few.select("bucket", F.col("key").alias("b")), "bucket").where("a > b").select("a", "b")
     stars = members.where((F.col("n") > SMALL) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    sure = written(verified(pairs.unionByName(stars).distinct(), texts, radius), "near-links")
+    sure = written(verified(pairs.unionByName(stars).distinct(), texts, radius, shared), "near-links")
     met = simhash.contract(sure)
 
     many = members.where(F.col("n") > SMALL).join(met.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -200,21 +200,22 @@ def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: s
     cell = many.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     cell = cell.join(texts, "key").select("bucket", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "block", "key", "comp", "fp", "text")
     cell = cell.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "key")
-    more = written(cell.mapInPandas(cells(radius), "fp long, root long"), "near-links")
+    more = written(cell.mapInPandas(cells(radius, shared), "fp long, root long"), "near-links")
     return simhash.contract(sure.unionByName(more)) if more.limit(1).count() else met
 
 
-def dedup(docs: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text", shared: float = SHARED) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least id, then of the least row tag.
 
     Texts of the same words are copies, texts without any too. Groups are joined by verified links only.
+    ``shared`` is the share of shingles asked of pairs within the radius; with ``ALIKE`` there is one threshold for all.
     """
     tag, own = free_name(docs, "_tag"), free_name(docs, "_own")
     tagged = docs.withColumn(own, candidates(F.col(text_col))).withColumn(tag, F.monotonically_increasing_id())
     key, fp, own_bands = free_name(docs, "_key"), free_name(docs, "_fp"), free_name(docs, "_bands")
     flat = [F.col(f"{own}.{n}").alias(a) for n, a in (("key", key), ("fp", fp), ("bands", own_bands))]
     tagged = written(tagged.select(*[F.col(f"`{c}`") for c in docs.columns], *flat, tag), "near-tagged")
-    found = components(tagged, key, fp, own_bands, text_col, tag, radius).toDF("k", "root")
+    found = components(tagged, key, fp, own_bands, text_col, tag, radius, shared).toDF("k", "root")
     rows = tagged.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(tag).alias("tag")).join(found, "k", "left").withColumn("root", F.coalesce("root", "k"))
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("tag"))
     kept = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.tag").alias(tag))

@@ -51,6 +51,18 @@ def test_near_prints_of_other_texts_stay(spark):
     assert left(spark, [" ".join(words), " ".join(other), " ".join([*words, "w0"]), " ".join(words).upper()]) == [0, 1]
 
 
+def test_one_threshold_for_all_pairs(spark):
+    """A copy with a few words replaced is near in words only; it stays where 0.8 is asked of every pair."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i in (30, 60, 90, 120, 150, 180) else w for i, w in enumerate(words)]
+    some = [f"y{i}" if i == 70 else w for i, w in enumerate(words)]
+    texts = [" ".join(w) for w in (words, other, some)]
+    assert 0.5 <= alike(*texts[:2]) < 0.8 <= alike(texts[0], texts[2]) and bits(*texts[:2]) <= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert left(spark, texts) == [0]
+    assert sorted(r["doc_id"] for r in neardup.dedup(df, 6, shared=neardup.ALIKE).collect()) == [0, 1]
+
+
 def test_large_buckets_against_all_pairs(spark, monkeypatch):
     """Two families around one passage share buckets: neither is lost behind the other's first text."""
     monkeypatch.setattr(neardup, "SMALL", 2)
