@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, toxicity, urlfilter
+from quernstone.llm import audit, chat, decontam, langid, mixing, phrases, pieces, pii, quality, sharding, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": simhash.op10_simhash,
+        "op11_collocations": phrases.op11_collocations,
+        "op12_filter_audit": audit.op12_filter_audit,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE_SQL,
         "op6_chat": chat.ORACLE_SQL,
         "op7_url_filters": urlfilter.ORACLE_SQL,
+        "op11_collocations": phrases.ORACLE_SQL,
+        "op12_filter_audit": audit.ORACLE_SQL,
     }
