@@ -44,36 +44,62 @@ RANK_PARTS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A word, or a run of what ends a piece. Bytes of characters beyond ASCII are parts of words.
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
+END = re.compile(rb"[.,;:!?\x0A-\x0D]")
+#: Bytes of text that are held as words at once, and fragments that are mined at once.
+SLICE, BUFFER = 4_000_000, 200_000
 ENDS = np.zeros(256, bool)
 ENDS[list(b".,;:!?\n\v\f\r")] = True
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of texts in order as codes, -1 where a piece ends, and the distinct words."""
-    found = TOKEN.findall(b"\n".join(texts).translate(LOWER))
-    codes, words = pd.factorize(np.array(found, dtype=object))
+def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lower-cased text in order as codes, -1 where a piece ends, and the distinct words."""
+    codes, words = pd.factorize(np.array(TOKEN.findall(text), dtype=object))
     ends = np.fromiter((ENDS[w[0]] for w in words), bool, len(words))
-    renumbered = np.where(ends, -1, np.cumsum(~ends) - 1)
+    renumbered = np.where(ends, -1, np.cumsum(~ends) - 1).astype(np.int32)
     return renumbered[codes], words[~ends]
 
 
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts of a batch of (lang, text) by language."""
-    lang, text = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-    groups: dict[str, list[bytes]] = {}
-    for a, b in zip(lang, text):
-        groups.setdefault(a, []).append(b)
-    yield from groups.items()
+def slices(texts: list[bytes]) -> Iterator[bytes]:
+    """Texts joined to stretches of about ``SLICE`` bytes, lower-cased; a long text is cut where a piece ends."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        start = 0
+        while len(text) - start > SLICE and (end := END.search(text, start + SLICE)):
+            yield text[start : end.start()].translate(LOWER)
+            start = end.end()
+        held.append(text[start:])
+        size += len(held[-1])
+        if size >= SLICE:
+            yield b"\n".join(held).translate(LOWER)
+            held, size = [], 0
+    if held:
+        yield b"\n".join(held).translate(LOWER)
+
+
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Stretches of the texts of a batch of (lang, text), each of one language."""
+    lang, text = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+    groups: dict[str, list[int]] = {}
+    for i, name in enumerate(lang):
+        groups.setdefault(name, []).append(i)
+    for name, rows in groups.items():
+        for stretch in slices([text[i].as_py() for i in rows]):
+            yield name, stretch
+
+
+def repeated(value: str, n: int) -> pa.Array:
+    return pa.array([value]).take(pa.array(np.zeros(n, np.int32)))
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, texts in by_language(batch):
-            codes, words = tokens(texts)
+        for lang, stretch in by_language(batch):
+            codes, words = tokens(stretch)
             counts = np.bincount(codes[codes >= 0], minlength=len(words))
             if len(words):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]).take(pa.array(np.zeros(len(words), np.int32))), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
+                    [repeated(lang, len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
                     ["lang", "word", "n"],
                 )
 
@@ -93,15 +119,15 @@ def frequency_table(words: DataFrame, least: int, buckets: int) -> np.ndarray:
 
 
 def distinct_rows(columns: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of one of each kind of rows, and how many there are of it; values lie below ``width``."""
+    """Place of one of each kind of rows, and the number of its kind for each row; values lie below ``width``."""
     ids, bound = columns[0].astype(np.int64), width
     for column in columns[1:]:
         if bound * width >= 2**62:  # numbers of kinds are smaller than the keys they replace
             ids = np.unique(ids, return_inverse=True)[1]
             bound = len(ids) + 1
         ids, bound = ids * width + column, bound * width
-    _, first, weight = np.unique(ids, return_index=True, return_counts=True)
-    return first, weight
+    _, first, kind = np.unique(ids, return_index=True, return_inverse=True)
+    return first, kind
 
 
 def fragments_of(codes: np.ndarray, frequency: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +142,7 @@ def fragments_of(codes: np.ndarray, frequency: np.ndarray, longest: int) -> tupl
     padded[reach : reach + n] = np.where(codes >= 0, frequency[codes], 0)  # a bucket of infrequent words has 0
     padded[padded == 0] = -1
     own = padded[reach : reach + n]
-    wide = np.full(n + 2 * reach, -1, np.int64)
+    wide = np.full(n + 2 * reach, -1, np.int32)
     wide[reach : reach + n] = codes
     holds = {0: own > 0}
     for k in range(1, reach + 1):
@@ -126,16 +152,16 @@ def fragments_of(codes: np.ndarray, frequency: np.ndarray, longest: int) -> tupl
     at = np.flatnonzero(holds[-1] | holds[1])
     columns = [np.where(holds[k][at], wide[at + reach + k], -1) for k in range(-reach, reach + 1)]
     if not len(at):
-        return np.zeros((0, len(columns)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, weight = distinct_rows([c + 1 for c in columns], int(codes.max()) + 2)
+        return np.zeros((0, len(columns)), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, kind = distinct_rows([c + 1 for c in columns], int(codes.max()) + 2)
     rows = np.stack([c[first] for c in columns], 1)
-    return rows, (rows[:, :reach] >= 0).sum(1), weight
+    return rows, (rows[:, :reach] >= 0).sum(1), np.bincount(kind)
 
 
 def fragment_batches(batches: Iterator[pa.RecordBatch], table_of_counts: np.ndarray, total: int, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, texts in by_language(batch):
-            codes, words = tokens(texts)
+        for lang, stretch in by_language(batch):
+            codes, words = tokens(stretch)
             if not len(words):
                 continue
             frequency = table_of_counts[buckets_of(lang, words, len(table_of_counts)).astype(np.int64)]
@@ -149,7 +175,7 @@ def fragment_batches(batches: Iterator[pa.RecordBatch], table_of_counts: np.ndar
             pivots = rows[:, longest - 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang]).take(pa.array(np.zeros(len(rows), np.int32))),
+                    repeated(lang, len(rows)),
                     names.take(pa.array(pivots)),
                     pa.array(1 + frequency[pivots] * SPLIT // total, pa.int64()),
                     pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(rows[there]))), " "),
@@ -160,23 +186,87 @@ def fragment_batches(batches: Iterator[pa.RecordBatch], table_of_counts: np.ndar
             )
 
 
+def counted(fragments: pa.Table, whole: np.ndarray, least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, k, a): n-grams that hold the pivot of their fragment; of pivots that are ``whole``, only frequent ones."""
+    lists = pc.split_pattern(fragments.column("fragment"), " ").combine_chunks()
+    lang = fragments.column("lang").combine_chunks().dictionary_encode()
+    words = lists.values.dictionary_encode()
+    codes, at = words.indices.to_numpy(), lists.offsets.to_numpy()
+    size, left, weight = np.diff(at), fragments.column("left").to_numpy(), fragments.column("weight").to_numpy()
+    place = lang.indices.to_numpy()
+    width = max(len(words.dictionary), len(lang.dictionary))
+    for k in range(2, longest + 1):
+        rows, starts = [], []
+        for before in range(k):  # words of the n-gram in front of the pivot
+            good = np.flatnonzero((left >= before) & (left - before + k <= size))
+            rows.append(good)
+            starts.append(at[good] + left[good] - before)
+        row, start = np.concatenate(rows), np.concatenate(starts)
+        if not len(row):
+            continue
+        first, kind = distinct_rows([place[row], *[codes[start + i] for i in range(k)]], width)
+        a = np.bincount(kind, weights=weight[row]).astype(np.int64)  # exact: far below 2**53 in one buffer
+        kept = np.flatnonzero((a >= least) | ~whole[row[first]])
+        told = codes[start[first[kept]][:, None] + np.arange(k)].ravel()
+        offsets = pa.array(np.arange(0, len(told) + 1, k, dtype=np.int32))
+        phrases = pc.binary_join(pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(told))), " ")
+        yield pa.RecordBatch.from_arrays(
+            [lang.dictionary.take(pa.array(place[row[first[kept]]])), phrases, pa.array(np.full(len(kept), k, np.int32)), pa.array(a[kept])], ["lang", "phrase", "k", "a"]
+        )
+
+
+def mine_batches(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Mine fragments sorted by pivot, whole pivots at a time; a pivot that fills a buffer alone is cut into partial counts."""
+    held: list[pa.RecordBatch] = []
+    cut = None  # the pivot whose first fragments have been counted
+
+    def keys(rows: pa.Table) -> tuple[np.ndarray, list]:
+        """Number of each row's pivot, counted from 0, and the first and last pivot."""
+        pivot, lang = (rows.column(c).combine_chunks().dictionary_encode() for c in ("pivot", "lang"))
+        both = pivot.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()
+        name = lambda i: (rows.column("pivot")[i].as_py(), rows.column("lang")[i].as_py())
+        return np.concatenate([[0], np.cumsum(both[1:] != both[:-1])]), [name(0), name(-1)]
+
+    def mined(rows: pa.Table, group: np.ndarray, first: tuple, open_end: bool) -> Iterator[pa.RecordBatch]:
+        whole = rows.column("parts").to_numpy() == 1
+        if first == cut:
+            whole &= group > 0
+        if open_end:
+            whole &= group < group[-1]
+        yield from counted(rows, whole, least, longest)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < BUFFER:
+            continue
+        rows = pa.Table.from_batches(held)
+        group, (first, last) = keys(rows)
+        if group[-1] == 0:
+            yield from mined(rows, group, first, True)
+            cut, held = last, []
+        else:
+            end = int(np.searchsorted(group, group[-1]))
+            yield from mined(rows.slice(0, end), group[:end], first, False)
+            held = rows.slice(end).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        group, (first, _) = keys(rows)
+        yield from mined(rows, group, first, False)
+
+
 def mined(fragments: DataFrame, least: int, longest: int) -> DataFrame:
     """(lang, phrase, k, a): the n-grams of 2 to ``longest`` words that occur ``least`` times or more.
 
     Fragments go to the partition of their pivot (of a large one: to that of their share of
-    it), which counts the n-grams that hold the pivot. A whole pivot's rare n-grams end there.
+    it), where the n-grams that hold the pivot are counted. Rare n-grams of a pivot that is
+    there as a whole end there.
     """
-    routed = fragments.withColumn("share", F.pmod(F.xxhash64("fragment", "left"), "parts")).repartition("lang", "pivot", "share")
-    words = F.col("words")
-    grams = lambda start: F.transform(
-        F.when(F.greatest(F.col("left"), start + 1) <= F.least(start + longest - 1, F.size(words) - 1), F.sequence(F.greatest(F.col("left"), start + 1), F.least(start + longest - 1, F.size(words) - 1))).otherwise(F.array().cast("array<int>")),
-        lambda end: F.struct((end - start + 1).alias("k"), F.array_join(F.slice(words, start + 1, end - start + 1), " ").alias("phrase")),
-    )
-    starts = F.sequence(F.greatest(F.col("left") - longest + 1, F.lit(0)), F.col("left"))
-    rows = routed.withColumn("words", F.split("fragment", " ")).select("lang", "pivot", "share", "parts", "weight", F.explode(F.flatten(F.transform(starts, grams))).alias("gram"))
-    local = rows.groupBy("lang", "pivot", "share", "parts", "gram.phrase", "gram.k").agg(F.sum("weight").alias("a"))
-    kept = local.where((F.col("a") >= least) | (F.col("parts") > 1))
-    return kept.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    share = F.pmod(F.xxhash64("fragment", "left"), "parts")
+    routed = fragments.repartition("lang", "pivot", share).sortWithinPartitions("pivot", "lang")
+    local = routed.mapInArrow(lambda batches: mine_batches(batches, least, longest), "lang string, phrase string, k int, a long")
+    return local.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def scored(phrases: DataFrame, words: DataFrame, longest: int) -> DataFrame:

@@ -59,6 +59,35 @@ def test_split_pivots(spark, monkeypatch):
     assert told(phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5)) == brute(rows, 5, 4, 2000)
 
 
+def test_small_slices_and_buffers():
+    """Texts cut where pieces end, and pivots that fill several buffers, give the same n-grams."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d.", "e"], rng.integers(0, 60))).encode() for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en" if i % 3 else "de" for i in range(40)]), pa.array([t.decode() for t in texts])], ["lang", "text"])
+    frequency = np.full(16, 50)
+
+    def grams(slice_, buffer, least):
+        phrases.SLICE, before = slice_, phrases.SLICE
+        phrases.BUFFER, kept = buffer, phrases.BUFFER
+        try:
+            table = pa.Table.from_batches(phrases.fragment_batches([batch], frequency, 10**6, 4)).sort_by([("pivot", "ascending"), ("lang", "ascending")])
+            out = Counter()
+            for b in phrases.mine_batches(iter(table.to_batches(max_chunksize=3)), least, 4):
+                for row in b.to_pylist():
+                    out[row["lang"], row["phrase"]] += row["a"]
+            return out
+        finally:
+            phrases.SLICE, phrases.BUFFER = before, kept
+
+    every = grams(10**6, 10**6, 1)
+    for slice_, buffer in ((7, 1), (30, 4), (200, 9), (10**6, 50)):
+        assert grams(slice_, buffer, 1) == every
+        got = grams(slice_, buffer, 10)
+        assert {g: a for g, a in got.items() if a >= 10} == {g: a for g, a in every.items() if a >= 10}
+
+
 def test_arithmetic_is_exact(spark):
     """Counts whose products pass 64 bits."""
     big = 4_000_000_000_000_000_000
