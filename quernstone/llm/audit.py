@@ -39,19 +39,23 @@ TESTS: dict[str, Test] = {
 DUPLICATE = "E"
 
 
-def masked(docs: DataFrame, tests: dict[str, Test], id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """(id, part, text, mask): bit i is set if the row fails the i-th test. Null texts are empty, null parts the empty string."""
-    narrow = docs.select(
+def narrow(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
+    """(id, part, text). Null texts are empty, null parts the empty string."""
+    return docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    counted = narrow.withColumn("_words", F.array_remove(F.split("text", SPACE_CLASS + "+"), ""))
+
+
+def with_mask(rows: DataFrame, tests: dict[str, Test]) -> DataFrame:
+    """``rows`` with mask: bit i is set if the row fails the i-th test."""
+    counted = rows.withColumn("_words", F.array_remove(F.split("text", SPACE_CLASS + "+"), ""))
     text, words, distinct = F.col("text"), F.size("_words"), F.size(F.array_distinct("_words"))
     mask = F.lit(0)
     for i, test in enumerate(tests.values()):
         mask = mask.bitwiseOR(F.when(test(text, words, distinct), 1 << i).otherwise(0))
-    return counted.select("id", "part", "text", mask.alias("mask"))
+    return counted.withColumn("mask", mask).drop("_words")
 
 
 def compared(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -85,11 +89,13 @@ def compared(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((first, None, None, None, before[0], True), schema)], schema=schema)
 
 
-def with_duplicates(rows: DataFrame, bit: int) -> DataFrame:
-    """(id, part, mask) of ``masked`` rows, with ``bit`` set where a smaller id has the same text.
+def masked(rows: DataFrame, tests: dict[str, Test]) -> DataFrame:
+    """(id, part, mask) of ``narrow`` rows: the bits of ``tests``, and the next one where a smaller id has the same text.
 
     A null id is larger than all others; rows of one id are no duplicates of each other.
+    The tests run on the sorted rows: the sample that cuts the ranges reads all rows once more, and needs none of them.
     """
+    bit = len(tests)
     id_type = rows.schema["id"].dataType
     told = T.StructType(
         [T.StructField("id", id_type), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType())]
@@ -99,7 +105,7 @@ def with_duplicates(rows: DataFrame, bit: int) -> DataFrame:
     order = [F.col("print"), F.col("text"), F.asc_nulls_last("id")]
     dealt = rows.withColumn("print", F.unhex(F.sha2("text", 256))).repartitionByRange(F.col("print"), F.asc_nulls_last("id")).sortWithinPartitions(*order)
     # written, as both the rows and the ends of the ranges are read, and ranges may be cut differently when computed again
-    seen = written(dealt.mapInArrow(lambda batches: compared(batches, arrow), told), "audit")
+    seen = written(with_mask(dealt, tests).mapInArrow(lambda batches: compared(batches, arrow), told), "audit")
     ends = seen.where("tail").groupBy("key").agg(F.min("id").alias("least"))  # one row a range at most
     pending = seen.where("NOT tail AND key IS NOT NULL").join(F.broadcast(ends), "key", "left")
     smaller = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
@@ -157,7 +163,7 @@ def audit(
     read, whatever their names. Several label rows of one id count as one that has any of their marks.
     """
     tests = TESTS if tests is None else tests
-    rows = with_duplicates(masked(docs, tests, id_col, text_col, part_col), len(tests))
+    rows = masked(narrow(docs, id_col, text_col, part_col), tests)
     return interactions(mask_counts(rows, labels, id_col), "".join(tests) + DUPLICATE)
 
 

@@ -75,7 +75,7 @@ def test_one_group_fills_many_ranges(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        marked = audit.with_duplicates(audit.masked(spark.createDataFrame(rows, "doc_id long, text string, lang string"), {}, "doc_id", "text", "lang"), 0)
+        marked = audit.masked(audit.narrow(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang"), {})
         assert sorted(r.id for r in marked.where("mask = 1").collect()) == [i for i, t, _ in rows if t == "copy" and i > 1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -94,5 +94,5 @@ def test_odd_rows(spark):
 
 def test_ids_may_be_strings(spark):
     rows = [("b", "t"), ("a", "t"), ("a", "t"), (None, "t"), (None, "u"), (None, "u")]
-    marked = audit.with_duplicates(audit.masked(spark.createDataFrame(rows, "doc_id string, text string").withColumn("lang", F.lit("en")), {}, "doc_id", "text", "lang"), 0)
+    marked = audit.masked(audit.narrow(spark.createDataFrame(rows, "doc_id string, text string").withColumn("lang", F.lit("en")), "doc_id", "text", "lang"), {})
     assert Counter((r.id, r["mask"]) for r in marked.collect()) == {("a", 0): 2, ("b", 1): 1, (None, 1): 1, (None, 0): 2}
