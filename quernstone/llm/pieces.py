@@ -8,24 +8,31 @@ on it, so a text of n characters takes O(n log n) steps. What no piece covers fa
 its UTF-8 bytes.
 
 Merges never cross a place where no piece of the vocabulary has its two characters side by
-side, so a text is first cut at such places (in common vocabularies before each run of
-``▁``) and the ids of short stretches are kept in a bounded cache.
-
-Each Arrow batch is also encoded by the sentencepiece library, and each row tells whether
-the ids agree. The model file is read on the driver and its bytes are broadcast: their
-number does not depend on the data.
+side, so a text is first cut at such places: in common vocabularies before each run of ``▁``,
+long stretches also elsewhere. Short stretches that are new are encoded together: those of one
+length are rows of a table of symbols, beside it a table with the cost of each neighbouring
+pair, which is their agenda, and each step merges the first of all rows' agendas. Their ids
+are kept in a bounded cache.
+
+In each Arrow batch, all stretches that were not in the cache are also encoded by the
+sentencepiece library, and each row tells whether the ids of all its stretches agree. The
+model file is read on the driver and its bytes are broadcast: their number does not depend on
+the data.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from operator import add
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +44,10 @@ MODEL = "piece_bpe_32k.model"
 #: What the format itself fixes: the sign for a space, and what stands for an unknown piece.
 SPACE, UNKNOWN = "▁", " ⁇ "
 #: Stretches kept with their ids in each of two generations, and the characters of one that is kept.
-CACHED, CACHED_CHARS = 250_000, 64
+CACHED, SHORT = 250_000, 48
+#: Characters of texts whose ids are held as Python numbers at once.
+AT_ONCE = 4_000_000
+NONE = np.int64(1) << 62
 BPE = proto.TrainerSpec.BPE
 KIND = proto.ModelProto.SentencePiece
 
@@ -68,16 +78,80 @@ class Vocabulary:
         self.end = next(i for i, p in enumerate(spec.pieces) if p.piece == (spec.trainer_spec.eos_piece or "</s>"))
         #: what decoding gives for each piece that is text
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        several = Counter(self.cost.values())
+        #: characters of pieces that cost the same as others: of these the leftmost merge comes first, whichever it is
+        self.tied = {c for p, cost in self.cost.items() if several[cost] > 1 for c in p}
+        self.beyond = len(self.pieces)
+        #: the symbol of each character: its id, or its code beyond all ids
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.beyond
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        name = lambda p: self.id.get(p, int(self.symbol[ord(p)]) if len(p) == 1 else None)
+        order = {c: i for i, c in enumerate(sorted(several))}
+        pairs = {a << 21 | b: order[self.cost[p]] << 21 | i for p, i in self.id.items() for k in range(1, len(p)) if (a := name(p[:k])) is not None and (b := name(p[k:])) is not None}
+        #: pairs of neighbours as left * 2**21 + right, and what their merge costs with its id, the cost first
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merge = np.array([pairs[k] for k in self.pairs.tolist()] + [NONE], np.int64)
+        self.special = self.control | {self.unknown}
+        #: pieces as decoding joins them: bytes beyond ASCII as single surrogates, which no text holds
+        self.joined = [(chr(b) if b < 128 else chr(0xDC00 + b)) if (b := self.byte_of.get(i)) is not None else t for i, t in enumerate(self.shown)]
+        #: stretches on which the library was found to differ
+        self.disputed: set[str] = set()
         self.beside = {a + b for p in self.id for a, b in zip(p, p[1:])}
         inside = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not inside else re.compile(r"(?s).+")
-        #: ids of stretches met lately, and of those met before them: what is asked for stays, the rest goes
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        #: whether a text without runs of spaces has one stretch for each word
+        self.words = self.prefix and not inside
+        #: ids (4 bytes each) of short stretches met lately, and of those met before them: what is asked for stays, the rest goes
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
+    def cost_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 21 | right
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.merge[at], NONE)
+
+    def merged_rows(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of one length that hold one character of ``tied`` pieces at most."""
+        symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1)]
+        agenda = self.cost_of(symbols[:, :-1], symbols[:, 1:])
+        out: list[bytes] = [b""] * len(texts)
+        row = np.arange(len(texts))
+        while len(row):
+            width = symbols.shape[1]
+            if width > 1:
+                at = agenda.argmin(1)
+                best = agenda[np.arange(len(row)), at]
+                going = best != NONE
+            else:
+                going = np.zeros(len(row), bool)
+            done = np.flatnonzero(~going)
+            told, step = symbols[done].astype(np.int32).tobytes(), 4 * width
+            for i, r in enumerate(row[done].tolist()):
+                out[r] = told[i * step : (i + 1) * step]
+            for r in row[done[symbols[done].max(1) >= self.beyond]].tolist() if len(done) else ():
+                ids = np.frombuffer(out[r], np.int32).tolist()
+                out[r] = packed(self.ids_of([self.pieces[x] if x < self.beyond else chr(x - self.beyond) for x in ids]))
+            if not going.any():
+                break
+            row, symbols, agenda, at, best = row[going], symbols[going], agenda[going], at[going], best[going]
+            every, joint = np.arange(len(row)), best & 0x1FFFFF
+            symbols[every, at] = joint
+            behind = np.arange(width - 1)
+            symbols = np.take_along_axis(symbols, behind + (behind > at[:, None]), 1)
+            left = behind[: width - 2]
+            agenda = np.take_along_axis(agenda, left + (left >= at[:, None]), 1)
+            some = np.flatnonzero(at > 0)
+            agenda[some, at[some] - 1] = self.cost_of(symbols[some, at[some] - 1], joint[some])
+            some = np.flatnonzero(at < width - 2)
+            agenda[some, at[some]] = self.cost_of(joint[some], symbols[some, at[some] + 1])
+        return out
+
     def merged(self, text: str) -> list[str]:
         """Symbols of a stretch after all merges."""
         symbols: list[str] = list(text)
@@ -117,45 +191,108 @@ class Vocabulary:
                 out.append(self.unknown)  # neighbouring unknown symbols are one piece
         return out
 
-    def stretch_ids(self, text: str) -> list[int]:
-        """Ids of a stretch, from the cache where it is kept."""
-        return self.cache.get(text) or self.keep(text, self.older.get(text) or self.cut_ids(text))
-
-    def keep(self, text: str, ids: list[int]) -> list[int]:
-        if len(text) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED:
-                self.cache, self.older = {}, self.cache
-            self.cache[text] = ids
-        return ids
-
-    def cut_ids(self, text: str) -> list[int]:
+    def alone(self, text: str) -> list[int]:
+        """Ids of one stretch of any length."""
         cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.beside]
-        if cuts:  # its parts have other neighbours elsewhere, so they are kept one by one
-            found = []
-            for start, end in zip([0, *cuts], [*cuts, len(text)]):
-                self.join(found, self.stretch_ids(text[start:end]))
-        else:
-            found = self.ids_of(self.merged(text))
+        found: list[int] = []
+        for start, end in zip([0, *cuts], [*cuts, len(text)]):
+            self.join(found, self.ids_of(self.merged(text[start:end])))
         return found
 
+    def prepare(self, stretches: set[str]) -> list[str]:
+        """See to it that the cache holds all short ones of these stretches; gives those that are new."""
+        if len(self.cache) >= CACHED:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        new: list[str] = []
+        for s in [s for s in stretches if s not in cache and len(s) <= SHORT]:
+            ids = older.get(s)
+            if ids is not None:
+                cache[s] = ids
+            else:
+                new.append(s)
+        groups: dict[int, list[str]] = {}
+        for s in new:
+            if self.one_tied(s):
+                groups.setdefault(len(s), []).append(s)
+            else:
+                cache[s] = packed(self.alone(s))
+        for texts in groups.values():
+            cache.update(zip(texts, self.merged_rows(texts)))
+        return new
+
+    def one_tied(self, text: str) -> bool:
+        return sum(map(text.count, self.tied)) < 2
+
     def join(self, out: list[int], ids: list[int]) -> None:
         """Put ids behind others; without byte pieces, unknown symbols on both sides of a cut are one piece."""
         out += ids[1:] if not self.byte_id and out and out[-1] == self.unknown == ids[0] else ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text with the end id behind them."""
+    def stretches(self, text: str) -> list[str]:
+        """The stretches of a text, without the sign for a space in front where each has just one."""
+        if self.words and text and SPACE not in text:
+            words = text.split(" ")
+            if "" not in words:
+                return words
+        return self.stretch.findall(self.normal(text))
+
+    def encode_all(self, texts: list[str], library: sentencepiece.SentencePieceProcessor | None = None) -> tuple[np.ndarray, list[int]]:
+        """Ids of whole texts, one after the other and each with the end id behind it, and how many each has."""
+        cut = [self.stretches(t) for t in texts]
+        signed = [SPACE in c[0] if c else True for c in cut]
+        whole = set(chain.from_iterable(c for c, s in zip(cut, signed) if s))
+        bare = set(chain.from_iterable(c for c, s in zip(cut, signed) if not s))
+        new = self.prepare(whole | {SPACE + w for w in bare})
+        ids_of = {w: self.cache.get(SPACE + w) or packed(self.alone(SPACE + w)) for w in bare}
+        ids_of |= {s: self.cache.get(s) or packed(self.alone(s)) for s in whole}
+        if library is not None:
+            self.compare(new + [s for s in whole if len(s) > SHORT] + [SPACE + w for w in bare if len(w) >= SHORT], library)
+        end, out, counts = packed([self.end]), [], []
+        for stretches in cut:
+            parts = list(map(ids_of.__getitem__, stretches))
+            told = b"".join(parts) if self.byte_id else packed(self.joined_up(parts))
+            out += (told, end)
+            counts.append(len(told) // 4 + 1)
+        return np.frombuffer(b"".join(out), np.int32), counts
+
+    def joined_up(self, parts: list[bytes]) -> list[int]:
         out: list[int] = []
-        for stretch in self.stretch.findall(self.normal(text)):
-            ids = self.cache.get(stretch) or self.stretch_ids(stretch)
-            if self.byte_id:
-                out += ids
-            else:
-                self.join(out, ids)
-        out.append(self.end)
+        for part in parts:
+            self.join(out, np.frombuffer(part, np.int32).tolist())
         return out
 
+    def compare(self, stretches: list[str], library: sentencepiece.SentencePieceProcessor) -> None:
+        """Stretches one after the other are a text, which the library must encode alike; if not, each is looked at alone."""
+        told = lambda some: "".join(some)[self.prefix :].replace(SPACE, " ")
+        own = lambda s: self.cache.get(s) or packed(self.alone(s))
+        open_ended = [s for s in stretches if s.endswith(SPACE)]  # the next stretch would go on with it
+        closed = [s for s in stretches if not s.endswith(SPACE)] if open_ended else stretches
+        parts = [own(s) for s in closed]
+        ids = b"".join(parts) if self.byte_id else packed(self.joined_up(parts))
+        differ = closed and np.asarray(library.encode_as_numpy(told(closed)), np.int32).tobytes() != ids
+        self.disputed |= {s for s in (stretches if differ else open_ended) if packed(library.encode(told([s]), num_threads=1)) != own(s)}
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text with the end id behind them."""
+        return self.encode_all([text])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD one by one."""
+        ended = ids[:-1] if ids and ids[-1] == self.end else ids
+        if self.special.isdisjoint(ended):
+            text = "".join(map(self.joined.__getitem__, ended))
+            try:
+                text.encode()
+            except UnicodeEncodeError:  # it holds bytes beyond ASCII
+                try:
+                    text = text.encode(errors="surrogateescape").decode()
+                except UnicodeDecodeError:
+                    return self.decode_each(ids)
+            return text[1:] if self.prefix and text.startswith(" ") and ended[0] not in self.byte_of else text
+        return self.decode_each(ids)
+
+    def decode_each(self, ids: list[int]) -> str:
+        """The same id by id, for control and unknown pieces and for bytes that are no UTF-8."""
         out, run, shown, byte_of = [], bytearray(), self.shown, self.byte_of
         at_start, empty = True, True
         for i in ids:
@@ -182,6 +319,10 @@ class Vocabulary:
         return "".join(out)
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def utf8(run: bytes) -> str:
     """Bytes as text, one U+FFFD for each byte that is not part of a well-formed character."""
     try:
@@ -210,13 +351,6 @@ def library(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def ragged(rows: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def read_model(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -229,10 +363,22 @@ def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
     @F.arrow_udf("struct<ids: array<int>, agrees: boolean>")
     def encode(texts: pa.Array) -> pa.Array:
         own, other = vocabulary(shared.value), library(shared.value)
-        rows = [t or "" for t in texts.to_pylist()]
-        found = [own.encode(t) for t in rows]
-        agrees = [a == b for a, b in zip(found, other.encode(rows, add_eos=True, num_threads=1))]
-        return pa.StructArray.from_arrays([ragged(found), pa.array(agrees)], ["ids", "agrees"])
+        flat, lengths, agrees = [], [], []
+        start = size = 0
+        for i, length in enumerate(pc.utf8_length(texts).to_pylist()):
+            size += length or 0
+            if size >= AT_ONCE or i == len(texts) - 1:
+                part = [t or "" for t in texts[start : i + 1].to_pylist()]
+                ids, ends = own.encode_all(part, other)
+                flat.append(ids)
+                lengths += ends
+                # a text is disputed if it holds a disputed stretch; there is none as long as both agree
+                agrees += [not own.disputed or own.disputed.isdisjoint(own.stretch.findall(own.normal(t))) for t in part]
+                start, size = i + 1, 0
+        offsets = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(lengths, out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([ids, pa.array(agrees, pa.bool_())], ["ids", "agrees"])
 
     return encode(text)
 
@@ -244,7 +390,7 @@ def decoded(spark: SparkSession, ids: Column, model: bytes) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         own = vocabulary(shared.value)
-        return pa.array([None if ids is None else own.decode(ids) for ids in lists.to_pylist()], pa.string())
+        return pa.array((None if not ids.is_valid else own.decode(ids.values.to_pylist()) for ids in lists), pa.string())
 
     return decode(ids)
 
