@@ -44,9 +44,11 @@ MODEL = "piece_bpe_32k.model"
 #: What the format itself fixes: the sign for a space, and what stands for an unknown piece.
 SPACE, UNKNOWN = "▁", " ⁇ "
 #: Stretches kept with their ids in each of two generations, and the characters of one that is kept.
-CACHED, SHORT = 250_000, 48
+CACHED, SHORT = 200_000, 48
 #: Characters of texts whose ids are held as Python numbers at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
+#: Stretches that are compared with the library as one text.
+COMPARED = 200
 NONE = np.int64(1) << 62
 BPE = proto.TrainerSpec.BPE
 KIND = proto.ModelProto.SentencePiece
@@ -193,6 +195,7 @@ class Vocabulary:
 
     def alone(self, text: str) -> list[int]:
         """Ids of one stretch of any length."""
+        text = self.full(text)
         cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.beside]
         found: list[int] = []
         for start, end in zip([0, *cuts], [*cuts, len(text)]):
@@ -200,29 +203,37 @@ class Vocabulary:
         return found
 
     def prepare(self, stretches: set[str]) -> list[str]:
-        """See to it that the cache holds all short ones of these stretches; gives those that are new."""
-        if len(self.cache) >= CACHED:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        new: list[str] = []
-        for s in [s for s in stretches if s not in cache and len(s) <= SHORT]:
+        """Put the ids of these stretches, which the cache lacks, into it; gives those that are new, but for long ones, which it never holds."""
+        older, new = self.older, []
+        for s in stretches:
             ids = older.get(s)
             if ids is not None:
-                cache[s] = ids
-            else:
+                self.cache[s] = ids
+            elif len(s) <= SHORT:
                 new.append(s)
         groups: dict[int, list[str]] = {}
         for s in new:
             if self.one_tied(s):
                 groups.setdefault(len(s), []).append(s)
             else:
-                cache[s] = packed(self.alone(s))
-        for texts in groups.values():
-            cache.update(zip(texts, self.merged_rows(texts)))
+                self.cache[s] = packed(self.alone(s))
+        for names in groups.values():
+            words = [s for s in names if not s.startswith(SPACE)]
+            whole = [s for s in names if s.startswith(SPACE)]
+            if words:
+                self.cache.update(zip(words, self.merged_rows([SPACE + w for w in words] if self.words else words)))
+            if whole:
+                self.cache.update(zip(whole, self.merged_rows(whole)))
         return new
 
-    def one_tied(self, text: str) -> bool:
-        return sum(map(text.count, self.tied)) < 2
+    def one_tied(self, stretch: str) -> bool:
+        if self.tied == {SPACE}:
+            return stretch.count(SPACE) <= stretch.startswith(SPACE)
+        return sum(map(self.full(stretch).count, self.tied)) < 2
+
+    def full(self, stretch: str) -> str:
+        """A stretch with the sign for a space in front, which is left out where each has just one."""
+        return SPACE + stretch if self.words and not stretch.startswith(SPACE) else stretch
 
     def join(self, out: list[int], ids: list[int]) -> None:
         """Put ids behind others; without byte pieces, unknown symbols on both sides of a cut are one piece."""
@@ -239,17 +250,19 @@ class Vocabulary:
     def encode_all(self, texts: list[str], library: sentencepiece.SentencePieceProcessor | None = None) -> tuple[np.ndarray, list[int]]:
         """Ids of whole texts, one after the other and each with the end id behind it, and how many each has."""
         cut = [self.stretches(t) for t in texts]
-        signed = [SPACE in c[0] if c else True for c in cut]
-        whole = set(chain.from_iterable(c for c, s in zip(cut, signed) if s))
-        bare = set(chain.from_iterable(c for c, s in zip(cut, signed) if not s))
-        new = self.prepare(whole | {SPACE + w for w in bare})
-        ids_of = {w: self.cache.get(SPACE + w) or packed(self.alone(SPACE + w)) for w in bare}
-        ids_of |= {s: self.cache.get(s) or packed(self.alone(s)) for s in whole}
+        lacks = {s for stretches in cut for s in stretches if s not in self.cache}
+        if len(self.cache) + len(lacks) > CACHED:  # what this turns over is looked up again
+            self.cache, self.older = {}, self.cache
+            lacks = set(chain.from_iterable(cut))
+        new = self.prepare(lacks)
         if library is not None:
-            self.compare(new + [s for s in whole if len(s) > SHORT] + [SPACE + w for w in bare if len(w) >= SHORT], library)
-        end, out, counts = packed([self.end]), [], []
+            self.compare(new + [s for s in lacks if len(s) > SHORT], library)
+        end, out, counts, found = packed([self.end]), [], [], self.cache.__getitem__
         for stretches in cut:
-            parts = list(map(ids_of.__getitem__, stretches))
+            try:
+                parts = list(map(found, stretches))
+            except KeyError:  # a long one
+                parts = [self.cache.get(s) or packed(self.alone(s)) for s in stretches]
             told = b"".join(parts) if self.byte_id else packed(self.joined_up(parts))
             out += (told, end)
             counts.append(len(told) // 4 + 1)
@@ -262,17 +275,21 @@ class Vocabulary:
         return out
 
     def compare(self, stretches: list[str], library: sentencepiece.SentencePieceProcessor) -> None:
-        """Stretches one after the other are a text, which the library must encode alike; if not, each is looked at alone."""
-        told = lambda some: "".join(some)[self.prefix :].replace(SPACE, " ")
+        """Stretches one after the other are a text, which the library must encode alike; where it doesn't, each is looked at alone."""
+        told = lambda some: "".join(map(self.full, some))[self.prefix :].replace(SPACE, " ")
         own = lambda s: self.cache.get(s) or packed(self.alone(s))
         open_ended = [s for s in stretches if s.endswith(SPACE)]  # the next stretch would go on with it
         closed = [s for s in stretches if not s.endswith(SPACE)] if open_ended else stretches
-        parts = [own(s) for s in closed]
-        ids = b"".join(parts) if self.byte_id else packed(self.joined_up(parts))
-        differ = closed and np.asarray(library.encode_as_numpy(told(closed)), np.int32).tobytes() != ids
+        doubtful = open_ended
+        for i in range(0, len(closed), COMPARED):
+            some = closed[i : i + COMPARED]
+            parts = [own(s) for s in some]
+            ids = b"".join(parts) if self.byte_id else packed(self.joined_up(parts))
+            if np.asarray(library.encode_as_numpy(told(some)), np.int32).tobytes() != ids:
+                doubtful = doubtful + some
         word = packed(self.alone(self.normal("x")))  # spaces alone are no text to the library, but behind a word they are
-        behind = lambda s: packed(library.encode("x" + s.replace(SPACE, " "), num_threads=1))
-        self.disputed |= {s for s in (stretches if differ else open_ended) if s.startswith(SPACE) and behind(s) != word + own(s)}
+        behind = lambda s: packed(library.encode("x" + self.full(s).replace(SPACE, " "), num_threads=1))
+        self.disputed |= {s for s in doubtful if self.full(s).startswith(SPACE) and behind(s) != word + own(s)}
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text with the end id behind them."""
@@ -375,7 +392,7 @@ def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
                 flat.append(ids)
                 lengths += ends
                 # a text is disputed if it holds a disputed stretch; there is none as long as both agree
-                agrees += [not own.disputed or own.disputed.isdisjoint(own.stretch.findall(own.normal(t))) for t in part]
+                agrees += [not own.disputed or own.disputed.isdisjoint(own.stretches(t)) for t in part]
                 start, size = i + 1, 0
         offsets = np.zeros(len(lengths) + 1, np.int32)
         np.cumsum(lengths, out=offsets[1:])
@@ -392,7 +409,9 @@ def decoded(spark: SparkSession, ids: Column, model: bytes) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         own = vocabulary(shared.value)
-        return pa.array((None if not ids.is_valid else own.decode(ids.values.to_pylist()) for ids in lists), pa.string())
+        flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        each = (own.decode(flat[a:b].tolist()) if there else None for a, b, there in zip(at, at[1:], lists.is_valid().to_pylist()))
+        return pa.array(each, pa.string())
 
     return decode(ids)
 
