@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from quernstone.functions.indicators import bollinger, lag, percentile_rank, rolling, running
+from quernstone.functions.indicators import bollinger, lag, rolling, running
 
 OPS = {
     ">": lambda a, b: a > b,
@@ -100,9 +100,9 @@ def bollinger_state(close: Column, source: Column, state: str, n: int, k: float,
     raise ValueError("a squeeze ranks the band width, which must be a column of its own: see squeeze()")
 
 
-def squeeze(width: Column, window: int, quantile: float, w: WindowSpec | None = None) -> Column:
-    """Band width among the lowest share ``quantile`` of its last ``window``."""
-    return sure(percentile_rank(width, window, w) <= quantile)
+def squeeze(rank: Column, quantile: float) -> Column:
+    """Band width among the lowest share ``quantile`` of its last ones; ``rank`` is its rank among them (``rangerank.with_percentile_rank``)."""
+    return sure(rank <= quantile)
 
 
 def zscore_state(z: Column, state: str, threshold: float, w: WindowSpec | None = None) -> Column:

@@ -59,13 +59,6 @@ def bollinger(c: Column, n: int, k: float, w: WindowSpec | None = None, ddof: in
     return mid + k * sd, mid, mid - k * sd
 
 
-def percentile_rank(c: Column, n: int, w: WindowSpec | None = None) -> Column:
-    """Average rank of the newest among the last n, over n; the least is 1/n."""
-    seen = F.collect_list(c).over(rolling(w, n))
-    rank = F.size(F.filter(seen, lambda v: v < c)) + (F.size(F.filter(seen, lambda v: v == c)) + 1) / 2
-    return full(c, n, rank / n, w)
-
-
 def highest(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     return full(c, n, F.max(c).over(rolling(w, n)), w)
 

@@ -162,17 +162,17 @@ class Psar:
         return sar, 1 if sar < close else -1 if sar > close else None
 
 
-class Supertrend:
-    """Value and direction. Bands tighten only, unless the close before broke through them."""
+class Bands:
+    """Value and direction from bars and their true range. Bands tighten only, unless the close before broke through them."""
 
-    def __init__(self, n: int = 10, multiple: float = 3.0):
-        self.atr, self.k = Atr(n), multiple
+    def __init__(self, multiple: float = 3.0):
+        self.k = multiple
         self.upper = self.lower = self.close = None
         self.up = False
 
-    def push(self, high: float, low: float, close: float) -> tuple[float | None, int | None]:
-        a, mid = self.atr.push(high, low, close), (high + low) / 2
-        if a is None:
+    def push(self, high: float, low: float, close: float, a: float | None) -> tuple[float | None, int | None]:
+        mid = (high + low) / 2
+        if a is None or a != a:
             self.close = close
             return None, None
         bu, bl = mid + self.k * a, mid - self.k * a
@@ -184,3 +184,14 @@ class Supertrend:
             self.up = close >= self.lower if self.up else close > self.upper
         self.close = close
         return (self.lower if self.up else self.upper), 1 if self.up else -1
+
+
+class Supertrend(Bands):
+    """The same with Wilder's true range of n bars."""
+
+    def __init__(self, n: int = 10, multiple: float = 3.0):
+        super().__init__(multiple)
+        self.atr = Atr(n)
+
+    def push(self, high: float, low: float, close: float) -> tuple[float | None, int | None]:
+        return super().push(high, low, close, self.atr.push(high, low, close))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.sources.store import written
+
 #: Children of a node of the tree in which breaches are looked up.
 FAN_OUT = 64
 
@@ -77,13 +79,14 @@ def first_at_or_below(points: DataFrame, series: DataFrame, keys: list[str], poi
     such a row have no row here. Rows of one time count in the order of their value.
     """
     rows = numbered(series.select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_v")).withColumn("_chunk", chunk), keys, "_chunk", ["_t", "_v"], "_i").drop("_chunk")
+    rows = written(rows, "leaves")  # read for the height, for each level and for the answer
     height = max(1, (rows.agg(F.max("_i")).first()[0] or 0).bit_length())
     levels = [rows.select(*keys, "_i", "_v")]
     while len(levels) == 1 or FAN_OUT ** (len(levels) - 1) < 2**height:
         below = levels[-1]
         node = F.floor(F.col("_i") / FAN_OUT).alias("_n")
         up = below.groupBy(*keys, node).agg(F.sort_array(F.collect_list(F.struct((F.col("_i") % FAN_OUT).alias("k"), F.col("_v").alias("v")))).alias("_kids"), F.min("_v").alias("_v"))
-        levels.append(up.withColumnRenamed("_n", "_i"))
+        levels.append(written(up.withColumnRenamed("_n", "_i"), "level"))  # joined once on the way up and once for each level on the way down
     start_row = asof(points.select(point_id, *keys, F.col(start).alias("_at"), F.col(bound).alias("_bound")), rows.groupBy(*keys, "_t").agg(F.max("_i").alias("_i")), keys, "_at", "_t", ["_i"], chunk, strict=True)
     todo = start_row.withColumn("_i", F.coalesce(F.col("_i") + 1, F.lit(0)))
     found = None
@@ -101,3 +104,43 @@ def first_at_or_below(points: DataFrame, series: DataFrame, keys: list[str], poi
         todo = step.where("_hit IS NULL").select(point_id, *keys, "_bound", (F.col("_node") + 1).alias("_i"))
     leaves = rows.select(*keys, F.col("_i").alias("_leaf"), F.col("_t").alias("hit_ts"), F.col("_v").alias("hit_value"))
     return found.join(leaves, [*keys, "_leaf"]).select(point_id, "hit_ts", "hit_value")
+
+
+def first_in_range(points: DataFrame, series: DataFrame, keys: list[str], point_id: str, start: str, end: str, bound: str, ts: str, value: str, chunk: Column) -> DataFrame:
+    """(``point_id``, ``hit_ts``, ``hit_value``): the first row of a point's series from ``start`` to ``end`` whose value is at most ``bound``.
+
+    For spans that hold few rows of a long series. The rows of a span are the disjoint union of at
+    most two nodes a level of a binary tree, of as many levels as the longest span needs; the
+    first of these whose minimum is low enough holds the answer, which is looked up in blocks of
+    ``FAN_OUT`` rows, one join for each power of that in the longest span.
+    """
+    from quernstone.operators.rangerank import nodes_of
+
+    rows = numbered(series.select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_v")).withColumn("_chunk", chunk), keys, "_chunk", ["_t", "_v"], "_i").drop("_chunk")
+    rows = written(rows, "leaves")
+    last = rows.groupBy(*keys, "_t").agg(F.max("_i").alias("_i"))
+    spans = points.select(point_id, *keys, F.col(start).alias("_from"), F.col(end).alias("_until"), F.col(bound).alias("_bound"))
+    spans = asof(spans, last.withColumnRenamed("_i", "_lo"), keys, "_from", "_t", ["_lo"], chunk, strict=True)
+    spans = asof(spans, last.withColumnRenamed("_i", "_hi"), keys, "_until", "_t", ["_hi"], chunk)
+    spans = spans.select(point_id, *keys, "_bound", F.coalesce(F.col("_lo") + 1, F.lit(0)).alias("_lo"), "_hi").where("_hi >= _lo")
+    spans = written(spans, "spans")
+    longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
+    levels = longest.bit_length()
+    every = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda l: F.struct(l.cast("int").alias("level"), F.call_function("shiftright", F.col("_i"), l).alias("node")))
+    lows = rows.select(*keys, "_v", F.explode(every).alias("_at")).groupBy(*keys, "_at.level", "_at.node").agg(F.min("_v").alias("_low"))
+    asked = spans.select(point_id, *keys, "_bound", F.explode(nodes_of(F.col("_lo"), F.col("_hi"), levels)).alias("_at")).select(point_id, *keys, "_bound", "_at.*")
+    leaf = F.call_function("shiftleft", F.col("node"), F.col("level"))
+    low = asked.join(lows, [*keys, "level", "node"]).where(F.col("_low") <= F.col("_bound"))
+    todo = low.groupBy(point_id, *keys, "_bound").agg(F.min(F.struct(leaf.alias("_i"), "level")).alias("_n"))
+    todo = todo.select(point_id, *keys, "_bound", "_n._i", "_n.level")
+    bits = FAN_OUT.bit_length() - 1
+    for top in range((levels - 1) // bits, -1, -1):  # nodes of so many blocks' levels: the first of those in the block that is low enough
+        least = top * bits
+        kids = lows.where(F.col("level") == least).groupBy(*keys, F.floor(F.col("node") / FAN_OUT).alias("_block"))
+        kids = kids.agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("k"), F.col("_low").alias("v")))).alias("_kids"))
+        first = F.shiftright("_i", least)
+        inside = lambda x: (x["k"] >= first) & (x["v"] <= F.col("_bound"))  # noqa: E731, B023
+        found = todo.where(F.col("level") > least).withColumn("_block", F.floor(first / FAN_OUT)).join(kids, [*keys, "_block"])
+        found = found.withColumn("_i", F.shiftleft(F.get(F.filter("_kids", inside), F.lit(0))["k"], least)).withColumn("level", F.lit(least))
+        todo = todo.where(F.col("level") <= least).unionByName(found.select(point_id, *keys, "_bound", "_i", "level"))
+    return todo.join(rows, [*keys, "_i"]).select(point_id, F.col("_t").alias("hit_ts"), F.col("_v").alias("hit_value"))

@@ -1,11 +1,13 @@
-"""All recurrent indicators of a series in one ordered scan."""
+"""Recurrent indicators: over chunks of a series side by side, or in one ordered scan where the series is walked anyway."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from quernstone.functions import recurrences as R
+from quernstone.operators.affine import cut, with_smoothed
 from quernstone.operators.sequential import ordered_scan
+from quernstone.operators.speculative import speculative_scan
 
 #: name -> (state, columns it reads, names it gives)
 INDICATORS = {
@@ -22,10 +24,48 @@ INDICATORS = {
 COLUMNS = ("high", "low", "close")
 
 
+class Stamped:
+    """A state whose rows carry the time that is pushed before its values."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def push(self, row: tuple) -> list[tuple]:
+        return [(row[0], *self.state.push(*row[1:]))]
+
+
+def turning(bars: DataFrame, name: str, kind: str, args: dict, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, ts, name_value, name_direction): a stop-and-reverse rule, chunks walked side by side until their walks have met."""
+    columns = ["high", "low", "close"]
+    if kind == "psar":
+        make = lambda key: Stamped(R.Psar(**args))
+    else:  # the bands need a true range first, which is an average; which band counts is a latch
+        bars = with_smoothed(bars.select(*keys, "ts", *columns), {"_atr": ("atr", {"n": args.get("n", 10)})}, keys)
+        columns = [*columns, "_atr"]
+        make = lambda key: Stamped(R.Bands(args.get("multiple", 3.0)))
+    schema = f"ts {bars.schema['ts'].dataType.simpleString()}, `{name}_value` double, `{name}_direction` double"
+    return speculative_scan(cut(bars, keys), list(keys), "ts", ["ts", *columns], make, schema)
+
+
 def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys, ts), the columns ``carry`` and the indicators ``wanted``: output name -> (indicator, its parameters).
 
-    An indicator of several values gives columns name_value. One scan computes all.
+    An indicator of several values gives columns name_value. No task holds a series.
+    """
+    turns = {name: x for name, x in wanted.items() if x[0] in ("psar", "supertrend")}
+    averages = {name: x for name, x in wanted.items() if name not in turns}
+    names = [f"{name}_{part}" if part else name for name, (kind, _) in wanted.items() for part in INDICATORS[kind][2]]
+    out = bars.select(*dict.fromkeys([*keys, "ts", *COLUMNS, *carry]))
+    out = with_smoothed(out, averages, keys) if averages else out
+    for name, (kind, args) in turns.items():
+        out = out.join(turning(bars, name, kind, args, keys), [*keys, "ts"])
+    return out.select(*keys, "ts", *carry, *names)
+
+
+def walked_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts), the columns ``carry`` and the indicators ``wanted``: output name -> (indicator, its parameters).
+
+    The same in one scan, a task a series: for what is walked by a simulator afterwards in any case.
     """
     n = len(COLUMNS) + 1
     names = [f"{name}_{part}" if part else name for name, (kind, _) in wanted.items() for part in INDICATORS[kind][2]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.operators.chunked import first_at_or_below
+from quernstone.operators.chunked import first_at_or_below, first_in_range
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False) -> DataFrame:
@@ -30,12 +30,11 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
 def within(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, seconds: int, value: str, bound: str, name: str, left_id: str) -> DataFrame:
     """``left`` with ``name``, the first time in [time, time + seconds] at which the ``value`` of a right row of its keys is at most ``bound``.
 
-    The first such row at all is looked up in a tree of minima; it counts if it comes in time.
+    It is looked up in a tree of minima over the rows of that span.
     """
-    first = first_at_or_below(left, right, keys, left_id, left_ts, bound, right_ts, value, day_of("_t"))
-    both = left.join(first.select(left_id, "hit_ts"), left_id, "left")
-    gap = F.unix_micros(F.col("hit_ts").cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
-    return both.withColumn(name, F.when(gap <= seconds * 1_000_000, F.col("hit_ts"))).drop("hit_ts")
+    spans = left.withColumn("_end", F.col(left_ts) + F.make_dt_interval(secs=F.lit(seconds)))
+    first = first_in_range(spans, right, keys, left_id, left_ts, "_end", bound, right_ts, value, day_of("_t"))
+    return left.join(first.select(left_id, F.col("hit_ts").alias(name)), left_id, "left")
 
 
 def day_of(ts: str) -> Column:
@@ -48,11 +47,6 @@ def in_windows(rows: DataFrame, windows: DataFrame, ts: str, start: str, end: st
     return rows.join(F.broadcast(windows), (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)))
 
 
-def absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose keys are not there yet, one for each key: insert-if-absent."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-
-
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key."""
     struct = F.struct(*[F.col(c) for c in rows.columns])

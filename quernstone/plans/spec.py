@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
 from quernstone.operators.indicator_scan import with_indicators
+from quernstone.operators.rangerank import with_percentile_rank
 from quernstone.operators.joins import asof
 from quernstone.operators.simulators import TraderConfig, simulate
 from quernstone.sources.bars import TIMEFRAMES, resample
@@ -286,7 +287,13 @@ class Compiler:
         return self.expr(x["expression"]) * x["factor"]
 
     def expr_percentile(self, x):
-        return I.percentile_rank(self.expr(x["expression"]), x["window"])
+        return self.ranked(self.expr(x["expression"]), x["window"])
+
+    def ranked(self, value: Column, window: int) -> Column:
+        """The column of a value's rank among its last ``window``."""
+        self.seen[f"rank {len(self.seen)}"] = name = f"n{len(self.seen)}"
+        self.df = with_percentile_rank(self.df.withColumn(f"{name}_of", value), f"{name}_of", window, name).drop(f"{name}_of")
+        return F.col(name)
 
     def expr_ratchet(self, x):
         return C.ratchet(self.expr(x["source"]), x.get("extremum", "max"))
@@ -383,7 +390,7 @@ class Compiler:
         source = F.col(x.get("source", "close"))
         if x["form"] == "squeeze":
             width = self.keep({"width": x}, 2 * x["num_std"] * I.stddev(source, x["period"], ddof=0))
-            return C.squeeze(width, x.get("squeeze_window") or 100, x.get("squeeze_percentile") or 0.2)
+            return C.squeeze(self.ranked(width, x.get("squeeze_window") or 100), x.get("squeeze_percentile") or 0.2)
         return C.bollinger_state(F.col("close"), source, x["form"], x["period"], x["num_std"])
 
     def cond_zscore(self, x):

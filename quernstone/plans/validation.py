@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions import scalars as S
 from quernstone.functions.indicators import running
@@ -70,12 +71,61 @@ def block_bootstrap(trades: DataFrame, sims: DataFrame) -> DataFrame:
     return drawn.join(numbered.select("k", "r"), "k").groupBy("sim").agg(F.exp(F.sum("r")).alias("total"))
 
 
-def circular_shift(weights: DataFrame, sims: DataFrame) -> DataFrame:
-    """(sim, symbol, ts, open, w): each symbol's weights moved round by a random number of bars."""
+#: Bars of a block of the cross-correlation below.
+CORRELATED = 1 << 16
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def cross_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Sums of a[p] * b[q] by p - q, from 1 - len(b) to len(a) - 1, by fast Fourier transforms."""
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        size = 1 << (len(x) + len(y) - 1).bit_length()
+        both = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+        return np.concatenate([both[size - len(y) + 1 :], both[: len(x)]])
+
+    return pd.Series([one(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], dtype=object)
+
+
+def shifted_totals(weights: DataFrame) -> DataFrame:
+    """(symbol, n, shift, gross): the gross return of each symbol's weights (symbol, ts, open, w), moved round by every possible number of bars.
+
+    A weight earns the move of the bar after its own, and the first bar earns nothing. All shifts are
+    one circular cross-correlation of moves and weights: blocks of ``CORRELATED`` bars are
+    correlated with each other and the sums of one shift are added up.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
-    x = weights.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
-    moved = x.join(sims).select("sim", "symbol", ((F.col("k") + draw(F.col("sim"), F.col("symbol")) % F.col("n")) % F.col("n")).alias("k"), "w")
-    return x.select("symbol", "ts", "open", "k").join(moved, ["symbol", "k"])
+    x = weights.withColumn("k", F.row_number().over(w) - 1).withColumn("m", F.coalesce(F.lead("open").over(w) / F.col("open") - 1, F.lit(0.0)))
+    x = x.withColumn("m", F.when(F.col("k") == 0, 0.0).otherwise(F.col("m"))).withColumn("block", F.floor(F.col("k") / CORRELATED))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("x")))), lambda s: s["x"])
+    blocks = x.groupBy("symbol", "block").agg(in_order("m").alias("m"), in_order("w").alias("w"), F.count("*").alias("own"))
+    sizes = blocks.groupBy("symbol").agg(F.sum("own").alias("n"))
+    other = blocks.select("symbol", F.col("block").alias("other"), F.col("w").alias("v"))
+    pairs = blocks.select("symbol", "block", "m").join(other, "symbol").join(sizes, "symbol")
+    apart = (F.col("block") - F.col("other")) * CORRELATED
+    told = pairs.select("symbol", "n", apart.alias("apart"), F.size("v").alias("back"), F.posexplode(cross_correlation("m", "v")).alias("at", "part"))
+    shift = F.pmod(F.col("apart") + F.col("at") - F.col("back"), F.col("n"))  # at - back + 1 bars apart, less the one that a weight waits
+    return told.groupBy("symbol", "n", shift.alias("shift")).agg(F.sum("part").alias("gross"))
+
+
+def circular_shift(weights: DataFrame, sims: DataFrame) -> DataFrame:
+    """(sim, gross, actual): what portfolios of randomly shifted weights earned, and what the weights did."""
+    totals = shifted_totals(weights)
+    n = weights.groupBy("symbol").agg(F.count("*").alias("n"))
+    drawn = n.join(sims).select("sim", "symbol", (draw(F.col("sim"), F.col("symbol")) % F.col("n")).alias("shift"))
+    real = totals.where("shift = 0").agg(F.sum("gross").alias("actual"))
+    null = drawn.join(totals.select("symbol", "shift", "gross"), ["symbol", "shift"]).groupBy("sim").agg(F.sum("gross").alias("gross"))
+    return null.join(real)  # one row
+
+
+def with_rank(drawn: DataFrame, keys: list[str], value: str, places: int = 9) -> DataFrame:
+    """Draws beside what was really ``actual``, with ``null_rank``, the share of the draws below it, and ``p_value``, that at or above it, by ``keys``.
+
+    Both are rounded before they are compared, so that a draw that repeats the real run counts as a tie.
+    """
+    below = (F.round(value, places) < F.round("actual", places)).cast("int")
+    told = drawn.groupBy(*keys).agg(F.avg(below).alias("null_rank"), (1 - F.avg(below)).alias("p_value"))
+    return drawn.join(told, keys) if keys else drawn.join(told)
 
 
 def block_permuted(labels: DataFrame, sims: DataFrame, block: int) -> DataFrame:

@@ -10,6 +10,7 @@ from quernstone.functions import indicators as I
 from quernstone.operators import engines as G
 from quernstone.operators import metrics as M
 from quernstone.operators.metrics import downsample
+from quernstone.operators.quantiles import exact_quantiles
 from quernstone.queries.joins import CELLS, FOLDS, cells, folds
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import BOOK, RUN, W, book, sd, sma
@@ -198,7 +199,9 @@ def a11h(spark, sf_dir):
 
 @add("A12_percentiles", f"SELECT c_mktsegment, {sql_rounded({p: f'quantile_cont(c_acctbal, {q})' for p, q in (('p05', 0.05), ('p50', 0.5), ('p95', 0.95))}, 4)} FROM customer GROUP BY 1")
 def a12(spark, sf_dir):
-    return scan(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(*rounded({p: F.percentile("c_acctbal", F.lit(q)) for p, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}, 4))
+    wanted = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    found = exact_quantiles(scan(spark, sf_dir, "customer", ["c_mktsegment", "c_acctbal"]), ["c_mktsegment"], F.col("c_acctbal"), wanted)
+    return found.select("c_mktsegment", *rounded({p: F.col(p) for p in wanted}, 4))
 
 
 @add("A13_fold_positive", f"WITH {FOLDED} SELECT symbol, {sql_rounded({'positive': 'avg((o > 0)::INT)'})}, count(*) AS folds FROM fr GROUP BY 1")
@@ -386,7 +389,7 @@ def k2(spark, sf_dir):
 @add("K3_conviction_gate", "SELECT event_id FROM events WHERE abs(value) >= (SELECT quantile_cont(abs(value), 0.9) FROM events)")
 def k3(spark, sf_dir):
     e = scan(spark, sf_dir, "events", ["event_id", "value"])
-    gate = e.agg(F.percentile(F.abs("value"), F.lit(0.9)).alias("q"))
+    gate = exact_quantiles(e, [], F.abs("value"), {"q": 0.9})  # one row
     return e.join(F.broadcast(gate)).where(F.abs("value") >= F.col("q")).select("event_id")
 
 

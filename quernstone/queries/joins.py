@@ -11,6 +11,7 @@ from quernstone.operators import joins as J
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import BOOK, W, book, sd, sma
 from quernstone.sources.bars import DAILY, HOURLY, ORDERS, daily_bars, event_bars, events_sql, order_bars, resample, scan
+from quernstone.sources.store import absent
 
 
 
@@ -162,11 +163,12 @@ def versions(spark, sf_dir):
     return scan(spark, sf_dir, "nation").join(F.broadcast(scan(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
-@add("J17_insert_if_absent", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@add("J17_insert_if_absent", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, min(o_orderdate) AS o_orderdate FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
 def insert_if_absent(spark, sf_dir):
-    new = scan(spark, sf_dir, "orders").select("o_custkey")
+    """Of several new rows of a key the first one is kept, whatever the layout."""
+    new = scan(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderdate"])
     there = scan(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return J.absent(new, there, ["o_custkey"])
+    return absent(new, there, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
 @add("J18_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")

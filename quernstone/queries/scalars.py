@@ -94,6 +94,28 @@ def src1(spark, sf_dir):
     return store.span(cache.where("symbol = 'AF'"), "1997-01-01", "1999-01-01")
 
 
+MISSING = f"""WITH {HOURLY}, there AS (SELECT symbol, ts FROM bars WHERE (epoch_us(ts) // 3600000000 // 7) % 3 <> 0), wish AS (SELECT symbol, min(ts)::DATE + INTERVAL 2 DAY AS s FROM bars GROUP BY 1),
+h AS (SELECT symbol, unnest(generate_series(s, s + INTERVAL 215 HOUR, INTERVAL 1 HOUR)) AS ts FROM wish), lacking AS (SELECT h.symbol, h.ts FROM h ANTI JOIN there USING (symbol, ts)),
+isl AS (SELECT *, ts - INTERVAL (row_number() OVER (PARTITION BY symbol ORDER BY ts)) HOUR AS g FROM lacking),
+sp AS (SELECT symbol, min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "end" FROM isl GROUP BY symbol, g)
+SELECT sp.symbol, "start", "end", count(bars.ts) AS fetched FROM sp LEFT JOIN bars ON bars.symbol = sp.symbol AND bars.ts >= "start" AND bars.ts < "end" GROUP BY ALL"""
+
+
+@add("SRC1_missing_spans", MISSING)
+def src1_missing(spark, sf_dir):
+    """Nine days of hourly bars are wished for and a third is not in the cache: what is fetched is that third."""
+    bars = event_bars(spark, sf_dir)
+    hour = F.floor(F.unix_micros(col.ts.cast("timestamp")) / 3_600_000_000)
+    there = bars.where(F.floor(hour / 7) % 3 != 0)
+    start = (F.date_trunc("day", F.min("ts")) + F.expr("INTERVAL 2 DAYS")).cast("timestamp_ntz")
+    wished = bars.groupBy("symbol").agg(start.alias("start")).withColumn("end", F.col("start") + F.expr("INTERVAL 9 DAYS"))
+    spans = store.missing_spans(wished, there, ["symbol"], 3600)
+    fetched = store.fetch_missing(wished, there, bars, ["symbol"], 3600).select("symbol", "ts")
+    held = spans.join(fetched, "symbol", "left").where("ts IS NULL OR (ts >= start AND ts < end)")
+    counted = held.groupBy("symbol", "start", "end").agg(F.count("ts").alias("fetched"))
+    return spans.join(counted, ["symbol", "start", "end"], "left").select("symbol", "start", "end", F.coalesce("fetched", F.lit(0)).cast("long").alias("fetched"))
+
+
 @add("SRC2_landing_dedupe", "SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS h, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, ts FROM (SELECT * FROM events UNION ALL SELECT * FROM events)) GROUP BY 1, 2")
 def src2(spark, sf_dir):
     e = scan(spark, sf_dir, "events")
@@ -180,13 +202,14 @@ def src16(spark, sf_dir):
     return saved.where("lang = 'en'").orderBy(F.col("n_chars").desc(), "doc_id").limit(40).select("doc_id", "source", "n_chars")
 
 
-@add("SRC17_candle_upsert", f"WITH {DAILY} SELECT symbol, count(*) AS n, count(*) FILTER (ts >= '1998-01-01') AS added FROM bars GROUP BY 1")
+@add("SRC17_candle_upsert", f"WITH {DAILY} SELECT symbol, count(*) AS n, count(*) FILTER (ts >= '1998-01-01') AS added, {sql_rounded({'closes': 'sum(close)'}, 4)} FROM bars GROUP BY 1")
 def src17(spark, sf_dir):
-    """Insert what is absent; the first write of a candle wins."""
+    """Insert what is absent; the first write of a candle wins, though it arrives three times with other prices."""
     bars = daily_bars(spark, sf_dir)
     there = store.span(bars, "1900-01-01", "1998-01-01").withColumn("added", F.lit(False))
-    merged = store.merge_fetched(there, bars.withColumn("added", F.lit(True)), ["symbol", "ts"])
-    return merged.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("added").alias("added"))
+    arrivals = bars.withColumn("arrival", F.explode(F.array(*[F.lit(i) for i in (2, 0, 1)]))).withColumn("close", F.col("close") + F.col("arrival"))
+    merged = store.merge_fetched(there, arrivals.withColumn("added", F.lit(True)), ["symbol", "ts"], ["arrival"])
+    return merged.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("added").alias("added"), *rounded({"closes": F.sum("close")}, 4))
 
 
 @add("SRC18_position_upsert", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, count(*) AS orders FROM orders GROUP BY 1")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
 from quernstone.operators import simulators as S
-from quernstone.operators.indicator_scan import with_indicators
+from quernstone.operators.indicator_scan import walked_indicators, with_indicators
+from quernstone.operators.cooldown import picked
 from quernstone.operators.joins import asof
+from quernstone.operators.rangerank import with_matched_percentile
 from quernstone.operators.sequential import ordered_scan
 from quernstone.plans import spec as P
 from quernstone.queries.aggregates import SIG, TRADES, signals, vector_run, vector_trades
@@ -204,7 +206,7 @@ def b5(spark, sf_dir):
 
 @add("B6_perp_trend")
 def b6(spark, sf_dir):
-    x = with_indicators(daily_bars(spark, sf_dir), {"f": ("ema", {"n": 10, "warm": False}), "m": ("ema", {"n": 30, "warm": False}), "s": ("ema", {"n": 60, "warm": False}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
+    x = walked_indicators(daily_bars(spark, sf_dir), {"f": ("ema", {"n": 10, "warm": False}), "m": ("ema", {"n": 30, "warm": False}), "s": ("ema", {"n": 60, "warm": False}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
     f, m, s = (F.col(k) for k in "fms")
     x = funded(x).withColumn("regime", F.when((f > m) & (m > s), 1).when((f < m) & (m < s), -1).otherwise(0))
     return perp_shown(ordered_scan(x, ["symbol"], ["ts"], ["ts", "open", "high", "low", "close", "mark", "funding", "regime", "atr"], lambda k: S.TrendTrader(), S.PERP_TRADES))
@@ -212,7 +214,7 @@ def b6(spark, sf_dir):
 
 @add("B7_perp_carry")
 def b7(spark, sf_dir):
-    x = funded(with_indicators(daily_bars(spark, sf_dir), {"atr": ("research_atr", {"n": 14})}, carry=OHLCV))
+    x = funded(walked_indicators(daily_bars(spark, sf_dir), {"atr": ("research_atr", {"n": 14})}, carry=OHLCV))
     stamps = x.where("funding IS NOT NULL").select("symbol", "ts", I.zscore(F.col("funding"), 10).alias("z"))
     x = asof(x, stamps, ["symbol"], "ts", "ts", ["z"])
     return perp_shown(ordered_scan(x, ["symbol"], ["ts"], ["ts", "open", "high", "low", "close", "mark", "funding", "z", "atr"], lambda k: S.CarryTrader(), S.PERP_TRADES))
@@ -226,14 +228,14 @@ def b11(spark, sf_dir):
 
 @add("B12_trend_state")
 def b12(spark, sf_dir):
-    x = with_indicators(daily_bars(spark, sf_dir), {"fast": ("ema", {"n": 20}), "slow": ("ema", {"n": 50}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
+    x = walked_indicators(daily_bars(spark, sf_dir), {"fast": ("ema", {"n": 20}), "slow": ("ema", {"n": 50}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
     x = x.withColumn("top", I.highest(F.col("high"), 20)).withColumn("breakout", F.lag("top").over(I.series())).withColumn("member", F.col("volume") > 20)
     return ordered_scan(x, ["symbol"], ["ts"], ["ts", "close", "fast", "slow", "breakout", "atr", "member"], lambda k: S.TrendState(), "ts timestamp_ntz, inside int")
 
 
 @add("B14_edge_gate")
 def b14(spark, sf_dir):
-    x = with_indicators(daily_bars(spark, sf_dir), {"rsi": ("rsi", {"n": 14}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV).where("rsi IS NOT NULL")
+    x = walked_indicators(daily_bars(spark, sf_dir), {"rsi": ("rsi", {"n": 14}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV).where("rsi IS NOT NULL")
     x = x.withColumn("p", 0.3 + F.col("rsi") / 250).withColumn("edge", (2 * F.col("p") - 1) * F.col("atr") / col.close * 1e4).withColumn("ev", F.col("edge") - 20 - 5)
     return ordered_scan(x, ["symbol"], ["ts"], ["ts", "close", "p", "edge", "ev", "atr"], lambda k: S.EdgeGate(), "ts timestamp_ntz, action string, reason string, inside int")
 
@@ -257,17 +259,8 @@ h AS (SELECT a.symbol, a.ts, count(*) AS n, count(*) FILTER (b.spread < a.spread
 def w23(spark, sf_dir):
     """Mid-rank of the newest spread among the last 30 days' of its hour of the week; all hours where these are fewer than 8."""
     x = event_bars(spark, sf_dir).select("symbol", "ts", (F.col("high") - F.col("low")).alias("spread"), (F.weekday("ts") * 24 + F.hour("ts")).alias("how"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    days = 30 * 86_400_000_000
-    x = x.withColumn("_t", at)
-    own = F.collect_list("spread").over(Window.partitionBy("symbol", "how").orderBy("_t").rangeBetween(-days, 0))
-    every = F.collect_list("spread").over(Window.partitionBy("symbol").orderBy("_t").rangeBetween(-days, 0))
-    x = x.withColumn("own", own).withColumn("every", every)
-    hist = F.when(F.size("own") < 8, F.col("every")).otherwise(F.col("own"))
-    x = x.withColumn("hist", hist)
-    s = F.col("spread")
-    rank = (F.size(F.filter("hist", lambda v: v < s)) + 0.5 * F.size(F.filter("hist", lambda v: v == s))) / F.size("hist")
-    return x.select("symbol", "ts", *rounded({"pct": rank}))
+    out = with_matched_percentile(x, "spread", "how", 30, 8, "pct", longest=30 * 24 + 1)
+    return out.select("symbol", "ts", *rounded({"pct": F.col("pct")}))
 
 
 @add("W22_spread_estimate", f"WITH {DAILY}, e AS (SELECT symbol, ts, ln(close) AS c, (ln(high) + ln(low)) / 2 AS eta FROM bars), q AS (SELECT *, greatest((lag(c) {W} - lag(eta) {W}) * (lag(c) {W} - eta), 0) AS v FROM e) SELECT symbol, ts, {sql_rounded({'bps': 'CASE WHEN count(v) OVER w >= 30 THEN sqrt(4 * avg(v) OVER w) * 1e4 END'}, 4)} FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING)")
@@ -293,10 +286,18 @@ def b16(spark, sf_dir):
     return out.select("symbol", "event_id", *rounded({"pnl_bps": (F.col("bid") / F.col("entry") - 1) * 1e4}, 4))
 
 
-@add("K4_cooldown")
+K4_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, event_id, epoch_us(ts) AS micros, epoch_us(ts) // 86400000000 AS day FROM events),
+p AS (SELECT event_type, min(micros) AS micros, 1::BIGINT AS n FROM e GROUP BY 1
+ UNION ALL SELECT event_type, nxt, CASE WHEN nxt // 86400000000 = micros // 86400000000 THEN n + 1 ELSE 1 END FROM
+ (SELECT p.*, (SELECT min(e.micros) FROM e WHERE e.event_type = p.event_type AND e.micros >= p.micros + 1800000000 AND (p.n < 30 OR e.day > p.micros // 86400000000)) AS nxt FROM p) WHERE nxt IS NOT NULL)
+SELECT p.event_type, p.micros, min(e.event_id) AS event_id FROM p JOIN e ON e.event_type = p.event_type AND e.micros = p.micros GROUP BY 1, 2"""
+
+
+@add("K4_cooldown", K4_SQL)
 def k4(spark, sf_dir):
-    e = scan(spark, sf_dir, "events").withColumn("micros", F.unix_micros(col.ts.cast("timestamp")))
-    return ordered_scan(e, ["event_type"], ["ts", "event_id"], ["micros", "event_id"], lambda k: S.Cooldown(1800, 30), "micros long, event_id long")
+    """Events of a type half an hour apart, thirty a day at most, each as early as can be."""
+    e = scan(spark, sf_dir, "events", ["event_type", "ts", "event_id"]).withColumn("micros", F.unix_micros(col.ts.cast("timestamp")))
+    return picked(e, ["event_type"], "micros", "event_id", 1800, 30)
 
 
 @add("B17_baselines", f"WITH {SIG}, m AS (SELECT *, (day(ts) = min(day(ts)) OVER (PARTITION BY symbol, date_trunc('month', ts))) AS first FROM sig) SELECT symbol, {sql_rounded({'hold': 'arg_max(close, ts) / arg_min(open, ts) - 1'})}, count(*) FILTER (first) AS rebalances FROM m GROUP BY 1")

@@ -13,8 +13,9 @@ from quernstone.functions import scalars as S
 from quernstone.operators import chunked
 from quernstone.operators import engines as G
 from quernstone.operators import joins as J
+from quernstone.operators.quantiles import exact_quantiles
 from quernstone.plans import validation as V
-from quernstone.queries.aggregates import BPS, PORT, SIG, TRADES, WEIGHTS, signals, vector_run, vector_trades, weights
+from quernstone.queries.aggregates import BPS, PORT, SIG, TRADES, VEC, WEIGHTS, signals, vector_run, vector_trades, weights
 from quernstone.queries.joins import CELLS, FOLDS, MEMBERS, book, cells, folds
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import W, sma
@@ -101,7 +102,13 @@ def v3(spark, sf_dir):
 
 
 #: Simulations: of the bootstrap by days, of the permutation nulls, and of the nulls that draw entries and shifts.
-RESAMPLES, PERMUTATIONS, DRAWS = 1000, 100, 200
+RESAMPLES, PERMUTATIONS, DRAWS = 1000, 100, 1000
+
+
+def rank_sql(value: str, by: str = "") -> str:
+    """null_rank and p_value of draws beside their ``actual`` value."""
+    below = f"avg((round({value}, 9) < round(actual, 9))::INT) OVER ({by})"
+    return f"{below} AS null_rank, 1 - {below} AS p_value"
 
 
 def perm_sql(joint: bool) -> str:
@@ -112,18 +119,26 @@ pth AS (SELECT sim, pr.symbol, pr.ts, c0 * exp(sum(coalesce(sh.r, 0)) OVER (PART
 pp AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY sim, symbol ORDER BY ts), close) AS open FROM pth)"""
 
 
-@add("V4_permutation_null", f"WITH {DAILY}, {perm_sql(False)}, s AS (SELECT *, coalesce(({fsma(10, 'sim, symbol')}) > ({fsma(30, 'sim, symbol')}), false)::INT AS pos FROM pp), {engine_sql('s', 'sim, symbol')} SELECT sim, symbol, {sql_rounded({'log_total': 'sum(ln(1 + r))'}, 4)} FROM zr GROUP BY 1, 2")
+@add("V4_permutation_null", f"WITH {DAILY}, {perm_sql(False)}, s AS (SELECT *, coalesce(({fsma(10, 'sim, symbol')}) > ({fsma(30, 'sim, symbol')}), false)::INT AS pos FROM pp), {engine_sql('s', 'sim, symbol')}, nul AS (SELECT sim, symbol, sum(ln(1 + r)) AS v FROM zr GROUP BY 1, 2) SELECT sim, symbol, {sql_rounded({'log_total': 'v', 'actual': 'actual'}, 4)}, {rank_sql('v', 'PARTITION BY symbol')} FROM nul JOIN act USING (symbol)".replace(f"WITH {DAILY}", f"WITH {VEC}, act AS (SELECT symbol, sum(ln(1 + r)) AS actual FROM run GROUP BY 1)", 1))
 def v4(spark, sf_dir):
+    """Would the rule have earned as much on the same returns in another order?"""
     paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, PERMUTATIONS))
     w = Window.partitionBy("sim", "symbol").orderBy("ts")
     run = G.vector_backtest(paths.withColumn("pos", C.compare(I.sma(col.close, 10, w), ">", I.sma(col.close, 30, w)).cast("int")), BPS, keys=("sim", "symbol"))
-    return run.groupBy("sim", "symbol").agg(*rounded({"log_total": F.sum(F.ln(F.col("r") + 1))}, 4))
+    actual = vector_run(spark, sf_dir).groupBy("symbol").agg(F.sum(F.ln(F.col("r") + 1)).alias("actual"))
+    drawn = run.groupBy("sim", "symbol").agg(F.sum(F.ln(F.col("r") + 1)).alias("log_total")).join(actual, "symbol")
+    return V.with_rank(drawn, ["symbol"], "log_total").select("sim", "symbol", *rounded({"log_total": F.col("log_total"), "actual": F.col("actual")}, 4), "null_rank", "p_value")
 
 
-@add("V5_joint_permutation", f"WITH {DAILY}, {perm_sql(True)} SELECT sim, symbol, {sql_rounded({'end': 'arg_max(ln(close), ts)', 'mid': 'avg(ln(close))'}, 4)} FROM pp GROUP BY 1, 2".replace("AS end", 'AS "end"'))
+@add("V5_joint_permutation", f"""WITH {DAILY}, {perm_sql(True)}, nul AS (SELECT sim, symbol, arg_max(ln(close), ts) AS last, avg(ln(close)) AS mid FROM pp GROUP BY 1, 2), act AS (SELECT symbol, avg(ln(close)) AS actual FROM bars GROUP BY 1)
+SELECT sim, symbol, {sql_rounded({'last': 'last', 'mid': 'mid', 'actual': 'actual'}, 4)}, {rank_sql('mid', 'PARTITION BY symbol')} FROM nul JOIN act USING (symbol)""")
 def v5(spark, sf_dir):
-    paths = V.permuted_closes(daily_bars(spark, sf_dir), V.simulations(spark, PERMUTATIONS), joint=True)
-    return paths.groupBy("sim", "symbol").agg(*rounded({"end": F.max_by(F.ln("close"), "ts"), "mid": F.avg(F.ln("close"))}, 4))
+    """One order for the returns of all symbols, which keeps what they have in common. The end of a path is that of the real one; its mean level is not."""
+    bars = daily_bars(spark, sf_dir)
+    paths = V.permuted_closes(bars, V.simulations(spark, PERMUTATIONS), joint=True)
+    actual = bars.groupBy("symbol").agg(F.avg(F.ln("close")).alias("actual"))
+    drawn = paths.groupBy("sim", "symbol").agg(F.max_by(F.ln("close"), "ts").alias("last"), F.avg(F.ln("close")).alias("mid")).join(actual, "symbol")
+    return V.with_rank(drawn, ["symbol"], "mid").select("sim", "symbol", *rounded({c: F.col(c) for c in ("last", "mid", "actual")}, 4), "null_rank", "p_value")
 
 
 MOMENTS = f"{SIG}, {engine_sql('sig', 'symbol')}, c AS (SELECT symbol, r, avg(r) OVER (PARTITION BY symbol) AS m FROM zr), mo AS (SELECT symbol, any_value(m) AS m, count(*) AS n, stddev_samp(r) AS sd, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS g, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS k FROM c GROUP BY 1)"
@@ -178,19 +193,25 @@ def hex_draw(x: str) -> str:
     return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
-@add("V11_block_bootstrap", f"WITH {TRADES}, dd AS (SELECT exit_ts::DATE AS day, sum(ln(1 + ret)) AS r FROM trades GROUP BY 1), dn AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM dd), sims AS (SELECT i AS sim FROM range({RESAMPLES}) t(i)), dr AS (SELECT sim, {hex_draw('sim || chr(45) || k')} % n AS k FROM dn, sims) SELECT sim, {sql_rounded({'log_total': 'sum(r)'}, 5)} FROM dr JOIN dn USING (k) GROUP BY 1")
+@add("V11_block_bootstrap", f"WITH {TRADES}, dd AS (SELECT exit_ts::DATE AS day, sum(ln(1 + ret)) AS r FROM trades GROUP BY 1), dn AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM dd), sims AS (SELECT i AS sim FROM range({RESAMPLES}) t(i)), dr AS (SELECT sim, {hex_draw('sim || chr(45) || k')} % n AS k FROM dn, sims), nul AS (SELECT sim, sum(r) AS v FROM dr JOIN dn USING (k) GROUP BY 1) SELECT sim, {sql_rounded({'log_total': 'v', 'actual': '(SELECT sum(r) FROM dd)', **{f'p{q:02}': f'(SELECT quantile_cont(v, {q / 100}) FROM nul)' for q in (5, 50, 95)}}, 5)} FROM nul")
 def v11(spark, sf_dir):
-    return V.block_bootstrap(vector_trades(spark, sf_dir), V.simulations(spark, RESAMPLES)).select("sim", *rounded({"log_total": F.ln("total")}, 5))
+    """The interval of what the trades would have come to on other days like theirs."""
+    trades = vector_trades(spark, sf_dir)
+    drawn = V.block_bootstrap(trades, V.simulations(spark, RESAMPLES)).select("sim", F.ln("total").alias("log_total"))
+    actual = trades.agg(F.sum(F.ln(F.col("ret") + 1)).alias("actual"))
+    interval = exact_quantiles(drawn, [], F.col("log_total"), {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return drawn.join(actual).join(interval).select("sim", *rounded({c: F.col(c) for c in ("log_total", "actual", "p05", "p50", "p95")}, 5))
 
 
-@add("V12_random_entries", f"WITH {TRADES}, n AS (SELECT symbol, count(*) AS n FROM trades GROUP BY 1), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), e AS (SELECT sim, symbol, ts, open, lead(open, 10) {W} AS exit_open, {hex_draw('sim || chr(45) || symbol || chr(45) || strftime(ts, chr(37) || chr(89) || chr(45) || chr(37) || chr(109) || chr(45) || chr(37) || chr(100))')} AS d FROM bars, sims".replace(f"lead(open, 10) {W}", "lead(open, 10) OVER (PARTITION BY sim, symbol ORDER BY ts)") + f"), q AS (SELECT *, row_number() OVER (PARTITION BY sim, symbol ORDER BY d, ts) AS k FROM e WHERE exit_open IS NOT NULL) SELECT sim, symbol, count(*) AS trades, {sql_rounded({'mean': 'avg(exit_open / open - 1)'}, 5)} FROM q JOIN n USING (symbol) WHERE k <= n GROUP BY 1, 2")
+@add("V12_random_entries", f"WITH {TRADES}, n AS (SELECT symbol, count(*) AS n FROM trades GROUP BY 1), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), e AS (SELECT sim, symbol, ts, open, lead(open, 10) {W} AS exit_open, {hex_draw('sim || chr(45) || symbol || chr(45) || strftime(ts, chr(37) || chr(89) || chr(45) || chr(37) || chr(109) || chr(45) || chr(37) || chr(100))')} AS d FROM bars, sims".replace(f"lead(open, 10) {W}", "lead(open, 10) OVER (PARTITION BY sim, symbol ORDER BY ts)") + f"), q AS (SELECT *, row_number() OVER (PARTITION BY sim, symbol ORDER BY d, ts) AS k FROM e WHERE exit_open IS NOT NULL), nul AS (SELECT sim, symbol, count(*) AS trades, avg(exit_open / open - 1) AS v FROM q JOIN n USING (symbol) WHERE k <= n GROUP BY 1, 2), act AS (SELECT symbol, avg(ret) AS actual FROM trades GROUP BY 1) SELECT sim, symbol, trades, {sql_rounded({'mean': 'v', 'actual': 'actual'}, 5)}, {rank_sql('v', 'PARTITION BY symbol')} FROM nul JOIN act USING (symbol)")
 def v12(spark, sf_dir):
-    """As many entries as the strategy had, at random bars, held ten bars."""
-    n = vector_trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
+    """As many entries as the strategy had, at random bars, held ten bars: how many of them did better than its own trades?"""
+    n = vector_trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("actual"))
     e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, DRAWS))
     order = Window.partitionBy("sim", "symbol").orderBy(V.draw(F.col("sim"), F.col("symbol"), F.date_format("ts", "yyyy-MM-dd")), "ts")
     drawn = e.withColumn("k", F.row_number().over(order)).join(n, "symbol").where("k <= n")
-    return drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), *rounded({"mean": F.avg(F.col("exit_open") / F.col("open") - 1)}, 5))
+    each = drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), F.avg(F.col("exit_open") / F.col("open") - 1).alias("mean"), F.first("actual").alias("actual"))
+    return V.with_rank(each, ["symbol"], "mean").select("sim", "symbol", "trades", *rounded({"mean": F.col("mean"), "actual": F.col("actual")}, 5), "null_rank", "p_value")
 
 
 def auc_of(counts: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -240,12 +261,12 @@ def v13_null(spark, sf_dir):
     return drawn.groupBy("symbol").agg(*rounded({"auc": F.first("real"), "null_mean": F.avg("auc")}), ((1 + above) / (1 + F.count("*"))).alias("p_value"))
 
 
-@add("V14_circular_shift_null", f"WITH {WEIGHTS}, k AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM wt), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), m AS (SELECT sim, symbol, (k + {hex_draw('sim || chr(45) || symbol')} % n) % n AS k, w FROM k, sims), j AS (SELECT m.sim, k.symbol, k.ts, k.open, m.w FROM k JOIN m USING (symbol, k)), a AS (SELECT *, coalesce(lag(w) OVER q, 0) AS a, coalesce(lead(open) OVER q / open - 1, 0) AS mv FROM j WINDOW q AS (PARTITION BY sim, symbol ORDER BY ts)) SELECT sim, {sql_rounded({'gross': 'sum(a * mv)'}, 4)} FROM a GROUP BY 1")
+@add("V14_circular_shift_null", f"""WITH {WEIGHTS}, k AS (SELECT *, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM wt), sims AS (SELECT i AS sim FROM range({DRAWS}) t(i)), m AS (SELECT sim, symbol, (k + {hex_draw('sim || chr(45) || symbol')} % n) % n AS k, w FROM k, sims), j AS (SELECT m.sim, k.symbol, k.ts, k.open, m.w FROM k JOIN m USING (symbol, k)), a AS (SELECT *, coalesce(lag(w) OVER q, 0) AS a, coalesce(lead(open) OVER q / open - 1, 0) AS mv FROM j WINDOW q AS (PARTITION BY sim, symbol ORDER BY ts)), nul AS (SELECT sim, sum(a * mv) AS v FROM a GROUP BY 1),
+act AS (SELECT sum(a * mv) AS actual FROM (SELECT coalesce(lag(w) {W}, 0) AS a, coalesce(lead(open) {W} / open - 1, 0) AS mv FROM wt)) SELECT sim, {sql_rounded({'gross': 'v', 'actual': 'actual'}, 4)}, {rank_sql('v')} FROM nul, act""")
 def v14(spark, sf_dir):
-    x = V.circular_shift(weights(spark, sf_dir).select("symbol", "ts", "open", "w"), V.simulations(spark, DRAWS))
-    w = Window.partitionBy("sim", "symbol").orderBy("ts")
-    a = x.withColumn("a", F.coalesce(F.lag("w").over(w), F.lit(0.0))).withColumn("mv", F.coalesce(F.lead("open").over(w) / F.col("open") - 1, F.lit(0.0)))
-    return a.groupBy("sim").agg(*rounded({"gross": F.sum(F.col("a") * F.col("mv"))}, 4))
+    """Were the weights well timed? Against the same weights moved round by random numbers of bars."""
+    drawn = V.circular_shift(weights(spark, sf_dir).select("symbol", "ts", "open", "w"), V.simulations(spark, DRAWS))
+    return V.with_rank(drawn, [], "gross").select("sim", *rounded({"gross": F.col("gross"), "actual": F.col("actual")}, 4), "null_rank", "p_value")
 
 
 GM = {"expectancy": "p_retailprice - 1000", "profit_factor": "p_size / 20.0", "sharpe": "(p_partkey % 20) / 10.0", "dsr": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE 0.9 + (p_partkey % 11) / 100.0 END", "fold_positive": "(p_partkey % 10) / 9.0", "null_rank": "0.9 + (p_partkey % 9) / 80.0", "cost_edge": "(p_partkey % 7) / 7.0", "plateau": "0.6 + (p_partkey % 5) / 10.0", "stressed": "p_retailprice - 950", "per_day": "(p_partkey % 60) / 10.0"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
+from quernstone.operators.rangerank import with_percentile_rank
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.sources.bars import DAILY, HOURLY, daily_bars, event_bars
 
@@ -64,7 +65,7 @@ def scaled(spark, sf_dir):
 
 PCT = f"CASE WHEN count(close) {wn(50)} = 50 THEN (len(list_filter(s, lambda x: x < close)) + (len(list_filter(s, lambda x: x = close)) + 1) / 2) / 50 END"
 PCT_SRC = f"(SELECT *, list(close) {wn(50)} AS s FROM bars)"
-values("E6_percentile", lambda: {"value": I.percentile_rank(col.close, 50)}, {"value": PCT}, source=PCT_SRC)
+values("E6_percentile", lambda: {"value": F.col("rank")}, {"value": PCT}, bars=lambda s, d: with_percentile_rank(daily_bars(s, d), "close", 50, "rank"), source=PCT_SRC)
 values(
     "E7_ratchet",
     lambda: {"top": C.ratchet(I.sma(col.close, 5)), "floor": C.ratchet(col.close, "min", seed=1200.0)},
@@ -126,9 +127,9 @@ flags(
 )
 flags(
     "P16_squeeze",
-    lambda: {"value": C.squeeze(F.col("width"), 50, 0.2)},
+    lambda: {"value": C.squeeze(F.col("rank"), 0.2)},
     {"value": sure("CASE WHEN n = 50 THEN (len(list_filter(s, lambda x: x < width)) + (len(list_filter(s, lambda x: x = width)) + 1) / 2) / 50 END <= 0.2")},
-    bars=lambda s, d: daily_bars(s, d).withColumn("width", F.round(4 * I.stddev(col.close, 20, ddof=0), 6)),
+    bars=lambda s, d: with_percentile_rank(daily_bars(s, d).withColumn("width", F.round(4 * I.stddev(col.close, 20, ddof=0), 6)), "width", 50, "rank"),
     source=f"(SELECT *, list(width) FILTER (width IS NOT NULL) {wn(50)} AS s, count(width) {wn(50)} AS n FROM (SELECT *, round(4 * d, 6) AS width FROM {BANDS}))",
 )
 Z = f"(SELECT *, (close - ({sma('close', 20)})) / nullif({sd('close', 20)}, 0) AS z FROM bars)"
@@ -152,7 +153,7 @@ values("W2_wma", lambda: {"value": I.wma(col.close, 5)}, {"value": "(" + " + ".j
 values("W3_stddev", lambda: {"value": I.stddev(col.close, 20)}, {"value": sd("close", 20)})
 values("W4_zscore", lambda: {"value": I.zscore(col.close, 20)}, {"value": "z"}, source=Z)
 values("W5_bollinger", lambda: dict(zip(("upper", "middle", "lower"), I.bollinger(col.close, 20, 2.0))), {"upper": "m + 2 * d", "middle": "m", "lower": "m - 2 * d"}, source=BANDS)
-values("W6_percentile_rank", lambda: {"value": I.percentile_rank(col.close, 50)}, {"value": PCT}, source=PCT_SRC)
+values("W6_percentile_rank", lambda: {"value": F.col("rank")}, {"value": PCT}, bars=lambda s, d: with_percentile_rank(daily_bars(s, d), "close", 50, "rank"), source=PCT_SRC)
 values("W7_highest_lowest", lambda: {"highest": I.highest(col.high, 20), "lowest": I.lowest(col.low, 20)}, {"highest": full("high", 20, "max(high)"), "lowest": full("low", 20, "min(low)")})
 values("W8_returns", lambda: {"value": I.n_return(col.close, 5)}, {"value": f"close / nullif(lag(close, 5) {W}, 0) - 1"})
 values("W9_lag_label", lambda: {"lagged": I.lag(col.close, 2, I.series()), "ret": I.log_return(col.close), "label": I.forward_label(col.close, 3)}, {"lagged": f"lag(close, 2) {W}", "ret": f"ln(close) - ln(lag(close) {W})", "label": f"ln(lead(close, 3) {W}) - ln(close)"})

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.sources.bars import TIMEFRAMES
@@ -59,9 +59,57 @@ def span(bars: DataFrame, start: str, end: str) -> DataFrame:
     return bars.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
 
 
-def merge_fetched(cached: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame:
-    """Cached rows, and fetched ones whose keys the cache lacks (the first of each key)."""
-    return cached.unionByName(fetched.dropDuplicates(keys).join(cached.select(*keys), keys, "left_anti").select(*cached.columns))
+def merge_fetched(cached: DataFrame, fetched: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """Cached rows, and fetched ones whose keys the cache lacks: the first by ``arrival`` of each key."""
+    return cached.unionByName(absent(fetched, cached, keys, arrival).select(*cached.columns))
+
+
+def first_of(rows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """The first row of each key. Rows that agree in ``arrival`` too are told apart by a hash of the row, so a rerun keeps the same."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    place = F.struct(*arrival, F.xxhash64(whole))
+    return rows.groupBy(*keys).agg(F.min_by(whole, place).alias("_r")).select("_r.*")
+
+
+def absent(new: DataFrame, existing: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """New rows whose keys are not there yet, the first by ``arrival`` of each key: insert-if-absent."""
+    return first_of(new, keys, arrival).join(existing.select(*keys), keys, "left_anti")
+
+
+def covered_spans(cached: DataFrame, keys: list[str], bar_seconds: int) -> DataFrame:
+    """(keys, start, end): the spans [start, end) that cached bars fill without a gap, as islands of neighbouring bars."""
+    w = Window.partitionBy(*keys).orderBy("ts")
+    step = F.make_dt_interval(secs=F.lit(bar_seconds))
+    begins = F.coalesce(F.col("ts") > F.lag("ts").over(w) + step, F.lit(True))
+    island = F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return cached.select(*keys, "ts").distinct().withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("ts").alias("start"), (F.max("ts") + step).alias("end")).drop("_island")
+
+
+def missing_spans(wished: DataFrame, cached: DataFrame, keys: list[str], bar_seconds: int) -> DataFrame:
+    """(keys, start, end): of the ``wished`` spans (keys, start, end; end excluded), what the cache doesn't cover: only that is to be fetched.
+
+    Ends of wishes and of covered spans are events on a line; where a wish is open and nothing
+    covers it, a span is missing. Wishes of a key may overlap, and touching spans are one.
+    """
+    turn = lambda df, wish, covers: df.select(*keys, F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(wish).alias("wish"), F.lit(covers).alias("covers")),
+        F.struct(F.col("end").alias("at"), F.lit(-wish).alias("wish"), F.lit(-covers).alias("covers")),
+    )).alias("_e")).select(*keys, "_e.*")
+    wanted = wished.where("start < end")
+    covered = covered_spans(cached, keys, bar_seconds).join(wanted.select(*keys).distinct(), keys, "left_semi")
+    turns = turn(wanted, 1, 0).unionByName(turn(covered, 0, 1)).groupBy(*keys, "at").agg(F.sum("wish").alias("wish"), F.sum("covers").alias("covers"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lacks = (F.sum("wish").over(upto) > 0) & (F.sum("covers").over(upto) == 0)
+    parts = turns.withColumn("_lacks", lacks).withColumn("end", F.lead("at").over(w)).withColumn("_before", F.coalesce(F.lag("_lacks").over(w), F.lit(False)))
+    spans = parts.where("_lacks").withColumn("_span", F.sum((~F.col("_before")).cast("int")).over(upto))
+    return spans.groupBy(*keys, "_span").agg(F.min("at").alias("start"), F.max("end").alias("end")).drop("_span")
+
+
+def fetch_missing(wished: DataFrame, cached: DataFrame, source: DataFrame, keys: list[str], bar_seconds: int) -> DataFrame:
+    """Rows of ``source`` in the missing spans: a range join on each key's few spans, so nothing covered is read again."""
+    gaps = missing_spans(wished, cached, keys, bar_seconds)
+    return source.join(gaps, keys).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).select(*source.columns)
 
 
 def from_epoch_ms(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
