@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: what ends a word (space and \t \n \v \f \r), as the operators' contracts have it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -60,9 +61,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and holds_map(kind.elementType)
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as rows can be hashed and grouped by them: what holds a map, which Spark can do neither with, as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def equal_rows(rows: DataFrame) -> tuple[DataFrame, str]:
     """Rows, and the column with their number from 0 among those that agree in all others: these are counted, and dealt out again in chunks."""
-    count, part, number = (free_name(rows, n) for n in ("_equal_count", "_equal_part", "_equal_number"))
-    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias(count))
+    count, part, number, row = (free_name(rows, n) for n in ("_equal_count", "_equal_part", "_equal_number", "_equal_row"))
+    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias(row)
+    keys = [c.alias(f"_{i}") for i, c in enumerate(comparable(rows))]
+    counted = rows.groupBy(*keys).agg(whole, F.count("*").alias(count)).select(f"{row}.*", count)
     chunks = counted.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long")))).repartition(part)
     return chunks.withColumn(number, F.explode(F.sequence(F.col(part), F.least(F.col(part) + CHUNK, F.col(count)) - 1))).drop(count, part), number

@@ -402,7 +402,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     tagged = written(tagged, "bench-tagged")
     found = matches(tagged.where(may), benchmark, tag, text_col, item_col, item_text, edit_share, block_chars).select(tag).distinct()
     found = written(found, "bench-found").withColumn(flag, F.lit(True))
-    return tagged.join(found, tag, "left").withColumn(flag, F.coalesce(flag, F.lit(False))).select(*[c for c in docs.columns if c != flag], flag)
+    return tagged.join(found, tag, "left").withColumn(flag, F.coalesce(flag, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns if c != flag], flag)
 
 
 def _holds(shipped, edit_share: float):

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import equal_rows, free_name, id_hash, n_words, table, written
+from quernstone.llm.common import comparable, equal_rows, free_name, id_hash, n_words, table, written
 
 #: Hex digits of the hash that one level of the histogram tells apart; levels of the id's hash, and of the row's.
 DIGITS, ID_LEVELS, ROW_LEVELS = 3, 3, 5
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, size: Column, source_col: str = "source", id_col: str =
     """
     docs = docs.withColumn("size", size.cast("long")).drop("source_size", "target", "copies")
     h, found = free_name(docs, "_mix_hash"), free_name(docs, "_mix_plan")
-    row = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), 16, "0")
+    row = F.lpad(F.hex(F.xxhash64(*comparable(docs))), 16, "0")
     full_hash = F.concat(F.substring(id_hash(id_col, "mix"), 1, DIGITS * ID_LEVELS), F.substring(F.lower(row), 1, DIGITS * ROW_LEVELS))
     sized = docs.withColumn(h, full_hash)
     narrow = written(sized.select(F.col(source_col).alias("source"), "size", F.col(h).alias("h")), "mix-sizes")

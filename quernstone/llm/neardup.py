@@ -2,8 +2,8 @@
 
 Fingerprints only name candidates: the SimHash groups of distinct words, and MinHash bands of
 five-word shingles, which find what SimHash loses (inserted and dropped runs of words). A pair
-is linked if the texts share ``ALIKE`` of their shingles, or if their fingerprints are within
-the radius and they share ``SHARED`` of them.
+is linked if the texts share ``ALIKE`` of their shingles. For pairs with fingerprints within the
+radius another share can be asked for.
 
 All pairs of a small bucket are candidates. A large bucket gives each member's pair with its
 least one first; only if that leaves it in several groups are its members dealt to cells, block
@@ -24,8 +24,8 @@ from quernstone.llm import simhash
 from quernstone.llm.common import free_name, written
 
 SHINGLE = 5
-#: Share of all shingles of two texts that a near copy has in common, and that of one whose fingerprint is near too.
-ALIKE, SHARED = 0.8, 0.5
+#: Share of all shingles of two texts that a near copy has in common.
+ALIKE = 0.8
 #: Bands, and MinHash values of each: a pair alike in 0.8 meets in one of 24 bands but for 7 in 100,000.
 BANDS, ROWS = 24, 5
 #: Members up to which all pairs of a bucket are candidates, and members of a block of a larger one.
@@ -204,11 +204,13 @@ def components(tagged: DataFrame, key: str, fp: str, own_bands: str, text_col: s
     return simhash.contract(sure.unionByName(more)) if more.limit(1).count() else met
 
 
-def dedup(docs: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text", shared: float = SHARED) -> DataFrame:
+def dedup(docs: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text", shared: float = ALIKE) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least id, then of the least row tag.
 
-    Texts of the same words are copies, texts without any too. Groups are joined by verified links only.
-    ``shared`` is the share of shingles asked of pairs within the radius; with ``ALIKE`` there is one threshold for all.
+    Texts of the same words are copies, texts without any (null, empty or blank) too. Groups are joined by verified links only.
+    ``shared`` is the share of shingles asked of pairs within the radius; by default there is one threshold for all. Whole texts
+    of any length are compared. A null id comes after all others, of rows of one id (repeated ones too) that of the least tag stays,
+    an empty table stays empty, and columns of any name and type are kept as they are.
     """
     tag, own = free_name(docs, "_tag"), free_name(docs, "_own")
     tagged = docs.withColumn(own, candidates(F.col(text_col))).withColumn(tag, F.monotonically_increasing_id())
@@ -220,4 +222,4 @@ def dedup(docs: DataFrame, radius: int, id_col: str = "doc_id", text_col: str =
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("tag"))
     kept = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.tag").alias(tag))
     gone = written(rows.select(F.col("tag").alias(tag)).join(kept, tag, "left_anti"), "near-gone")
-    return tagged.join(gone, tag, "left_anti").select(*docs.columns)
+    return tagged.join(gone, tag, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

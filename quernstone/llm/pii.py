@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -184,7 +185,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif at >= done["secret"] and not word_before(text, at) and (got := key_of(text[at : last + 1]).match(text, at)):
             spans["secret"].append(got.span())
             done["secret"] = got.end()
-    keys, taken, upto = spans["secret"], {a for a, _ in spans["iban"]}, 0
+    # keys by their shape, in order; announced ones come in order too, and both are merged at the end
+    keys, told_keys, next_key, taken, upto = spans["secret"], [], 0, {a for a, _ in spans["iban"]}, 0
     lower = text.lower()
     for last, (anchor, length) in low.iter(lower if len(lower) == len(text) else text.translate(ASCII_LOWER)):
         at, end = last - length + 1, last + 1
@@ -198,8 +200,11 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 spans["account"].append(number.span())
         elif at >= upto and (got := SECRET.match(text, end)):
             upto = got.end()
-            if all(b <= got.start(1) or got.end(1) <= a for a, b in keys[-1:] + [s for s in keys if s[0] <= got.end(1)][-1:]):
-                spans["secret"] = keys = sorted([*keys, got.span(1)])
+            while next_key < len(keys) and keys[next_key][1] <= got.start(1):
+                next_key += 1
+            if next_key == len(keys) or got.end(1) <= keys[next_key][0]:
+                told_keys.append(got.span(1))
+    spans["secret"] = list(heapq.merge(keys, told_keys))
     return spans
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import equal_rows, free_name, table
+from quernstone.llm.common import comparable, equal_rows, free_name, table
 
 #: Runs of the md5 order: three hex digits.
 RUNS = 4096
@@ -90,7 +90,7 @@ def number_rows(docs: DataFrame, id_col: str = "doc_id", out: str = "row_number"
     take neighbouring numbers.
     """
     key, run, row = free_name(docs, "_row_md5"), free_name(docs, "_row_run"), free_name(docs, "_row_hash")
-    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = docs.withColumn(row, F.xxhash64(*comparable(docs)))
     keyed = keyed.withColumn(key, F.md5(F.concat_ws("|", F.lit("row"), F.col(id_col).cast("string"), F.col(row).cast("string")).cast("binary")))
     keyed = keyed.withColumn(run, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
     counts = dict(keyed.groupBy(run).count().collect())  # at most RUNS rows

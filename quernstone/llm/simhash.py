@@ -313,22 +313,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(found, prints[fp] == found["fp"], "left").select(F.col(id_col), prints[fp].alias("fp"), F.coalesce("component", F.col(id_col)).alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, repeats: bool = True) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least id, then of the least row tag.
-
-    Rows are tagged as they are written, so of rows that agree in everything one stays too.
-    """
-    fp, tag = free_name(docs, "_fp"), free_name(docs, "_tag")
-    tagged = written(docs.withColumn(fp, fingerprint(F.col(text_col), shingle, repeats)).withColumn(tag, F.monotonically_increasing_id()), "sim-tagged")
-    prints = tagged.select(F.col(id_col), F.col(fp), F.col(tag))
-    found = groups(prints, id_col, fp, radius)
-    grouped = prints.join(found, prints[fp] == found["fp"]).select(prints[tag], found["root"], prints[id_col].alias("id"))
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col(tag).alias("tag"))
-    kept = grouped.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.tag").alias(tag))
-    gone = grouped.select(tag).join(kept, tag, "left_anti")
-    return tagged.join(gone, tag, "left_anti").select(*docs.columns)
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_groups(table(spark, sf_dir, "documents")).select(

@@ -32,3 +32,11 @@ def clashing(spark, *names):
     for n in names:
         df = df.withColumn(n, F.lit(f"kept {n}"))
     return df
+
+
+def mapped(df):
+    """With columns that hold maps, which Spark neither hashes nor groups by."""
+    from pyspark.sql import functions as F
+
+    inner = F.create_map(F.lit(1), F.lit("x"))
+    return df.withColumn("map", F.create_map(F.lit("k"), F.lit("v"), F.lit("none"), F.lit(None))).withColumn("nested", F.array(F.struct(inner.alias("m"))))

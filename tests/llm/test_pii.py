@@ -120,6 +120,17 @@ def test_long_digit_runs_are_linear():
     assert pii.find("1" * 200_000 + "@" * 200_000)["email"] == []
 
 
+def test_many_announced_secrets_are_linear():
+    """A text of 40,000 lines with a secret each, some of them keys by their shape as well: seconds, not hours."""
+    import time
+
+    lines = [f'token = "{i:020d}"' if i % 5 else f'api_key = "AKIA{i:016d}"' for i in range(40_000)]
+    began = time.perf_counter()
+    spans = pii.find("\n".join(lines))["secret"]
+    assert time.perf_counter() - began < 60
+    assert len(spans) == 40_000 and spans == sorted(spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 def test_odd_rows(spark):
     assert pii.detect(odd(spark)).count() == len(ODD)
     assert pii.detect(none(spark)).collect() == []

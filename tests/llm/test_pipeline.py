@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quernstone.llm import toxicity
 from quernstone.llm.common import written
-from tests.llm.cases import clashing, none
+from tests.llm.cases import clashing, mapped, none
 from tests.llm.test_mixing import fill
 from tests.llm.test_sharding import held
-from tests.llm.test_simhash import brute_print
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"\w+")
@@ -51,9 +50,9 @@ def five(text):
 
 
 def test_one_of_each_near_group_stays(stages):
-    """Links by the five-word shingles of every two texts that share one: 0.8 of them, or 0.5 if the fingerprints of their words are near."""
+    """Links by the five-word shingles of every two texts that share one: 0.8 of them."""
     rows = sorted((r["doc_id"], r["text"]) for r in stages[1].collect())
-    own, prints, at = [five(t) for _, t in rows], [brute_print(t, 1, False) for _, t in rows], {}
+    own, at = [five(t) for _, t in rows], {}
     for i, s in enumerate(own):
         for g in s or {()}:
             at.setdefault(g, []).append(i)
@@ -67,7 +66,7 @@ def test_one_of_each_near_group_stays(stages):
     for a, b in {(a, b) for x in at.values() for a in x for b in x if a < b}:
         both = len(own[a] & own[b])
         share = both / (len(own[a]) + len(own[b]) - both) if own[a] else 1.0
-        if share >= 0.8 or (share >= 0.5 and (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.NEAR_BITS):
+        if share >= 0.8:
             x, y = sorted((root(a), root(b)))
             label[y] = x
     assert ids(stages[2]) == [rows[i][0] for i in range(len(rows)) if root(i) == i]
@@ -115,14 +114,15 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_odd_rows(spark):
-    """Null and repeated ids, null and empty texts, and columns called like those of the operators, through all stages."""
-    names = ("copies", "size", "_toxicity", "_contaminated", "_tag", "component", "start")
-    docs = clashing(spark, *names)
+    """Null and repeated ids, null and empty texts, columns called like those of the operators, maps and dotted names, through all stages."""
+    names = ("copies", "size", "_toxicity", "_contaminated", "_tag", "component", "start", "a.b")
+    docs = mapped(clashing(spark, *names))
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, written(stage(spark, docs, SF), "test-odd")
         assert docs.columns == before.columns + ["shard", "slot"] * (i == 4)
     rows = docs.collect()
     assert rows and all(r[n] == f"kept {n}" for r in rows for n in names)
+    assert all(r["map"] == {"k": "v", "none": None} and r["nested"][0]["m"] == {1: "x"} for r in rows)
     held(rows, corpus_pipeline.SHARDS)
 
 
