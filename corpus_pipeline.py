@@ -9,12 +9,16 @@ from quernstone.llm import decontam, mixing, neardup, sharding, toxicity
 from quernstone.llm.common import n_words, table, written
 
 SHARDS = 16
-#: Differing bits of fingerprints of distinct words up to which half of the shingles make a near copy.
+#: Differing bits of fingerprints of distinct words up to which texts are candidates.
 NEAR_BITS = 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. It learns from all labelled rows among them."""
+    """Documents that the toxicity model rejects go. It learns from all labelled rows among them.
+
+    A null or empty text scores like any without a term; rows without an id or a label are judged
+    but not learned from; repeated rows fare alike; an empty table stays empty; other columns are kept.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.reject_toxic(docs, model)
 
@@ -23,13 +27,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies stays, that of the least id.
 
     Candidates are texts with distinct words within ``NEAR_BITS`` and texts that meet in a
-    MinHash band; only links verified on the five-word shingles of both texts delete a row.
+    MinHash band; only texts that share 0.8 of their five-word shingles are linked. Texts without
+    words are copies of each other; of repeated rows one stays; null ids come last; an empty table
+    stays empty; other columns are kept.
     """
     return neardup.dedup(docs, NEAR_BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none and stay; rows are judged one by one, so repeated ones fare alike;
+    an empty table, of documents or of the benchmark, drops nothing; other columns are kept.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
