@@ -43,8 +43,8 @@ def day_of(ts: str) -> Column:
 
 
 def in_windows(rows: DataFrame, windows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
-    """Rows with each window [start, end) that holds them. Windows are a plan's folds: few, and broadcast."""
-    return rows.join(F.broadcast(windows), (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)))
+    """Rows with each window [start, end) that holds them. Windows are a plan's folds: few, so Spark broadcasts them by their size."""
+    return rows.join(windows, (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from quernstone.functions import scalars as S
 from quernstone.functions.indicators import running
 from quernstone.operators import engines as G
+from quernstone.operators.quantiles import exact_quantiles
+from quernstone.plans import boosting
+from quernstone.sources.store import written
 
 EULER_GAMMA = 0.5772156649015329
 YEAR_DAYS = 365
@@ -42,6 +45,18 @@ def folds(spark: SparkSession, start: str, train: int, validate: int, test: int,
     )
 
 
+def series_folds(bars: DataFrame, train: int, validate: int, test: int, step: int, purge_h: int = 24) -> DataFrame:
+    """(symbol, fold, spans as in ``folds``): all folds that fit between the first bar of a series and the end of its last day."""
+    span = bars.groupBy("symbol").agg(F.min("ts").alias("a"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("b"))
+    room = F.floor((F.datediff("b", "a") - (train + validate + test)) / step) + 1
+    each = span.where(room > 0).select("symbol", "a", F.explode(F.sequence(F.lit(0).cast("long"), room - 1)).alias("fold"))
+    at = lambda days: F.col("a") + F.make_dt_interval((F.col("fold") * step + days).cast("int"))
+    return each.select(
+        "symbol", "fold", at(0).alias("train_start"), (at(train) - F.expr(f"INTERVAL {purge_h} HOURS")).alias("train_end"), at(train).alias("val_start"),
+        at(train + validate).alias("val_end"), at(train + validate).alias("test_start"), at(train + validate + test).alias("test_end"),
+    )
+
+
 def permuted_closes(bars: DataFrame, sims: DataFrame, joint: bool = False) -> DataFrame:
     """(sim, symbol, ts, open, high, low, close): the series' log returns in a random order, a path for each simulation.
 
@@ -157,7 +172,10 @@ def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
 
 
 def composite(degradation: Column, peakiness: Column, p_value: Column, real: Column, stateful: Column) -> dict[str, Column]:
-    """Four contributions of 0 to 100 points each, their weighted score and verdict. Null degradation: it did not even work in sample."""
+    """Four contributions of 0 to 100 points each, their weighted score and verdict. Null degradation: it did not even work in sample.
+
+    Fixed values: the points of the four maps, the weights and the bounds of the verdicts.
+    """
     wf = F.when(degradation.isNull(), 75.0).when(degradation > 0.8, 0.0).otherwise(piecewise(degradation, [(-0.5, 100.0), (0.5, 60.0), (0.8, 30.0)]))
     sweep = F.coalesce(piecewise(peakiness, [(0.0, 0.0), (0.3, 20.0), (0.7, 60.0), (1.0, 100.0)]), F.lit(30.0))
     mc = F.coalesce(piecewise(p_value, [(0.0, 0.0), (0.05, 20.0), (0.2, 50.0), (1.0, 100.0)]), F.lit(50.0))
@@ -167,7 +185,7 @@ def composite(degradation: Column, peakiness: Column, p_value: Column, real: Col
     return {"walk_forward": wf, "sweep": sweep, "monte_carlo": mc, "deflated": dsr, "score": score, "verdict": verdict}
 
 
-#: gate -> the metric it reads and whether a value passes
+#: Gate -> the metric it reads and whether a value passes.
 GATES = {
     "G1": ("expectancy", lambda m: (m("expectancy") > 0) & (m("profit_factor") >= 1.15)),
     "G2": ("sharpe", lambda m: m("sharpe") >= 0.8),
@@ -209,7 +227,7 @@ def run_return(run: DataFrame, keys: list[str]) -> DataFrame:
 
 def backtest_cells(bars: DataFrame, cells: DataFrame, axes: list[str], signal, per_side_bps: float) -> DataFrame:
     """Every cell's vector run: bars times cells, one job. ``signal`` gives the 0/1 position from the cell's columns."""
-    both = bars.join(F.broadcast(cells)).withColumn("pos", signal)
+    both = bars.join(cells).withColumn("pos", signal)
     return G.vector_backtest(both, per_side_bps, keys=(*axes, "symbol"))
 
 
@@ -247,24 +265,57 @@ def ridge_report(rows: DataFrame, features: list[str], target: str, order: str,
     return side.groupBy("symbol").agg(of("n", True).alias("n_train"), of("n", False).alias("n_test"), of("r2", True).alias("r2_train"), of("r2", False).alias("r2_test"), of("ic", False).alias("ic"))
 
 
-def fold_learner(family: str, features: list[str], n: int, seed: int = 7, trees: int = 300):
-    """A standardised logistic model with an L2 weight of 1 in all, or ``trees`` boosted trees of depth 4."""
+def fold_learner(features: list[str], n: int):
+    """A standardised logistic model with an L2 weight of 1 in all."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     joined = VectorAssembler(inputCols=features, outputCol="_x")
-    if family == "logistic":
-        model = LogisticRegression(featuresCol="_x", labelCol="y", maxIter=200, regParam=1.0 / max(n, 1))
-    elif family == "boosted":
-        model = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed)
-    else:
-        raise ValueError(f"unknown family {family!r}")
-    return Pipeline(stages=[joined, model])
+    return Pipeline(stages=[joined, LogisticRegression(featuresCol="_x", labelCol="y", maxIter=200, regParam=1.0 / max(n, 1))])
+
+
+def labelled(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows without a null, and ``y``: 1 where the return ahead is positive."""
+    return rows.dropna(subset=[*features, "r"]).withColumn("y", (F.col("r") > 0).cast("double"))
 
 
-def fit_folds(rows: DataFrame, plan: DataFrame, features: list[str], family: str = "logistic", least: tuple[int, int, int] = (1000, 100, 100), at_once: int = 4, **options) -> DataFrame:
-    """(fold, symbol, ts, y, p_up, val_auc, k): each fold's test rows with the calibrated chance of a rise.
+def fold_schema(rows: DataFrame) -> str:
+    return f"fold long, symbol string, ts {rows.schema['ts'].dataType.simpleString()}, y double, p_up double, val_auc double, k double"
+
+
+SPANS = [("train_start", "train_end"), ("val_start", "val_end"), ("test_start", "test_end")]
+
+
+def boost_folds(rows: DataFrame, plan: DataFrame, features: list[str], least: tuple[int, int, int] = (1000, 100, 100), how: boosting.Boosting = boosting.Boosting()) -> DataFrame:
+    """What ``fit_folds`` gives, by boosted trees: a task a fold, all folds side by side.
+
+    Rows go to each fold whose spans hold them. A task holds the rows of a fold, a number for each
+    feature while they are binned and a byte for each after that.
+    """
+    part = F.coalesce(*[F.when((F.col("ts") >= F.col(a)) & (F.col("ts") < F.col(b)), i) for i, (a, b) in enumerate(SPANS)])
+    held = labelled(rows, features).join(plan, (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end"))).withColumn("_part", part).where("_part IS NOT NULL")
+    names = ["fold", "symbol", "ts", "y", "p_up", "val_auc", "k"]
+
+    def fitted(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["symbol", "ts"])
+        train, val, test = (found[found["_part"] == i] for i in range(3))
+        if any(len(x) < n for x, n in zip((train, val, test), least)) or train["y"].nunique() < 2 or val["y"].nunique() < 2:
+            return pd.DataFrame(columns=names)
+        numbers = [x[features].to_numpy(float) for x in (train, val, test)]
+        on_val, on_test = boosting.scores(numbers[0], train["y"].to_numpy(), numbers[1:], how)
+        implied, moved = val["implied"].to_numpy(float), np.abs(val["r"].to_numpy()) * 1e4
+        known = implied > 0
+        k = float(np.median(moved[known] / implied[known])) if known.any() else 1.0
+        p = np.interp(on_test, *boosting.pooled(on_val, val["y"].to_numpy()))
+        return test[["fold", "symbol", "ts", "y"]].assign(p_up=p, val_auc=boosting.auc(on_val, val["y"].to_numpy()), k=k)
+
+    used = held.select("fold", "symbol", "ts", *features, "r", "implied", "y", "_part")
+    return used.groupBy("fold").applyInPandas(fitted, fold_schema(rows))
+
+
+def fit_folds(rows: DataFrame, plan: DataFrame, features: list[str], least: tuple[int, int, int] = (1000, 100, 100), at_once: int = 4) -> DataFrame:
+    """(fold, symbol, ts, y, p_up, val_auc, k): each fold's test rows with the calibrated chance of a rise, by a logistic model.
 
     ``rows`` are (symbol, ts, features, r, implied), ``r`` the log return ahead and ``implied`` the move,
     in hundredths of a per cent, that volatility implies. A fold learns from its training span, and from
@@ -280,28 +331,27 @@ def fit_folds(rows: DataFrame, plan: DataFrame, features: list[str], family: str
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    known = rows.dropna(subset=[*features, "r"]).withColumn("y", (F.col("r") > 0).cast("double")).persist()
-    spans = [("train_start", "train_end"), ("val_start", "val_end"), ("test_start", "test_end")]
+    known = written(labelled(rows, features), "fold-rows")  # read by every fit, and again when the result is
 
     def fitted(fold) -> DataFrame | None:
-        train, val, test = (known.where((F.col("ts") >= F.lit(fold[a])) & (F.col("ts") < F.lit(fold[b]))) for a, b in spans)
+        train, val, test = (known.where((F.col("ts") >= F.lit(fold[a])) & (F.col("ts") < F.lit(fold[b]))) for a, b in SPANS)
         sizes = [part.agg(F.count("*"), F.count_distinct("y")).first() for part in (train, val, test)]
         if any(s[0] < n for s, n in zip(sizes, least)) or sizes[0][1] < 2 or sizes[1][1] < 2:
             return None
-        model = fold_learner(family, features, sizes[0][0], **options).fit(train)
+        model = fold_learner(features, sizes[0][0]).fit(train)
         scored = lambda part: model.transform(part).withColumn("raw", vector_to_array("probability")[1])
         told = scored(val)
         ratio = F.when(F.col("implied") > 0, F.abs("r") * 1e4 / F.col("implied"))
-        k = told.agg(F.coalesce(F.percentile(ratio, F.lit(0.5)), F.lit(1.0))).first()[0]
+        middle = exact_quantiles(told, [], ratio, {"k": 0.5}).first()
+        k = middle["k"] if middle else 1.0
         auc = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="y", numBins=0).evaluate(told)
         calibrated = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="p_up").fit(told.select("raw", "y")).transform(scored(test))
         return calibrated.select(F.lit(fold["fold"]).alias("fold"), "symbol", "ts", "y", "p_up", F.lit(auc).alias("val_auc"), F.lit(k).alias("k"))
 
     with ThreadPool(at_once) as pool:
         found = [x for x in pool.map(fitted, plan.orderBy("fold").collect()) if x is not None]
-    known.unpersist()
     if not found:
-        return rows.sparkSession.createDataFrame([], f"fold long, symbol string, ts {rows.schema['ts'].dataType.simpleString()}, y double, p_up double, val_auc double, k double")
+        return rows.sparkSession.createDataFrame([], fold_schema(rows))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -9,6 +9,7 @@ from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
 from quernstone.operators import engines as G
 from quernstone.operators import metrics as M
+from quernstone.operators.correlation import pair_correlations
 from quernstone.operators.metrics import downsample
 from quernstone.operators.quantiles import exact_quantiles
 from quernstone.queries.joins import CELLS, FOLDS, cells, folds
@@ -245,8 +246,7 @@ def a15(spark, sf_dir):
 def a16(spark, sf_dir):
     """Symbols over one plus their mean pairwise correlation for each other symbol."""
     r = daily_bars(spark, sf_dir).select("symbol", "ts", I.log_return(col.close).alias("r"))
-    a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("r").alias("ra")), r.select(F.col("symbol").alias("b"), "ts", F.col("r").alias("rb"))
-    rho = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho")).agg(F.count("*").alias("pairs"), F.avg("rho").alias("rho"))
+    rho = pair_correlations(r).agg(F.count("*").alias("pairs"), F.avg("rho").alias("rho"))
     n = (1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2
     return rho.select("pairs", *rounded({"rho": F.col("rho"), "breadth": n / (1 + (n - 1) * F.col("rho"))}))
 
@@ -418,6 +418,7 @@ def k8(spark, sf_dir):
     return named.groupBy("r_name").agg(F.slice(F.array_sort(F.collect_list("n_name")), -2, 2).alias("top"))
 
 
+#: The tiers of a fuzzy match.
 FUZZY = "CASE WHEN lower(p_name) = 'red ring' THEN 1000 WHEN starts_with(lower(p_name), 'red') THEN 500 WHEN contains(lower(p_name), ' ring') THEN 250 WHEN contains(lower(p_name), 'red') THEN 200 WHEN contains(lower(p_name), 'r') THEN 100 END"
 
 

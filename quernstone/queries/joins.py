@@ -9,7 +9,7 @@ from quernstone.functions import indicators as I
 from quernstone.operators import chunked
 from quernstone.operators import joins as J
 from quernstone.queries.registry import add, col, rounded, sql_rounded
-from quernstone.queries.windows import BOOK, W, book, sd, sma
+from quernstone.queries.windows import BOOK, PAIRS, W, book, legs, pairs, sd, sma
 from quernstone.sources.bars import DAILY, HOURLY, ORDERS, daily_bars, event_bars, events_sql, order_bars, resample, scan
 from quernstone.sources.store import absent
 
@@ -42,11 +42,11 @@ def funding_z(spark, sf_dir):
     return order_bars(spark, sf_dir).where(F.weekday("ts").isin(0, 2, 4)).select("symbol", "ts", *rounded({"z": I.zscore(col.close, 10)}))
 
 
-@add("J3_grid_intersection", f"WITH {DAILY} SELECT a.ts, a.close AS a, b.close AS b FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'AF' AND b.symbol = 'NO'")
+@add("J3_grid_intersection", f"WITH {DAILY}, {PAIRS} SELECT pair, ts, a, b FROM legs")
 def grid_intersection(spark, sf_dir):
+    """Both legs of each pair where both have a bar."""
     bars = daily_bars(spark, sf_dir)
-    a, b = (bars.where(F.col("symbol") == s).select("ts", col.close.alias(n)) for s, n in (("AF", "a"), ("NO", "b")))
-    return a.join(b, "ts")
+    return legs(bars, pairs(bars))
 
 
 @add("J4_left_reindex", f"WITH {DAILY}, o AS ({'WITH ' + ORDERS + ' SELECT * FROM bars'}) SELECT b.symbol, b.ts, b.close, o.close AS mark FROM bars b LEFT JOIN o ON o.ts = b.ts AND o.symbol = '1-URGENT'")
@@ -262,10 +262,13 @@ def union_keep_first(spark, sf_dir):
     return both.groupBy("key").agg(F.min_by(F.struct("src", "price"), "src").alias("r")).select("key", "r.src", "r.price")
 
 
-@add("U2_index_intersection", f"WITH {DAILY} SELECT ts FROM bars WHERE symbol = 'AF' INTERSECT SELECT ts FROM bars WHERE symbol = 'RF'")
+@add("U2_index_intersection", f"WITH {DAILY}, {PAIRS} SELECT a || '/' || b AS pair, ts FROM pr JOIN bars ON symbol = a INTERSECT SELECT a || '/' || b AS pair, ts FROM pr JOIN bars ON symbol = b")
 def index_intersection(spark, sf_dir):
+    """The times that both symbols of a pair have."""
     bars = daily_bars(spark, sf_dir)
-    return bars.where("symbol = 'AF'").select("ts").intersect(bars.where("symbol = 'RF'").select("ts"))
+    named = pairs(bars).withColumn("pair", F.concat("a", F.lit("/"), "b"))
+    times = lambda leg: bars.join(named.select("pair", F.col(leg).alias("symbol")), "symbol").select("pair", "ts")
+    return times("a").intersect(times("b"))
 
 
 @add("U3_first_touch", f"WITH {DAILY}, {FOLDS} SELECT symbol, ts, min(fold) AS fold FROM bars JOIN folds ON ts >= start AND ts < \"end\" GROUP BY 1, 2")
@@ -281,11 +284,17 @@ def merged_log(spark, sf_dir):
     return e.unionByName(o).orderBy(F.col("ts").desc(), "kind", "id").limit(20)
 
 
-@add("U6_schema_difference", "SELECT column_name AS name FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) v(column_name) WHERE replace(column_name, 'c_', 's_') NOT IN ('s_suppkey', 's_name', 's_nationkey', 's_acctbal')")
+@add("U6_schema_difference", """WITH k AS (SELECT event_type, unnest(json_keys(props)) AS name FROM events WHERE props IS NOT NULL), a AS (SELECT DISTINCT event_type, name FROM k), e AS (SELECT DISTINCT event_type FROM events),
+w AS (SELECT event_type, unnest(['k', 'reason', 'symbol']) AS name FROM e)
+SELECT coalesce(a.event_type, w.event_type) AS event_type, coalesce(a.name, w.name) AS name, CASE WHEN w.name IS NULL THEN 'not in the target' ELSE 'not in the source' END AS side FROM a FULL JOIN w ON a.event_type = w.event_type AND a.name = w.name WHERE a.name IS NULL OR w.name IS NULL""")
 def schema_difference(spark, sf_dir):
-    a, b = scan(spark, sf_dir, "customer"), scan(spark, sf_dir, "supplier")
-    there = {x.removeprefix("s_") for x in b.columns}
-    return spark.createDataFrame([(x,) for x in a.columns if x.removeprefix("c_") not in there], "name string")
+    """Fields that the rows of a kind have and a target lacks, and the other way round, read off the rows themselves."""
+    e = scan(spark, sf_dir, "events", ["event_type", "props"])
+    there = e.where("props IS NOT NULL").select("event_type", F.explode(F.json_object_keys("props")).alias("name")).distinct()
+    target = e.select("event_type").distinct().select("event_type", F.explode(F.array(*[F.lit(x) for x in ("k", "reason", "symbol")])).alias("name"))
+    tell = lambda df, side: df.withColumn("side", F.lit(side))
+    both = ["event_type", "name"]
+    return tell(there.join(target, both, "left_anti"), "not in the target").unionByName(tell(target.join(there, both, "left_anti"), "not in the source"))
 
 
 @add("U7_eligible_set", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000")

@@ -158,7 +158,7 @@ def sp5(spark, sf_dir):
 def sp8(spark, sf_dir):
     """Verdict passed, not for research only, venue feasible."""
     venues = scan(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return scan(spark, sf_dir, "customer").where("c_acctbal > 0 AND c_mktsegment <> 'BUILDING'").join(F.broadcast(venues), "c_nationkey", "left_semi").select("c_custkey")
+    return scan(spark, sf_dir, "customer").where("c_acctbal > 0 AND c_mktsegment <> 'BUILDING'").join(venues, "c_nationkey", "left_semi").select("c_custkey")
 
 
 @add("SP9_conditional_update", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus = 'O' THEN 'CLOSED' ELSE o_orderstatus END AS status FROM orders")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from quernstone.functions import scalars as S
 from quernstone.operators import joins as J
+from quernstone.plans.validation import draw
 from quernstone.queries.registry import add, col, rounded, sql_rounded
+from quernstone.queries.windows import PAIRS, pairs
 from quernstone.sources import store
 from quernstone.sources.bars import DAILY, HOURLY, ORDERS, daily_bars, event_bars, order_bars, resample, scan
 
@@ -158,11 +161,13 @@ def src8(spark, sf_dir):
     return landed.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-@add("SRC9_pair_loader", f"WITH {DAILY} SELECT a.ts, a.open AS a_open, a.close AS a_close, b.open AS b_open, b.close AS b_close FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'AO' AND b.symbol = 'RO'")
+@add("SRC9_pair_loader", f"WITH {DAILY}, {PAIRS} SELECT pr.a || '/' || pr.b AS pair, x.ts, x.open AS a_open, x.close AS a_close, y.open AS b_open, y.close AS b_close FROM pr JOIN bars x ON x.symbol = pr.a JOIN bars y ON y.symbol = pr.b AND y.ts = x.ts")
 def src9(spark, sf_dir):
+    """Both legs of each pair of a table of pairs, on the bars that both have."""
     bars = daily_bars(spark, sf_dir)
-    leg = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("open").alias(f"{n}_open"), col.close.alias(f"{n}_close"))
-    return leg("AO", "a").join(leg("RO", "b"), "ts")
+    leg = lambda n: bars.select(F.col("symbol").alias(n), "ts", F.col("open").alias(f"{n}_open"), col.close.alias(f"{n}_close"))
+    both = pairs(bars).join(leg("a"), "a").join(leg("b"), ["b", "ts"])
+    return both.select(F.concat("a", F.lit("/"), "b").alias("pair"), "ts", "a_open", "a_close", "b_open", "b_close")
 
 
 @add("SRC10_trend_loader", f"WITH {HOURLY}, h AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts)::TIMESTAMP AS b, arg_min(open, ts) AS open, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2) SELECT h.symbol, b AS ts, open, close, CASE WHEN hour(b) % 8 = 0 THEN open / 1000 END AS funding_rate FROM h")
@@ -178,9 +183,16 @@ def src11(spark, sf_dir):
     return scan(spark, sf_dir, "events").select("event_id", F.date_trunc("hour", col.ts + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("stamp"))
 
 
-@add("SRC12_asset_class", "SELECT s AS symbol, CASE WHEN s IN ('EUR/USD') THEN 'forex' WHEN contains(s, '/') THEN 'crypto' ELSE 'equity' END AS asset FROM (VALUES ('EUR/USD'), ('BTC/USDT'), ('AAPL')) v(s)")
+@add("SRC12_asset_class", """WITH s AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'BTC' WHEN 3 THEN 'GBP' ELSE upper(replace(left(p_name, 4), ' ', '')) END
+ || CASE p_partkey % 4 WHEN 0 THEN '/USD' WHEN 1 THEN '/USDT' WHEN 2 THEN '/JPY' ELSE '' END AS symbol FROM part)
+SELECT p_partkey, symbol, CASE WHEN regexp_matches(symbol, '^(USD|EUR|GBP|JPY|CHF|AUD|CAD|NZD)/(USD|EUR|GBP|JPY|CHF|AUD|CAD|NZD)$') THEN 'forex' WHEN contains(symbol, '/') THEN 'crypto' ELSE 'equity' END AS asset FROM s""")
 def src12(spark, sf_dir):
-    return spark.createDataFrame([("EUR/USD",), ("BTC/USDT",), ("AAPL",)], "symbol string").select("symbol", store.asset_class(F.col("symbol")).alias("asset"))
+    """Which adapter a listed symbol belongs to: two currencies, a coin or token, or a share."""
+    size, key = F.col("p_size") % 6, F.col("p_partkey") % 4
+    base = F.when(size == 0, "EUR").when(size == 1, "USD").when(size == 2, "BTC").when(size == 3, "GBP").otherwise(F.upper(F.replace(F.left("p_name", F.lit(4)), F.lit(" "), F.lit(""))))
+    quote = F.when(key == 0, "/USD").when(key == 1, "/USDT").when(key == 2, "/JPY").otherwise("")
+    listed = scan(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"]).select("p_partkey", F.concat(base, quote).alias("symbol"))
+    return listed.withColumn("asset", store.asset_class(F.col("symbol")))
 
 
 @add("SRC14_inventory", "SELECT event_type, count(DISTINCT date_trunc('hour', ts)) AS hours, count(DISTINCT date_trunc('hour', ts)) / 24 AS days, count(DISTINCT date_trunc('hour', ts)) >= 28 * 24 AS enough FROM events GROUP BY 1")
@@ -189,11 +201,20 @@ def src14(spark, sf_dir):
     return hours.select("event_type", "hours", (F.col("hours") / 24).alias("days"), (F.col("hours") >= 28 * 24).alias("enough"))
 
 
-@add("SRC15_synthetic_book", "SELECT i AS id, 100 + (i * 7919 % 1000) / 1000 AS bid, 100.05 + (i * 7919 % 1000) / 1000 AS ask FROM range(1000) t(i)")
+SYNTHETIC = f"""WITH {HOURLY}, t AS (SELECT symbol, ts, close, unnest(range(12)) AS tick FROM bars),
+d AS (SELECT symbol, ts, tick, close, ('0x' || substr(md5(symbol || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || tick), 1, 8))::BIGINT / 4294967296 AS u FROM t)
+SELECT symbol, ts + to_seconds(300 * tick) AS ts, {sql_rounded({'bid': 'close * (1 + (u - 0.5) / 500)', 'ask': 'close * (1 + (u - 0.5) / 500) + 0.01 * (1 + tick % 3)'})}, (1 + (u * 1000)::BIGINT % 9)::INT AS bid_qty FROM d"""
+
+
+@add("SRC15_synthetic_book", SYNTHETIC)
 def src15(spark, sf_dir):
-    """A seeded stream whose values are a rule of the row number."""
-    step = (F.col("id") * 7919 % 1000) / 1000
-    return spark.range(1000).select("id", (100 + step).alias("bid"), (100.05 + step).alias("ask"))
+    """A seeded book ticker around given bars: twelve updates an hour, their noise drawn from a hash of symbol, time and number."""
+    u = draw(F.col("symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("tick")) / 4294967296
+    ticks = event_bars(spark, sf_dir).select("symbol", "ts", "close", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tick")).withColumn("u", u)
+    bid = col.close * (1 + (F.col("u") - 0.5) / 500)
+    at = F.col("ts") + F.make_dt_interval(secs=300 * F.col("tick"))
+    quantity = (1 + F.round(F.col("u") * 1000).cast("long") % 9).cast("int")
+    return ticks.select("symbol", at.alias("ts"), *rounded({"bid": bid, "ask": bid + 0.01 * (1 + F.col("tick") % 3)}), quantity.alias("bid_qty"))
 
 
 @add("SRC16_save_list", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 40")
@@ -225,9 +246,19 @@ def src19(spark, sf_dir):
     return scan(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_name", "n_regionkey")), 256).alias("sha"))
 
 
-@add("SRC20_cost_tables", "SELECT * FROM (VALUES ('a', 'BTC/USDT', 'maker', 0.0, 2.0), ('a', 'BTC/USDT', 'taker', 0.0, 5.0), ('a', 'BTC/USDT', 'taker', 1000000.0, 4.0)) v(exchange, symbol, side, tier_min, bps)")
+@add("SRC20_cost_tables", """SELECT n_name AS exchange, 'S' || s_suppkey AS symbol, side, tier_min, CASE WHEN side = 'maker' THEN s_suppkey % 5 ELSE s_suppkey % 7 + 2 END::DOUBLE / (1 + (tier_min > 0)::INT) AS bps
+FROM supplier JOIN nation ON s_nationkey = n_nationkey, unnest(['maker', 'taker']) AS a(side), unnest([0.0::DOUBLE, 1000000.0::DOUBLE]) AS b(tier_min) WHERE side = 'taker' OR tier_min = 0""")
 def src20(spark, sf_dir):
-    return store.cost_table(spark, {"a": {"BTC/USDT": {"maker": [[0, 2]], "taker": [[0, 5], [1_000_000, 4]]}}})
+    """Fee schedules, a nested JSON document a venue, landed as files and read back as rows."""
+    venues = scan(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]).join(scan(spark, sf_dir, "nation", ["n_nationkey", "n_name"]), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey")
+    tier = lambda least, bps: F.array(F.lit(least), bps.cast("double"))
+    sides = F.create_map(F.lit("maker"), F.array(tier(0.0, key % 5)), F.lit("taker"), F.array(tier(0.0, key % 7 + 2), tier(1e6, (key % 7 + 2) / 2)))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("S"), key.cast("string")).alias("symbol"), sides.alias("sides"))))
+    told = venues.groupBy("n_name").agg(F.to_json(F.map_from_entries(F.array(F.struct(F.col("n_name").alias("k"), entries.alias("v"))))).alias("value"))
+    path = f"{store.shared_dir(spark)}/fees-{uuid.uuid4().hex}"
+    told.select("value").write.text(path)
+    return store.load_cost_table(spark, path)
 
 
 @add("SRC21_article_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,

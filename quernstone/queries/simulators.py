@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
+from quernstone.operators import engines as G
 from quernstone.operators import simulators as S
+from quernstone.operators.affine import cut
 from quernstone.operators.indicator_scan import walked_indicators, with_indicators
 from quernstone.operators.cooldown import picked
 from quernstone.operators.joins import asof
 from quernstone.operators.rangerank import with_matched_percentile
 from quernstone.operators.sequential import ordered_scan
+from quernstone.operators.speculative import speculative_scan
 from quernstone.plans import spec as P
-from quernstone.queries.aggregates import SIG, TRADES, signals, vector_run, vector_trades
+from quernstone.queries.aggregates import BPS, SIG, TRADES, signals, vector_run, vector_trades
 from quernstone.queries.joins import book
 from quernstone.queries.registry import add, col, rounded, sql_rounded
 from quernstone.queries.windows import RUN, W, sma
@@ -307,6 +310,22 @@ def b17(spark, sf_dir):
     return x.groupBy("symbol").agg(*rounded({"hold": F.max_by("close", "ts") / F.min_by("open", "ts") - 1}), F.count_if("first").alias("rebalances"))
 
 
+def turtle(spark, sf_dir):
+    """Daily bars with the position of a slow trend follower: averages of 50 and 200, breakouts of 55 bars, a chandelier stop of three true ranges."""
+    x = with_indicators(daily_bars(spark, sf_dir), {"fast": ("ema", {"n": 50}), "slow": ("ema", {"n": 200}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
+    x = x.withColumn("breakout", I.highest(I.lag(F.col("high"), 1), 55)).withColumn("member", F.lit(True))
+    columns = ["ts", "close", "fast", "slow", "breakout", "atr", "member"]
+    held = speculative_scan(cut(x, ("symbol",)), ["symbol"], "ts", columns, lambda key: S.TrendState(), f"ts {x.schema['ts'].dataType.simpleString()}, pos int")
+    return x.select("symbol", "ts", "open").join(held, ["symbol", "ts"])
+
+
+@add("B17_turtle")
+def b17_turtle(spark, sf_dir):
+    """What the slow trend follower would have earned: a yardstick for faster rules."""
+    run = G.vector_backtest(turtle(spark, sf_dir), BPS)
+    return run.groupBy("symbol").agg(F.sum("pos").alias("bars_in"), *rounded({"log_total": F.sum(F.ln(F.col("r") + 1))}, 5))
+
+
 @add("X10_feature_matrix")
 def x10(spark, sf_dir):
     """The research features of each bar in one table: windows over one scan."""

@@ -13,7 +13,9 @@ from quernstone.queries.registry import add, rounded, sql_rounded
 from quernstone.queries.simulators import GOLDEN
 from quernstone.queries.windows import W, sma
 from quernstone.sources.bars import DAILY, HOURLY, bin_start, daily_bars, scan
+from quernstone.sources.store import written
 from quernstone.streaming import engine as E
+from quernstone.streaming.failures import failure_states
 
 
 def ticks(spark, sf_dir, parts: int = 3):
@@ -87,6 +89,19 @@ def crossed(spark, sf_dir):
     return b.withColumn("enter", C.crossover(F.col("f"), F.col("s"))).withColumn("leave", C.crossover(F.col("f"), F.col("s"), False)).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
+@add("ST4_failure_stream", """WITH x AS (SELECT event_id, user_id, ts, event_type = 'error' AS bad, lag(event_type = 'error', 1, false) OVER q AS was_bad, ts - lag(ts) OVER q AS gap FROM events WINDOW q AS (PARTITION BY user_id ORDER BY ts, event_id)),
+y AS (SELECT *, sum((NOT (bad AND was_bad AND gap <= INTERVAL 12 HOUR))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x),
+z AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM y),
+v AS (SELECT *, lag(streak, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM z)
+SELECT event_id, user_id, CASE WHEN bad THEN 'alert' ELSE 'recovered' END AS told, (CASE WHEN bad THEN streak ELSE before END)::INT AS streak FROM v WHERE (bad AND streak = 2) OR (NOT bad AND was_bad AND gap <= INTERVAL 12 HOUR AND before >= 2)""")
+def st4_stream(spark, sf_dir):
+    """The same in the stream itself: typed state a source, forgotten twelve hours after its last failure."""
+    e = scan(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("bad"))
+    path, schema = E.staged(e, "failures", "ts", 3)
+    with E.rocksdb(spark):
+        return E.drain(failure_states(E.read_stream(spark, path, schema), "user_id", "event_id", threshold=2, hours=12), "failures-out")
+
+
 @add("ST7_seeded_latch", f"WITH {DAILY}, x AS (SELECT *, {sma('close', 10)} AS f, {sma('close', 30)} AS s FROM bars), y AS (SELECT *, coalesce(lag(f) {W} <= lag(s) {W} AND f > s, false) AS en, coalesce(lag(f) {W} >= lag(s) {W} AND f < s, false) AS le FROM x) SELECT symbol, epoch_us(ts) AS micros, coalesce(last_value(CASE WHEN le THEN -1 WHEN en THEN 1 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), -1) > 0 AS is_on, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top FROM y")
 def st7(spark, sf_dir):
     """State carried over three batches gives what one pass gives."""
@@ -175,14 +190,16 @@ def st11(spark, sf_dir):
 
 @add("ST12_crash_recovery", "SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END), 2) AS cash, count(*) FILTER (o_orderstatus = 'O') AS open_n FROM orders GROUP BY 1")
 def st12(spark, sf_dir):
-    """Cash from the last snapshot plus what came after it, and open positions."""
+    """Cash from an account's last snapshot plus what came after it, and open positions. Snapshots were taken at the start of each month in which it traded."""
     o = scan(spark, sf_dir, "orders")
     flow = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
-    mid = F.lit("1998-01-01").cast("timestamp_ntz")
-    snap = o.where(F.col("o_orderdate") < mid).groupBy("o_custkey").agg(F.sum(flow).alias("a"))
-    tail = o.where(F.col("o_orderdate") >= mid).groupBy("o_custkey").agg(F.sum(flow).alias("b"))
+    monthly = o.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("taken_at")).agg(F.sum(flow).alias("moved"))
+    before = Window.partitionBy("o_custkey").orderBy("taken_at").rowsBetween(Window.unboundedPreceding, -1)
+    snapshots = written(monthly.select("o_custkey", "taken_at", F.coalesce(F.sum("moved").over(before), F.lit(0.0)).alias("cash")), "snapshots")
+    last = snapshots.groupBy("o_custkey").agg(F.max_by(F.struct("taken_at", "cash"), "taken_at").alias("s")).select("o_custkey", "s.*")
+    after = o.join(last, "o_custkey").where(F.col("o_orderdate") >= F.col("taken_at")).groupBy("o_custkey").agg((F.first("cash") + F.sum(flow)).alias("cash"))
     opened = o.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open_n"))
-    return opened.join(snap, "o_custkey", "left").join(tail, "o_custkey", "left").select("o_custkey", F.round(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 2).alias("cash"), "open_n")
+    return opened.join(after, "o_custkey").select("o_custkey", F.round("cash", 2).alias("cash"), "open_n")
 
 
 @add("ST1_phased_ticks", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")

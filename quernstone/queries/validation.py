@@ -14,12 +14,14 @@ from quernstone.operators import chunked
 from quernstone.operators import engines as G
 from quernstone.operators import joins as J
 from quernstone.operators.quantiles import exact_quantiles
+from quernstone.plans import sweeps
 from quernstone.plans import validation as V
 from quernstone.queries.aggregates import BPS, PORT, SIG, TRADES, VEC, WEIGHTS, signals, vector_run, vector_trades, weights
 from quernstone.queries.joins import CELLS, FOLDS, MEMBERS, book, cells, folds
 from quernstone.queries.registry import add, col, rounded, sql_rounded
-from quernstone.queries.windows import W, sma
-from quernstone.sources.bars import DAILY, daily_bars, scan
+from quernstone.queries.windows import RUN, W, sma
+from quernstone.sources.bars import DAILY, HOURLY, daily_bars, event_bars, scan
+from quernstone.sources.store import written
 
 
 
@@ -60,9 +62,11 @@ def f9(spark, sf_dir):
     return held.groupBy("fold", "symbol").agg(part("train_start", "train_end").alias("train"), part("val_start", "val_end").alias("val"), part("test_start", "test_end").alias("test"))
 
 
-@add("V8_purged_folds", "SELECT i AS fold, TIMESTAMP '1996-01-01' + INTERVAL (i * 30) DAY AS train_start, TIMESTAMP '1996-01-01' + INTERVAL (i * 30 + 364) DAY AS train_end, TIMESTAMP '1996-01-01' + INTERVAL (i * 30 + 395) DAY AS test_start FROM range(24) r(i)")
+@add("V8_purged_folds", f"""WITH {DAILY}, s AS (SELECT symbol, min(ts) AS a, max(ts) + INTERVAL 1 DAY AS b FROM bars GROUP BY 1), f AS (SELECT symbol, a, b, unnest(range(greatest(0, (date_diff('day', a, b) - 425) // 30 + 1))) AS fold FROM s)
+SELECT symbol, fold, a + INTERVAL (fold * 30) DAY AS train_start, a + INTERVAL (fold * 30 + 364) DAY AS train_end, a + INTERVAL (fold * 30 + 365) DAY AS val_start, a + INTERVAL (fold * 30 + 395) DAY AS test_start, a + INTERVAL (fold * 30 + 425) DAY AS test_end FROM f""")
 def v8(spark, sf_dir):
-    return V.folds(spark, "1996-01-01", 365, 30, 30, 30, 24).select("fold", "train_start", "train_end", "test_start")
+    """As many folds of each series as its bars have room for, the day before validation purged."""
+    return V.series_folds(daily_bars(spark, sf_dir), 365, 30, 30, 30).drop("val_end")
 
 
 @add("V10_stitched_oos", f"WITH {DAILY}, f AS (SELECT i AS fold, TIMESTAMP '1997-01-01' + INTERVAL (i * 30) DAY AS t0 FROM range(12) r(i)) SELECT symbol, ts, min(fold) AS fold FROM bars JOIN f ON ts >= t0 AND ts < t0 + INTERVAL 45 DAY GROUP BY 1, 2")
@@ -101,6 +105,40 @@ def v3(spark, sf_dir):
     return V.run_return(run, ["fast", "slow", "symbol"]).select("fast", "slow", "symbol", *rounded({"total": F.col("total")}))
 
 
+DOCUMENT_SWEEP = f"""WITH {HOURLY}, d AS (SELECT p_partkey, p_size % 10 + 5 AS a, p_size % 10 + 10 + 5 * (p_partkey % 4) AS b FROM part),
+pt AS (SELECT p_partkey, axis, base, [greatest(5.0, round_even(base * 0.5, 0)), greatest(5.0, round_even(base * 0.75, 0)), base, round_even(base * 1.25, 0), round_even(base * 1.75, 0)]::DOUBLE[] AS p FROM (SELECT p_partkey, 'a' AS axis, a::DOUBLE AS base FROM d UNION ALL SELECT p_partkey, 'b', b::DOUBLE FROM d)),
+st AS (SELECT p_partkey, axis, base, unnest(list_sort(list_distinct(p))) AS v FROM pt), sk AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, axis ORDER BY v) AS k FROM st),
+sa AS (SELECT s.p_partkey, s.axis, s.v::INT AS v, abs(s.k - o.k) AS away FROM sk s JOIN sk o ON o.p_partkey = s.p_partkey AND o.axis = s.axis AND o.v = o.base),
+cell AS (SELECT x.p_partkey, x.v AS fast, y.v AS slow, x.away + y.away AS away FROM sa x JOIN sa y ON y.p_partkey = x.p_partkey AND y.axis = 'b' WHERE x.axis = 'a' AND x.v <> y.v),
+pairs AS (SELECT DISTINCT fast, slow FROM cell), per AS (SELECT fast AS n FROM pairs UNION SELECT slow FROM pairs),
+px AS (SELECT symbol, ts, open, row_number() {W} - 1 AS i, sum(round(close * 1000000)::BIGINT) {RUN} AS upto FROM bars),
+sm AS (SELECT a.symbol, a.i, n, a.upto - coalesce(b.upto, 0) AS total FROM px a JOIN per ON a.i - n + 1 >= 0 LEFT JOIN px b ON b.symbol = a.symbol AND b.i = a.i - n),
+g AS (SELECT fast, slow, px.symbol, ts, open, sign(f.total * slow - s.total * fast) AS side FROM pairs JOIN px ON true LEFT JOIN sm f ON f.symbol = px.symbol AND f.i = px.i AND f.n = fast LEFT JOIN sm s ON s.symbol = px.symbol AND s.i = px.i AND s.n = slow),
+t AS (SELECT *, lag(side) OVER (PARTITION BY fast, slow, symbol ORDER BY ts) AS side_before FROM g),
+pp AS (SELECT *, coalesce(last_value(CASE WHEN side_before <= 0 AND side > 0 THEN 1 WHEN side_before >= 0 AND side < 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY fast, slow, symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM t),
+{engine_sql('pp', 'fast, slow, symbol')}, runs AS (SELECT fast, slow, symbol, exp(sum(ln(1 + r))) - 1 AS total FROM zr GROUP BY 1, 2, 3),
+ru AS (SELECT p_partkey, symbol, count(*) AS cells, max(total) AS best, min(total) AS worst, max(total) FILTER (away = 0) AS own, avg(total) FILTER (away = 1) AS nb FROM cell JOIN runs USING (fast, slow) GROUP BY 1, 2)
+SELECT p_partkey, symbol, cells, {sql_rounded({'best': 'best', 'worst': 'worst', 'own': 'own', 'neighbour_avg': 'nb', 'peakiness': 'greatest(0, least(1, (own - nb) / greatest(abs(own), 0.01)))'}, 5)} FROM ru"""
+
+
+def crossing_documents(spark, sf_dir):
+    """A document for each part: in where one average of closes crosses above another, out where it crosses below."""
+    a = F.col("p_size") % 10 + 5
+    average = lambda n: F.concat(F.lit('{"kind":"indicator","name":"sma","params":{"period":'), n.cast("string"), F.lit("}}"))
+    cross = lambda side: F.concat(F.lit('{"type":"crossover","series":'), average(a), F.lit(',"threshold":'), average(a + 5 + 5 * (F.col("p_partkey") % 4)), F.lit(f',"direction":"{side}"}}'))
+    text = F.concat(F.lit('{"schema_version":"1.0","primary_timeframe":"1h","direction":"long","entry":{"condition":'), cross("above"), F.lit('},"exit":{"exits":[{"type":"condition","condition":'), cross("below"), F.lit("}]}}"))
+    return scan(spark, sf_dir, "part", ["p_partkey", "p_size"]).select("p_partkey", text.alias("document"))
+
+
+@add("V3_document_sweep", DOCUMENT_SWEEP)
+def v3_documents(spark, sf_dir):
+    """The grids that the axes of all documents span, in one job, and what each document's own cell is worth among its neighbours."""
+    cells = written(sweeps.with_crossings(sweeps.sweep_cells(crossing_documents(spark, sf_dir), "p_partkey", "document")).drop("document"), "cells")
+    runs = sweeps.crossing_runs(event_bars(spark, sf_dir), cells, BPS)
+    told = sweeps.rolled_up(cells, runs, "p_partkey")
+    return told.select("p_partkey", "symbol", "cells", *rounded({c: F.col(c) for c in ("best", "worst", "own", "neighbour_avg", "peakiness")}, 5))
+
+
 #: Simulations: of the bootstrap by days, of the permutation nulls, and of the nulls that draw entries and shifts.
 RESAMPLES, PERMUTATIONS, DRAWS = 1000, 100, 1000
 
@@ -311,8 +349,6 @@ def v18(spark, sf_dir):
     return x.select("c_custkey", health.alias("health"))
 
 
-#: Trees of the boosted family as registered; ``plans.validation.fold_learner`` has the full number as its default.
-BOOSTED_TREES = 10
 FOLD_FEATURES = ["r1", "r5", "z"]
 
 
@@ -327,9 +363,9 @@ def fold_rows(spark, sf_dir):
     )
 
 
-def fold_report(spark, sf_dir, family, **options):
+def fold_report(spark, sf_dir, fit):
     plan = V.folds(spark, "1996-01-01", 365, 90, 90, 365, 3)
-    told = V.fit_folds(fold_rows(spark, sf_dir), plan, FOLD_FEATURES, family, **options)
+    told = fit(fold_rows(spark, sf_dir), plan, FOLD_FEATURES)
     hit = (F.col("p_up") >= 0.5) == (F.col("y") == 1)
     return told.groupBy("fold", "symbol").agg(F.count("*").alias("n"), *rounded({"accuracy": F.avg(hit.cast("int")), "p_mean": F.avg("p_up"), "val_auc": F.first("val_auc"), "k": F.first("k")}, 4))
 
@@ -337,13 +373,13 @@ def fold_report(spark, sf_dir, family, **options):
 @add("V9_fold_model")
 def v9(spark, sf_dir):
     """A logistic model of the next bar's direction for each fold, calibrated on its validation span and judged on its test span."""
-    return fold_report(spark, sf_dir, "logistic")
+    return fold_report(spark, sf_dir, V.fit_folds)
 
 
 @add("V9_boosted_folds")
 def v9_boosted(spark, sf_dir):
-    """The same folds with boosted trees."""
-    return fold_report(spark, sf_dir, "boosted", trees=BOOSTED_TREES)
+    """The same folds with 300 boosted trees."""
+    return fold_report(spark, sf_dir, V.boost_folds)
 
 
 @add("F10_dataset_rows", f"WITH {DAILY} SELECT symbol, count(*) AS n FROM (SELECT symbol, {sma('close', 20)} AS m, ln(lead(close, 5) {W}) - ln(close) AS y FROM bars) WHERE m IS NOT NULL AND y IS NOT NULL GROUP BY 1")

@@ -178,23 +178,40 @@ values(
     ctes=HOURLY,
 )
 values("W13_obv", lambda: {"value": I.obv(col.close, col.volume)}, {"value": f"sum(CASE WHEN close < p THEN -volume ELSE volume END) {RUN}"}, source=f"(SELECT *, lag(close) {W} AS p FROM bars)")
-values("W15_spread", lambda: {"log_spread": F.ln("high") - F.ln("low"), "ratio": col.high / F.nullif(col.low, F.lit(0.0))}, {"log_spread": "ln(high) - ln(low)", "ratio": "high / nullif(low, 0)"})
+PAIRS = """pr AS (SELECT symbol AS a, lead(symbol) OVER (ORDER BY symbol) AS b FROM (SELECT DISTINCT symbol FROM bars)),
+legs AS (SELECT pr.a || '/' || pr.b AS pair, x.ts, x.close AS a, y.close AS b FROM pr JOIN bars x ON x.symbol = pr.a JOIN bars y ON y.symbol = pr.b AND y.ts = x.ts)"""
+
+
+def pairs(bars):
+    """A table of pairs: each symbol and the next by name."""
+    symbols = bars.select(F.col("symbol").alias("a")).distinct()
+    return symbols.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b IS NOT NULL")  # a row for each symbol
+
+
+def legs(bars, pairs):
+    """(pair, ts, a, b): the closes of both symbols of each pair where both have a bar."""
+    one, other = bars.select(F.col("symbol").alias("a"), "ts", F.col("close").alias("x")), bars.select(F.col("symbol").alias("b"), "ts", F.col("close").alias("y"))
+    return pairs.join(one, "a").join(other, ["b", "ts"]).select(F.concat("a", F.lit("/"), "b").alias("pair"), "ts", F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+@add("W15_spread", f"WITH {DAILY}, {PAIRS} SELECT pair, ts, {sql_rounded({'log_spread': 'ln(a) - ln(b)', 'ratio': 'a / nullif(b, 0)'})} FROM legs")
+def spread(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return legs(bars, pairs(bars)).select("pair", "ts", *rounded({"log_spread": F.ln("a") - F.ln("b"), "ratio": F.col("a") / F.nullif(F.col("b"), F.lit(0.0))}))
 
 
 @add(
     "W14_rolling_correlation",
-    f"""WITH {DAILY}, j AS (SELECT a.ts, a.close AS a, b.close AS b FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'AF' AND b.symbol = 'NO'),
-r AS (SELECT ts, ln(a) - ln(lag(a) OVER (ORDER BY ts)) AS ra, ln(b) - ln(lag(b) OVER (ORDER BY ts)) AS rb FROM j)
-SELECT ts, CASE WHEN count(ra) OVER w = 20 THEN round(corr(ra, rb) OVER w, 6) END AS corr FROM r WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING)""",
+    f"""WITH {DAILY}, {PAIRS}, r AS (SELECT pair, ts, ln(a) - ln(lag(a) OVER q) AS ra, ln(b) - ln(lag(b) OVER q) AS rb FROM legs WINDOW q AS (PARTITION BY pair ORDER BY ts))
+SELECT pair, ts, CASE WHEN count(ra) OVER w = 20 THEN round(corr(ra, rb) OVER w, 6) END AS corr FROM r WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS 19 PRECEDING)""",
 )
 def rolling_correlation(spark, sf_dir):
+    """Of the returns of both legs of each pair."""
     bars = daily_bars(spark, sf_dir)
-    a, b = (bars.where(F.col("symbol") == s).select("ts", col.close.alias(n)) for s, n in (("AF", "a"), ("NO", "b")))
     w = Window.partitionBy("pair").orderBy("ts")
-    pair = a.join(b, "ts").withColumn("pair", F.lit("AF/NO"))
-    pair = pair.withColumn("ra", I.log_return(F.col("a"), 1, w)).withColumn("rb", I.log_return(F.col("b"), 1, w))
+    both = legs(bars, pairs(bars)).withColumn("ra", I.log_return(F.col("a"), 1, w)).withColumn("rb", I.log_return(F.col("b"), 1, w))
     corr = I.full(F.col("ra"), 20, F.corr("ra", "rb").over(I.rolling(w, 20)), w)
-    return pair.select("ts", F.round(corr, 6).alias("corr"))
+    return both.select("pair", "ts", F.round(corr, 6).alias("corr"))
 
 
 MED = f"(SELECT *, CASE WHEN count(close) {wn(50)} = 50 THEN quantile_cont(close, 0.5) {wn(50)} END AS med FROM bars)"

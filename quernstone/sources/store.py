@@ -134,13 +134,22 @@ def main_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: exchange -> symbol -> side -> [[tier_min, bps]]
+COSTS = "map<string, map<string, map<string, array<array<double>>>>>"
+
+
+def cost_rows(documents: DataFrame, text: str = "value") -> DataFrame:
+    """(exchange, symbol, side, tier_min, bps) of nested JSON cost tables, one document a row."""
+    rows = documents.select(F.explode(F.from_json(text, COSTS)).alias("exchange", "_s")).select("exchange", F.explode("_s").alias("symbol", "_d"))
+    rows = rows.select("exchange", "symbol", F.explode("_d").alias("side", "_t")).select("exchange", "symbol", "side", F.explode("_t").alias("_r"))
+    return rows.select("exchange", "symbol", "side", F.get("_r", F.lit(0)).alias("tier_min"), F.get("_r", F.lit(1)).alias("bps"))
+
+
 def cost_table(spark: SparkSession, nested: dict) -> DataFrame:
-    """A nested exchange -> symbol -> side -> [[tier_min, bps]] table as rows, for broadcast."""
-    rows = [(e, s, side, float(t), float(b)) for e, ss in nested.items() for s, sides in ss.items() for side, tiers in sides.items() for t, b in tiers]
-    return spark.createDataFrame(rows, "exchange string, symbol string, side string, tier_min double, bps double")
+    """A nested table as rows."""
+    return cost_rows(spark.createDataFrame([(json.dumps(nested),)], "value string"))
 
 
 def load_cost_table(spark: SparkSession, path: str) -> DataFrame:
-    """The same from a JSON file; any store Spark reads will do."""
-    text = spark.read.text(path, wholetext=True).first()
-    return cost_table(spark, json.loads(text[0]) if text else {})
+    """The same from a folder of JSON documents, one a line; any store Spark reads will do."""
+    return cost_rows(spark.read.text(path))

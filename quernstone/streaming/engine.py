@@ -9,7 +9,9 @@ table gives at once.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quernstone.sources.store import shared_dir
+from quernstone.sources.store import shared_dir, written
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
+#: Files of each part of a staged table, and so of each micro-batch that reads it.
+FILES = 4
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which typed state variables and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = FILES) -> DataFrame:
     """A folder of parquet files as a stream, so many files a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -71,8 +89,6 @@ def stream_scan(rows: DataFrame, keys: list[str], order: list[str], columns: lis
 def drain(rows: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there now into a table of the shared folder."""
     spark = rows.sparkSession
-    import uuid
-
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = rows.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     query = (writer.partitionBy(*partition_by) if partition_by else writer).start()
@@ -81,14 +97,18 @@ def drain(rows: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 
 def staged(df: DataFrame, name: str, order: str, parts: int) -> tuple[str, T.StructType]:
-    """A table as a folder of ``parts`` files in the order of a column, written one after the other."""
-    import uuid
+    """A table as a folder of ``parts`` times ``FILES`` files, the parts in the order of a column and written one after the other.
 
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    The table is computed once, into a folder for each part; each part is then landed by tasks of its own.
+    """
+    spark = df.sparkSession
     bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     span = (bounds["b"] - bounds["a"]) / parts
+    place = F.lit(0)
+    for i in range(1, parts):
+        place = place + (F.col(order) >= F.lit(bounds["a"] + i * span)).cast("int")
+    cut = written(df.withColumn("_part", place), f"{name}-parts", ["_part"])
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for i in range(parts):
-        low, high = bounds["a"] + i * span, bounds["a"] + (i + 1) * span
-        inside = (F.col(order) >= F.lit(low)) & ((F.col(order) < F.lit(high)) | F.lit(i == parts - 1))
-        df.where(inside).coalesce(1).write.mode("append").parquet(path)
+        cut.where(F.col("_part") == i).drop("_part").repartition(FILES).write.mode("append").parquet(path)
     return path, df.schema

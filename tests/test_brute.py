@@ -212,6 +212,139 @@ def test_fold_fit(spark):
     assert abs(got[0]["val_auc"] - auc) < 1e-3 and abs(got[0]["k"] - k) < 1e-9
     assert np.abs(np.array([g["p_up"] for g in got]) - np.interp(raw[test], *pooled(raw[val], y[val]))).mean() < 2e-3
 
-    trees = V.fit_folds(df, plan, ["a", "b"], "boosted", least=(300, 100, 100), trees=5).collect()
-    assert len(trees) == 100 and trees[0]["val_auc"] > 0.7 and all(0 <= g["p_up"] <= 1 for g in trees) and trees[0]["k"] == got[0]["k"]
-    assert V.fit_folds(df.limit(0), plan, ["a", "b"]).collect() == [] and V.fit_folds(df.withColumn("r", F.lit(0.5)), plan, ["a", "b"], least=(300, 100, 100)).collect() == []
+    trees = V.boost_folds(df, plan, ["a", "b"], least=(300, 100, 100)).collect()
+    assert len(trees) == 100 and trees[0]["val_auc"] > 0.7 and all(0 <= g["p_up"] <= 1 for g in trees) and abs(trees[0]["k"] - got[0]["k"]) < 1e-12
+    hits = lambda rows: sum((g["p_up"] >= 0.5) == (g["y"] == 1) for g in rows)
+    assert hits(trees) > 60 and hits(trees) > hits(got) - 15
+    for fit in (V.fit_folds, V.boost_folds):
+        assert fit(df.limit(0), plan, ["a", "b"]).collect() == [] and fit(df.withColumn("r", F.lit(0.5)), plan, ["a", "b"], least=(300, 100, 100)).collect() == []
+
+
+def test_one_tree():
+    """A tree of two levels against trying every feature and cut of every node."""
+    from quernstone.plans import boosting as B
+
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(400, 3)).round(1)
+    y = (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] + draw.normal(size=400) > 0).astype(float)
+    how = B.Boosting(trees=1, depth=2, rate=0.5, row_share=2.0, column_share=1.0, least_weight=5.0)
+    got = B.scores(x, y, [x], how)[0]
+    base = np.log(y.mean() / (1 - y.mean()))
+    p = np.full(400, y.mean())
+    g, h = p - y, p * (1 - p)
+    codes = B.coded(x, B.edges_of(x))
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + how.ridge)
+
+    def split(rows):
+        found = []
+        for f in range(3):
+            for cut in range(B.BINS):
+                left, right = rows[codes[rows, f] <= cut], rows[codes[rows, f] > cut]
+                if h[left].sum() >= how.least_weight and h[right].sum() >= how.least_weight:
+                    found.append((round(score(left) + score(right) - score(rows), 10), -f, -cut, left, right))
+        return max(found, key=lambda t: t[:3])[3:] if found else (rows, rows[:0])
+
+    want = np.zeros(400)
+    for half in split(np.arange(400)):
+        for rows in split(half):
+            if len(rows):
+                want[rows] = base - how.rate * g[rows].sum() / (h[rows].sum() + how.ridge)
+    assert np.abs(got - 1 / (1 + np.exp(-want))).max() < 1e-12
+    more = B.scores(x, y, [x], B.Boosting(trees=100))[0]
+    loss = lambda q: -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
+    assert loss(more) < loss(got) < loss(p)
+
+
+def test_isotonic_and_area():
+    from quernstone.plans import boosting as B
+
+    draw = np.random.default_rng(5)
+    x, y = draw.integers(0, 20, 300) / 10.0, draw.integers(0, 2, 300).astype(float)
+    at, value = B.pooled(x, y)
+    assert (np.diff(value) >= 0).all() and at.tolist() == sorted(set(x.tolist()))
+    # no other rising sequence is nearer: means of all stretches bound it from both sides
+    mean = lambda i, j: y[(x >= at[i]) & (x <= at[j])].mean()
+    for k in range(len(at)):
+        assert abs(value[k] - max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1))) < 1e-12
+    up, down = x[y == 1], x[y == 0]
+    assert abs(B.auc(x, y) - ((up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()) / (len(up) * len(down))) < 1e-12
+
+
+def ema(xs, n, alpha=None):
+    """From the first value on; none before the n-th."""
+    a, e, out = alpha or 2 / (n + 1), None, []
+    for i, x in enumerate(xs):
+        e = x if e is None else a * x + (1 - a) * e
+        out.append(e if alpha or i >= n - 1 else None)
+    return out
+
+
+def true_ranges(bars):
+    return [b["high"] - b["low"] if i == 0 else max(b["high"] - b["low"], abs(b["high"] - bars[i - 1]["close"]), abs(b["low"] - bars[i - 1]["close"])) for i, b in enumerate(bars)]
+
+
+def test_turtle(spark, series):
+    """The slow trend follower and its run, bar by bar."""
+    got = {r["symbol"]: r for r in QUERIES["B17_turtle"](spark, SF).collect()}
+    assert set(got) == set(series)
+    for symbol, bars in series.items():
+        close, opens = [b["close"] for b in bars], [b["open"] for b in bars]
+        fast, slow, atr = ema(close, 50), ema(close, 200), ema(true_ranges(bars), 14, 1 / 14)
+        pos, inside, top, wait = [], False, 0.0, 0
+        for i, c in enumerate(close):
+            ok = fast[i] is not None and slow[i] is not None
+            if inside:
+                top = max(top, c)
+                if c <= top - 3 * atr[i] or fast[i] < slow[i]:
+                    inside, wait = False, 4
+            elif wait:
+                wait -= 1
+            elif ok and i >= 55 and c > fast[i] > slow[i] and c > max(b["high"] for b in bars[i - 55 : i]):
+                inside, top = True, c
+            pos.append(int(inside))
+        total, held = 0.0, [0, *pos[:-1]]
+        for i, h in enumerate(held):
+            was = held[i - 1] if i else 0
+            last = i == len(held) - 1
+            g = opens[i + 1] / opens[i] if h and not last else 1.0
+            g *= (1 / 1.001 if h and not was else 1.0) * (0.999 if was and not h else 1.0) * (0.999 if last and h else 1.0)
+            total += np.log(g)
+        assert got[symbol]["bars_in"] == sum(pos) and abs(got[symbol]["log_total"] - total) < 1e-4
+
+
+def test_feature_matrix(spark):
+    """Returns, volatility, averages and bands of each hourly bar, against numpy on whole series."""
+    from quernstone.sources.bars import event_bars
+
+    own = {}
+    for r in event_bars(spark, SF).orderBy("symbol", "ts").collect():
+        own.setdefault(r["symbol"], []).append(r)
+    got = {(r["symbol"], r["ts"]): r for r in QUERIES["X10_feature_matrix"](spark, SF).collect()}
+    assert len(got) == sum(map(len, own.values()))
+    for symbol, bars in own.items():
+        c, high, low, volume = (np.array([b[k] for b in bars]) for k in ("close", "high", "low", "volume"))
+        line = [f - s if f is not None and s is not None else None for f, s in zip(ema(c, 12), ema(c, 26))]
+        signal = [None] * (len(line) - len([x for x in line if x is not None])) + ema([x for x in line if x is not None], 9)
+        change = np.maximum(np.diff(c, prepend=c[0]), 0), np.maximum(-np.diff(c, prepend=c[0]), 0)
+        up, down = ema(change[0], 14, 1 / 14), ema(change[1], 14, 1 / 14)
+        mean, atr = ema(c, 20, 2 / 21), ema(true_ranges(bars), 14, 1 / 14)
+        logs = np.log(c)
+        for i, b in enumerate(bars):
+            r = got[symbol, b["ts"]]
+            for n in (1, 3, 6, 12, 24):
+                assert same(r[f"ret_{n}"], logs[i] - logs[i - n] if i >= n else None)
+            for n in (24, 72):
+                assert same(r[f"vol_{n}"], np.diff(logs[i - n : i + 1]).std(ddof=1) if i >= n else None)
+            assert same(r["ema_gap"], c[i] / mean[i] - 1) and same(r["atr_pct"], atr[i] / c[i])
+            assert same(r["rsi"], 100 - 100 / (1 + up[i] / down[i]) if down[i] else None)
+            assert same(r["macd"], line[i] - signal[i] if signal[i] is not None else None)
+            w = slice(i - 19, i + 1)
+            if i >= 19:
+                sd = c[w].std(ddof=1)
+                assert same(r["percent_b"], (c[i] - c[w].mean() + 2 * sd) / (4 * sd) if sd else None)
+                assert same(r["donchian"], (c[i] - low[w].min()) / (high[w].max() - low[w].min()) if high[w].max() > low[w].min() else None)
+                sv = volume[w].std(ddof=1)
+                assert same(r["volume_z"], (volume[i] - volume[w].mean()) / sv if sv else None)
+            else:
+                assert r["percent_b"] is None and r["donchian"] is None and r["volume_z"] is None
+            assert same(r["hour_sin"], np.sin(2 * np.pi * b["ts"].hour / 24)) and same(r["day_cos"], np.cos(2 * np.pi * b["ts"].weekday() / 7))

@@ -178,3 +178,75 @@ def test_ranks_of_a_null(spark):
     drawn = spark.createDataFrame([(i, "a", float(i), 2.0) for i in range(4)] + [(0, "b", 1.0, 5.0)], "sim int, symbol string, v double, actual double")
     got = {r["symbol"]: (r["null_rank"], r["p_value"]) for r in V.with_rank(drawn, ["symbol"], "v").collect()}
     assert got == {"a": (0.5, 0.5), "b": (1.0, 0.0)}
+
+
+def test_pair_correlations(spark):
+    """Every two symbols, over what both have, whichever tiles and buckets they lie in."""
+    from quernstone.operators.correlation import pair_correlations
+
+    draw = np.random.default_rng(7)
+    rows = [(f"s{k}", T0 + dt.timedelta(days=int(d)), None if draw.random() < 0.05 else float(draw.normal())) for k in range(23) for d in sorted(draw.choice(900, 400, replace=False))]
+    rows += [("flat", T0 + dt.timedelta(days=d), 1.0) for d in range(900)]
+    got = {(r["a"], r["b"]): r["rho"] for r in pair_correlations(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, r double")).collect()}
+    data = {}
+    for k, t, r in rows:
+        if r is not None:
+            data.setdefault(k, {})[t] = r
+    names = sorted(data)
+    assert set(got) == {(a, b) for a in names for b in names if a < b}
+    for (a, b), rho in got.items():
+        both = sorted(set(data[a]) & set(data[b]))
+        if "flat" in (a, b):
+            assert rho is None
+        else:
+            assert abs(rho - np.corrcoef([data[a][t] for t in both], [data[b][t] for t in both])[0, 1]) < 1e-9
+
+
+def test_failure_states(spark, tmp_path):
+    """One alert a streak, one recovery, and a streak that is forgotten, whatever the batches."""
+    from quernstone.streaming import engine as E
+    from quernstone.streaming.failures import failure_states
+
+    draw = random.Random(8)
+    rows = [(i, draw.choice("abc"), hours(0) + dt.timedelta(minutes=37 * i), draw.random() < 0.6) for i in range(200)]
+    want, state = [], {}
+    for i, k, t, bad in rows:
+        n, last = state.get(k, (0, None))
+        n = 0 if last is None or t - last > dt.timedelta(hours=5) else n
+        if bad:
+            state[k] = (n + 1, t)
+            want += [(i, k, "alert", 3)] if n + 1 == 3 else []
+        else:
+            state[k] = (0, None)
+            want += [(i, k, "recovered", n)] if n >= 3 else []
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp, bad boolean")
+    for parts in (1, 5):
+        path, schema = E.staged(df, "test-failures", "ts", parts)
+        with E.rocksdb(spark):
+            out = E.drain(failure_states(E.read_stream(spark, path, schema), "k", "id", 3, 5), "test-failures-out")
+        assert sorted(map(tuple, out.collect())) == want
+
+
+def test_sweep_cells_mutate_documents(spark):
+    """Each cell is the document with other numbers in all the places of an axis; axes that matter least go where the grid is too large."""
+    import json
+
+    from quernstone.plans import sweeps
+
+    average = lambda n: {"kind": "indicator", "name": "sma", "params": {"period": n}}
+    cross = lambda side: {"type": "crossover", "series": average(20), "threshold": average(40), "direction": side}
+    plain = {"entry": {"condition": cross("above")}, "exit": {"exits": [{"type": "condition", "condition": cross("below")}]}}
+    stopped = {**plain, "exit": {"exits": [*plain["exit"]["exits"], {"type": "stop_loss", "method": {"kind": "percent", "value": 0.1}}]}}
+    docs = spark.createDataFrame([(1, json.dumps(plain)), (2, json.dumps(stopped)), (3, json.dumps({"entry": {}}))], "id int, doc string")
+    cells = sweeps.sweep_cells(docs, "id", "doc").collect()
+    own = [c for c in cells if c["id"] == 1]
+    assert len(own) == 25 and {c["cell"] for c in own} == set(range(25))
+    got = {(sweeps.crossing(json.loads(c["document"])), c["away"]) for c in own}
+    near = {20: {10: 2, 15: 1, 20: 0, 25: 1, 35: 2}, 40: {20: 2, 30: 1, 40: 0, 50: 1, 70: 2}}
+    assert got == {((a, b) if a != b else None, x + y) for a, x in near[20].items() for b, y in near[40].items()}
+    # 5 x 5 x 5 is too much: the stop matters most, then the shorter average
+    other = [json.loads(c["document"]) for c in cells if c["id"] == 2]
+    assert len(other) == 25 and {d["exit"]["exits"][1]["method"]["value"] for d in other} == {0.05, 0.075, 0.1, 0.125, 0.175}
+    assert {d["entry"]["condition"]["threshold"]["params"]["period"] for d in other} == {40}
+    assert not [c for c in cells if c["id"] == 3]
+    assert sweeps.with_crossings(sweeps.sweep_cells(docs, "id", "doc")).count() == 24  # where both are 20 there is no crossing
