@@ -42,6 +42,8 @@ class Smooth:
     warm: int = 1
     start: str = "first"
     count: int = 0
+    #: values that are missing at the start of a series, if none is after that; what has gaps is counted
+    missing: int | None = None
 
     def __post_init__(self):
         if not (self.decay == 0 or SMALLEST <= self.decay < 1):
@@ -54,18 +56,18 @@ def ema(column: str, n: int = 0, warm: bool = True, alpha: float | None = None)
     return Smooth(column, 1 - a, a, n if warm else 1)
 
 
-def wilder(column: str, n: int) -> Smooth:
+def wilder(column: str, n: int, missing: int | None = None) -> Smooth:
     """The mean of the first n values, then y = (y' * (n - 1) + x) / n."""
-    return Smooth(column, (n - 1) / n, 1 / n, n, "sum", n)
+    return Smooth(column, (n - 1) / n, 1 / n, n, "sum", n, missing)
 
 
-def wilder_sum(column: str, n: int) -> Smooth:
+def wilder_sum(column: str, n: int, missing: int | None = None) -> Smooth:
     """The sum of the first n values, then y = y' - y' / n + x."""
-    return Smooth(column, (n - 1) / n, 1.0, n, "sum", n)
+    return Smooth(column, (n - 1) / n, 1.0, n, "sum", n, missing)
 
 
 def cut(df: DataFrame, keys: tuple[str, ...], ts: str = "ts", before: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with its chunk (``_bucket``, ``_chunk``) and, as ``_before_x``, the value of each column of ``before`` in the row before.
+    """``df`` with its chunk (``_bucket``, ``_chunk``) and, as ``_before_x``, the value of each column of ``before`` in the row before; with any, also ``_number``, a row's number from 1.
 
     Times are distinct in a series. The first row of a bucket reads its predecessor's values from
     the bucket's own row in a table of buckets.
@@ -79,30 +81,32 @@ def cut(df: DataFrame, keys: tuple[str, ...], ts: str = "ts", before: tuple[str,
     if not before:
         return rows.drop("_row")
     values = lambda: F.struct(*[F.col(c).alias(c) for c in before])
-    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by(values(), ts).alias("_end"))
-    ends = ends.select(*keys, "_bucket", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_end"))
+    in_order = Window.partitionBy(*keys).orderBy("_bucket")
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by(values(), ts).alias("_end"), F.count("*").alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(*keys, "_bucket", F.lag("_end").over(in_order).alias("_end"), upto.alias("_upto"))
     rows = rows.withColumn("_own", F.lag(values()).over(inside)).join(ends, [*keys, "_bucket"])
     prior = F.when(F.col("_row") == 0, F.col("_end")).otherwise(F.col("_own"))
-    rows = rows.withColumn("_prior", prior)
-    return rows.withColumns({f"_before_{c}": F.col("_prior")[c] for c in before}).drop("_own", "_end", "_prior", "_row")
+    rows = rows.withColumn("_prior", prior).withColumn("_number", F.col("_upto") + F.col("_row") + 1)
+    return rows.withColumns({f"_before_{c}": F.col("_prior")[c] for c in before}).drop("_own", "_end", "_prior", "_row", "_upto")
 
 
 class Composed:
-    """The chunks of a series in order: what each of several averages begins a chunk with."""
+    """The chunks of a series in order: what each of several averages begins a chunk with, and how many values it has had."""
 
     def __init__(self, n: int):
-        self.values = [None] * n
+        self.values, self.seen = [None] * n, [0] * n
         self.n = n
 
     def push(self, row: tuple) -> list[tuple]:
-        bucket, chunk = row[:2]
-        out = [bucket, chunk]
+        out = list(row[:2])
         for i in range(self.n):
-            a, b, first = row[2 + 3 * i : 5 + 3 * i]
+            a, b, first, count = row[2 + 4 * i : 6 + 4 * i]
             begin = self.values[i] if self.values[i] is not None else first if first == first else None
-            out.append(begin)
+            out += [begin, self.seen[i]]
             if begin is not None:
                 self.values[i] = a * begin + b
+            self.seen[i] += count
         return [tuple(out)]
 
     def close(self) -> list[tuple]:
@@ -125,13 +129,26 @@ def smoothed(rows: DataFrame, keys: tuple[str, ...], ts: str, wanted: dict[str,
     deep = {name: s for name, s in wanted.items() if s.decay > 0}
     columns = list(dict.fromkeys(s.column for s in wanted.values()))
     # rows are read for the counts, for the chunks' maps and for the result: once from their source, then from the table
-    rows = counted(written(rows, "chunks"), keys, ts, columns)
-    seen = lambda s: F.col(f"_seen_{s.column}")
-    here = lambda s: F.count(s.column).over(inside)
+    rows = written(rows, "chunks")
+    # where a first value starts a series, how many there were comes with the maps; a sum of the first n must know before
+    known = {s.column: s.missing for s in wanted.values() if s.missing is not None and "_number" in rows.columns}
+    early = list(dict.fromkeys(s.column for s in wanted.values() if (s.start == "sum" or s.decay == 0) and s.column not in known))
+    rows = counted(rows, keys, ts, early) if early else rows
     inside = Window.partitionBy(*keys, "_bucket", "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_here_{c}": F.count(c).over(inside) for c in columns})
+    here = lambda s: F.col(f"_here_{s.column}")
+    index = {name: i for i, name in enumerate(deep)}
+
+    def seen(name: str, s: Smooth) -> Column:
+        if s.column in known:
+            return F.greatest(F.col("_number") - known[s.column], F.lit(0))
+        return F.col(f"_seen_{s.column}") if s.column in early else F.col(f"_s{index[name]}") + here(s)
+
     steps = {}
     for name, s in deep.items():
-        decays = here(s) if s.start == "first" else F.greatest(seen(s) - s.count, F.lit(0)) - F.greatest(seen(s) - here(s) - s.count, F.lit(0))
+        decays = here(s)
+        if s.start == "sum":
+            decays = F.greatest(seen(name, s) - s.count, F.lit(0)) - F.greatest(seen(name, s) - here(s) - s.count, F.lit(0))
         steps[f"_steps_{name}"] = decays.cast("int")
     rows = rows.withColumns(steps)
     power = lambda name, s, sign=1: F.pow(F.lit(s.decay), sign * F.col(f"_steps_{name}"))
@@ -140,19 +157,20 @@ def smoothed(rows: DataFrame, keys: tuple[str, ...], ts: str, wanted: dict[str,
     maps = []
     for i, (name, s) in enumerate(deep.items()):
         first = F.min_by(s.column, F.when(F.col(s.column).isNotNull(), F.col(ts))) if s.start == "first" else F.lit(0.0)
-        maps += [last(power(name, s)).alias(f"_a{i}"), last(F.col(f"_b_{name}")).alias(f"_c{i}"), F.max(first).alias(f"_f{i}") if s.start != "first" else first.alias(f"_f{i}")]
+        maps += [last(power(name, s)).alias(f"_a{i}"), last(F.col(f"_b_{name}")).alias(f"_c{i}"), F.max(first).alias(f"_f{i}") if s.start != "first" else first.alias(f"_f{i}"), F.max(here(s)).alias(f"_n{i}")]
     if deep:
         n = len(deep)
         chunks = rows.groupBy(*keys, "_bucket", "_chunk").agg(*maps)
-        schema = ", ".join(["_bucket long", "_chunk int", *[f"_y{i} double" for i in range(n)]])
-        reads = ["_bucket", "_chunk", *[f"_{x}{i}" for i in range(n) for x in "acf"]]
+        schema = ", ".join(["_bucket long", "_chunk int", *[f"_y{i} double, _s{i} long" for i in range(n)]])
+        reads = ["_bucket", "_chunk", *[f"_{x}{i}" for i in range(n) for x in "acfn"]]
         begins = ordered_scan(chunks, list(keys), ["_bucket", "_chunk"], reads, lambda key: Composed(n), schema)
         rows = rows.join(begins, [*keys, "_bucket", "_chunk"])
-    shown = lambda s, value: F.when(F.col(s.column).isNotNull() & (seen(s) >= s.warm), value)
-    out = {name: shown(s, F.col(f"_b_{name}") + power(name, s) * F.col(f"_y{i}")) for i, (name, s) in enumerate(deep.items())}
-    out |= {name: shown(s, s.gain * F.col(s.column)) for name, s in flat.items()}
+    shown = lambda name, s, value: F.when(F.col(s.column).isNotNull() & (seen(name, s) >= s.warm), value)
+    out = {name: shown(name, s, F.col(f"_b_{name}") + power(name, s) * F.col(f"_y{i}")) for i, (name, s) in enumerate(deep.items())}
+    out |= {name: shown(name, s, s.gain * F.col(s.column)) for name, s in flat.items()}
     rows = rows.withColumns(out)
-    return rows.drop(*steps, *[f"_b_{name}" for name in deep], *[f"_y{i}" for i in range(len(deep))], *[f"_seen_{c}" for c in columns])
+    helpers = [*steps, *[f"_b_{name}" for name in deep], *[f"_{x}{i}" for i in range(len(deep)) for x in "ys"], *[f"_seen_{c}" for c in columns], *[f"_here_{c}" for c in columns]]
+    return rows.drop(*helpers)
 
 
 def true_range() -> Column:
@@ -181,7 +199,7 @@ def with_smoothed(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tu
         if kind == "ema":
             first[name] = ema("close", p.get("n", 0), p.get("warm", True), p.get("alpha"))
         elif kind == "atr":
-            first[name] = wilder("_tr", p["n"])
+            first[name] = wilder("_tr", p["n"], 0)
         elif kind == "research_atr":
             first[name] = ema("_tr", alpha=1 / p["n"], warm=False)
         elif kind == "rsi":
@@ -199,7 +217,7 @@ def with_smoothed(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tu
             second[f"{name}_signal"] = ema(f"{name}_line", signal)
             results[f"{name}_histogram"] = F.col(f"{name}_line") - F.col(f"{name}_signal")
         elif kind == "keltner":
-            first |= {f"{name}_middle": ema("close", p.get("n", 20)), f"_{name}_atr": wilder("_tr", p.get("atr", 10))}
+            first |= {f"{name}_middle": ema("close", p.get("n", 20)), f"_{name}_atr": wilder("_tr", p.get("atr", 10), 0)}
             width = p.get("multiple", 2.0) * F.col(f"_{name}_atr")
             results |= {f"{name}_upper": F.col(f"{name}_middle") + width, f"{name}_lower": F.col(f"{name}_middle") - width}
         elif kind == "adx":
@@ -211,7 +229,7 @@ def with_smoothed(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tu
                 "_rise": F.when(moved, F.when((rise > fall) & (rise > 0), rise).otherwise(0.0)),
                 "_fall": F.when(moved, F.when((fall > rise) & (fall > 0), fall).otherwise(0.0)),
             }
-            first |= {f"_{name}_{c}": wilder_sum(f"_{c}", n) for c in ("move", "rise", "fall")}
+            first |= {f"_{name}_{c}": wilder_sum(f"_{c}", n, 1) for c in ("move", "rise", "fall")}
             total = F.nullif(F.col(f"_{name}_move"), F.lit(0.0))
             middle |= {f"{name}_plus": 100 * F.col(f"_{name}_rise") / total, f"{name}_minus": 100 * F.col(f"_{name}_fall") / total}
             plus, minus = F.col(f"{name}_plus"), F.col(f"{name}_minus")

@@ -116,14 +116,14 @@ def first_in_range(points: DataFrame, series: DataFrame, keys: list[str], point_
     """
     from quernstone.operators.rangerank import nodes_of
 
-    rows = numbered(series.select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_v")).withColumn("_chunk", chunk), keys, "_chunk", ["_t", "_v"], "_i").drop("_chunk")
-    rows = written(rows, "leaves")
-    last = rows.groupBy(*keys, "_t").agg(F.max("_i").alias("_i"))
-    spans = points.select(point_id, *keys, F.col(start).alias("_from"), F.col(end).alias("_until"), F.col(bound).alias("_bound"))
-    spans = asof(spans, last.withColumnRenamed("_i", "_lo"), keys, "_from", "_t", ["_lo"], chunk, strict=True)
-    spans = asof(spans, last.withColumnRenamed("_i", "_hi"), keys, "_until", "_t", ["_hi"], chunk)
-    spans = spans.select(point_id, *keys, "_bound", F.coalesce(F.col("_lo") + 1, F.lit(0)).alias("_lo"), "_hi").where("_hi >= _lo")
-    spans = written(spans, "spans")
+    # rows, starts and ends in one order: the rows in front of each number rows and bound spans at once
+    row = series.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.col(value).alias("_v"))
+    place = lambda t, kind: points.select(*keys, F.col(t).alias("_t"), F.lit(kind).alias("_kind"), F.col(point_id), F.col(bound).alias("_bound"))
+    every = row.unionByName(place(start, 0), allowMissingColumns=True).unionByName(place(end, 2), allowMissingColumns=True).withColumn("_chunk", chunk)
+    every = written(running_sum(every, keys, "_chunk", ["_t", "_kind", "_v"], (F.col("_kind") == 1).cast("long"), "_upto").drop("_chunk"), "places")
+    rows = every.where("_kind = 1").select(*keys, "_t", "_v", (F.col("_upto") - 1).alias("_i"))
+    at = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_upto")))
+    spans = every.where("_kind <> 1").groupBy(point_id, *keys, "_bound").agg(at(0).alias("_lo"), (at(2) - 1).alias("_hi")).where("_hi >= _lo")
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
     levels = longest.bit_length()
     every = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda l: F.struct(l.cast("int").alias("level"), F.call_function("shiftright", F.col("_i"), l).alias("node")))

@@ -37,9 +37,9 @@ def told(state: object) -> object:
 
 
 def walk(dealt: DataFrame, keys: list[str], columns: list[str], kernel: Callable[[tuple], Kernel], schema: str | None) -> DataFrame:
-    """Walk each chunk from ``_begin`` (null: a new state). With a ``schema`` the kernel's rows, without one the state at the end."""
+    """Walk each chunk from ``_begin``, which is called ``_from`` (null: a new state). With a ``schema`` the kernel's rows, without one the state at the end."""
     key_schema = ", ".join(f"`{k}` {dealt.schema[k].dataType.simpleString()}" for k in [*keys, *CHUNK])
-    full = f"{key_schema}, {schema or '_end binary, _told string'}"
+    full = f"{key_schema}, {schema or '_end binary, _told string, _with string'}"
     out_schema = to_arrow_schema(T._parse_datatype_string(full))
     n = len(keys) + len(CHUNK)
 
@@ -48,18 +48,18 @@ def walk(dealt: DataFrame, keys: list[str], columns: list[str], kernel: Callable
         return pa.RecordBatch.from_arrays([values(c, f.type) for c, f in zip(parts, out_schema)], schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        end = lambda: [(*key, pickle.dumps(state), repr(told(state)))]
+        key, state, name = None, None, None
+        end = lambda: [(*key, pickle.dumps(state), repr(told(state)), name or "")]
         for batch in batches:
             out: list[tuple] = []
-            lists = [read(batch.column(batch.schema.get_field_index(c))) for c in [*keys, *CHUNK, "_begin", *columns]]
+            lists = [read(batch.column(batch.schema.get_field_index(c))) for c in [*keys, *CHUNK, "_begin", "_from", *columns]]
             for row in zip(*lists):
                 if row[:n] != key:
                     if key is not None and schema is None:
                         out += end()
-                    key = row[:n]
+                    key, name = row[:n], row[n + 1]
                     state = kernel(key[: len(keys)]) if row[n] is None else pickle.loads(row[n])
-                made = state.push(row[n + 1 :])
+                made = state.push(row[n + 2 :])
                 if schema is not None:
                     out += [(*key, *x) for x in made]
             yield batch_of(out)
@@ -78,26 +78,20 @@ def speculative_scan(rows: DataFrame, keys: list[str], ts: str, columns: list[st
     used = list(dict.fromkeys([*keys, *CHUNK, ts, *columns]))
     rows = written(rows.select(*used), "chunks")  # read in each round
 
+    new = [F.lit(None).cast("binary").alias("_begin"), F.lit(None).cast("string").alias("_from")]
+
     def dealt(begins: DataFrame | None) -> DataFrame:
-        some = rows.withColumn("_begin", F.lit(None).cast("binary")) if begins is None else rows.join(begins, [*keys, *CHUNK])
+        some = rows.select("*", *new) if begins is None else rows.join(begins.select(*keys, *CHUNK, "_begin", "_from"), [*keys, *CHUNK])
         return some.repartition(*keys, *CHUNK).sortWithinPartitions(*keys, *CHUNK, ts)
 
     order = Window.partitionBy(*keys).orderBy(*CHUNK)
     ends = written(walk(dealt(None), keys, columns, kernel, None), "ends")
-
-    def begins_of(ends: DataFrame) -> DataFrame:
-        return ends.select(*keys, *CHUNK, F.lag("_end").over(order).alias("_begin"), F.lag("_told").over(order).alias("_from"))
-
-    walked = ends.select(*keys, *CHUNK, F.lit("").alias("_with"))  # what each chunk was last walked from; a new state has no name
     for _ in range(most_rounds):
-        begins = begins_of(ends)
-        changed = begins.join(walked, [*keys, *CHUNK]).where("_from IS NOT NULL AND _from <> _with").select(*keys, *CHUNK, "_begin", "_from")
-        changed = written(changed, "begins")
+        # beside each chunk's end and what it was walked from (``_with``), what its predecessor ends with now
+        begins = ends.withColumns({"_begin": F.lag("_end").over(order), "_from": F.lag("_told").over(order)})
+        changed = begins.where(F.col("_from").isNotNull() & (F.col("_from") != F.col("_with")))
         if changed.isEmpty():
-            return walk(dealt(begins.select(*keys, *CHUNK, "_begin")), keys, columns, kernel, schema).drop(*CHUNK)
-        again = walk(dealt(changed.drop("_from")), keys, columns, kernel, None)
-        was = ends.join(changed, [*keys, *CHUNK], "left_anti")
-        ends = written(was.unionByName(again), "ends")
-        stayed = walked.join(changed, [*keys, *CHUNK], "left_anti")
-        walked = written(stayed.unionByName(changed.select(*keys, *CHUNK, F.col("_from").alias("_with"))), "walked")
+            return walk(dealt(begins), keys, columns, kernel, schema).drop(*CHUNK)
+        again = walk(dealt(changed), keys, columns, kernel, None)
+        ends = written(ends.join(changed.select(*keys, *CHUNK), [*keys, *CHUNK], "left_anti").unionByName(again), "ends")
     raise RuntimeError(f"walks have not met after {most_rounds} rounds")

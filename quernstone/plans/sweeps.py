@@ -155,3 +155,12 @@ def rolled_up(cells: DataFrame, runs: DataFrame, id_col: str) -> DataFrame:
     told = each.groupBy(id_col, "symbol").agg(F.count("*").alias("cells"), F.max("total").alias("best"), F.min("total").alias("worst"), own.alias("own"), near.alias("neighbour_avg"))
     apart = (F.col("own") - F.col("neighbour_avg")) / F.greatest(F.abs("own"), F.lit(0.01))
     return told.withColumn("peakiness", F.greatest(F.lit(0.0), F.least(F.lit(1.0), apart)))
+
+
+def document_sweep(documents: DataFrame, id_col: str, json_col: str, bars: DataFrame, per_side_bps: float, most: int = MOST_CELLS) -> DataFrame:
+    """What ``rolled_up`` gives for each document and symbol. Equal documents are swept once."""
+    named = documents.select(id_col, F.sha2(json_col, 256).alias("_key"), F.col(json_col).alias("_doc"))
+    distinct = written(named.groupBy("_key").agg(F.first("_doc").alias("_doc")), "documents")
+    cells = written(with_crossings(sweep_cells(distinct, "_key", "_doc", most)).drop("document"), "cells")
+    told = rolled_up(cells, crossing_runs(bars, cells, per_side_bps), "_key")
+    return named.select(id_col, "_key").join(told, "_key").drop("_key")

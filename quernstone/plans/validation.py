@@ -151,6 +151,25 @@ def block_permuted(labels: DataFrame, sims: DataFrame, block: int) -> DataFrame:
     return cut.select("sim", "symbol", "y", (F.row_number().over(order) - 1).alias("k"))
 
 
+def least_draws(rows: DataFrame, groups: list[str], order: Column, ties: str, wanted: str, rows_in_group: str) -> DataFrame:
+    """Of each group of ``rows`` the ``wanted`` (a column) with the least ``order``, a draw of 32 bits, ties by ``ties``.
+
+    Draws above what so many of ``rows_in_group`` will hardly need are left out before anything
+    is sorted; a group that comes out short all the same is drawn from all its rows.
+    """
+    n, size = F.col(wanted), F.col(rows_in_group)
+    bound = (n + 8 * F.sqrt(n) + 16) / size * 2**32
+    rows = rows.withColumn("_d", order)
+    w = Window.partitionBy(*groups).orderBy("_d", ties)
+    few = rows.where(F.col("_d") <= bound)
+    ranked = few.withColumn("_k", F.row_number().over(w)).withColumn("_have", F.count("*").over(Window.partitionBy(*groups)))
+    enough = ranked.where(F.col("_have") >= F.least(n, size))
+    # groups without enough, or without any, of those draws
+    short = rows.select(*groups).distinct().join(enough.select(*groups).distinct(), groups, "left_anti")
+    rest = rows.join(short, groups, "left_semi").withColumn("_k", F.row_number().over(w)).withColumn("_have", size)
+    return enough.unionByName(rest).where(F.col("_k") <= n).drop("_d", "_k", "_have")
+
+
 def expected_max_sharpe(trials: Column) -> Column:
     """Of that many trials without any skill, in units of their spread."""
     best = lambda n: (1 - EULER_GAMMA) * S.norm_ppf(1 - 1 / n) + EULER_GAMMA * S.norm_ppf(1 - F.exp(F.lit(-1.0)) / n)

@@ -133,9 +133,7 @@ def crossing_documents(spark, sf_dir):
 @add("V3_document_sweep", DOCUMENT_SWEEP)
 def v3_documents(spark, sf_dir):
     """The grids that the axes of all documents span, in one job, and what each document's own cell is worth among its neighbours."""
-    cells = written(sweeps.with_crossings(sweeps.sweep_cells(crossing_documents(spark, sf_dir), "p_partkey", "document")).drop("document"), "cells")
-    runs = sweeps.crossing_runs(event_bars(spark, sf_dir), cells, BPS)
-    told = sweeps.rolled_up(cells, runs, "p_partkey")
+    told = sweeps.document_sweep(crossing_documents(spark, sf_dir), "p_partkey", "document", event_bars(spark, sf_dir), BPS)
     return told.select("p_partkey", "symbol", "cells", *rounded({c: F.col(c) for c in ("best", "worst", "own", "neighbour_avg", "peakiness")}, 5))
 
 
@@ -245,9 +243,10 @@ def v11(spark, sf_dir):
 def v12(spark, sf_dir):
     """As many entries as the strategy had, at random bars, held ten bars: how many of them did better than its own trades?"""
     n = vector_trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("actual"))
-    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL").join(V.simulations(spark, DRAWS))
-    order = Window.partitionBy("sim", "symbol").orderBy(V.draw(F.col("sim"), F.col("symbol"), F.date_format("ts", "yyyy-MM-dd")), "ts")
-    drawn = e.withColumn("k", F.row_number().over(order)).join(n, "symbol").where("k <= n")
+    e = daily_bars(spark, sf_dir).select("symbol", "ts", "open", F.lead("open", 10).over(I.series()).alias("exit_open")).where("exit_open IS NOT NULL")
+    e = written(e.join(n, "symbol").join(e.groupBy("symbol").agg(F.count("*").alias("bars")), "symbol"), "entries").join(V.simulations(spark, DRAWS))
+    chance = V.draw(F.col("sim"), F.col("symbol"), F.date_format("ts", "yyyy-MM-dd"))
+    drawn = V.least_draws(e, ["sim", "symbol"], chance, "ts", "n", "bars")
     each = drawn.groupBy("sim", "symbol").agg(F.count("*").alias("trades"), F.avg(F.col("exit_open") / F.col("open") - 1).alias("mean"), F.first("actual").alias("actual"))
     return V.with_rank(each, ["symbol"], "mean").select("sim", "symbol", "trades", *rounded({"mean": F.col("mean"), "actual": F.col("actual")}, 5), "null_rank", "p_value")
 
