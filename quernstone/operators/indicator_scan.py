@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quernstone.functions import recurrences as R
-from quernstone.operators.affine import cut, with_smoothed
+from quernstone.operators.affine import with_smoothed
 from quernstone.operators.sequential import ordered_scan
-from quernstone.operators.speculative import speculative_scan
+from quernstone.operators.speculative import long_chunks, speculative_scan
 
 #: name -> (state, columns it reads, names it gives)
 INDICATORS = {
@@ -44,7 +44,7 @@ def turning(bars: DataFrame, name: str, kind: str, args: dict, keys: tuple[str,
         columns = [*columns, "_atr"]
         make = lambda key: Stamped(R.Bands(args.get("multiple", 3.0)))
     schema = f"ts {bars.schema['ts'].dataType.simpleString()}, `{name}_value` double, `{name}_direction` double"
-    return speculative_scan(cut(bars, keys), list(keys), "ts", ["ts", *columns], make, schema)
+    return speculative_scan(long_chunks(bars, keys), list(keys), "ts", ["ts", *columns], make, schema)
 
 
 def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), carry: tuple[str, ...] = ()) -> DataFrame:

@@ -23,10 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quernstone.operators.affine import cut
 from quernstone.operators.sequential import Kernel, read, values
 from quernstone.sources.store import written
 
 CHUNK = ["_bucket", "_chunk"]
+#: Rows of a chunk that is walked: a fraction of a second, and long enough for most walks to meet in.
+LONG = 65_536
+
+
+def long_chunks(df: DataFrame, keys: tuple[str, ...], ts: str = "ts") -> DataFrame:
+    """``df`` cut into chunks of ``LONG`` rows, by the numbers of a series' rows."""
+    numbered = cut(df, keys, ts, (ts,)).drop(f"_before_{ts}")
+    return numbered.withColumns({"_bucket": F.lit(0).cast("long"), "_chunk": F.floor((F.col("_number") - 1) / LONG).cast("int")}).drop("_number")
 
 
 def told(state: object) -> object:
@@ -70,7 +79,7 @@ def walk(dealt: DataFrame, keys: list[str], columns: list[str], kernel: Callable
 
 
 def speculative_scan(rows: DataFrame, keys: list[str], ts: str, columns: list[str], kernel: Callable[[tuple], Kernel], schema: str, most_rounds: int = 1_000) -> DataFrame:
-    """``kernel`` over each series of rows from ``affine.cut``; output rows are prefixed with the keys.
+    """``kernel`` over each series of rows from ``long_chunks`` or ``affine.cut``; output rows are prefixed with the keys.
 
     The kernel must be picklable, and its attributes plain values, lists or objects of such.
     It must give all its rows in ``push``. Raises if walks have not met after ``most_rounds``.

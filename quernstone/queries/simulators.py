@@ -9,13 +9,12 @@ from quernstone.functions import conditions as C
 from quernstone.functions import indicators as I
 from quernstone.operators import engines as G
 from quernstone.operators import simulators as S
-from quernstone.operators.affine import cut
 from quernstone.operators.indicator_scan import walked_indicators, with_indicators
 from quernstone.operators.cooldown import picked
 from quernstone.operators.joins import asof
 from quernstone.operators.rangerank import with_matched_percentile
 from quernstone.operators.sequential import ordered_scan
-from quernstone.operators.speculative import speculative_scan
+from quernstone.operators.speculative import long_chunks, speculative_scan
 from quernstone.plans import spec as P
 from quernstone.queries.aggregates import BPS, SIG, TRADES, signals, vector_run, vector_trades
 from quernstone.queries.joins import book
@@ -315,7 +314,7 @@ def turtle(spark, sf_dir):
     x = with_indicators(daily_bars(spark, sf_dir), {"fast": ("ema", {"n": 50}), "slow": ("ema", {"n": 200}), "atr": ("research_atr", {"n": 14})}, carry=OHLCV)
     x = x.withColumn("breakout", I.highest(I.lag(F.col("high"), 1), 55)).withColumn("member", F.lit(True))
     columns = ["ts", "close", "fast", "slow", "breakout", "atr", "member"]
-    held = speculative_scan(cut(x, ("symbol",)), ["symbol"], "ts", columns, lambda key: S.TrendState(), f"ts {x.schema['ts'].dataType.simpleString()}, pos int")
+    held = speculative_scan(long_chunks(x, ("symbol",)), ["symbol"], "ts", columns, lambda key: S.TrendState(), f"ts {x.schema['ts'].dataType.simpleString()}, pos int")
     return x.select("symbol", "ts", "open").join(held, ["symbol", "ts"])
 
 

@@ -116,6 +116,20 @@ def test_latches(spark, rows, small, kind):
         assert (got[key][0] is None) == (value is None) and (value is None or abs(got[key][0] - value) < 1e-9) and got[key][1] == direction, key
 
 
+def test_long_chunks(spark, rows, small, monkeypatch):
+    """Numbers run on across buckets, so chunks are full whatever the gaps; a rule over them is the same as one walk."""
+    from quernstone.operators import speculative
+    from quernstone.operators.indicator_scan import turning
+
+    monkeypatch.setattr(speculative, "LONG", 50)
+    df = spark.createDataFrame(rows, BARS)
+    sizes = {(r["symbol"], r["_chunk"]): r["count"] for r in speculative.long_chunks(df, ("symbol",)).groupBy("symbol", "_chunk").count().collect()}
+    assert sizes == {("short", 0): 9} | {("long", i): 50 for i in range(18)}
+    want = walked(rows, R.Psar)
+    got = {(r["symbol"], r["ts"]): (r["p_value"], r["p_direction"]) for r in turning(df, "p", "psar", {}).collect()}
+    assert got == want
+
+
 class Sum:
     """A state that never meets: every chunk's end depends on all before it."""
 
