@@ -434,13 +434,13 @@ FEATURES = ["spread_bps", "imbalance", "flow", "updates", "vol"]
 
 
 def micro_matrix(spark, sf_dir):
-    """Five features of the book for each hour, and the log return of the mid over the next."""
+    """Five features of the book for each hour, and the log return of the mid over the next. A mid of zero has neither a relative spread nor a return."""
     w = Window.partitionBy("symbol").orderBy("ts", "event_id")
     mid = (F.col("bid") + F.col("ask")) / 2
     b = book(spark, sf_dir).withColumn("mid", mid).withColumn("d", F.ln(mid) - F.ln(F.lag(mid).over(w)))
     flow = (F.col("bq") - F.col("aq")) / F.nullif(F.col("bq") + F.col("aq"), F.lit(0.0))
     hours = b.groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
-        (F.avg((F.col("ask") - F.col("bid")) / F.col("mid")) * 1e4).alias("spread_bps"), F.avg(flow).alias("imbalance"), F.sum(F.signum(F.col("bq") - F.col("aq"))).alias("flow"),
+        (F.avg((F.col("ask") - F.col("bid")) / F.nullif(F.col("mid"), F.lit(0.0))) * 1e4).alias("spread_bps"), F.avg(flow).alias("imbalance"), F.sum(F.signum(F.col("bq") - F.col("aq"))).alias("flow"),
         F.count("*").cast("double").alias("updates"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("vol"), F.max_by("mid", F.struct("ts", "event_id")).alias("last"),
     )
     n = Window.partitionBy("symbol").orderBy("bar")
