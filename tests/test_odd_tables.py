@@ -32,3 +32,11 @@ def test_volatility_over_a_mid_of_zero(spark, zero_mids):
     got = QUERIES["A3_micro_features"](spark, zero_mids)
     assert got.where("isnan(vol)").count() > 0
     assert_same(got, con, SQL["A3_micro_features"])
+
+
+def test_scores_on_a_bound_of_the_verdicts(spark, tmp_path):
+    """Scores that are 30 or 60 but for the last digit: the steps of the maps must be those of their decimals."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT k::BIGINT AS p_partkey, s::INT AS p_size FROM (VALUES (13986, 20), (48100, 44), (62900, 32), (76886, 20)) t(k, s)")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    assert_same(QUERIES["V7_composite"](spark, str(tmp_path)), con, SQL["V7_composite"])
