@@ -9,6 +9,7 @@ Catalyst plans the rest. No code is accepted in a document.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,8 @@ SCANNED = {
     "psar": (lambda p: ("psar", {"step": p.get("step", 0.02), "most": p.get("max_step", 0.2)}), "value"),
     "supertrend": (lambda p: ("supertrend", {"n": p.get("atr_period", 10), "multiple": p.get("multiplier", 3.0)}), "value"),
 }
+#: Different documents whose answers a worker keeps: rows often share theirs. The rest are read anew.
+REMEMBERED = 65_536
 #: Components as documents name them, where the scan names them otherwise.
 COMPONENTS = {"hist": "histogram"}
 
@@ -141,37 +144,40 @@ def errors(spec: dict) -> list[str]:
         out.append("unknown_timeframe")
     elif slow and TIMEFRAMES.get(slow, 0) <= TIMEFRAMES[primary]:
         out.append("filter_tf_must_be_higher")
-    every = list(nodes(spec))
-    if spec.get("schema_version", "1.0") == "1.0" and any(kind_of(x) in (*STATEFUL, *GATES, "ratchet") for x in every):
+    every = [(kind_of(x), x) for x in nodes(spec)]
+    if spec.get("schema_version", "1.0") == "1.0" and any(kind in (*STATEFUL, *GATES, "ratchet") for kind, _ in every):
         out.append("stateful_requires_schema_v2")
-    if any(kind_of(x) == "ratchet" and any(kind_of(y) == "ratchet" for y in nodes(x.get("source", {}))) for x in every):
+    if any(kind == "ratchet" and any(kind_of(y) == "ratchet" for y in nodes(x.get("source", {}))) for kind, x in every):
         out.append("ratchet_nested_unsupported")
     if spec.get("legs") or spec.get("spread"):
         out.append("legs_not_supported")
-    if any(kind_of(x) == "ratchet" and x.get("reset") == "per_trade" for x in every):
+    if any(kind == "ratchet" and x.get("reset") == "per_trade" for kind, x in every):
         out.append("per_trade_ratchet_not_supported")
-    for x in every:
-        if kind_of(x) == "indicator":
+    for kind, x in every:
+        if kind == "indicator":
             out += indicator_errors(x)
-        elif kind_of(x) in ("rsi", "bollinger_bands", "zscore") and not 2 <= x.get("period", 14) <= 500:
+        elif kind in ("rsi", "bollinger_bands", "zscore") and not 2 <= x.get("period", 14) <= 500:
             out.append("out_of_bounds:period")
         out += [f"out_of_bounds:{k}" for k in _outside(x, BOUNDS)]
     return out
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _told(text: str | None) -> tuple[int | None, int | None, str]:
+    """Tier, warm-up and errors of a text."""
+    try:
+        spec = stripped(json.loads(text))
+        return tier(spec), warm_up(spec), ",".join(errors(spec))
+    except (TypeError, ValueError):
+        return None, None, "not_json"
+
+
 def checked(documents: DataFrame, json_col: str) -> DataFrame:
     """``documents`` with ``tier``, ``warm_up`` and ``errors`` (comma-joined) of the JSON in a column; text that is no JSON has the error ``not_json``."""
 
     @F.pandas_udf("tier int, warm_up int, errors string")
     def told(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                spec = stripped(json.loads(t))
-                rows.append((tier(spec), warm_up(spec), ",".join(errors(spec))))
-            except (TypeError, ValueError):
-                rows.append((None, None, "not_json"))
-        return pd.DataFrame(rows, columns=["tier", "warm_up", "errors"]).astype({"tier": "Int32", "warm_up": "Int32"})
+        return pd.DataFrame([_told(t) for t in texts], columns=["tier", "warm_up", "errors"]).astype({"tier": "Int32", "warm_up": "Int32"})
 
     return documents.withColumn("_told", told(F.col(json_col))).select("*", "_told.*").drop("_told")
 

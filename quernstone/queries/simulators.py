@@ -154,7 +154,8 @@ def documents(spark, sf_dir):
         F.lit('","entry":{"condition":{"type":"regime_state","enter_when":'), condition("above"), F.lit(',"exit_when":'), condition("below"),
         F.lit('},"order_type":"market"},"exit":{"exits":[{"type":"time","max_bars_held":5}'), stop, F.lit("]}"), sizing, F.lit("}"),
     )
-    return scan(spark, sf_dir, "part").select("p_partkey", F.when(k % 17 == 0, "no document").otherwise(text).alias("document"))
+    # a few MB of parts make documents a hundred times as long: dealt out before that, or a task or two would read them all
+    return scan(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey").select("p_partkey", F.when(k % 17 == 0, "no document").otherwise(text).alias("document"))
 
 
 @add("SP12_spec_checks", """SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 THEN 2 END AS tier, CASE WHEN p_partkey % 17 <> 0 THEN 1 + greatest(p_size * 12, p_size % 7 + 1) END AS warm_up,

@@ -40,3 +40,24 @@ def test_scores_on_a_bound_of_the_verdicts(spark, tmp_path):
     con.execute("CREATE TABLE part AS SELECT k::BIGINT AS p_partkey, s::INT AS p_size FROM (VALUES (13986, 20), (48100, 44), (62900, 32), (76886, 20)) t(k, s)")
     con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
     assert_same(QUERIES["V7_composite"](spark, str(tmp_path)), con, SQL["V7_composite"])
+
+
+@pytest.mark.parametrize("name", ["SP12_spec_checks"])
+def test_documents_are_dealt_out_and_read_once(spark, name):
+    """Documents are many times as long as the parts they are made of: dealt out before they are read, and equal ones read once by a worker."""
+    from quernstone.plans import spec as P
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "hashpartitioning(p_partkey" in plan[plan.rindex("ArrowEvalPython") :]
+    read = P._told
+    read.cache_clear()
+    assert read('{"a": null}') == read('{"a": null}') and read.cache_info().hits == 1
+
+
+def test_repeated_documents(spark):
+    from quernstone.plans import spec as P
+
+    text = '{"entry":{"condition":{"type":"compare","left":{"kind":"indicator","name":"sma","params":{"period":%d}},"right":null}},"exit":{"exits":[]}}'
+    rows = spark.createDataFrame([(i, [None, "", "no", "{}", text % 20, text % 30][i % 6]) for i in range(60)], "k int, t string")
+    told = {(r["t"], r["tier"], r["warm_up"], r["errors"]) for r in P.checked(rows, "t").collect()}
+    assert len(told) == 6 and {x[2] for x in told} == {None, 1, 21, 31} and sum(x[3] == "not_json" for x in told) == 3
