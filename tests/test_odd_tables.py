@@ -42,14 +42,14 @@ def test_scores_on_a_bound_of_the_verdicts(spark, tmp_path):
     assert_same(QUERIES["V7_composite"](spark, str(tmp_path)), con, SQL["V7_composite"])
 
 
-@pytest.mark.parametrize("name", ["SP12_spec_checks"])
+@pytest.mark.parametrize("name", ["SP12_spec_checks", "V2_sweep_axes"])
 def test_documents_are_dealt_out_and_read_once(spark, name):
     """Documents are many times as long as the parts they are made of: dealt out before they are read, and equal ones read once by a worker."""
     from quernstone.plans import spec as P
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "hashpartitioning(p_partkey" in plan[plan.rindex("ArrowEvalPython") :]
-    read = P._told
+    read = P._told if name == "SP12_spec_checks" else P._swept
     read.cache_clear()
     assert read('{"a": null}') == read('{"a": null}') and read.cache_info().hits == 1
 
@@ -61,3 +61,5 @@ def test_repeated_documents(spark):
     rows = spark.createDataFrame([(i, [None, "", "no", "{}", text % 20, text % 30][i % 6]) for i in range(60)], "k int, t string")
     told = {(r["t"], r["tier"], r["warm_up"], r["errors"]) for r in P.checked(rows, "t").collect()}
     assert len(told) == 6 and {x[2] for x in told} == {None, 1, 21, 31} and sum(x[3] == "not_json" for x in told) == 3
+    axes = P.sweep_axes(rows.where("t IS NULL OR t <> 'no'"), "k", "t").collect()
+    assert sorted((r["k"] % 6, r["axis"], r["base"], r["places"]) for r in axes) == sorted([(4, "indicator_period", 20.0, 1), (5, "indicator_period", 30.0, 1)] * 10)
