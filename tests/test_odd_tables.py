@@ -63,3 +63,33 @@ def test_repeated_documents(spark):
     assert len(told) == 6 and {x[2] for x in told} == {None, 1, 21, 31} and sum(x[3] == "not_json" for x in told) == 3
     axes = P.sweep_axes(rows.where("t IS NULL OR t <> 'no'"), "k", "t").collect()
     assert sorted((r["k"] % 6, r["axis"], r["base"], r["places"]) for r in axes) == sorted([(4, "indicator_period", 20.0, 1), (5, "indicator_period", 30.0, 1)] * 10)
+
+
+def test_quiet_sources_cost_one_message():
+    """A source that has not failed and does not end in a failure asks the state store once and tells nothing; one that fails is kept with one timer."""
+    import pandas as pd
+
+    from quernstone.streaming.failures import Streaks
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                return self.value if name == "get" else []
+
+            return call
+
+    walker, store = Streaks("k", "id", 2, 12), Store()
+    walker.handle = walker.streak = store
+    rows = lambda *bad: iter([pd.DataFrame({"id": range(len(bad)), "ts": [START + dt.timedelta(hours=i) for i in range(len(bad))], "bad": bad})])
+    assert list(walker.handleInputRows(("a",), rows(False, True, False), None)) == [] and store.calls == ["get"]
+    (told,) = walker.handleInputRows(("a",), rows(False, True, True), None)
+    assert told.values.tolist() == [[2, "a", "alert", 2]] and store.value == (2, START + dt.timedelta(hours=2))
+    (told,) = walker.handleInputRows(("a",), rows(False), None)
+    assert told.values.tolist() == [[0, "a", "recovered", 2]] and store.value is None
+    assert store.calls[1:] == ["get", "update", "registerTimer", "get", "deleteTimer", "clear"]
