@@ -112,12 +112,13 @@ def first_in_range(points: DataFrame, series: DataFrame, keys: list[str], point_
     For spans that hold few rows of a long series. The rows of a span are the disjoint union of at
     most two nodes a level of a binary tree, of as many levels as the longest span needs; the
     first of these whose minimum is low enough holds the answer, which is looked up in blocks of
-    ``FAN_OUT`` rows, one join for each power of that in the longest span.
+    ``FAN_OUT`` rows, one join for each power of that in the longest span. Rows of one time are
+    one row with the least of their values, so a span is as long as it has times.
     """
     from quernstone.operators.rangerank import nodes_of
 
     # rows, starts and ends in one order: the rows in front of each number rows and bound spans at once
-    row = series.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.col(value).alias("_v"))
+    row = series.groupBy(*keys, F.col(ts).alias("_t")).agg(F.min(value).alias("_v")).select(*keys, "_t", F.lit(1).alias("_kind"), "_v")
     place = lambda t, kind: points.select(*keys, F.col(t).alias("_t"), F.lit(kind).alias("_kind"), F.col(point_id), F.col(bound).alias("_bound"))
     every = row.unionByName(place(start, 0), allowMissingColumns=True).unionByName(place(end, 2), allowMissingColumns=True).withColumn("_chunk", chunk)
     every = written(running_sum(every, keys, "_chunk", ["_t", "_kind", "_v"], (F.col("_kind") == 1).cast("long"), "_upto").drop("_chunk"), "places")

@@ -93,3 +93,27 @@ def test_quiet_sources_cost_one_message():
     (told,) = walker.handleInputRows(("a",), rows(False), None)
     assert told.values.tolist() == [[0, "a", "recovered", 2]] and store.value is None
     assert store.calls[1:] == ["get", "update", "registerTimer", "get", "deleteTimer", "clear"]
+
+
+def test_spans_over_rows_of_one_time(spark, monkeypatch):
+    """Rows of one time and questions of one time and bound count once in the tree of a span, and each question is answered."""
+    from quernstone.operators import chunked
+    from quernstone.operators import joins as J
+
+    sizes, own = {}, chunked.written
+
+    def counted(df, name, *rest):
+        out = own(df, name, *rest)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chunked, "written", counted)
+    at = lambda s: START + dt.timedelta(seconds=s)
+    quotes = [("a", at(i), 10.0 + (7 * i + 3 * c) % 11) for i in range(0, 60, 6) for c in range(20)] + [("a", at(30), None)]
+    asks = [(20 * i + c, "a", at(i), 10.0 + c % 4) for i in range(0, 60, 5) for c in range(20)] + [(-1, None, at(0), 50.0), (-2, "a", None, 50.0), (-3, "a", at(0), None)]
+    left = spark.createDataFrame(asks, "id int, k string, t timestamp_ntz, bound double")
+    got = J.within(left, spark.createDataFrame(quotes, "k string, ts timestamp_ntz, v double"), ["k"], "t", "ts", 12, "v", "bound", "hit", "id")
+    assert got.columns == ["id", "k", "t", "bound", "hit"]
+    reached = lambda k, t, b: min((ts for kk, ts, v in quotes if None not in (k, t, b, v) and kk == k and t <= ts <= t + dt.timedelta(seconds=12) and v <= b), default=None)
+    assert sorted((r["id"], str(r["hit"])) for r in got.collect()) == sorted((i, str(reached(k, t, b))) for i, k, t, b in asks)
+    assert sizes["places"] == 10 + 2 * (12 * 4 + 1)  # those without a key or a time can have no answer
