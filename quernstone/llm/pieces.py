@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 from operator import add
@@ -310,6 +311,13 @@ class Vocabulary:
             return text[1:] if self.prefix and text.startswith(" ") and ended[0] not in self.byte_of else text
         return self.decode_each(ids)
 
+    def decode_all(self, ids: np.ndarray, counts: list[int]) -> Iterator[str]:
+        """Texts of ids one after the other, as ``encode_all`` gives them."""
+        end = 0
+        for count in counts:
+            end += count
+            yield self.decode(ids[end - count : end].tolist())
+
     def decode_each(self, ids: list[int]) -> str:
         """The same id by id, for control and unknown pieces and for bytes that are no UTF-8."""
         out, run, shown, byte_of = [], bytearray(), self.shown, self.byte_of
@@ -375,14 +383,18 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
-    """Struct of ``ids`` (with the end id) and ``agrees``: whether the library gives the same ids."""
+def encoded(spark: SparkSession, text: Column, model: bytes, back: bool = False) -> Column:
+    """Struct of ``ids`` (with the end id) and ``agrees``: whether the library gives the same ids; with ``back`` also ``decoded``, the text of the ids.
+
+    A user function after another is a second Python worker for each task, with a vocabulary and
+    words of its own: what is wanted back is decoded where it was encoded.
+    """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<ids: array<int>, agrees: boolean>")
+    @F.arrow_udf("struct<ids: array<int>, agrees: boolean" + ", decoded: string" * back + ">")
     def encode(texts: pa.Array) -> pa.Array:
         own, other = vocabulary(shared.value), library(shared.value)
-        flat, lengths, agrees = [], [], []
+        flat, lengths, agrees, decoded = [], [], [], []
         start = size = 0
         for i, length in enumerate(pc.utf8_length(texts).to_pylist()):
             size += length or 0
@@ -391,12 +403,17 @@ def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
                 ids, ends = own.encode_all(part, other)
                 flat.append(ids)
                 lengths += ends
+                if back:
+                    decoded.append(pa.array(own.decode_all(ids, ends), pa.string()))
                 # a text is disputed if it holds a disputed stretch; there is none as long as both agree
                 agrees += [not own.disputed or own.disputed.isdisjoint(own.stretches(t)) for t in part]
                 start, size = i + 1, 0
         offsets = np.zeros(len(lengths) + 1, np.int32)
         np.cumsum(lengths, out=offsets[1:])
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+        if back:
+            texts_back = pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())
+            return pa.StructArray.from_arrays([ids, pa.array(agrees, pa.bool_()), texts_back], ["ids", "agrees", "decoded"])
         return pa.StructArray.from_arrays([ids, pa.array(agrees, pa.bool_())], ["ids", "agrees"])
 
     return encode(text)
@@ -416,18 +433,19 @@ def decoded(spark: SparkSession, ids: Column, model: bytes) -> Column:
     return decode(ids)
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", agrees_col: str = "agrees") -> DataFrame:
-    """``docs`` with the ids of each whole text and whether the library agrees.
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", agrees_col: str = "agrees", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text and whether the library agrees; with a ``decoded_col`` also the text that ``decode`` gives for the ids.
 
     A null text counts as empty, which gives the end id alone. Rows are encoded one by one:
     repeated rows get equal ids, null ids are nothing special, an empty table gives an empty
     one, texts may be of any length (the agenda of a stretch without a cut is as long as the
     stretch). Columns already named like an added one are replaced.
     """
-    docs = docs.drop(*[c for c in (ids_col, agrees_col) if c != text_col])
+    names = {ids_col: "ids", agrees_col: "agrees"} | ({decoded_col: "decoded"} if decoded_col else {})
+    docs = docs.drop(*[c for c in names if c != text_col])
     both = free_name(docs, "_encoded")
-    out = docs.withColumn(both, encoded(docs.sparkSession, F.col(f"`{text_col}`"), model))
-    return out.withColumns({ids_col: F.col(both)["ids"], agrees_col: F.col(both)["agrees"]}).drop(both)
+    out = docs.withColumn(both, encoded(docs.sparkSession, F.col(f"`{text_col}`"), model, bool(decoded_col)))
+    return out.withColumns({c: F.col(both)[field] for c, field in names.items()}).drop(both)
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -443,5 +461,5 @@ def digests(rows: DataFrame) -> list[Column]:
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded and decoded; ``agrees`` tells whether the library gave the same ids."""
     model = read_model(public_tokenizers.path(MODEL))
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded_col="decoded")
     return rows.select("doc_id", *digests(rows))

@@ -65,6 +65,21 @@ def test_query_against_library(spark, library):
     assert len(got) == len(docs)
 
 
+def test_query_decodes_where_it_encodes(spark):
+    """A second Python step would be a second worker with a vocabulary and a cache of its own for each task."""
+    plan = pieces.op13_sentencepiece(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_decoded_beside_ids(spark, monkeypatch):
+    """Encoding gives the texts that decoding gives, over several slices of a batch, and under any name."""
+    monkeypatch.setattr(pieces, "AT_ONCE", 50)
+    docs = cases.clashing(spark, "ids", "decoded", "_encoded")
+    rows = pieces.decode(pieces.encode(docs, MODEL, decoded_col="back"), MODEL).collect()
+    assert len(rows) == len(cases.ODD) and all(r.back == r.decoded and r.back is not None for r in rows)
+    assert pieces.encode(cases.none(spark), MODEL, decoded_col="decoded").collect() == []
+
+
 def test_odd_rows(spark, library):
     docs = cases.clashing(spark, "ids", "agrees", "decoded", "_encoded", "a.b").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     rows = pieces.decode(pieces.encode(docs, MODEL), MODEL).collect()
