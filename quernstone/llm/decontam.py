@@ -44,6 +44,8 @@ BAND = 16
 BLOCK_CHARS = 2_000_000
 #: Characters of documents, and shared q-grams, handled at once.
 SLICE_CHARS, SLICE_PAIRS = 1_000_000, 1_000_000
+#: Alignments that go side by side.
+ALIGNED = 512
 #: Most bits, as a power of two, of the bitmap that is broadcast for a benchmark of several blocks: 64 MB.
 MOST_BITS = 29
 _BITS = 20
@@ -188,37 +190,71 @@ class Index:
         return [k for k, c in counts.items() if c >= self.need[k[1]]]
 
 
-def align(pattern: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> tuple[int, int, int] | None:
-    """Fewest edits of the pattern to a stretch of text, on diagonals ``first`` to ``last`` only.
+def align(found: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[tuple[int, int, int] | None]:
+    """Fewest edits of each pattern to a stretch of its text, on diagonals ``first`` to ``last`` only.
 
-    Gives (start, end, edits) if edits <= most. The start may be on any diagonal of the
-    band, and so may the end. One vector step for each character of the pattern.
+    Takes (pattern, text, first, last, most), gives (start, end, edits) if edits <= most. The start
+    may be on any diagonal of the band, and so may the end. ``ALIGNED`` of similar length go
+    side by side, with one vector step for each character of the longest pattern.
     """
-    wide = last - first + 1
-    far = most + 1
-    diag = np.arange(first, last + 1)
-    inside = (diag >= 0) & (diag <= len(text))
-    cost = np.where(inside, 0, far).astype(np.int64)
-    origin = diag.copy()
-    padded = np.concatenate([text, np.zeros(1, dtype=text.dtype)])
-    steps = np.arange(wide)
-    for i in range(len(pattern)):
-        j = diag + i  # the text's character on each diagonal
-        ok = (j >= 0) & (j < len(text))
-        put = cost + np.where(ok & (padded[np.clip(j, 0, len(text))] == pattern[i]), 0, 1) + np.where(ok, 0, far)
-        gone = np.append(cost[1:], far) + 1  # the pattern's character is missing in the text
-        start = np.where(put <= gone, origin, np.append(origin[1:], 0))
-        best = np.minimum(put, gone)
-        # characters of the text that the pattern lacks: along the row, one edit each
-        slack = best - steps
-        run = np.minimum.accumulate(slack)
-        source = np.maximum.accumulate(np.where(slack == run, steps, -1))
-        # accumulate keeps the last place of equal slack, which is the nearest
-        cost, origin = run + steps, start[source]
-        if cost.min() > most:
-            return None
-    end = int(np.argmin(cost))
-    return int(origin[end]), int(diag[end]) + len(pattern), int(cost[end])
+    out: list[tuple[int, int, int] | None] = [None] * len(found)
+    order = sorted(range(len(found)), key=lambda i: len(found[i][0]))
+    for at in range(0, len(order), ALIGNED):
+        some = order[at : at + ALIGNED]
+        for i, near in zip(some, _aligned([found[i] for i in some])):
+            out[i] = near
+    return out
+
+
+def _aligned(found: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[tuple[int, int, int] | None]:
+    """The same for a few at once: columns of tables with a row for each diagonal."""
+    out: list[tuple[int, int, int] | None] = [None] * len(found)
+    row = np.arange(len(found))
+    sizes, widths = np.array([len(f[0]) for f in found]), np.array([f[3] - f[2] + 1 for f in found])
+    most = np.array([f[4] for f in found], dtype=np.int32)
+    far, wide = most + 1, int(widths.max())
+    steps = np.arange(wide, dtype=np.int32)[:, None]
+    # the text from its first diagonal on, and what a place beyond its ends costs
+    letters, beyond = np.zeros((len(found), int(sizes.max()) + wide), dtype=np.uint32), np.ones((len(found), int(sizes.max()) + wide), dtype=np.int32)
+    patterns = np.zeros((len(found), int(sizes.max())), dtype=np.uint32)
+    for i, (pattern, text, first, _, _) in enumerate(found):
+        patterns[i, : len(pattern)] = pattern
+        a, b = max(0, first), min(len(text), first + letters.shape[1])
+        if a < b:
+            letters[i, a - first : b - first], beyond[i, a - first : b - first] = text[a:b], 0
+    letters, patterns, beyond = letters.T.copy(), patterns.T.copy(), beyond.T * far
+    firsts, ends = np.array([f[2] for f in found]), np.array([len(f[1]) for f in found])
+    diag = firsts + steps
+    cost = np.where((diag >= 0) & (diag <= ends), 0, far).astype(np.int32)
+    outside = steps >= widths  # narrower bands end before
+    narrow = bool(outside.any())
+    origin = np.broadcast_to(steps, cost.shape)
+    shift = np.int32(wide.bit_length())
+    low = (np.int32(1) << shift) - np.int32(1)
+    for i in range(len(patterns)):
+        if narrow:
+            cost[outside] = np.broadcast_to(far, cost.shape)[outside]
+        put = cost + (letters[i : i + wide] != patterns[i]) + beyond[i : i + wide]
+        gone = np.concatenate([cost[1:], far[None]]) + 1  # the pattern's character is missing in the text
+        start = np.where(put <= gone, origin, np.concatenate([origin[1:], origin[:1]]))
+        # characters of the text that the pattern lacks: along the diagonals, one edit each, from the nearest of equals
+        slack = np.minimum(put, gone) - steps + wide
+        run = np.minimum.accumulate(((slack << shift | wide - steps) << shift) | start, axis=0)
+        cost, origin = (run >> shift + shift) + steps - wide, run & low
+        over = sizes == i + 1
+        if over.any() or i % 16 == 15:
+            least = np.where(outside, np.iinfo(np.int32).max, cost)
+            end = least.argmin(axis=0)
+            edits = least[end, np.arange(len(row))]
+            for k in np.flatnonzero(over & (edits <= most)).tolist():
+                out[row[k]] = int(firsts[k] + origin[end[k], k]), int(firsts[k] + end[k] + sizes[k]), int(edits[k])
+            left = ~over & (edits <= most)
+            if not left.any():
+                break
+            if not left.all():
+                row, sizes, most, far, firsts = row[left], sizes[left], most[left], far[left], firsts[left]
+                letters, beyond, patterns, cost, origin, outside = (x[:, left] for x in (letters, beyond, patterns, cost, origin, outside))
+    return out
 
 
 def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -256,6 +292,7 @@ def _codes_of(texts: list, batch: list[int]) -> tuple[np.ndarray, np.ndarray, np
 def _search_slice(texts: list, batch: list[int], index: Index) -> list[tuple[int, int, int, int, int]]:
     c, start, sizes = _codes_of(texts, batch)
     found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+    edited: list[tuple[set, tuple]] = []
     for doc, seg, band in index.bands(*index.shared(gram_hashes(c)), start):
         text = c[start[doc] : start[doc] + sizes[doc]]
         pattern, plain = index.segments[seg][2], index.plain[seg]
@@ -265,11 +302,14 @@ def _search_slice(texts: list, batch: list[int], index: Index) -> list[tuple[int
         window = text_of(text[a:b])
         at = window.find(plain)
         got = found.setdefault((doc, seg), set())
-        if at < 0 and (near := align(pattern, text, first, last, int(index.budget[seg]))):
-            got.add((near[2], near[0], near[1]))
+        if at < 0:
+            edited.append((got, (pattern, text, first, last, int(index.budget[seg]))))
         while at >= 0:
             got.add((0, a + at, a + at + len(plain)))
             at = window.find(plain, at + len(plain))
+    for (got, _), near in zip(edited, align([e[1] for e in edited])):
+        if near:
+            got.add((near[2], near[0], near[1]))
     if index.words is not None:
         for doc in range(len(batch)):
             text = text_of(c[start[doc] : start[doc] + sizes[doc]])

@@ -61,6 +61,27 @@ def test_search_against_the_full_table():
     assert got == want and len(want) > 15 and any(want.values())
 
 
+def test_alignments_go_side_by_side(monkeypatch):
+    """Edited passages of one slice are aligned in walks of many, with the edits that the full table gives."""
+    draw, walks = random.Random(23), []
+    one = decontam._aligned
+    monkeypatch.setattr(decontam, "_aligned", lambda found: walks.append(len(found)) or one(found))
+    say = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    items = [say(n) for n in (45, 70, 170, 240)]
+    segments = [s for i, t in enumerate(items) for s in decontam.segments_of(i, t)]
+    texts = [say(draw.randrange(30)) + edited(draw, draw.choice(items), draw.randrange(12)) + say(draw.randrange(30)) for _ in range(120)]
+    for side in (decontam.ALIGNED, 7):
+        monkeypatch.setattr(decontam, "ALIGNED", side)
+        index = decontam.Index(segments, decontam.EDIT_SHARE)
+        got = {}
+        for d, s, _, _, e in decontam.search(texts, index):
+            got[d, s] = min(e, got.get((d, s), e))
+        want = {(d, s): e for d, t in enumerate(texts) for s, plain in enumerate(index.plain) if (e := fewest_edits(plain, t)) <= index.budget[s]}
+        assert got == want and sum(map(bool, want.values())) > 50
+        assert walks and max(walks) <= side and len(walks) == -(-sum(walks) // side)
+        walks.clear()
+
+
 def test_spans_hold_what_was_found(spark):
     items, texts = fixture()
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
